@@ -35,11 +35,15 @@ def categorise(technologies: Column | str) -> Column:
     """Technologies by category plus ``other``; empty categories are left out."""
     techs = col(technologies)
     known = [t for group in rules.TECH_CATEGORIES.values() for t in group]
-    groups = [
-        F.struct(F.lit(name).alias("key"), F.filter(techs, lambda x, g=group: x.isin(g)).alias("value"))
-        for name, group in rules.TECH_CATEGORIES.items()
-    ]
-    groups.append(F.struct(F.lit("other").alias("key"), F.filter(techs, lambda x: ~x.isin(known)).alias("value")))
+
+    def group(name: str, members: Column) -> Column:
+        return F.struct(F.lit(name).alias("key"), members.alias("value"))
+
+    def among(names: list[str]) -> Column:
+        return F.filter(techs, lambda x: x.isin(names))
+
+    groups = [group(name, among(names)) for name, names in rules.TECH_CATEGORIES.items()]
+    groups.append(group("other", F.filter(techs, lambda x: ~x.isin(known))))
     return F.map_from_entries(F.filter(F.array(*groups), lambda g: F.size(g["value"]) > 0))
 
 

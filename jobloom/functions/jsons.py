@@ -111,7 +111,12 @@ def _kind(doc: Column, path: str) -> Column:
 
 def contract_errors(text: Column | str) -> Column:
     """Schema errors of an extraction reply: types, required members, bounds and unknown keys."""
-    doc = F.try_parse_json(col(text))
+    # the one-element array parses the text once for all rules
+    parsed = F.transform(F.array(F.try_parse_json(col(text))), lambda doc: _contract_rules(doc, col(text)))
+    return F.get(parsed, F.lit(0))
+
+
+def _contract_rules(doc: Column, text: Column) -> Column:
     found = []
     for name, kind in rules.REPLY_FIELDS.items():
         found.append((~_kind(doc, f"$.{name}").isin(kind, "null"), f"{name} must be {kind}"))
@@ -132,7 +137,7 @@ def contract_errors(text: Column | str) -> Column:
     length = F.try_variant_get(doc, "$.extractionMetadata.contentLength", "double")
     found.append((length < 0, "extractionMetadata.contentLength must be >= 0"))
     known = [*rules.REPLY_FIELDS, *rules.REPLY_SCORES, "extractionMetadata"]
-    extra = F.size(F.array_except(F.json_object_keys(col(text)), text_list(known))) > 0
+    extra = F.size(F.array_except(F.json_object_keys(text), text_list(known))) > 0
     found.append((extra, "unknown keys"))
     return F.when(doc.isNull(), F.array(F.lit("not a JSON document"))).otherwise(issues(*found))
 

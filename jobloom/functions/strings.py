@@ -36,7 +36,7 @@ def badge_model(badge: Column | str) -> Column:
 
 def badge_location(badge: Column | str) -> Column:
     """The first non-blank line of a badge, translated."""
-    lines = F.filter(F.transform(F.split(col(badge), "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(col(badge), "\n"), lambda x: F.trim(x)), lambda x: x != "")
     first = F.get(lines, F.lit(0))
     return F.coalesce(location(first), F.lit("Bulgaria"))
 

@@ -134,18 +134,18 @@ def with_priority_cut(df: DataFrame, name: str, limit: int, out: str) -> DataFra
     patterns run one after the other on what is left, one projection each.
     """
     df = df.withColumn("_rest", F.translate(col(name), "\x01\x02", "  ")).withColumn("_first", F.lit(""))
+    pieces = F.col("_pieces")  # outside, hit, outside, hit, .. outside
     for pattern in rules.PRIORITY_PATTERNS:
         marked = F.regexp_replace("_rest", f"(?is)(?={pattern}).{{1,200}}", "\x01$0\x02")
         df = df.withColumn("_pieces", F.split(marked, "[\x01\x02]"))
-        pieces = F.col("_pieces")  # outside, hit, outside, hit, .. outside
         hits = F.transform(
             pieces,
-            lambda x, i, p=pieces: F.when(i % 2 == 1, F.concat(F.right(F.get(p, i - 1), F.lit(100)), x, F.lit("\n"))).otherwise(""),
+            lambda x, i: F.when(i % 2 == 1, F.concat(F.right(F.get(pieces, i - 1), F.lit(100)), x, F.lit("\n"))).otherwise(""),
         )
         outside = F.transform(
             pieces,
-            lambda x, i, p=pieces: F.when(i % 2 == 1, "")
-            .when(i < F.size(p) - 1, F.substring(x, F.lit(1), F.greatest(F.length(x) - 100, F.lit(0))))
+            lambda x, i: F.when(i % 2 == 1, "")
+            .when(i < F.size(pieces) - 1, F.substring(x, F.lit(1), F.greatest(F.length(x) - 100, F.lit(0))))
             .otherwise(x),
         )
         df = df.withColumn("_first", F.concat("_first", F.array_join(hits, ""))).withColumn(
