@@ -207,12 +207,9 @@ def _clip(value: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(10.0), value))
 
 
-def _hits(text: Column, words: list[str]) -> Column:
-    """How many of the words the text holds."""
-    total = F.lit(0)
-    for word in words:
-        total = total + text.contains(word).cast("int")
-    return total
+def _hits(text: str, words: list[str]) -> Column:
+    """How many of the words a text column holds, as one parsed expression."""
+    return F.expr(" + ".join(f"int(contains({text}, '{word}'))" for word in words))
 
 
 def _points(condition: Column, value: float) -> Column:
@@ -230,7 +227,8 @@ def with_texts(inputs: DataFrame) -> DataFrame:
 def _technologies_like(names: list[str]) -> Column:
     """Technologies that contain one of the names."""
     lowered = [n.lower() for n in names]
-    return F.size(F.filter(F.coalesce(F.col("technologies"), text_list([])), lambda t: any_contains(F.lower(t), lowered)))
+    test = " OR ".join(f"contains(lower(t), '{n}')" for n in lowered)
+    return F.expr(f"size(filter(coalesce(technologies, array()), t -> {test}))")
 
 
 def _in_industry(names: list[str]) -> Column:
@@ -239,11 +237,10 @@ def _in_industry(names: list[str]) -> Column:
 
 def factor_columns(year: int) -> dict[str, Column]:
     """The 24 factors, each 0..10, over ``with_texts`` rows; ``year`` is the year of the run."""
-    text = {name: F.col(f"_{name}") for name in ("T", "B", "V", "VB", "BV")}
-    b = text["B"]
+    b = F.col("_B")
     out: dict[str, Column] = {}
     for name, (source, points, words) in KEYWORD_FACTORS.items():
-        out[name] = F.least(F.lit(10.0), _hits(text[source], words) / float(len(words)) * float(points))
+        out[name] = F.least(F.lit(10.0), _hits(f"_{source}", words) / float(len(words)) * float(points))
 
     modern = F.least(F.lit(10.0), _technologies_like(MODERN_TECHS) / float(len(MODERN_TECHS)) * 20.0)
     out["tech_innovation"] = F.least(F.lit(10.0), modern + _technologies_like(CUTTING_EDGE_TECHS) * 0.5)
@@ -255,23 +252,22 @@ def factor_columns(year: int) -> dict[str, Column]:
     out["career"] = _clip(out["career"] + _points(big, 1.0) - _points(startup, 0.5))
     out["salary"] = _clip(
         6.0 + _points(_in_industry(HIGH_PAY_INDUSTRIES), 1.0) + _points(big, 1.0) - _points(startup, 0.5)
-        + _hits(b, SALARY_WORDS) * 0.5
+        + _hits("_B", SALARY_WORDS) * 0.5
     )
     out["equity"] = F.least(F.lit(10.0), out["equity"] + _points(startup & (out["equity"] > 0), 2.0))
     out["benefits_quality"] = F.least(
         F.lit(10.0),
-        _hits(b, ESSENTIAL_BENEFITS) / float(len(ESSENTIAL_BENEFITS)) * 6.0
-        + _hits(b, PREMIUM_BENEFITS) / float(len(PREMIUM_BENEFITS)) * 4.0,
+        _hits("_B", ESSENTIAL_BENEFITS) / float(len(ESSENTIAL_BENEFITS)) * 6.0
+        + _hits("_B", PREMIUM_BENEFITS) / float(len(PREMIUM_BENEFITS)) * 4.0,
     )
     out["flexibility"] = F.least(
-        F.lit(10.0), 5.0 + _points(model == "remote", 3.0) + _points(model == "hybrid", 2.0) + _hits(b, FLEXIBLE_WORDS) * 0.8
+        F.lit(10.0), 5.0 + _points(model == "remote", 3.0) + _points(model == "hybrid", 2.0) + _hits("_B", FLEXIBLE_WORDS) * 0.8
     )
     out["time_off"] = F.least(
         F.lit(10.0),
         out["time_off"] + _points(b.contains("25") | b.contains("30"), 1.0) + _points(b.contains("unlimited"), 2.0),
     )
-    load = text["BV"]
-    out["workload"] = _clip(7.0 + _hits(load, LIGHT_LOAD_WORDS) * 1.0 - _hits(load, HEAVY_LOAD_WORDS) * 2.0)
+    out["workload"] = _clip(7.0 + _hits("_BV", LIGHT_LOAD_WORDS) * 1.0 - _hits("_BV", HEAVY_LOAD_WORDS) * 2.0)
 
     age = F.coalesce(F.lit(year) - non_zero("founded"), F.lit(0))
     out["finance"] = _clip(
@@ -300,8 +296,10 @@ def factor_columns(year: int) -> dict[str, Column]:
     return {name: out[name] for name in FACTORS}
 
 
-def with_factors(inputs: DataFrame, year: int) -> DataFrame:
-    return with_texts(inputs).withColumns(factor_columns(year)).drop("_T", "_B", "_V", "_VB", "_BV")
+def with_factors(inputs: DataFrame, year: int, only: list[str] | None = None) -> DataFrame:
+    """All factors, or the named ones, beside the input columns."""
+    columns = {name: c for name, c in factor_columns(year).items() if only is None or name in only}
+    return with_texts(inputs).withColumns(columns).drop("_T", "_B", "_V", "_VB", "_BV")
 
 
 def category_columns() -> dict[str, Column]:
@@ -390,12 +388,16 @@ def data_sources(glassdoor: Column, linkedin: Column, github: Column) -> Column:
     )
 
 
+def overall_scores(inputs: DataFrame, year: int) -> DataFrame:
+    """Factors, categories, weights and overall score of every input row."""
+    scored = with_factors(inputs, year).withColumns({**category_columns(), **weight_columns()})
+    return scored.withColumn("overall", overall_column())
+
+
 def score(inputs: DataFrame, year: int) -> DataFrame:
-    """Factors, categories, weights, overall score, texts and confidence of every input row."""
-    scored = with_factors(inputs, year).withColumns(category_columns()).withColumns(weight_columns())
-    return scored.withColumns(
+    """The overall scores plus texts and confidence."""
+    return overall_scores(inputs, year).withColumns(
         {
-            "overall": overall_column(),
             "strengths": strengths(),
             "concerns": concerns(),
             "advice": advice(),
@@ -407,8 +409,11 @@ def score(inputs: DataFrame, year: int) -> DataFrame:
 
 def with_percentiles(scored: DataFrame) -> DataFrame:
     """Percent ranks of the overall score within industry and within size."""
-    ranked = windows.with_percentile(scored, ["industry"], "overall", "industry_percentile")
-    return windows.with_percentile(ranked, ["size"], "overall", "size_percentile")
+    counts = windows.value_counts(scored, ["industry", "size"], "overall")
+    ranked = scored
+    for group in ("industry", "size"):
+        ranked = windows.join_percentile(ranked, counts, [group], "overall", f"{group}_percentile")
+    return ranked
 
 
 def industry_benchmark(scored: DataFrame) -> DataFrame:

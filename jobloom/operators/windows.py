@@ -32,13 +32,22 @@ def newest_n(df: DataFrame, key: str, order: list[Column], n: int) -> DataFrame:
     return df.withColumn("rn", F.row_number().over(window)).filter(F.col("rn") <= n)
 
 
-def value_ranks(df: DataFrame, group: list[str], value: str) -> DataFrame:
+def value_counts(df: DataFrame, group: list[str], value: str) -> DataFrame:
+    """Rows per distinct value of a group. Its size follows the value domain, not the number of rows.
+
+    Nulls count as 0 and drop out after the aggregate: a null test before it would
+    be pushed below the projections and compute the value twice per row.
+    """
+    return df.groupBy(*group, value).agg(F.count(value).alias("_n")).filter(F.col("_n") > 0)
+
+
+def value_ranks(counts: DataFrame, group: list[str], value: str) -> DataFrame:
     """Per distinct value of a group: rows below it, rows above it, rows in the group.
 
-    The window sees one row per distinct value, so its size follows the value
-    domain (scores 0..100, whole salaries) and not the number of rows.
+    The windows see one row per distinct value (scores 0..100, whole salaries), never
+    the rows themselves. ``counts`` may be finer than ``group``.
     """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_n"))
+    counts = counts.groupBy(*group, value).agg(F.sum("_n").alias("_n"))
     whole = Window.partitionBy(*group)
     upto = whole.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     running = F.sum("_n").over(upto)
@@ -52,9 +61,8 @@ def value_ranks(df: DataFrame, group: list[str], value: str) -> DataFrame:
     )
 
 
-def with_percentile(df: DataFrame, group: list[str], value: str, out: str) -> DataFrame:
-    """percent_rank() * 100 of the value within its group."""
-    ranks = value_ranks(df, group, value).select(
+def join_percentile(df: DataFrame, counts: DataFrame, group: list[str], value: str, out: str) -> DataFrame:
+    ranks = value_ranks(counts, group, value).select(
         *group,
         value,
         F.when(F.col("n_group") > 1, F.col("n_below") / (F.col("n_group") - 1) * 100).otherwise(0.0).alias(out),
@@ -62,12 +70,24 @@ def with_percentile(df: DataFrame, group: list[str], value: str, out: str) -> Da
     return df.join(ranks, [*group, value], "left")
 
 
-def with_peer_rank(df: DataFrame, group: str, value: str, out: str) -> DataFrame:
-    """Text rank such as ``3 of 120``, best value first, equal values sharing a rank."""
-    ranks = value_ranks(df, [group], value).select(
-        group, value, F.concat_ws(" of ", F.col("n_above") + 1, F.col("n_group")).alias(out)
+def join_peer_rank(df: DataFrame, counts: DataFrame, group: list[str], value: str, out: str) -> DataFrame:
+    ranks = value_ranks(counts, group, value).select(
+        *group, value, F.concat_ws(" of ", F.col("n_above") + 1, F.col("n_group")).alias(out)
     )
-    return df.join(ranks, [group, value], "left")
+    return df.join(ranks, [*group, value], "left")
+
+
+def with_percentile(df: DataFrame, group: list[str], value: str, out: str) -> DataFrame:
+    """percent_rank() * 100 of the value within its group."""
+    return join_percentile(df, value_counts(df, group, value), group, value, out)
+
+
+def with_peer_rank(df: DataFrame, groups: dict[str, str], value: str) -> DataFrame:
+    """Text ranks such as ``3 of 120`` within each group column, best value first, equal values sharing a rank."""
+    counts = value_counts(df, list(groups), value)
+    for group, out in groups.items():
+        df = join_peer_rank(df, counts, [group], value, out)
+    return df
 
 
 def with_previous(df: DataFrame, key: str, time: str, tie: str, value: str, out: str, grain: str = "day") -> DataFrame:

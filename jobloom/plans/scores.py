@@ -109,10 +109,14 @@ def scored(spark, d):
     return S.score(view(spark, d, "scoring_inputs"), YEAR)
 
 
+def overall(spark, d):
+    return S.overall_scores(view(spark, d, "scoring_inputs"), YEAR)
+
+
 def register_factor(key: str, factor: str) -> None:
     @plan(key, f"SELECT company_id, {sql_r4(FACTOR_SQL[factor])} AS score FROM {BASE_SQL} b")
     def run(spark, d):
-        rows = S.with_factors(view(spark, d, "scoring_inputs"), YEAR)
+        rows = S.with_factors(view(spark, d, "scoring_inputs"), YEAR, only=[factor])
         return rows.select("company_id", r4(factor).alias("score"))
 
 
@@ -141,7 +145,7 @@ def sc_weights(spark, d):
 
 @plan("sc_overall", f"SELECT company_id, overall FROM {SCORED_SQL} s")
 def sc_overall(spark, d):
-    return scored(spark, d).select("company_id", "overall")
+    return overall(spark, d).select("company_id", "overall")
 
 
 def ranked_sql(keep: str, direction: str, which: int) -> str:
@@ -291,7 +295,7 @@ def sc_company(spark, d):
 def register_percentile(key: str, group: str) -> None:
     @plan(key, f"SELECT company_id, {group}, overall, {sql_r4(PCT.format(g=group))} AS percentile FROM {SCORED_SQL} s")
     def run(spark, d):
-        rows = windows.with_percentile(scored(spark, d).select("company_id", group, "overall"), [group], "overall", "percentile")
+        rows = windows.with_percentile(overall(spark, d).select("company_id", group, "overall"), [group], "overall", "percentile")
         return rows.withColumn("percentile", r4("percentile"))
 
 
@@ -306,9 +310,9 @@ RANK = "CAST(rank() OVER (PARTITION BY {g} ORDER BY overall DESC) AS VARCHAR) ||
     f"SELECT company_id, {RANK.format(g='industry')} AS industry_rank, {RANK.format(g='size')} AS size_rank FROM {SCORED_SQL} s",
 )
 def win_peer_rank(spark, d):
-    rows = scored(spark, d).select("company_id", "industry", "size", "overall")
-    ranked = windows.with_peer_rank(rows, "industry", "overall", "industry_rank")
-    return windows.with_peer_rank(ranked, "size", "overall", "size_rank").select("company_id", "industry_rank", "size_rank")
+    rows = overall(spark, d).select("company_id", "industry", "size", "overall")
+    ranked = windows.with_peer_rank(rows, {"industry": "industry_rank", "size": "size_rank"}, "overall")
+    return ranked.select("company_id", "industry_rank", "size_rank")
 
 
 BENCH = " UNION ALL ".join(
