@@ -167,6 +167,52 @@ SELECT page_id, CASE page_id % 7 WHEN 0 THEN 'https://dev.bg/company/firm-' || C
   'https://dev.bg/company/jobads/' || CASE page_id % 6 WHEN 0 THEN 'technologica-senior-java-developer' WHEN 1 THEN 'senior-java-developer'
     WHEN 2 THEN 'recruitment-bg-middle' WHEN 3 THEN 'ab-cd-ef' WHEN 4 THEN 'java' ELSE 'firm' || CAST(page_id AS VARCHAR(12)) || '-dev' END || '/' AS job_url
 FROM pages""",
+    "company_pages": """
+SELECT company_id, '<html><head><title>' || name || ' - Dev.bg</title></head><body><div class="company-header"><h1 class="company-name">' ||
+  CASE WHEN company_id % 6 = 0 THEN 'dev.bg' ELSE name END || '</h1></div><div class="company-description"><p>A ' || size || ' firm.</p></div>' ||
+  CASE WHEN company_id % 2 = 0 THEN '<div class="company-logo"><img src="//cdn.example.org/' || CAST(company_id AS VARCHAR(12)) || '.png"></div>' ELSE '' END ||
+  '<a href="https://www.linkedin.com/company/f' || CAST(company_id AS VARCHAR(12)) || '">in</a><a href="https://github.com/f">code</a>' ||
+  CASE WHEN company_id % 3 = 0 THEN '<a href="https://f' || CAST(company_id AS VARCHAR(12)) || '.example.com">Website</a>' ELSE '' END ||
+  CASE WHEN company_id % 4 = 0 THEN '<div class="headquarters">Headquarters: Varna, BG</div>' ELSE '<div class="location">Plovdiv</div>' END ||
+  '<div class="facts">Founded: ' || coalesce(CAST(founded AS VARCHAR(4)), 'long ago') || '. Worldwide team: ' || CAST(1000 + company_id AS VARCHAR(12)) ||
+  ' people. Bulgaria: ' || CAST(company_id % 90 AS VARCHAR(12)) || '; Engineering: ' || CAST(company_id % 40 AS VARCHAR(12)) || '.</div>' ||
+  CASE WHEN company_id % 5 = 0 THEN '<div class="industry">' || industry || '</div>' WHEN company_id % 5 = 1 THEN '<p>We do banking software.</p>' ELSE '' END ||
+  CASE WHEN company_id % 3 = 1 THEN '<div class="job-count">We have ' || CAST(job_openings AS VARCHAR(4)) || ' jobs</div>'
+    ELSE '<a href="/job/1">one</a><a href="/vacancy/2">two</a>' END ||
+  '<ul class="technologies">' || CASE company_id % 4 WHEN 0 THEN '<li>React</li><li>Node.js</li><li>AWS</li>' WHEN 1 THEN '<li>Java</li><li>Kafka</li><li>Java</li>'
+    WHEN 2 THEN '<li>Go</li><li>C</li>' ELSE '' END || '</ul><ul class="benefits">' || CASE company_id % 3 WHEN 0 THEN '<li>Health insurance</li><li>Free lunch</li>'
+    WHEN 1 THEN '<li>Remote work</li>' ELSE '' END || '</ul><ul class="values"><li>Craft</li><li>Joy</li><li>Trust</li></ul><ul class="awards">' ||
+  CASE WHEN company_id % 2 = 0 THEN '<li>Fast grower</li>' ELSE '' END || '</ul><p>Best Employer of 2020. Winner in ' || industry || '.</p><p>' ||
+  CASE company_id % 4 WHEN 0 THEN 'Fully remote, flexible hours' WHEN 1 THEN 'A hybrid place, core hours' WHEN 2 THEN 'On-site, 9 to 5' ELSE 'Come and see' END ||
+  '</p><p>Write to hr' || CAST(company_id AS VARCHAR(12)) || '@example.com</p><div class="address">12 Main Street, Sofia</div></body></html>' AS html
+FROM scoring_inputs""",
+    "info_pages": """
+SELECT company_id, '<html><head><title>' || name || ' - dev.bg</title></head><body><h1 class="company-name">' || name || chr(10) || ' more</h1>' ||
+  '<div class="company-description"><p>A ' || size || ' team.</p></div><div class="company-info">' ||
+  CASE WHEN company_id % 5 = 0 THEN '' ELSE '<div class="info-item"><span class="label">Industry:</span><span class="value">' || industry || '</span></div>' END ||
+  '<div class="info-item"><span class="label">Size:</span><span class="value">' || CASE company_id % 3 WHEN 0 THEN '201-500 employees' WHEN 1 THEN '11-50' ELSE 'Startup' END ||
+  '</span></div><div class="info-item"><span class="label">Founded:</span><span class="value">' || coalesce(CAST(founded AS VARCHAR(4)), '') || '</span></div>' ||
+  CASE WHEN company_id % 4 = 0 THEN '' ELSE '<div class="info-item"><span class="label">Location:</span><span class="value">Varna</span></div>' END ||
+  '</div><div class="benefits-section"><ul class="benefits-list"><li>Bonus</li><li>Gym</li></ul></div><div class="tech-stack"><div class="tech-tags"><span class="tech-tag">Redis</span>' ||
+  CASE WHEN company_id % 2 = 0 THEN '<img title="Scala" src="s.png">' ELSE '<span class="tech-tag">Go</span>' END || '</div></div><div class="company-values"><ul><li>Care</li></ul></div>' ||
+  '<div class="job-openings"><div class="job-item">a</div><div class="job-item">b</div></div>' ||
+  CASE WHEN company_id % 7 = 0 THEN '' ELSE '<div class="awards-section"><span class="award">Best 2023</span></div>' END || '</body></html>' AS html
+FROM scoring_inputs""",
+    "listing_pages": """
+SELECT p_partkey AS page_id, '<html><body><div class="job-list-item"><h6 class="job-title">' || CASE p_partkey % 4 WHEN 0 THEN 'Старши Java Разработчик' WHEN 1 THEN 'Младши програмист'
+    ELSE p_name || ' Developer' END || '</h6><span class="company-name">Firm ' || CAST(p_partkey % 50 AS VARCHAR(12)) || '</span><a class="overlay-link" href="/company/jobads/firm'
+  || CAST(p_partkey AS VARCHAR(12)) || '/"></a><span class="badge">' || CASE p_partkey % 3 WHEN 0 THEN 'София' || chr(10) || 'Хибридно' WHEN 1 THEN 'Fully Remote' ELSE 'Burgas' END || '</span>' ||
+  CASE WHEN p_partkey % 2 = 0 THEN '<span class="salary">' || CAST(2000 + p_partkey % 900 AS VARCHAR(12)) || '-5000 BGN</span>' ELSE '' END ||
+  CASE p_partkey % 3 WHEN 0 THEN '<time datetime="2001-03-0' || CAST(1 + p_partkey % 9 AS VARCHAR(2)) || ' 10:00:00">скоро</time>' WHEN 1 THEN '<time>Публикувана 5 март</time>' ELSE '' END ||
+  '<img title="Docker "><img title="docker"><img title="' || p_brand || '"><img src="x.png"></div><div class="job-list-item"><h6 class="job-title">Nameless</h6></div>' ||
+  CASE WHEN p_partkey % 5 = 0 THEN '<div class="job-list-item"><div class="job-title">QA</div><div class="company-name">Second</div></div>' ELSE '' END || '</body></html>' AS html
+FROM part""",
+    "job_pages": """
+SELECT page_id, '<html><body><a href="/company/jobs/java/">all</a>' || CASE page_id % 4 WHEN 0 THEN '<a href="/company/firm-' || CAST(page_id AS VARCHAR(12)) || '/">Firm</a>'
+    WHEN 1 THEN '<a href="https://dev.bg/company/acme/">Acme</a>' ELSE '' END || CASE page_id % 3 WHEN 0 THEN '<a href="https://first' || CAST(page_id AS VARCHAR(12)) ||
+    '.example.com/x">Home</a><a href="https://second.example.org">Our website</a>' WHEN 1 THEN '<a href="https://www.linkedin.com/in/x">li</a><p>see http://plain' ||
+    CAST(page_id AS VARCHAR(12)) || '.example.net/about</p>' ELSE '<p>nothing</p>' END || '<div class="job-description"> <b>Build</b> things ' || CAST(page_id AS VARCHAR(12)) ||
+  '</div><div class="x job-requirements"><i>Java</i> and SQL</div>' || html || '</body></html>' AS html, 'Firm & Co ' || CAST(page_id AS VARCHAR(12)) AS company FROM pages""",
     "request_logs": """
 SELECT event_id AS log_id, ts AS logged_at, event_type AS method, event_id * 13 % 900 AS total_tokens,
   event_id * 7 % 5000 AS duration, event_type = 'error' AS failed, CAST(event_id * 43 % 101 AS INT) AS confidence,
