@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -74,7 +76,24 @@ def lookup(value: Column, table: dict, default: Column | None = None) -> Column:
     return found if default is None else F.coalesce(found, default)
 
 
+SEPARATOR = "\x1f"
+
+
+def compact(items: list[Column]) -> Column:
+    """The texts that are not null, in order.
+
+    Joined and split again rather than filtered: array lambdas are interpreted, and
+    would evaluate a shared input such as lower(text) once per item.
+    """
+    joined = F.concat_ws(SEPARATOR, *items)
+    return F.when(joined == "", F.array().cast("array<string>")).otherwise(F.split(joined, SEPARATOR))
+
+
 def issues(*rules: tuple[Column, str | Column]) -> Column:
     """The texts of the rules that fire, in order."""
-    items = [F.when(F.coalesce(c, F.lit(False)), t if isinstance(t, Column) else F.lit(t)) for c, t in rules]
-    return F.filter(F.array(*items), lambda x: x.isNotNull())
+    return compact([F.when(c, t if isinstance(t, Column) else F.lit(t)) for c, t in rules])
+
+
+def let(value: Column, make: Callable[[Column], Column]) -> Column:
+    """``make(value)`` with the value computed once per row."""
+    return F.get(F.transform(F.array(value), make), F.lit(0))

@@ -95,51 +95,50 @@ def trace(**facts: Column) -> Column:
     return F.to_json(F.struct(*[c.alias(k) for k, c in facts.items()]))
 
 
-def _kind(doc: Column, path: str) -> Column:
-    """text, number, list, flag, object or null of one member; null when it is missing."""
-    name = F.schema_of_variant(F.try_variant_get(doc, path, "variant"))
-    return (
-        F.when(name == "STRING", "text")
-        .when(name.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), "number")
-        .when(name.isin("ARRAY<STRING>", "ARRAY<VOID>"), "list")
-        .when(name == "BOOLEAN", "flag")
-        .when(name.startswith("OBJECT"), "object")
-        .when(name == "VOID", "null")
-        .when(name.isNotNull(), "other")
-    )
+META = "extractionMetadata"
+META_FIELDS = {"sourceType": "text", "contentLength": "number", "hasStructuredData": "flag", "language": "text"}
+
 
+def _kind(path: str) -> str:
+    """SQL for the kind of one member: text, number, list, flag, object, null or other; null when it is missing."""
+    name = f"schema_of_variant(try_variant_get(_doc, '$.{path}', 'variant'))"
+    return f"""CASE WHEN {name} IS NULL THEN NULL WHEN {name} = 'STRING' THEN 'text' WHEN {name} = 'BIGINT' THEN 'number'
+      WHEN {name} IN ('ARRAY<STRING>', 'ARRAY<VOID>') THEN 'list' WHEN {name} = 'VOID' THEN 'null' WHEN {name} = 'BOOLEAN' THEN 'flag'
+      WHEN startswith({name}, 'OBJECT') THEN 'object' WHEN startswith({name}, 'DECIMAL') OR {name} IN ('DOUBLE', 'FLOAT') THEN 'number'
+      ELSE 'other' END"""
 
-def contract_errors(text: Column | str) -> Column:
-    """Schema errors of an extraction reply: types, required members, bounds and unknown keys."""
-    # the one-element array parses the text once for all rules
-    parsed = F.transform(F.array(F.try_parse_json(col(text))), lambda doc: _contract_rules(doc, col(text)))
-    return F.get(parsed, F.lit(0))
 
+def with_contract_errors(df: DataFrame, text: str, out: str) -> DataFrame:
+    """Add the schema errors of an extraction reply: types, required members, bounds and unknown keys.
 
-def _contract_rules(doc: Column, text: Column) -> Column:
-    found = []
+    The reply is parsed once and every member's kind found once, in projections of their own.
+    """
+    names = [*rules.REPLY_FIELDS, *rules.REPLY_SCORES, META, *[f"{META}.{n}" for n in META_FIELDS]]
+    kinds = {n: f"_k_{n.replace('.', '_')}" for n in names}
+    parsed = df.withColumn("_doc", F.try_parse_json(text))
+    parsed = parsed.withColumns({c: F.expr(_kind(n)) for n, c in kinds.items()})
+    found: list[tuple[str, str]] = []
     for name, kind in rules.REPLY_FIELDS.items():
-        found.append((~_kind(doc, f"$.{name}").isin(kind, "null"), f"{name} must be {kind}"))
+        found.append((f"{kinds[name]} NOT IN ('{kind}', 'null')", f"{name} must be {kind}"))
     for name in rules.REPLY_SCORES:
-        value = F.try_variant_get(doc, f"$.{name}", "double")
-        found.append((_kind(doc, f"$.{name}").isNull(), f"{name} is required"))
-        found.append((_kind(doc, f"$.{name}") != "number", f"{name} must be number"))
-        found.append((value < 0, f"{name} must be >= 0"))
-        found.append((value > 100, f"{name} must be <= 100"))
-    meta = _kind(doc, "$.extractionMetadata")
-    found.append((meta.isNull(), "extractionMetadata is required"))
-    found.append((meta != "object", "extractionMetadata must be object"))
-    members = {"sourceType": "text", "contentLength": "number", "hasStructuredData": "flag", "language": "text"}
-    for name, kind in members.items():
-        got = _kind(doc, f"$.extractionMetadata.{name}")
-        found.append(((meta == "object") & got.isNull(), f"extractionMetadata.{name} is required"))
-        found.append((got != kind, f"extractionMetadata.{name} must be {kind}"))
-    length = F.try_variant_get(doc, "$.extractionMetadata.contentLength", "double")
-    found.append((length < 0, "extractionMetadata.contentLength must be >= 0"))
-    known = [*rules.REPLY_FIELDS, *rules.REPLY_SCORES, "extractionMetadata"]
-    extra = F.size(F.array_except(F.json_object_keys(text), text_list(known))) > 0
-    found.append((extra, "unknown keys"))
-    return F.when(doc.isNull(), F.array(F.lit("not a JSON document"))).otherwise(issues(*found))
+        value = f"try_variant_get(_doc, '$.{name}', 'double')"
+        found.append((f"{kinds[name]} IS NULL", f"{name} is required"))
+        found.append((f"{kinds[name]} <> 'number'", f"{name} must be number"))
+        found.append((f"{value} < 0", f"{name} must be >= 0"))
+        found.append((f"{value} > 100", f"{name} must be <= 100"))
+    meta = kinds[META]
+    found.append((f"{meta} IS NULL", f"{META} is required"))
+    found.append((f"{meta} <> 'object'", f"{META} must be object"))
+    for name, kind in META_FIELDS.items():
+        got = kinds[f"{META}.{name}"]
+        found.append((f"{meta} = 'object' AND {got} IS NULL", f"{META}.{name} is required"))
+        found.append((f"{got} <> '{kind}'", f"{META}.{name} must be {kind}"))
+    found.append((f"try_variant_get(_doc, '$.{META}.contentLength', 'double') < 0", f"{META}.contentLength must be >= 0"))
+    known = text_list([*rules.REPLY_FIELDS, *rules.REPLY_SCORES, META])
+    extra = F.size(F.array_except(F.json_object_keys(text), known)) > 0
+    broken = issues(*[(F.expr(condition), message) for condition, message in found], (extra, "unknown keys"))
+    errors = F.when(F.col("_doc").isNull(), F.array(F.lit("not a JSON document"))).otherwise(broken)
+    return parsed.withColumn(out, errors).drop("_doc", *kinds.values())
 
 
 def quality_gaps(parsed: Column) -> Column:

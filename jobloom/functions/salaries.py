@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobloom.functions.common import col, non_zero
@@ -32,25 +32,31 @@ PATTERNS = {
 
 
 def plain_text(html: Column | str) -> Column:
-    return F.regexp_replace(F.regexp_replace(col(html), r"<[^>]*>", " "), r"[\s ]+", " ")
-
-
-def in_page(html: Column | str) -> Column:
-    """struct(min, max, currency) of the first pattern that gives an amount, in whole currency units."""
-    text = plain_text(html)
-
-    def amount(name: str, group: int) -> Column:
-        digits = F.regexp_replace(F.regexp_extract(text, f"(?iu){PATTERNS[name]}", group), r"[\s,]", "")
-        return digits.try_cast("int")
-
-    def found(low: Column, high: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(col(html), r"<[^>]*>", " "), r"[\s\u00a0]+", " ")
+
+
+def with_page_salary(df: DataFrame, html: str, out: str = "salary") -> DataFrame:
+    """Add struct(min, max, currency) of the first pattern that gives an amount, in whole currency units.
+
+    One projection per step, so the text, the matches and the numbers are each made
+    once per row and all of it stays in generated code.
+    """
+
+    def number(match: Column, group: int, pattern: str) -> Column:
+        return F.regexp_replace(F.regexp_extract(match, f"(?iu){pattern}", group), r"[\s,]", "").try_cast("int")
+
+    df = df.withColumn("_text", plain_text(html))
+    df = df.withColumns({f"_m_{n}": F.regexp_extract("_text", f"(?iu){p}", 0) for n, p in PATTERNS.items()})
+    numbers = {}
+    for name, pattern in PATTERNS.items():
+        match, both = F.col(f"_m_{name}"), name in ("range", "from_to")
+        numbers[f"_lo_{name}"] = number(match, 1, pattern) if both else F.lit(None).cast("int")
+        numbers[f"_hi_{name}"] = number(match, 2 if both else 1, pattern)
+    df = df.withColumns(numbers)
+    tries = []
+    for name in PATTERNS:
+        low, high = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
         got = non_zero(low).isNotNull() | non_zero(high).isNotNull()
-        return F.when(got, F.struct(low.alias("min"), high.alias("max"), F.lit("BGN").alias("currency")))
-
-    nothing = F.lit(None).cast("int")
-    return F.coalesce(
-        found(amount("range", 1), amount("range", 2)),
-        found(amount("from_to", 1), amount("from_to", 2)),
-        found(nothing, amount("up_to", 1)),
-        found(nothing, amount("up_to_bg", 1)),
-    )
+        tries.append(F.when(got, F.struct(low.alias("min"), high.alias("max"), F.lit("BGN").alias("currency"))))
+    made = ["_text", *[f"_m_{n}" for n in PATTERNS], *numbers]
+    return df.withColumn(out, F.coalesce(*tries)).drop(*made)

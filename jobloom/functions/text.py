@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobloom.functions import rules
-from jobloom.functions.common import any_contains, col, first_hit, issues, text_list
+from jobloom.functions.common import any_contains, col, compact, first_hit, issues, let, text_list
 
 
 def plain_spaces(text: Column | str) -> Column:
@@ -15,7 +15,8 @@ def plain_spaces(text: Column | str) -> Column:
 
 
 def squeeze(text: Column | str) -> Column:
-    return F.trim(F.regexp_replace(plain_spaces(text), r"\s+", " "))
+    # only runs and odd white space match, so single spaces cost nothing
+    return F.trim(F.regexp_replace(plain_spaces(text), r"\s{2,}|[^\S ]", " "))
 
 
 def strip(text: Column | str) -> Column:
@@ -27,26 +28,30 @@ def technologies(text: Column | str, patterns: dict[str, list[str]] | None = Non
     """Technologies a text mentions, in table order."""
     lowered = F.lower(col(text))
     table = patterns or rules.TECH_PATTERNS
-    hits = [F.when(any_contains(lowered, needles), F.lit(name)) for name, needles in table.items()]
-    return F.filter(F.array(*hits), lambda x: x.isNotNull())
+    return compact([F.when(any_contains(lowered, needles), F.lit(name)) for name, needles in table.items()])
 
 
-def stop_word_hits(text: Column | str, language: str) -> Column:
-    """Stop words of one language in the first 1000 characters."""
-    sample = F.substring(F.lower(col(text)), 1, 1000)
-    words = "|".join(dict.fromkeys(rules.STOP_WORDS[language]))
-    return F.regexp_count(sample, F.lit(rf"(?<![\p{{L}}\p{{N}}_])({words})(?![\p{{L}}\p{{N}}_])"))
+def stop_word_hits(text: Column | str) -> Column:
+    """struct(en, bg, de, fr): stop words of each language among the words of the first 1000 characters."""
+    words = F.split(F.substring(F.lower(col(text)), 1, 1000), r"[^\p{L}\p{N}_]+")
+
+    def counts(tokens: Column) -> Column:
+        return F.struct(
+            *[F.size(F.filter(tokens, lambda w: w.isin(stops))).alias(lang) for lang, stops in rules.STOP_WORDS.items()]
+        )
+
+    return let(words, counts)
 
 
-def language_from_hits(hits: dict[str, Column]) -> Column:
+def language_from_hits(hits: Column) -> Column:
     """Most hits wins, earlier languages win ties, and fewer than six hits is unknown."""
-    best = F.greatest(*hits.values())
-    ordered = [((best > 5) & (n == best), lang) for lang, n in hits.items()]
+    best = F.greatest(*[hits[lang] for lang in rules.STOP_WORDS])
+    ordered = [((best > 5) & (hits[lang] == best), F.lit(lang)) for lang in rules.STOP_WORDS]
     return first_hit(*ordered, otherwise="unknown")
 
 
 def language(text: Column | str) -> Column:
-    return language_from_hits({lang: stop_word_hits(text, lang) for lang in rules.STOP_WORDS})
+    return let(stop_word_hits(text), language_from_hits)
 
 
 def cut_at_word(text: Column, limit: int) -> Column:
@@ -58,9 +63,9 @@ def cut_at_word(text: Column, limit: int) -> Column:
 
 
 def drop_noise(text: Column | str, limit: int = 50000, drop_links: bool = False) -> Column:
-    out = squeeze(text)
-    for words in rules.NOISE_WORDS:
-        out = F.regexp_replace(out, rf"(?i)(?<!\w)({words})(?!\w)", " ")
+    # the word groups never overlap, so one pass over all of them equals one pass each
+    words = "|".join(rules.NOISE_WORDS)
+    out = F.regexp_replace(squeeze(text), rf"(?i)(?<!\w)(?:{words})(?!\w)", " ")
     out = F.regexp_replace(out, r"\s*\([^)]*\)\s*", " ")
     if drop_links:
         out = F.regexp_replace(out, r"https?://\S+", "")

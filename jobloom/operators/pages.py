@@ -93,7 +93,7 @@ class Page(HTMLParser):
         self.open: list[Node] = []
         self.reopen: list[tuple[str, dict]] = []
         self.last_child: dict[int, Node] = {}
-        self.seen: set[str] = set()  # tags, and classes with a dot
+        self.seen: dict[str, list[Node]] = {}  # elements by tag, and by class with a dot
         self.feed(html)
         self.close()
         while self.open:
@@ -107,8 +107,9 @@ class Page(HTMLParser):
         parent = self.open[-1] if self.open else None
         node = Node(tag, attrs, parent, len(self.pieces), self.last_child.get(id(parent)), len(self.nodes))
         self.last_child[id(parent)] = node
-        self.seen.add(tag)
-        self.seen.update("." + c for c in node.classes)
+        self.seen.setdefault(tag, []).append(node)
+        for name in node.classes:
+            self.seen.setdefault("." + name, []).append(node)
         self.nodes.append(node)
         self.open.append(node)
 
@@ -193,18 +194,21 @@ class Page(HTMLParser):
 
     def find(self, selector: str, scope: Node | None = None) -> list[Node]:
         """Matches of a comma list in reading order, inside an element when one is given."""
-        chains = [c for c in compiled(selector) if self.may_have(c[0][1])]
-        if not chains:
-            return []
-        nodes = self.nodes[scope.index + 1 : scope.stop] if scope else self.nodes
-        return [n for n in nodes if not self.gone[n.index] and any(chain_matches(self, n, c) for c in chains)]
-
-    def may_have(self, tests: list[dict]) -> bool:
-        """False when the page holds no element with the wanted tag or class at all."""
-        return all(
-            (not t["tag"] or t["tag"] == "*" or t["tag"] in self.seen) and (not t["cls"] or "." + t["cls"] in self.seen)
-            for t in tests
+        low, high = (scope.index + 1, scope.stop) if scope else (0, len(self.nodes))
+        hits: dict[int, Node] = {}
+        for chain in compiled(selector):
+            for node in self.candidates(chain[0][1]):
+                i = node.index
+                if low <= i < high and not self.gone[i] and i not in hits and chain_matches(self, node, chain):
+                    hits[i] = node
+        return [hits[i] for i in sorted(hits)]
+
+    def candidates(self, tests: list[dict]) -> list[Node]:
+        """Elements with the wanted class, else the wanted tag, else all."""
+        key = next(("." + t["cls"] for t in tests if t["cls"]), None) or next(
+            (t["tag"] for t in tests if t["tag"] and t["tag"] != "*"), None
         )
+        return self.nodes if key is None else self.seen.get(key, [])
 
 
 PART = re.compile(

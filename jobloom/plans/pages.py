@@ -14,17 +14,9 @@ from jobloom.operators.pages import Pick, page_pass
 from jobloom.plans.registry import plan
 from jobloom.plans.relational import VACANCY_AS_OF, r4, sql_r4
 from jobloom.plans.texts import BARE, cut_sql, squeeze_sql, strip_sql, techs_sql
-from jobloom.sources.inputs import load, view
+from jobloom.sources.inputs import load, spread, view
 
 YEAR = 2024
-SMALL = 8 * 1024 * 1024
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Deal a small input out to all cores before the Python pass; large inputs have partitions enough."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return df.repartition(cores) if int(str(size)) < cores * SMALL else df
 
 
 def crawl(spark, d) -> DataFrame:

@@ -11,7 +11,7 @@ from jobloom.functions import arrays, dates, hashes, jsons, levels, registries,
 from jobloom.functions.common import moment
 from jobloom.plans.registry import plan
 from jobloom.plans.relational import AGE, AS_OF, RECOMMEND, VACANCY_AS_OF
-from jobloom.sources.inputs import load, view
+from jobloom.sources.inputs import load, spread, view
 
 
 def scalar(key: str, source: str, row: str, sql: str, make: Callable[[], Column], out: str = "value"):
@@ -86,7 +86,8 @@ def amount(name: str, group: int) -> str:
     FROM a""",
 )
 def sal_extract(spark, d):
-    found = view(spark, d, "cards").select("card_id", salaries.in_page("salary_html").alias("s"))
+    cards = spread(view(spark, d, "cards").select("card_id", "salary_html"))
+    found = salaries.with_page_salary(cards, "salary_html", "s")
     return found.select(
         "card_id", F.col("s.min").alias("salary_min"), F.col("s.max").alias("salary_max"), F.col("s.currency").alias("currency")
     )
@@ -243,7 +244,7 @@ J = "CASE WHEN json_valid(reply) THEN reply END"
     CASE WHEN NOT json_valid(reply) THEN reply END AS text FROM replies""",
 )
 def js_field(spark, d):
-    rows = view(spark, d, "replies").select("reply_id", jsons.field("reply").alias("f"))
+    rows = spread(view(spark, d, "replies")).select("reply_id", jsons.field("reply").alias("f"))
     return rows.select(
         "reply_id",
         F.col("f.value").isNotNull().alias("parsed"),
@@ -296,7 +297,7 @@ VALID = f"coalesce(json_valid(reply) AND {CONF} > 0 AND {CONF} <= 100, FALSE)"
     CASE WHEN {VALID} THEN {CONF} END AS confidence FROM replies""",
 )
 def js_reply_valid(spark, d):
-    rows = view(spark, d, "replies").select("reply_id", jsons.reply("reply").alias("r"))
+    rows = spread(view(spark, d, "replies")).select("reply_id", jsons.reply("reply").alias("r"))
     return rows.select(
         "reply_id", F.col("r").isNotNull().alias("accepted"), F.col("r.title").alias("title"), F.col("r.confidenceScore").alias("confidence")
     )
@@ -312,7 +313,7 @@ COMPANY_REPLY = "replace(replace(reply, '\"title\"', '\"name\"'), '\"salaryMin\"
     FROM (SELECT reply_id, {COMPANY_REPLY} AS reply FROM replies) q""",
 )
 def js_company_reply(spark, d):
-    rows = view(spark, d, "replies").select("reply_id", jsons.company_reply(F.expr(COMPANY_REPLY)).alias("r"))
+    rows = spread(view(spark, d, "replies")).select("reply_id", jsons.company_reply(F.expr(COMPANY_REPLY)).alias("r"))
     return rows.select(
         "reply_id", F.col("r").isNotNull().alias("accepted"), F.col("r.name").alias("name"), F.col("r.employeeCount").alias("employee_count")
     )
@@ -329,7 +330,7 @@ WRAPPED = "'Sure, here it is: ' || reply || ' Hope it helps.'"
     CASE WHEN json_valid(reply) THEN {CONF} ELSE 50.0 END AS confidence FROM w""",
 )
 def js_salvage(spark, d):
-    rows = view(spark, d, "replies").select("reply_id", jsons.salvage(F.expr(WRAPPED)).alias("r"))
+    rows = spread(view(spark, d, "replies")).select("reply_id", jsons.salvage(F.expr(WRAPPED)).alias("r"))
     return rows.select(
         "reply_id", F.col("r.title").alias("title"), F.col("r.description").alias("description"), F.col("r.confidenceScore").alias("confidence")
     )
@@ -362,12 +363,13 @@ CONTRACT = ", ".join(
 
 @plan("js_contract", f"SELECT reply_id, concat_ws('; ', {CONTRACT}) AS errors FROM extractions")
 def js_contract(spark, d):
-    rows = view(spark, d, "extractions")
-    return rows.select("reply_id", F.array_join(jsons.contract_errors("reply"), "; ").alias("errors"))
+    rows = spread(view(spark, d, "extractions"))
+    checked = jsons.with_contract_errors(rows, "reply", "errors")
+    return checked.select("reply_id", F.array_join("errors", "; ").alias("errors"))
 
 
 def parsed_extractions(spark, d):
-    return view(spark, d, "extractions").select("reply_id", F.from_json("reply", jsons.REPLY).alias("r"))
+    return spread(view(spark, d, "extractions")).select("reply_id", F.from_json("reply", jsons.REPLY).alias("r"))
 
 
 X = "json_extract_string(reply, '$.{}')"
@@ -464,12 +466,12 @@ CLEAN = """trim(regexp_replace(replace(regexp_replace(regexp_replace(regexp_repl
 
 @plan("hsh_content", f"SELECT page_id, sha256(regexp_extract(url, '^[^?#]*', 0) || {CLEAN}) AS hash FROM pages")
 def hsh_content(spark, d):
-    return load(spark, d, "pages").select("page_id", hashes.content("url", "html").alias("hash"))
+    return spread(load(spark, d, "pages")).select("page_id", hashes.content("url", "html").alias("hash"))
 
 
 @plan("hsh_simple", f"SELECT page_id, sha256(html) AS plain, sha256({CLEAN}) AS cleaned FROM pages")
 def hsh_simple(spark, d):
-    return load(spark, d, "pages").select(
+    return spread(load(spark, d, "pages")).select(
         "page_id", hashes.simple("html").alias("plain"), hashes.simple("html", clean=True).alias("cleaned")
     )
 

@@ -8,9 +8,11 @@ from jobloom.functions import jsons, registries, rules, text
 from jobloom.plans.registry import plan
 from jobloom.plans.relational import r4, sql_r4
 from jobloom.plans.scalars import X, contains_any, parsed_extractions
-from jobloom.sources.inputs import load, view
+from jobloom.sources.inputs import load, spread, view
 
-DOCS = "documents"
+
+def documents(spark, d):
+    return spread(load(spark, d, "documents"))
 
 
 def squeeze_sql(t: str) -> str:
@@ -33,7 +35,7 @@ def techs_sql(patterns: dict[str, list[str]], t: str = "lower(text)") -> str:
 
 @plan("txt_tech", f"SELECT doc_id, {techs_sql(rules.TECH_PATTERNS)} AS techs FROM documents")
 def txt_tech(spark, d):
-    return load(spark, d, DOCS).select("doc_id", F.array_join(text.technologies("text"), ",").alias("techs"))
+    return documents(spark, d).select("doc_id", F.array_join(text.technologies("text"), ",").alias("techs"))
 
 
 edited = registries.TechRules().add("Tion", "tion", "heit").remove("rest")
@@ -44,7 +46,7 @@ edited = registries.TechRules().add("Tion", "tion", "heit").remove("rest")
     f"SELECT x.tech, count(*) AS n FROM (SELECT unnest(string_split({techs_sql(edited.patterns)}, ',')) AS tech FROM documents) x WHERE x.tech <> '' GROUP BY 1",
 )
 def rg_tech(spark, d):
-    found = load(spark, d, DOCS).select(F.explode(edited.find("text")).alias("tech"))
+    found = documents(spark, d).select(F.explode(edited.find("text")).alias("tech"))
     return found.groupBy("tech").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -61,9 +63,9 @@ def words_sql(language: str) -> str:
     WHEN bg = greatest(en, bg, de, fr) THEN 'bg' WHEN de = greatest(en, bg, de, fr) THEN 'de' ELSE 'fr' END AS detected FROM h""",
 )
 def txt_lang(spark, d):
-    hits = load(spark, d, DOCS).select("doc_id", *[text.stop_word_hits("text", x).alias(x) for x in rules.STOP_WORDS])
-    columns = {x: F.col(x) for x in rules.STOP_WORDS}
-    return hits.select("doc_id", F.greatest(*columns.values()).alias("hits"), text.language_from_hits(columns).alias("detected"))
+    rows = documents(spark, d).select("doc_id", text.stop_word_hits("text").alias("h"))
+    best = F.greatest(*[F.col(f"h.{x}") for x in rules.STOP_WORDS])
+    return rows.select("doc_id", best.alias("hits"), text.language_from_hits(F.col("h")).alias("detected"))
 
 
 noise = squeeze_sql("text")
@@ -74,7 +76,7 @@ noise = squeeze_sql(f"regexp_replace({noise}, '\\s*\\([^)]*\\)\\s*', ' ', 'g')")
 
 @plan("txt_noise", f"WITH n AS (SELECT doc_id, {noise} AS t FROM documents) SELECT doc_id, length({cut_sql('t', 50000)}) AS n, sha256({cut_sql('t', 50000)}) AS cleaned FROM n")
 def txt_noise(spark, d):
-    cleaned = load(spark, d, DOCS).select("doc_id", text.drop_noise("text").alias("t"))
+    cleaned = documents(spark, d).select("doc_id", text.drop_noise("text").alias("t"))
     return cleaned.select("doc_id", F.length("t").alias("n"), F.sha2("t", 256).alias("cleaned"))
 
 
@@ -91,7 +93,7 @@ def profile_sql(name: str) -> str:
     SELECT doc_id, sha256({cut_sql('s', 15000)}) AS standard, sha256({cut_sql('a', 10000)}) AS aggressive FROM n""",
 )
 def txt_profile(spark, d):
-    cleaned = load(spark, d, DOCS).select(
+    cleaned = documents(spark, d).select(
         "doc_id", *[registries.profile(n).clean_text("text").alias(n) for n in ("standard", "aggressive")]
     )
     return cleaned.select("doc_id", F.sha2("standard", 256).alias("standard"), F.sha2("aggressive", 256).alias("aggressive"))
@@ -104,7 +106,7 @@ BARE = squeeze_sql(
 
 @plan("txt_strip_html", f"SELECT page_id, length({BARE}) AS n, sha256({BARE}) AS stripped FROM pages")
 def txt_strip_html(spark, d):
-    bare = load(spark, d, "pages").select("page_id", text.strip_html("html").alias("t"))
+    bare = spread(load(spark, d, "pages")).select("page_id", text.strip_html("html").alias("t"))
     return bare.select("page_id", F.length("t").alias("n"), F.sha2("t", 256).alias("stripped"))
 
 
@@ -116,7 +118,7 @@ MD = strip_sql(f"regexp_replace(regexp_replace({MD}, '#+\\s*\\n', '', 'g'), '[-*
 
 @plan("txt_md_clean", f"WITH d AS (SELECT doc_id, {MARKDOWN} AS m FROM documents) SELECT doc_id, length({MD}) AS n, sha256({MD}) AS cleaned FROM d")
 def txt_md_clean(spark, d):
-    rough = load(spark, d, DOCS).select("doc_id", F.expr(MARKDOWN).alias("m"))
+    rough = documents(spark, d).select("doc_id", F.expr(MARKDOWN).alias("m"))
     cleaned = rough.select("doc_id", text.clean_markdown("m").alias("t"))
     return cleaned.select("doc_id", F.length("t").alias("n"), F.sha2("t", 256).alias("cleaned"))
 
@@ -127,7 +129,7 @@ def txt_md_clean(spark, d):
     SELECT doc_id, CAST(ceil(length(c) / 4) AS BIGINT) AS tokens, {sql_r4('length(c) / length(text)')} AS ratio FROM n""",
 )
 def txt_tokens(spark, d):
-    rows = load(spark, d, DOCS).select("doc_id", "text", registries.profile("aggressive").clean_text("text").alias("c"))
+    rows = documents(spark, d).select("doc_id", "text", registries.profile("aggressive").clean_text("text").alias("c"))
     return rows.select("doc_id", text.token_estimate("c").alias("tokens"), r4(text.compression("c", "text")).alias("ratio"))
 
 
@@ -149,13 +151,13 @@ HEADED = "replace(text, chr(10), chr(10) || '## ')"
     SELECT doc_id, length(kept) AS n, sha256(kept) AS kept FROM o""",
 )
 def txt_budget(spark, d):
-    kept = load(spark, d, DOCS).select("doc_id", text.budget(F.expr(HEADED), 250).alias("t"))
+    kept = documents(spark, d).select("doc_id", text.budget(F.expr(HEADED), 250).alias("t"))
     return kept.select("doc_id", F.length("t").alias("n"), F.sha2("t", 256).alias("kept"))
 
 
 @plan("txt_priority_cut")
 def txt_priority_cut(spark, d):
-    rows = text.with_priority_cut(load(spark, d, DOCS).select("doc_id", "text"), "text", 5000, "t")
+    rows = text.with_priority_cut(documents(spark, d).select("doc_id", "text"), "text", 5000, "t")
     return rows.select("doc_id", F.length("t").alias("n"), F.sha2("t", 256).alias("kept"))
 
 
@@ -165,7 +167,7 @@ def unique_sql(t: str) -> str:
 
 @plan("txt_unique_ratio", f"SELECT doc_id, {sql_r4(unique_sql('replace(text, chr(160), chr(32))'))} AS ratio FROM documents")
 def txt_unique_ratio(spark, d):
-    return load(spark, d, DOCS).select("doc_id", r4(text.unique_ratio("text")).alias("ratio"))
+    return documents(spark, d).select("doc_id", r4(text.unique_ratio("text")).alias("ratio"))
 
 
 # a document's first line serves as its title, its line count as its structure
@@ -184,7 +186,7 @@ SECTIONS = "CAST(length(text) - length(replace(text, chr(10), '')) > 5 AS INT) +
       CASE WHEN b3 THEN 'No title extracted' END, CASE WHEN b4 THEN 'Limited content structure' END, CASE WHEN b5 THEN 'High content repetition' END) AS issues FROM s""",
 )
 def txt_quality(spark, d):
-    rows = load(spark, d, DOCS).select(
+    rows = documents(spark, d).select(
         "doc_id",
         text.drop_noise("text").alias("cleaned"),
         F.length("text").alias("n"),
@@ -222,7 +224,7 @@ PROSE = ["the ", "and ", "heit", "tion ", "ouen", "para", "ción"]
     + "], lambda p: contains(lower(text), p))[1:4], '|') AS found FROM documents",
 )
 def txt_scan_phrases(spark, d):
-    return load(spark, d, DOCS).select(
+    return documents(spark, d).select(
         "doc_id", F.array_join(text.phrases(F.lower("text"), PROSE + rules.BENEFIT_PHRASES, 4), "|").alias("found")
     )
 
@@ -234,7 +236,7 @@ def txt_scan_phrases(spark, d):
     SELECT profile, count(*) AS n_docs, CAST(sum(CASE WHEN profile = 'standard' THEN length({cut_sql('t', 200)}) ELSE length({cut_sql('t', 120)}) END) AS BIGINT) AS n_chars FROM n GROUP BY 1""",
 )
 def rg_profiles(spark, d):
-    docs = load(spark, d, DOCS)
+    docs = documents(spark, d)
     parts = [
         docs.select(F.lit(name).alias("profile"), F.length(registries.profile(name, max_length=cap).clean_text("text")).alias("n"))
         for name, cap in (("standard", 200), ("aggressive", 120))

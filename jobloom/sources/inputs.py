@@ -250,6 +250,21 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(text, **parts)
 
 
+SMALL = 8 * 1024 * 1024
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a small input out to all cores before heavy per-row work.
+
+    One small file is one task. Inputs of more than 8 MB of files per core keep
+    their own partitions, so nothing large is ever shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return df.repartition(cores) if size < cores * SMALL else df
+
+
 def duckdb_sql(query: str) -> str:
     """Put the views a query names in front of it as common table expressions."""
     needed: list[str] = []
