@@ -52,7 +52,20 @@ def vacancy_detail(
         F.col("filename").alias("cv_file"),
     )
     base = with_company(vacancies, companies).select("vacancy_id", "title", "company_name")
-    return base.join(score_rows.unionByName(app_rows), "vacancy_id", "left")
+    children = score_rows.unionByName(app_rows)
+    # an outer join could not split a hot vacancy's children; an inner join can, and the bare rows come apart
+    bare = without(base, children, "vacancy_id")
+    return base.join(children, "vacancy_id").unionByName(bare, allowMissingColumns=True)
+
+
+def having(parents: DataFrame, children: DataFrame, key: str) -> DataFrame:
+    """Parents with at least one child. Child keys are made distinct on the map side, so hot keys do not gather."""
+    return parents.join(children.select(key).distinct(), key, "left_semi")
+
+
+def without(parents: DataFrame, children: DataFrame, key: str) -> DataFrame:
+    """Parents without a child."""
+    return parents.join(children.select(key).distinct(), key, "left_anti")
 
 
 def application_with_cv(applications: DataFrame, cvs: DataFrame) -> DataFrame:

@@ -252,7 +252,7 @@ def due_for_analysis(companies: DataFrame, analyses: DataFrame, as_of: str, hour
     if force:
         return companies
     since = moment(as_of) - F.make_dt_interval(F.lit(0), F.lit(hours))
-    return companies.join(analyses.filter(F.col("created_at") > since), "company_id", "left_anti")
+    return joins.without(companies, analyses.filter(F.col("created_at") > since), "company_id")
 
 
 def reuse_results(documents: DataFrame, results: DataFrame, as_of: str, hours: int = 24) -> DataFrame:

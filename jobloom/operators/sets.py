@@ -21,3 +21,9 @@ def union_all(parts: dict[str, DataFrame]) -> DataFrame:
 def first_url_per_target(links: DataFrame, target: str, url: str, position: str) -> DataFrame:
     """The first URL of each target in reading order."""
     return links.groupBy(target).agg(F.min_by(url, position).alias(url), F.min(position).alias(position))
+
+
+def one_row(parts: list[DataFrame]) -> DataFrame:
+    """One-row frames side by side, stacked with nulls and folded, so without any cross join."""
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])

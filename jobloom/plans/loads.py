@@ -217,12 +217,14 @@ def cdc_reuse(spark, d):
 
 @plan(
     "del_stale",
-    """SELECT source_id, (SELECT count(*) FROM company_sources WHERE NOT is_valid OR last_scraped_at < TIMESTAMP '2024-01-04') AS removed
-    FROM company_sources WHERE is_valid AND last_scraped_at >= TIMESTAMP '2024-01-04'""",
+    """SELECT 'kept' AS part, source_id AS value FROM company_sources WHERE is_valid AND last_scraped_at >= TIMESTAMP '2024-01-04'
+    UNION ALL SELECT 'removed', count(*) FROM company_sources WHERE NOT is_valid OR last_scraped_at < TIMESTAMP '2024-01-04'""",
 )
 def del_stale(spark, d):
     kept, removed = merge.drop_stale(view(spark, d, "company_sources"), "2024-01-11 00:00:00", days=7)
-    return kept.select("source_id").crossJoin(F.broadcast(removed))  # one row
+    return kept.select(F.lit("kept").alias("part"), F.col("source_id").alias("value")).unionByName(
+        removed.select(F.lit("removed").alias("part"), F.col("removed").alias("value"))
+    )
 
 
 @plan(

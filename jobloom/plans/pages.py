@@ -8,12 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobloom.functions import levels, registries, rules, text
+from jobloom.functions.arrays import clean_titles
 from jobloom.functions.common import moment
 from jobloom.operators import page_facts as P
 from jobloom.operators.pages import Pick, page_pass
 from jobloom.plans.registry import plan
 from jobloom.plans.relational import VACANCY_AS_OF, r4, sql_r4
-from jobloom.plans.texts import BARE, cut_sql, squeeze_sql, strip_sql, techs_sql
+from jobloom.plans.scalars import CONF, VALID
+from jobloom.plans.texts import BARE, LANGUAGE_OF, cut_sql, noise_sql, squeeze_sql, strip_sql, techs_sql, words_sql
 from jobloom.sources.inputs import load, spread, view
 
 YEAR = 2024
@@ -57,19 +59,16 @@ NO_NAV = f"regexp_replace({BODY_SQL}, '<nav>[\\s\\S]*?</nav>', '', 'g')"
 
 @plan(
     "pg_prune",
-    f"""SELECT page_id, length({squeeze_sql(bare_sql(BODY_SQL))}) AS n_plain, length({squeeze_sql(bare_sql(NO_NAV))}) AS n_aggressive, 'script,style' AS dropped,
-    'script,style,nav' AS dropped_aggressive FROM pages""",
+    f"""SELECT page_id, 'plain' AS mode, length({squeeze_sql(bare_sql(BODY_SQL))}) AS n, 'script,style' AS dropped FROM pages UNION ALL
+    SELECT page_id, 'aggressive', length({squeeze_sql(bare_sql(NO_NAV))}), 'script,style,nav' FROM pages""",
 )
 def pg_prune(spark, d):
-    def pruned(aggressive: bool) -> DataFrame:
-        return page_pass(crawl(spark, d), [], P.drop_list(aggressive), [P.BODY])
+    def pruned(mode: str, aggressive: bool) -> DataFrame:
+        read = page_pass(crawl(spark, d), [], P.drop_list(aggressive), [P.BODY])
+        size = F.length(text.squeeze(F.col("body")[0]))
+        return read.select("page_id", F.lit(mode).alias("mode"), size.alias("n"), F.array_join("dropped_tags", ",").alias("dropped"))
 
-    def size(column: str) -> Column:
-        return F.length(text.squeeze(F.col(column)[0]))
-
-    both = pruned(False).select("page_id", size("body").alias("n_plain"), F.array_join("dropped_tags", ",").alias("dropped"))
-    hard = pruned(True).select("page_id", size("body").alias("n_aggressive"), F.array_join("dropped_tags", ",").alias("dropped_aggressive"))
-    return both.join(hard, "page_id")
+    return pruned("plain", False).unionByName(pruned("aggressive", True))
 
 
 # the block rule: an ad div is the only other block, so a short article loses to a longer ad
@@ -96,7 +95,20 @@ def pg_structure(spark, d):
     return read.select("page_id", F.array_join(P.structure(), ",").alias("sections"), (F.col("n_marked") > 0).alias("has_structured_data"))
 
 
-@plan("pg_content")
+TITLE_OF = f"CASE WHEN length({H1}) BETWEEN 6 AND 199 THEN {H1} WHEN length({HEAD}) BETWEEN 6 AND 199 THEN {HEAD} END"
+SHAPE_OF = f"'headings,lists' || CASE WHEN len(regexp_extract_all({BODY_SQL}, '<p>')) > 5 THEN ',paragraphs' ELSE '' END"
+# page_id, title, content, cleaned text and word hits of every supplied page
+CONTENT_SQL = f"""c0 AS (SELECT page_id, html, {TITLE_OF} AS title, {MAIN_SQL} AS content FROM pages),
+    c1 AS (SELECT *, {noise_sql('content')} AS noise FROM c0), c2 AS (SELECT *, {cut_sql('noise', 50000)} AS cleaned FROM c1),
+    c3 AS (SELECT *, regexp_split_to_array(substr(lower(cleaned), 1, 1000), '[^\\p{{L}}\\p{{N}}_]+') AS tokens FROM c2),
+    c4 AS (SELECT *, {', '.join(f'{words_sql(x)} AS {x}' for x in rules.STOP_WORDS)} FROM c3), content AS (SELECT *, {LANGUAGE_OF} AS language FROM c4)"""
+
+
+@plan(
+    "pg_content",
+    f"""WITH {CONTENT_SQL} SELECT page_id, title, sha256(content) AS content, sha256(cleaned) AS cleaned, length(cleaned) AS cleaned_length,
+    {sql_r4('length(cleaned) / length(html)')} AS compression_ratio, language, {SHAPE_OF} AS sections, FALSE AS has_structured_data FROM content""",
+)
 def pg_content(spark, d):
     rows = P.with_content(crawl(spark, d))
     return rows.select(
@@ -148,14 +160,13 @@ def kept_sql(minimum: int) -> str:
 @plan(
     "pg_clean",
     f"""WITH s AS (SELECT page_id, {profile_text_sql('standard', kept_sql(100))} AS s, {profile_text_sql('aggressive', kept_sql(50))} AS a FROM pages)
-    SELECT page_id, sha256({cut_sql('s', 15000)}) AS standard, sha256({cut_sql('a', 10000)}) AS aggressive FROM s""",
+    SELECT page_id, 'standard' AS profile, sha256({cut_sql('s', 15000)}) AS cleaned FROM s UNION ALL
+    SELECT page_id, 'aggressive', sha256({cut_sql('a', 10000)}) FROM s""",
 )
 def pg_clean(spark, d):
     pages = crawl(spark, d)
-    parts = [
-        P.clean(pages, registries.profile(name)).select("page_id", F.sha2("cleaned", 256).alias(name)) for name in ("standard", "aggressive")
-    ]
-    return parts[0].join(parts[1], "page_id")
+    parts = [P.clean(pages, registries.profile(n)).select("page_id", "profile", F.sha2("cleaned", 256).alias("cleaned")) for n in registries.PROFILES]
+    return parts[0].unionByName(parts[1])
 
 
 # ---- listing pages ----
@@ -199,8 +210,6 @@ def pg_listing(spark, d):
 )
 def pg_icons(spark, d):
     titles = Pick("titles", "attrs", ("img[title]",), "title")
-    from jobloom.functions.arrays import clean_titles
-
     read = page_pass(spread(view(spark, d, "listing_pages")), [titles])
     return read.select("page_id", F.array_join(clean_titles("titles"), ",").alias("icons"))
 
@@ -423,7 +432,19 @@ def pg_spa(spark, d):
     return rows.select("page_id", P.looks_scripted("html").alias("scripted"))
 
 
-@plan("pg_pipeline")
+@plan(
+    "pg_pipeline",
+    f"""WITH {CONTENT_SQL}, f AS (SELECT *, sha256({cut_sql(profile_text_sql('standard', 'content'), 15000)}) AS h FROM content),
+    r AS (SELECT f.h, min_by(reply, page_id) AS reply FROM f JOIN replies p ON p.reply_id = f.page_id GROUP BY 1),
+    j AS (SELECT f.page_id, f.title, f.language, r.reply, {VALID} AS ok FROM f LEFT JOIN r ON r.h = f.h),
+    q AS (SELECT *, CASE WHEN ok THEN CASE WHEN json_extract_string(reply, '$.title') IS NOT NULL THEN 20 ELSE 0 END + 10 +
+      CASE WHEN CAST(json_extract_string(reply, '$.salaryMin') AS INT) > 0 THEN 10 ELSE 0 END + CASE WHEN {CONF} > 70 THEN 5 ELSE 0 END - CASE WHEN {CONF} < 50 THEN 20 ELSE 0 END
+      ELSE 0 END AS quality FROM j)
+    SELECT page_id, title, language, ok AS success, ok AND quality >= 60 AS passed, quality,
+    CASE WHEN reply IS NULL THEN 'No reply for this content' WHEN NOT ok THEN 'Reply not accepted' ELSE '' END AS errors,
+    concat_ws('; ', CASE WHEN ok AND quality < 60 THEN 'Quality validation failed (score: ' || CAST(quality AS VARCHAR) || ', threshold: 60)' END,
+      CASE WHEN ok AND {CONF} < 50 THEN 'Low confidence' END) AS warnings FROM q""",
+)
 def pg_pipeline(spark, d):
     pages = crawl(spark, d)
     replies = view(spark, d, "replies").select(F.col("reply_id").alias("page_id"), "reply")

@@ -416,20 +416,20 @@ def jn_com_latest(spark, d):
     return rows.select("company_id", "analysis_id", "analysis_source", "created_at")
 
 
-def existence(key: str, how: str, negate: str, child: str, where: str = "TRUE", condition=None):
+def existence(key: str, join, negate: str, child: str, where: str = "TRUE", condition=None):
     @plan(key, f"SELECT company_id, name FROM companies c WHERE {negate} EXISTS (SELECT 1 FROM {child} k WHERE k.company_id = c.company_id AND {where})")
     def run(spark, d):
         rows = view(spark, d, child)
         if condition is not None:
             rows = rows.filter(condition)
-        return view(spark, d, "companies").join(rows, "company_id", how).select("company_id", "name")
+        return join(view(spark, d, "companies"), rows, "company_id").select("company_id", "name")
 
     return run
 
 
-existence("jn_semi_analysis", "left_semi", "", "company_analyses")
-existence("jn_anti_analysis", "left_anti", "NOT", "company_analyses")
-existence("jn_semi_open", "left_semi", "", "vacancy_facts", ACTIVE, ACTIVE)
+existence("jn_semi_analysis", joins.having, "", "company_analyses")
+existence("jn_anti_analysis", joins.without, "NOT", "company_analyses")
+existence("jn_semi_open", joins.having, "", "vacancy_facts", ACTIVE, ACTIVE)
 
 
 @plan(
@@ -438,7 +438,7 @@ existence("jn_semi_open", "left_semi", "", "vacancy_facts", ACTIVE, ACTIVE)
 )
 def jn_semi_site(spark, d):
     of_site = view(spark, d, "vacancy_facts").filter(F.col("source_site") == "site1")
-    return view(spark, d, "companies").join(of_site, "company_id", "left_semi").agg(F.count(F.lit(1)).alias("n"))
+    return joins.having(view(spark, d, "companies"), of_site, "company_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 PROBES = """(SELECT q.company_id, q.source_site, CASE WHEN q.company_id % 5 = 0 THEN q.source_url || '#new' ELSE q.source_url END AS source_url,
@@ -758,10 +758,7 @@ def agg_dashboard(spark, d):
         trend,
         runs,
     ]
-    out = counts  # every part is a single row
-    for part in parts:
-        out = out.crossJoin(part)
-    return out
+    return sets.one_row([counts, *parts])
 
 
 @plan(

@@ -55,12 +55,15 @@ def words_sql(language: str) -> str:
     return f"len(list_filter(tokens, lambda w: w IN ({listed})))"
 
 
+LANGUAGE_OF = """CASE WHEN greatest(en, bg, de, fr) <= 5 THEN 'unknown' WHEN en = greatest(en, bg, de, fr) THEN 'en'
+    WHEN bg = greatest(en, bg, de, fr) THEN 'bg' WHEN de = greatest(en, bg, de, fr) THEN 'de' ELSE 'fr' END"""
+
+
 @plan(
     "txt_lang",
     f"""WITH t AS (SELECT doc_id, regexp_split_to_array(substr(lower(text), 1, 1000), '[^\\p{{L}}\\p{{N}}_]+') AS tokens FROM documents),
     h AS (SELECT doc_id, {', '.join(f'{words_sql(x)} AS {x}' for x in rules.STOP_WORDS)} FROM t)
-    SELECT doc_id, greatest(en, bg, de, fr) AS hits, CASE WHEN greatest(en, bg, de, fr) <= 5 THEN 'unknown' WHEN en = greatest(en, bg, de, fr) THEN 'en'
-    WHEN bg = greatest(en, bg, de, fr) THEN 'bg' WHEN de = greatest(en, bg, de, fr) THEN 'de' ELSE 'fr' END AS detected FROM h""",
+    SELECT doc_id, greatest(en, bg, de, fr) AS hits, {LANGUAGE_OF} AS detected FROM h""",
 )
 def txt_lang(spark, d):
     rows = documents(spark, d).select("doc_id", text.stop_word_hits("text").alias("h"))
@@ -68,10 +71,14 @@ def txt_lang(spark, d):
     return rows.select("doc_id", best.alias("hits"), text.language_from_hits(F.col("h")).alias("detected"))
 
 
-noise = squeeze_sql("text")
-for words in rules.NOISE_WORDS:
-    noise = f"regexp_replace({noise}, '\\b({words})\\b', ' ', 'gi')"
-noise = squeeze_sql(f"regexp_replace({noise}, '\\s*\\([^)]*\\)\\s*', ' ', 'g')")
+def noise_sql(t: str) -> str:
+    out = squeeze_sql(t)
+    for words in rules.NOISE_WORDS:
+        out = f"regexp_replace({out}, '\\b({words})\\b', ' ', 'gi')"
+    return squeeze_sql(f"regexp_replace({out}, '\\s*\\([^)]*\\)\\s*', ' ', 'g')")
+
+
+noise = noise_sql("text")
 
 
 @plan("txt_noise", f"WITH n AS (SELECT doc_id, {noise} AS t FROM documents) SELECT doc_id, length({cut_sql('t', 50000)}) AS n, sha256({cut_sql('t', 50000)}) AS cleaned FROM n")
