@@ -673,7 +673,7 @@ def company_site_page(pages: DataFrame) -> DataFrame:
 # ---- end to end ----
 
 
-def pipeline(pages: DataFrame, replies: DataFrame, profile_name: str = "standard", threshold: int = 60) -> DataFrame:
+def extract_and_gate(pages: DataFrame, replies: DataFrame, profile_name: str = "standard", threshold: int = 60) -> DataFrame:
     """Content, cleaned text, the stored reply for equal text, and the quality gate, in one plan.
 
     ``replies`` has one (content_hash, reply) per hash. Pages without an accepted

@@ -452,7 +452,7 @@ def pg_pipeline(spark, d):
         "page_id", F.sha2(registries.profile("standard").clean_text("content"), 256).alias("content_hash")
     )
     stored = keyed.join(replies, "page_id").groupBy("content_hash").agg(F.min_by("reply", "page_id").alias("reply"))
-    rows = P.pipeline(pages, stored)
+    rows = P.extract_and_gate(pages, stored)
     return rows.select(
         "page_id", "title", "language", "success", "passed", "quality", F.array_join("errors", "; ").alias("errors"),
         F.array_join("warnings", "; ").alias("warnings"),

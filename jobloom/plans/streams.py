@@ -71,7 +71,7 @@ def st_dedup_ttl(spark, d):
         F.sha2(F.concat(F.col("user_id").cast("string"), "event_type"), 256).alias("hash"), "event_id", "ts"
     )
     kept = streams.run_append(streams.drop_repeats_exact(rows, "hash", "ts", "event_id"), "dedup")
-    return kept.select("hash", "event_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
+    return kept.select("hash", "event_id", streams.stored_time("ts").alias("ts"))
 
 
 @plan("st_new", "SELECT DISTINCT url FROM listings")
@@ -89,7 +89,7 @@ def st_progress(spark, d):
         F.concat(F.lit("site"), (F.col("user_id") % 4).cast("string")).alias("source_site"), F.col("event_type").alias("stage"), "ts"
     )
     out = streams.run_latest(streams.progress(rows, "source_site", "ts", ["stage"]), ["source_site"], "progress")
-    return out.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    return out.withColumn("ts", streams.stored_time("ts"))
 
 
 @plan(
@@ -98,10 +98,10 @@ def st_progress(spark, d):
     JOIN vacancy_tech t ON t.vacancy_id = v.vacancy_id GROUP BY 1, 2""",
 )
 def st_trend(spark, d):
-    facts = view(spark, d, "vacancy_facts").select("vacancy_id", F.col("created_at").cast("timestamp").alias("created_at"))
+    facts = view(spark, d, "vacancy_facts").select("vacancy_id", streams.event_time("created_at").alias("created_at"))
     named = stored_stream(spark, facts, "facts").join(view(spark, d, "vacancy_tech"), "vacancy_id")
     out = streams.run_latest(streams.weekly_trend(named, "created_at", "tech"), ["week", "tech"], "trend")
-    return out.withColumn("week", F.col("week").cast("timestamp_ntz"))
+    return out.withColumn("week", streams.stored_time("week"))
 
 
 @plan(
@@ -113,7 +113,7 @@ def st_app_state(spark, d):
         (F.col("event_id") % 1000).alias("application_id"), F.col("event_type").alias("status"), "ts", "event_id"
     )
     out = streams.run_latest(streams.current_state(rows, "application_id", "status", "ts", "event_id"), ["application_id"], "app-state")
-    return out.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    return out.withColumn("ts", streams.stored_time("ts"))
 
 
 @plan("st_split", f"SELECT reply_id, CASE WHEN NOT {VALID} THEN 'Invalid reply' END AS error FROM replies")

@@ -80,7 +80,13 @@ def run_latest(stream: DataFrame, keys: list[str], name: str) -> DataFrame:
 
 
 def event_time(name: str) -> Column:
-    return F.col(name).cast("timestamp")
+    """A stored zone-free time as the same wall clock in UTC, whatever the session's zone, so windows start alike."""
+    return F.from_utc_timestamp(F.col(name).cast("timestamp"), F.current_timezone())
+
+
+def stored_time(name: str) -> Column:
+    """An event time back as a zone-free one."""
+    return F.to_utc_timestamp(F.col(name), F.current_timezone()).cast("timestamp_ntz")
 
 
 # ---- jobs ----
