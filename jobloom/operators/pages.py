@@ -169,6 +169,10 @@ class Page(HTMLParser):
             return
         self._close_to({tag}, {"td", "th"} if tag in FORMATTING else ())
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """``<![..]>`` is a comment in a page, never an error."""
+        return self.parse_bogus_comment(i, 0)
+
     def handle_data(self, data: str) -> None:
         if not self.open or self.open[-1].tag in ("html", "head"):
             if not data.strip():

@@ -15,6 +15,8 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # call sites in error messages cost a stack walk per column operation
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     # pages are wide rows: small Arrow batches keep a Python worker's memory flat
     "spark.sql.execution.arrow.maxRecordsPerBatch": "512",
 }

@@ -30,7 +30,7 @@ def write_logs(logs: DataFrame) -> str:
         F.when(failed, F.struct(F.lit("failed").alias("message"))).alias("error"),
         F.col("logged_at").cast("date").alias("log_date"),
     )
-    documents.write.partitionBy("log_date").json(path)
+    documents.hint("rebalance", "log_date").write.partitionBy("log_date").json(path)
     return path
 
 

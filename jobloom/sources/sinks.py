@@ -19,13 +19,12 @@ def export_csv(df: DataFrame, order: list[Column], path: str | None = None) -> s
 def write_by_month(df: DataFrame, time: str, path: str | None = None) -> str:
     """Parquet, one folder per month; readers that filter on ``ym`` open only those folders.
 
-    The shuffle key adds a hash of the row's time, so that a month with most of the
-    rows is written by several tasks while each month keeps a bounded number of files.
+    Rebalancing by month gathers a month's rows into few files, and splits a month
+    with most of the rows into tasks of the advisory size.
     """
     path = path or scratch(df.sparkSession, "by-month")
     by_month = df.withColumn("ym", F.date_format(F.col(time), "yyyy-MM"))
-    split = F.pmod(F.xxhash64(time), F.lit(8))
-    by_month.repartition("ym", split).write.partitionBy("ym").parquet(path)
+    by_month.hint("rebalance", "ym").write.partitionBy("ym").parquet(path)
     return path
 
 
