@@ -75,11 +75,11 @@ HEAD = frozenset("html head title meta link script style base noscript template"
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "classes", "parent", "start", "end", "before", "index", "stop")
+    __slots__ = ("tag", "attrs", "classes", "parent", "start", "end", "before", "index", "stop", "ends_here")
 
     def __init__(self, tag: str, attrs: dict, parent: Node | None, start: int, before: Node | None, index: int):
         self.tag, self.attrs, self.parent, self.start, self.before = tag, attrs, parent, start, before
-        self.end, self.index, self.stop = start, index, index + 1
+        self.end, self.index, self.stop, self.ends_here = start, index, index + 1, False
         self.classes = (attrs.get("class") or "").split()
 
 
@@ -125,7 +125,7 @@ class Page(HTMLParser):
             if tag in tags:
                 while len(self.open) > depth:
                     node = self._pop()
-                    if len(self.open) > depth and node.tag in FORMATTING:
+                    if len(self.open) > depth and node.tag in FORMATTING and not node.ends_here:
                         self.reopen.insert(0, (node.tag, node.attrs))
                 return
             if tag in fence:
@@ -157,6 +157,11 @@ class Page(HTMLParser):
             self._close_to(SELF_CLOSING[tag], FENCE[tag])
         elif tag not in HEAD:
             self._resume()
+        if tag in FORMATTING:
+            # of equal open formatting only the last three go on after a block ends
+            same = [n for n in self.open if n.tag == tag and n.attrs == values and not n.ends_here]
+            if len(same) >= 3:
+                same[0].ends_here = True
         self._push(tag, values)
         if tag in VOID:
             self._pop()

@@ -15,7 +15,7 @@ from jobloom.operators.pages import Pick, page_pass
 from jobloom.plans.registry import plan
 from jobloom.plans.relational import VACANCY_AS_OF, r4, sql_r4
 from jobloom.plans.scalars import CONF, VALID
-from jobloom.plans.texts import BARE, LANGUAGE_OF, cut_sql, noise_sql, squeeze_sql, strip_sql, techs_sql, words_sql
+from jobloom.plans.texts import BARE, LANGUAGE_OF, cut_sql, markdown_sql, noise_sql, squeeze_sql, strip_sql, techs_sql, words_sql
 from jobloom.sources.inputs import load, spread, view
 
 YEAR = 2024
@@ -128,13 +128,43 @@ def pg_sections(spark, d):
     return rows.select("page_id", *found, F.size("sections").alias("n"))
 
 
-@plan("pg_markdown")
+# The supplied pages open <b> and never close it, so by the rules of HTML every later paragraph and the footer is
+# bold as well, once per open <b> and three times at most; in SQL that is a list of texts.
+PLAIN_TEXT = strip_sql(bare_sql("regexp_replace(regexp_replace(html, '<!--[\\s\\S]*?-->', '', 'g'), '<(script|style|nav)[^>]*>[\\s\\S]*?</(script|style|nav)>', '', 'g')"))
+
+
+def texts_sql(parts: str) -> str:
+    inner = strip_sql(bare_sql("x"))
+    return f"list_filter(list_transform({parts}, lambda x: {inner}), lambda x: x <> '')"
+
+
+REPEATED = "list_transform(range(least(3, len(regexp_extract_all(array_to_string(parts[1:i - 1], ''), '<b>')))), lambda k: x)"
+STARTED = "list_transform(range(len(regexp_extract_all(x, '<b>'))), lambda k: array_to_string(string_split(x, '<b>')[k + 2:], ''))"
+MARKDOWN_SQL = f"""m0 AS (SELECT page_id, html, {H1} AS head, regexp_split_to_array(regexp_extract(html, '<article>([\\s\\S]*?)(?:</article>|$)', 1), '<p>')[2:] AS parts,
+      regexp_extract(html, '<footer>([\\s\\S]*?)(?:</footer>|$)', 1) AS foot FROM pages),
+    m1 AS (SELECT page_id, html, head, {texts_sql('parts')} AS ps,
+      {texts_sql(f"flatten(list_transform(list_concat(parts, [foot]), lambda x, i: list_concat({REPEATED}, {STARTED})))")} AS bs FROM m0),
+    m2 AS (SELECT *, CASE WHEN head <> '' THEN chr(10) || '# ' || head || chr(10) || chr(10) ELSE '' END || array_to_string(list_transform(ps, lambda x: x || chr(10) || chr(10)), '')
+      || array_to_string(list_transform(bs, lambda x: '**' || x || '** '), '') AS made FROM m1),
+    m3 AS (SELECT page_id, html, CASE WHEN length({strip_sql('made')}) < 100 THEN {PLAIN_TEXT} ELSE made END AS m FROM m2),
+    md AS (SELECT page_id, html, {markdown_sql('m')} AS t FROM m3)"""
+
+
+@plan("pg_markdown", f"WITH {MARKDOWN_SQL} SELECT page_id, length(t) AS n, sha256(t) AS markdown FROM md")
 def pg_markdown(spark, d):
     rows = P.with_markdown(crawl(spark, d))
     return rows.select("page_id", F.length("markdown").alias("n"), F.sha2("markdown", 256).alias("markdown"))
 
 
-@plan("pg_preprocess")
+@plan(
+    "pg_preprocess",
+    f"""WITH {MARKDOWN_SQL}, b AS (SELECT *, regexp_extract(substr(t, 1, 1950), '(?s)^.*\\.', 0) AS sentence FROM md),
+    k AS (SELECT page_id, html, CASE WHEN length(t) <= 2000 THEN t WHEN length(sentence) - 1 > 1400 THEN sentence ELSE substr(t, 1, 2000) END AS t FROM b),
+    w AS (SELECT *, regexp_split_to_array(substr(lower(t), 1, 1000), '[^\\p{{L}}\\p{{N}}_]+') AS tokens FROM k),
+    h AS (SELECT *, {', '.join(f'{words_sql(x)} AS {x}' for x in rules.STOP_WORDS)} FROM w)
+    SELECT page_id, length(html) AS original_size, length(t) AS processed_size, CAST(ceil(length(t) / 4) AS BIGINT) AS tokens,
+    CASE WHEN length({H1}) > 10 THEN 1 ELSE 0 END AS n_sections, {LANGUAGE_OF} AS language, {sql_r4('length(t) / length(html)')} AS compression_ratio, sha256(t) AS markdown FROM h""",
+)
 def pg_preprocess(spark, d):
     rows = P.preprocess(crawl(spark, d), max_tokens=500)
     return rows.select(

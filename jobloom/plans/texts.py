@@ -119,8 +119,14 @@ def txt_strip_html(spark, d):
 
 # documents as rough Markdown: blank lines, an empty heading and trailing space
 MARKDOWN = "replace(replace(text, '. ', '.  ' || chr(10) || chr(10) || chr(10)), chr(10), ' ' || chr(10)) || chr(10) || '## ' || chr(10) || '- ' || chr(10) || 'end'"
-MD = f"regexp_replace(regexp_replace(regexp_replace(m, '\\n{{3,}}', chr(10) || chr(10), 'g'), '(?m)[ \\t]+$', '', 'g'), '[ \\t]+', ' ', 'g')"
-MD = strip_sql(f"regexp_replace(regexp_replace({MD}, '#+\\s*\\n', '', 'g'), '[-*]\\s*\\n', '', 'g')")
+
+
+def markdown_sql(m: str) -> str:
+    out = f"regexp_replace(regexp_replace(regexp_replace({m}, '\\n{{3,}}', chr(10) || chr(10), 'g'), '(?m)[ \\t]+$', '', 'g'), '[ \\t]+', ' ', 'g')"
+    return strip_sql(f"regexp_replace(regexp_replace({out}, '#+\\s*\\n', '', 'g'), '[-*]\\s*\\n', '', 'g')")
+
+
+MD = markdown_sql("m")
 
 
 @plan("txt_md_clean", f"WITH d AS (SELECT doc_id, {MARKDOWN} AS m FROM documents) SELECT doc_id, length({MD}) AS n, sha256({MD}) AS cleaned FROM d")

@@ -5,10 +5,6 @@ import pytest
 from __spark_entry__ import queries
 
 
-def plan_text(df):
-    return df._jdf.queryExecution().toString()
-
-
 def physical(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
@@ -48,3 +44,9 @@ def test_latest_rows_need_no_window(spark, small, key):
 @pytest.mark.parametrize("key", ["pg_title", "pg_com_name", "pg_content"])
 def test_one_python_pass_per_page_query(spark, small, key):
     assert physical(queries()[key](spark, small)).count("MapInPandas") == 1
+
+
+@pytest.mark.parametrize("key", ["jn_semi_analysis", "jn_anti_analysis", "jn_semi_open"])
+def test_existence_tests_shrink_child_keys_first(spark, small, key):
+    text = physical(queries()[key](spark, small))
+    assert "HashAggregate" in text and "CartesianProduct" not in text
