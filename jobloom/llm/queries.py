@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from jobloom.llm.common import table
 from jobloom.llm.decontam import leaks
 from jobloom.llm.language import identify
+from jobloom.llm.quality import assess
 from jobloom.llm.simhash import simhash_components
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +19,10 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -28,6 +33,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op2_language": op2_language,
+    "op5_quality": op5_quality,
     "op7_decontam": op7_decontam,
     "op8_simhash": op8_simhash,
 }
