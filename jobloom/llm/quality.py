@@ -224,15 +224,12 @@ def sample_lines(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "label int, length array<bigint>, x array<float>")
 
 
-def train(labelled: DataFrame, per_class: int = PER_CLASS) -> Model:
-    """Fits on rows (doc_id, text, label) of labels 0 and 1."""
-    bounded_batches(labelled.sparkSession)
-    labelled = labelled.filter("label in (0, 1)").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("label").cast("int").alias("label"))
-    sizes = {r.label: r.n for r in labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if len(sizes) < 2:
+def train(sample: DataFrame, sizes: dict[int, int]) -> Model:
+    """Fits on a bounded sample (doc_id, text, label); ``sizes`` are those of the whole classes."""
+    bounded_batches(sample.sparkSession)
+    rows = sample_lines(sample.select("text", "label")).toArrow() if len(sizes) == 2 else None
+    if rows is None or len(set(rows.column("label").to_pylist())) < 2:
         return Model(np.zeros(3 * N_FEATURES + 3), np.zeros((2, 2)), 0.0, 0.0, float(0 not in sizes))
-    share = F.when(F.col("label") == 0, min(1.0, per_class / sizes[0])).otherwise(min(1.0, per_class / sizes[1]))
-    rows = sample_lines(labelled.filter(seeded_share("doc_id", 5) < share)).toArrow()
     found = sorted(
         ((lab, np.array(ln, np.int64), np.array(xs, np.float32)) for lab, ln, xs in zip(*(c.to_pylist() for c in rows.columns))),
         key=lambda r: (r[0], len(r[1]), r[1].tolist()),
@@ -273,15 +270,24 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", "text").mapInArrow(run, SCHEMA)
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, folds: int, rest: int) -> DataFrame:
-    """Training rows: labels outside the held-out fold with their texts."""
-    known = labels.select("doc_id", F.col(label).alias("label")).filter("label is not null").filter(~in_fold("doc_id", folds, rest))
-    return docs.select("doc_id", "text").join(known.dropDuplicates(["doc_id"]), "doc_id").select("doc_id", "text", "label")
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, rest: int, per_class: int, seed: int) -> tuple[DataFrame, dict[int, int]]:
+    """((doc_id, text, label) of a seeded sample outside the held-out fold, size of each class).
+
+    The sample is drawn from the ids, so its size is bounded before any text is read: about
+    ``per_class`` rows of each class. Only those ids are broadcast; texts are not shuffled.
+    A doc_id with several labels counts as the largest.
+    """
+    known = labels.select("doc_id", F.col(label).cast("int").alias("label")).filter("label in (0, 1) and doc_id is not null")
+    known = known.filter(~in_fold("doc_id", folds, rest)).groupBy("doc_id").agg(F.max("label").alias("label"))
+    sizes = {r.label: r.n for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    zero, one = (min(1.0, per_class / sizes.get(c, 1)) for c in (0, 1))
+    picked = known.filter(seeded_share("doc_id", seed) < F.when(F.col("label") == 0, zero).otherwise(one))
+    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "text", "label"), sizes
 
 
 def assess(docs: DataFrame, labels: DataFrame, folds: int = 5, rest: int = 0, per_class: int = PER_CLASS) -> DataFrame:
     """Learns from labelled rows outside the held-out fold and scores every document."""
-    model = train(labelled_rows(docs, labels, "quality", folds, rest), per_class)
+    model = train(*labelled_sample(docs, labels, "quality", folds, rest, per_class, seed=5))
     return score(docs.select("doc_id", in_fold("doc_id", folds, rest).alias("held_out"), "text"), model)
 
 
