@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from jobloom.llm import quality, toxicity
 from jobloom.llm.common import table
 from jobloom.llm.decontam import leaks
 from jobloom.llm.language import identify
-from jobloom.llm.quality import assess
 from jobloom.llm.simhash import simhash_components
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,7 +20,7 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op7_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,10 +31,15 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
     "op2_language": op2_language,
     "op5_quality": op5_quality,
     "op7_decontam": op7_decontam,
     "op8_simhash": op8_simhash,
+    "op9_toxicity": op9_toxicity,
 }
 ORACLES: dict[str, str] = {}
