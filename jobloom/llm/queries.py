@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from jobloom.llm import quality, toxicity
+from jobloom.llm.brown import score_texts
 from jobloom.llm.common import table
 from jobloom.llm.decontam import leaks
 from jobloom.llm.language import identify
@@ -19,6 +20,10 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op3_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -37,6 +42,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op2_language": op2_language,
+    "op3_brown": op3_brown,
     "op5_quality": op5_quality,
     "op7_decontam": op7_decontam,
     "op8_simhash": op8_simhash,
