@@ -182,7 +182,7 @@ def regions(data: np.ndarray, offsets: np.ndarray, ix: dict[str, np.ndarray]) ->
     return docs, window, np.maximum(end - ix["length"][window], offsets[docs]), end, edits
 
 
-def benchmark_blocks(benchmark: DataFrame) -> list[list[tuple[int, bytes]]]:
+def benchmark_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, bytes]]]:
     """The items, in blocks of about ``BLOCK_BYTES`` by a hash of their ids."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -238,6 +238,23 @@ def searcher(block: list[tuple[int, bytes]]):
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no benchmark text, all columns as they are; a row with a null doc_id stays."""
-    bad = leaks(docs, benchmark).select(F.col("doc_id").alias("_leaked_doc")).distinct()
-    return docs.join(bad, F.col("doc_id").cast("long") == F.col("_leaked_doc"), "left_anti")
+    """The documents that hold no benchmark text, all columns as they are; a pass for each block, no shuffle."""
+    bounded_batches(docs.sparkSession)
+    for block in benchmark_blocks(benchmark):
+        if block:
+            docs = docs.mapInArrow(keeper(block), docs.schema)
+    return docs
+
+
+def keeper(block: list[tuple[int, bytes]]):
+    texts = tuple(t for _, t in block)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ix = index(texts)
+        for batch in pieces(batches, "text"):
+            data, offsets, _ = plain(*utf8(batch.column("text")))
+            clean = np.ones(batch.num_rows, bool)
+            clean[regions(data, offsets, ix)[0]] = False
+            yield batch.filter(pa.array(clean))
+
+    return run

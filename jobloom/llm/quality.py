@@ -246,19 +246,23 @@ def train(sample: DataFrame, sizes: dict[int, int]) -> Model:
     return Model(weights, change, scale, shift, sizes[1] / (sizes[0] + sizes[1]))
 
 
+def scored(model: Model, text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(probability of label 1, lines, share of good lines) of each text."""
+    x, length, first = line_features(*utf8(text))
+    n = np.diff(np.append(first, len(x)))
+    good = marginals(with_neighbours(x, first) @ model.weights, n, model.change)[0]
+    raw = pooled(good, length, n)
+    p = 1 / (1 + np.exp(-(model.scale * logit(raw) + model.shift)))
+    return p if model.scale else np.full(len(n), model.share), n, raw
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, held_out, score, predicted, n_lines, good_lines) of rows (doc_id, held_out, text)."""
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
-            x, length, first = line_features(*utf8(batch.column("text")))
-            n = np.diff(np.append(first, len(x)))
-            good = marginals(with_neighbours(x, first) @ model.weights, n, model.change)[0]
-            raw = pooled(good, length, n)
-            p = 1 / (1 + np.exp(-(model.scale * logit(raw) + model.shift)))
-            if not model.scale:
-                p = np.full(len(n), model.share)
+            p, n, raw = scored(model, batch.column("text"))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"), batch.column("held_out"), pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32)),
@@ -291,7 +295,13 @@ def assess(docs: DataFrame, labels: DataFrame, folds: int = 5, rest: int = 0, pe
     return score(docs.select("doc_id", in_fold("doc_id", folds, rest).alias("held_out"), "text"), model)
 
 
-def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that are not rejected, all columns as they are; a row with a null doc_id stays."""
-    rejected = assess(docs, labels).filter("predicted = 0").select(F.col("doc_id").alias("_rejected_doc")).distinct()
-    return docs.join(rejected, F.col("doc_id").cast("long") == F.col("_rejected_doc"), "left_anti")
+def keep_good(docs: DataFrame, labels: DataFrame, folds: int = 5, rest: int = 0) -> DataFrame:
+    """The documents that are not rejected, all columns as they are; one pass without a shuffle."""
+    model = train(*labelled_sample(docs, labels, "quality", folds, rest, PER_CLASS, seed=5))
+    bounded_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text"):
+            yield batch.filter(pa.array(scored(model, batch.column("text"))[0] >= THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobloom.llm import chat, quality, toxicity
+from jobloom.llm import chat, mixing, quality, secrets, toxicity
 from jobloom.llm.balltree import top_k
 from jobloom.llm.brown import score_texts
 from jobloom.llm.common import table
@@ -18,6 +18,10 @@ from jobloom.llm.simhash import simhash_components
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.selection(table(spark, sf_dir, "documents"))
+
+
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
@@ -57,7 +61,12 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.findings(table(spark, sf_dir, "documents"), secrets.forest(spark))
+
+
 QUERIES: dict[str, Query] = {
+    "op1_mixing": op1_mixing,
     "op2_language": op2_language,
     "op3_brown": op3_brown,
     "op4_balltree": op4_balltree,
@@ -66,8 +75,10 @@ QUERIES: dict[str, Query] = {
     "op7_decontam": op7_decontam,
     "op8_simhash": op8_simhash,
     "op9_toxicity": op9_toxicity,
+    "op10_secrets": op10_secrets,
 }
 ORACLES: dict[str, str] = {
+    "op1_mixing": mixing.oracle(),
     "op6_chat": r"""
         WITH t AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

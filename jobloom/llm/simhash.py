@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobloom.llm.common import bounded_batches
@@ -36,6 +36,8 @@ SEED = 42
 FRONTIER = 1 << 18
 #: Pairs of nodes with at most this many rows are compared outright.
 LEAF_PAIRS = 16
+#: Ids that may be broadcast (8 bytes each); more are joined by shuffle.
+BROADCAST_IDS = 1_000_000
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -326,3 +328,27 @@ def near_duplicates(docs: DataFrame, tables: int = 6, budget: int = 4, total: in
     names = [f"f{i}" for i in range(tables + 2)]
     found = grouped(wide_fingerprints(docs, tables), names[:tables], names[tables:], budget, total, levels=1)
     return found.select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The documents with one of each group of near copies, the least doc_id; all columns as they are.
+
+    Rows with a null doc_id are not judged and stay. Rows that share a doc_id are one
+    document; the least of their texts stays.
+    """
+    found = near_duplicates(docs)
+    # a document goes if none of its rows is its group's least
+    gone = found.groupBy("doc_id").agg(F.min(F.col("component_id") < F.col("doc_id")).alias("gone")).filter("gone")
+    gone = gone.select(F.col("doc_id").alias("_gone_doc")).checkpoint()
+    few = gone.count() <= BROADCAST_IDS
+    key = F.col("doc_id").cast("long")
+    left = docs.join(F.broadcast(gone) if few else gone, key == F.col("_gone_doc"), "left_anti")
+    ids = docs.filter("doc_id is not null").groupBy(key.alias("_same_doc")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_same_doc")
+    if ids.isEmpty():
+        return left
+    ids = ids.checkpoint()
+    single = left.join(ids, key == F.col("_same_doc"), "left_anti")
+    order = Window.partitionBy("doc_id").orderBy("text")
+    rows = left.join(ids, key == F.col("_same_doc"), "left_semi").select(F.struct(*docs.columns).alias("_row"), "doc_id", "text")
+    first = rows.withColumn("_k", F.row_number().over(order)).filter("_k = 1").select("_row.*")
+    return single.unionByName(first)
