@@ -24,7 +24,7 @@ def with_company(vacancies: DataFrame, companies: DataFrame) -> DataFrame:
 def active_view(vacancies: DataFrame, companies: DataFrame, sources: DataFrame, as_of: str) -> DataFrame:
     """Active, unexpired vacancies with their company and source."""
     open_rows = filters.unexpired(filters.active(vacancies), as_of)
-    return with_company(open_rows, companies).join(sources, "source_site", "inner")
+    return windows.split_join(with_company(open_rows, companies), sources, ["source_site"], "inner")
 
 
 def vacancy_detail(
@@ -115,16 +115,19 @@ def with_stored_source(requests: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def match_existing(listings: DataFrame, vacancies: DataFrame) -> DataFrame:
-    """Each listing with the stored vacancy it updates: by URL, else by (title, company)."""
+    """Each listing with the stored vacancy it updates: by URL, else by (title, company).
+
+    A blank URL is none: it matches no stored one, and such a listing is matched by title.
+    """
     by_url = (
-        vacancies.filter(F.col("source_url").isNotNull())
+        vacancies.filter(present("source_url").isNotNull())
         .groupBy(F.col("source_url").alias("url"))
         .agg(F.min("vacancy_id").alias("by_url"))
     )
     by_title = vacancies.groupBy("title", "company_id").agg(F.min("vacancy_id").alias("by_title"))
+    found = windows.split_join(listings, by_url, ["url"])
     return (
-        listings.join(by_url, "url", "left")
-        .join(by_title, ["title", "company_id"], "left")
+        windows.split_join(found, by_title, ["title", "company_id"])
         .withColumn("match_id", F.coalesce("by_url", "by_title"))
         .withColumn(
             "match_by",
@@ -179,7 +182,7 @@ def duplicate_pairs(vacancies: DataFrame) -> DataFrame:
         F.min_by(F.struct("vacancy_id", "description"), F.struct("created_at", "vacancy_id")).alias("_first")
     )
     return (
-        rows.join(oldest, ["company_id", "_title"], "inner")
+        windows.split_join(rows, oldest, ["company_id", "_title"], "inner")
         .filter(F.col("vacancy_id") != F.col("_first.vacancy_id"))
         .select(
             F.col("_first.vacancy_id").alias("original_id"),

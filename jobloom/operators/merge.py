@@ -25,9 +25,12 @@ def write_snapshot(df: DataFrame, path: str | None = None) -> str:
 def upsert(stored: DataFrame, incoming: DataFrame, keys: list[str], order: list[str], keep_null: bool = True) -> DataFrame:
     """Stored rows with the newest incoming row per key laid over them, plus an ``action`` column.
 
-    With ``keep_null`` an incoming null leaves the stored value, else it replaces it.
+    With ``keep_null`` an incoming null leaves the stored value, else it replaces it. Incoming rows
+    with a null key are left out: nothing could find them again, and each run would add them anew.
     Columns that only one side has stay with that side's values.
     """
+    for key in keys:
+        incoming = incoming.filter(F.col(key).isNotNull())
     newest = windows.pick_per_key(incoming, keys, order)
     s, n = stored.withColumn("_s", F.lit(True)).alias("s"), newest.withColumn("_n", F.lit(True)).alias("n")
     on = None
@@ -127,8 +130,9 @@ def upsert_vacancies(vacancies: DataFrame, listings: DataFrame) -> DataFrame:
     """Listings merged into vacancies: a match is overwritten and reactivated, the rest are inserted.
 
     Of several listings for one vacancy the newest counts, and new listings are
-    one per URL and then one per (title, company). Listings without a title or
-    company are left to the ingest log as errors.
+    one per URL, where they have one, and then one per (title, company). The key
+    of a new vacancy is the hash of its URL, or of title and company without one.
+    Listings without a title or company are left to the ingest log as errors.
     """
     usable = listings.filter(present("title").isNotNull() & F.col("company_id").isNotNull())
     matched = joins.match_existing(listing_columns(usable), vacancies)
@@ -147,13 +151,15 @@ def upsert_vacancies(vacancies: DataFrame, listings: DataFrame) -> DataFrame:
     kept = v.join(u, "vacancy_id", "left").select(
         F.col("vacancy_id").cast("string").alias("vacancy_key"),
         *[old_or(c) for c in LISTED],
-        F.when(hit, F.col("u.url")).otherwise(F.col("v.source_url")).alias("source_url"),
+        F.coalesce(present("u.url"), F.col("v.source_url")).alias("source_url"),
         first_hit((hit, "update"), otherwise="keep").alias("action"),
     )
     new = matched.filter(F.col("match_id").isNull()).select(*[c for c in carried if c != "match_id"])
-    new = windows.pick_per_key(windows.pick_per_key(new, ["url"], newest), ["title", "company_id"], newest)
+    linked, bare = new.filter(present("url").isNotNull()), new.filter(present("url").isNull())
+    new = windows.pick_per_key(windows.pick_per_key(linked, ["url"], newest).unionByName(bare), ["title", "company_id"], newest)
+    named = F.coalesce(present("url"), F.concat_ws("\n", "title", F.col("company_id").cast("string")))
     added = new.select(
-        F.sha2("url", 256).alias("vacancy_key"), *LISTED, F.col("url").alias("source_url"), F.lit("insert").alias("action")
+        F.sha2(named, 256).alias("vacancy_key"), *LISTED, F.col("url").alias("source_url"), F.lit("insert").alias("action")
     )
     return kept.unionByName(added)
 
@@ -263,7 +269,7 @@ def reuse_results(documents: DataFrame, results: DataFrame, as_of: str, hours: i
     since = moment(as_of) - F.make_dt_interval(F.lit(0), F.lit(hours))
     live = results.filter(F.col("computed_at") > since)
     newest = live.groupBy("content_hash").agg(F.max_by("reply_id", F.struct("computed_at", "reply_id")).alias("reply_id"))
-    return documents.join(newest, "content_hash", "left").withColumn("reused", F.col("reply_id").isNotNull())
+    return windows.split_join(documents, newest, ["content_hash"]).withColumn("reused", F.col("reply_id").isNotNull())
 
 
 # ---- deletes ----

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from jobloom.functions import urls
 from jobloom.functions.common import issues
-from jobloom.operators import components, joins
+from jobloom.operators import components, joins, windows
 
 STATUSES = ["active", "filled", "inactive", "expired", "duplicate"]
 LEVELS = ["junior", "mid", "senior", "lead", "not_specified"]
@@ -61,7 +61,7 @@ def apply_name_fixes(companies: DataFrame, fixes: DataFrame) -> DataFrame:
 def star_links(rows: DataFrame, group: list[str]) -> DataFrame:
     """Each row of a group linked to the group's least id: one link per copy, never all pairs."""
     least = rows.groupBy(*group).agg(F.min("vacancy_id").alias("a"))
-    return rows.join(least, group).filter(F.col("vacancy_id") != F.col("a")).select("a", F.col("vacancy_id").alias("b"))
+    return windows.split_join(rows, least, group, "inner").filter(F.col("vacancy_id") != F.col("a")).select("a", F.col("vacancy_id").alias("b"))
 
 
 def duplicate_groups(vacancies: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Latest rows, ranks, percentiles and trends that hold up under hot keys.
 
-Latest-row picks are aggregates (max_by), not windows, so one company with a
-third of all rows is shrunk on the map side. Percentiles and ranks run over a
+Latest-row picks are first rows of a window: Spark keeps one row per key of each map task
+before the shuffle, and reads only the columns that are used. Percentiles and ranks run over a
 histogram of distinct values. Trends split a hot company into time buckets.
 """
 
@@ -13,10 +13,25 @@ from pyspark.sql import functions as F
 
 def pick_per_key(df: DataFrame, keys: list[str], order: list[str], newest: bool = True) -> DataFrame:
     """One whole row per key: the one with the greatest (or least) order columns."""
-    rest = [c for c in df.columns if c not in keys]
-    choose = F.max_by if newest else F.min_by
-    row = choose(F.struct(*rest), F.struct(*order)).alias("_row")
-    return df.groupBy(*keys).agg(row).select(*keys, "_row.*").select(*df.columns)
+    sort = [F.col(c).desc() if newest else F.col(c).asc() for c in order]
+    first = F.row_number().over(Window.partitionBy(*keys).orderBy(*sort))
+    return df.withColumn("_pick", first).filter(F.col("_pick") == 1).drop("_pick")
+
+
+def split_join(large: DataFrame, small: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """Joins rows to an aggregate of one row per key so that a hot key can be split.
+
+    An aggregate is already dealt out by its keys, and a join on them would reuse that; Spark
+    then cannot split the large side. As one struct the key is dealt anew on both sides, so
+    adaptive execution splits large partitions. Null keys match nothing, as in any join.
+    """
+    key = F.struct(*keys)
+    known = small
+    for name in keys:
+        known = known.filter(F.col(name).isNotNull())
+    rest = [c for c in small.columns if c not in keys]
+    known = known.select(key.alias("_key"), *rest)
+    return large.withColumn("_key", key).join(known, "_key", how).drop("_key")
 
 
 def latest_analysis(analyses: DataFrame, metric: str | None = None) -> DataFrame:
@@ -130,5 +145,5 @@ def score_trend(analyses: DataFrame, value: str = "recommendation_score", thresh
 def canonical_of(df: DataFrame, group: list[str], order: list[str], key: str) -> DataFrame:
     """Every row with the key of its group's oldest row; the oldest itself gets null."""
     oldest = df.groupBy(*group).agg(F.min_by(key, F.struct(*order)).alias("_oldest"))
-    joined = df.join(oldest, group, "left")
+    joined = split_join(df, oldest, group)
     return joined.withColumn("duplicate_of", F.when(F.col("_oldest") != F.col(key), F.col("_oldest"))).drop("_oldest")

@@ -36,14 +36,14 @@ LISTING = f"""(SELECT *, CAST(TRY_CAST(nullif(regexp_extract(salary_range, '(\\d
     "up_vacancy",
     f"""WITH l AS (SELECT * FROM {LISTING} q), u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY posted_at DESC, listing_id DESC) AS rn
       FROM l WHERE match_id IS NOT NULL) q WHERE rn = 1),
-    n1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY posted_at DESC, listing_id DESC) AS r1 FROM l WHERE match_id IS NULL) q WHERE r1 = 1),
+    n1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY CASE WHEN url <> '' THEN url ELSE 'none ' || CAST(listing_id AS VARCHAR) END ORDER BY posted_at DESC, listing_id DESC) AS r1 FROM l WHERE match_id IS NULL) q WHERE r1 = 1),
     n2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY title, company_id ORDER BY posted_at DESC, listing_id DESC) AS r2 FROM n1) q WHERE r2 = 1)
     SELECT CAST(v.vacancy_id AS VARCHAR) AS vacancy_key, CASE WHEN u.listing_id IS NULL THEN v.title ELSE u.title END AS title,
       CASE WHEN u.listing_id IS NULL THEN v.company_id ELSE u.company_id END AS company_id, CASE WHEN u.listing_id IS NULL THEN v.salary_min ELSE u.lo END AS salary_min,
       CASE WHEN u.listing_id IS NULL THEN v.salary_max ELSE u.hi END AS salary_max, CASE WHEN u.listing_id IS NULL THEN v.status ELSE 'active' END AS status,
-      CASE WHEN u.listing_id IS NULL THEN v.source_url ELSE u.url END AS source_url, CASE WHEN u.listing_id IS NULL THEN 'keep' ELSE 'update' END AS action
+      coalesce(nullif(u.url, ''), v.source_url) AS source_url, CASE WHEN u.listing_id IS NULL THEN 'keep' ELSE 'update' END AS action
     FROM vacancies v LEFT JOIN u ON u.match_id = v.vacancy_id
-    UNION ALL SELECT sha256(url), title, company_id, lo, hi, 'active', url, 'insert' FROM n2""",
+    UNION ALL SELECT sha256(coalesce(nullif(url, ''), title || chr(10) || CAST(company_id AS VARCHAR))), title, company_id, lo, hi, 'active', url, 'insert' FROM n2""",
 )
 def up_vacancy(spark, d):
     merged = merge.upsert_vacancies(view(spark, d, "vacancies"), view(spark, d, "listings"))

@@ -480,7 +480,7 @@ def jn_ttl_lookup(spark, d):
 
 
 MATCHED = """(SELECT l.*, coalesce(u.id, t.id) AS match_id, CASE WHEN u.id IS NOT NULL THEN 'url' WHEN t.id IS NOT NULL THEN 'title' END AS match_by
-    FROM listings l LEFT JOIN (SELECT source_url, min(vacancy_id) AS id FROM vacancies GROUP BY 1) u ON u.source_url = l.url
+    FROM listings l LEFT JOIN (SELECT source_url, min(vacancy_id) AS id FROM vacancies WHERE source_url <> '' GROUP BY 1) u ON u.source_url = l.url
     LEFT JOIN (SELECT title, company_id, min(vacancy_id) AS id FROM vacancies GROUP BY 1, 2) t ON t.title = l.title AND t.company_id = l.company_id)"""
 
 

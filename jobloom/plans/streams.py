@@ -23,7 +23,7 @@ def stored_stream(spark, df, name):
 
 
 TEXT_MATCH = """(SELECT l.*, coalesce(u.id, t.id) AS match_id FROM listings l
-    LEFT JOIN (SELECT source_url, min(CAST(vacancy_id AS VARCHAR)) AS id FROM vacancies GROUP BY 1) u ON u.source_url = l.url
+    LEFT JOIN (SELECT source_url, min(CAST(vacancy_id AS VARCHAR)) AS id FROM vacancies WHERE source_url <> '' GROUP BY 1) u ON u.source_url = l.url
     LEFT JOIN (SELECT title, company_id, min(CAST(vacancy_id AS VARCHAR)) AS id FROM vacancies GROUP BY 1, 2) t ON t.title = l.title AND t.company_id = l.company_id)"""
 
 
@@ -31,13 +31,13 @@ TEXT_MATCH = """(SELECT l.*, coalesce(u.id, t.id) AS match_id FROM listings l
     "st_ingest",
     f"""WITH l AS (SELECT * FROM {TEXT_MATCH} q WHERE title IS NOT NULL), u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY posted_at DESC, listing_id DESC) AS rn
       FROM l WHERE match_id IS NOT NULL) q WHERE rn = 1),
-    n1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY posted_at DESC, listing_id DESC) AS r1 FROM l WHERE match_id IS NULL) q WHERE r1 = 1),
+    n1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY CASE WHEN url <> '' THEN url ELSE 'none ' || CAST(listing_id AS VARCHAR) END ORDER BY posted_at DESC, listing_id DESC) AS r1 FROM l WHERE match_id IS NULL) q WHERE r1 = 1),
     n2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY title, company_id ORDER BY posted_at DESC, listing_id DESC) AS r2 FROM n1) q WHERE r2 = 1)
     SELECT CAST(v.vacancy_id AS VARCHAR) AS vacancy_id, CASE WHEN u.listing_id IS NULL THEN v.title ELSE u.title END AS title,
-      CASE WHEN u.listing_id IS NULL THEN v.status ELSE 'active' END AS status, CASE WHEN u.listing_id IS NULL THEN v.source_url ELSE u.url END AS source_url,
+      CASE WHEN u.listing_id IS NULL THEN v.status ELSE 'active' END AS status, coalesce(nullif(u.url, ''), v.source_url) AS source_url,
       CASE WHEN u.listing_id IS NULL THEN 'keep' ELSE 'update' END AS action
     FROM vacancies v LEFT JOIN u ON u.match_id = CAST(v.vacancy_id AS VARCHAR)
-    UNION ALL SELECT sha256(url), title, 'active', url, 'insert' FROM n2""",
+    UNION ALL SELECT sha256(coalesce(nullif(url, ''), title || chr(10) || CAST(company_id AS VARCHAR))), title, 'active', url, 'insert' FROM n2""",
 )
 def st_ingest(spark, d):
     vacancies = view(spark, d, "vacancies").withColumn("vacancy_id", F.col("vacancy_id").cast("string"))

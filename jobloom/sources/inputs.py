@@ -115,7 +115,7 @@ FROM (SELECT doc_id, HASH(text) AS text_hash FROM documents) d""",
 SELECT vacancy_id AS listing_id, source_site AS run_id,
   CASE WHEN vacancy_id % 7 = 0 THEN title || ' new' WHEN vacancy_id % 41 = 0 THEN NULL ELSE title END AS title,
   CASE WHEN vacancy_id % 50 = 0 THEN company_id + 100000 ELSE company_id END AS company_id,
-  CASE WHEN vacancy_id % 3 = 0 THEN source_url || '?v=2' ELSE source_url END AS url,
+  CASE WHEN vacancy_id % 29 = 0 THEN '' WHEN vacancy_id % 31 = 0 THEN NULL WHEN vacancy_id % 3 = 0 THEN source_url || '?v=2' ELSE source_url END AS url,
   CASE WHEN vacancy_id % 4 = 0 THEN NULL WHEN vacancy_id % 4 = 1 THEN CAST(1000 + vacancy_id % 900 AS VARCHAR(8)) || ' BGN'
     ELSE '3000-' || CAST(5000 + vacancy_id % 900 AS VARCHAR(8)) || ' BGN' END AS salary_range,
   work_model, location, source_site, created_at + INTERVAL '30' DAY AS posted_at
