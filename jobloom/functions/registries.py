@@ -78,8 +78,9 @@ class CleaningProfile:
     keep: tuple[str, ...]
     containers: tuple[str, ...]
     patterns: tuple[str, ...]
-    max_length: int
     min_length: int
+    #: characters kept of a cleaned text; None keeps all
+    max_length: int | None = None
 
     def clean_text(self, column: Column | str) -> Column:
         return text.by_profile(column, list(self.patterns), self.max_length)
@@ -110,7 +111,6 @@ PROFILES = {
             "click here|read more|view all|show more|load more",
             r"home\s*[>|]\s*|breadcrumb|skip to|go to",
         ),
-        max_length=15000,
         min_length=100,
     ),
     "aggressive": CleaningProfile(
@@ -126,7 +126,6 @@ PROFILES = {
             r"©.*?\d{4}|copyright.*?\d{4}|all rights reserved",
             "powered by|built with|click here|read more",
         ),
-        max_length=10000,
         min_length=50,
     ),
 }

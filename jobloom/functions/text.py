@@ -31,9 +31,10 @@ def technologies(text: Column | str, patterns: dict[str, list[str]] | None = Non
     return compact([F.when(any_contains(lowered, needles), F.lit(name)) for name, needles in table.items()])
 
 
-def stop_word_hits(text: Column | str) -> Column:
-    """struct(en, bg, de, fr): stop words of each language among the words of the first 1000 characters."""
-    words = F.split(F.substring(F.lower(col(text)), 1, 1000), r"[^\p{L}\p{N}_]+")
+def stop_word_hits(text: Column | str, head: int | None = None) -> Column:
+    """struct(en, bg, de, fr): stop words of each language among the words of a text, or of its first ``head`` characters."""
+    lowered = F.lower(col(text))
+    words = F.split(lowered if head is None else F.substring(lowered, 1, head), r"[^\p{L}\p{N}_]+")
 
     def counts(tokens: Column) -> Column:
         return F.struct(
@@ -54,15 +55,17 @@ def language(text: Column | str) -> Column:
     return let(stop_word_hits(text), language_from_hits)
 
 
-def cut_at_word(text: Column, limit: int) -> Column:
-    """At most ``limit`` characters plus ``...``, cut at a space that lies past 80% of the limit."""
+def cut_at_word(text: Column, limit: int | None) -> Column:
+    """At most ``limit`` characters plus ``...``, cut at a space that lies past 80% of the limit; None cuts nothing."""
+    if limit is None:
+        return text
     head = F.substring(text, 1, limit)
     words = F.regexp_extract(head, "(?s)^(.*) ", 1)
     cut = F.when(F.length(words) > limit * 0.8, words).otherwise(head)
     return F.when(F.length(text) > limit, F.concat(cut, F.lit("..."))).otherwise(text)
 
 
-def drop_noise(text: Column | str, limit: int = 50000, drop_links: bool = False) -> Column:
+def drop_noise(text: Column | str, limit: int | None = None, drop_links: bool = False) -> Column:
     # the word groups never overlap, so one pass over all of them equals one pass each
     words = "|".join(rules.NOISE_WORDS)
     out = F.regexp_replace(squeeze(text), rf"(?i)(?<!\w)(?:{words})(?!\w)", " ")
@@ -73,8 +76,8 @@ def drop_noise(text: Column | str, limit: int = 50000, drop_links: bool = False)
     return cut_at_word(squeeze(out), limit)
 
 
-def by_profile(text: Column | str, patterns: list[str], limit: int) -> Column:
-    """Profile-driven phrase removal and length cap."""
+def by_profile(text: Column | str, patterns: list[str], limit: int | None = None) -> Column:
+    """Profile-driven phrase removal, and a length cap where the profile has one."""
     out = plain_spaces(text)
     for pattern in patterns:
         out = F.regexp_replace(out, f"(?id){pattern}", " ")
@@ -185,11 +188,13 @@ def quality_issues(title, cleaned, ratio, n_sections) -> Column:
     return issues(*[(broken, text) for broken, text, _ in _quality_rules(title, cleaned, ratio, n_sections)])
 
 
-def phrases(text: Column, wanted: list[str], cap: int, held: Column | None = None) -> Column:
-    """Wanted phrases that occur, in list order, while fewer than ``cap`` are held; those held come first."""
+def phrases(text: Column, wanted: list[str], cap: int | None = None, held: Column | None = None) -> Column:
+    """Wanted phrases that occur, in list order; those held come first. With ``cap`` no more are added beyond it."""
     found = F.filter(text_list(wanted), lambda p: text.contains(p))
     if held is None:
-        return F.slice(found, 1, cap)
+        return found if cap is None else F.slice(found, 1, cap)
     new = F.array_except(found, held)
+    if cap is None:
+        return F.concat(held, new)
     room = F.greatest(F.lit(cap) - F.size(held), F.lit(0))
     return F.concat(held, F.slice(new, F.lit(1), room))

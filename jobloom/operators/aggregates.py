@@ -51,19 +51,19 @@ def site_stats(vacancies: DataFrame) -> DataFrame:
     )
 
 
-def salary_range(companies: DataFrame, vacancies: DataFrame) -> DataFrame:
-    """Least minimum, greatest maximum and first currency over a company's ten newest active vacancies."""
-    newest = windows.newest_n(
-        filters.active(vacancies), "company_id", [F.col("created_at").desc(), F.col("vacancy_id").desc()], 10
-    )
-    paid = newest.withColumn("lo", non_zero("salary_min")).withColumn("hi", non_zero("salary_max"))
+def salary_range(companies: DataFrame, vacancies: DataFrame, newest: int | None = None) -> DataFrame:
+    """Least minimum, greatest maximum and newest currency of a company's active vacancies, or of its ``newest`` ones."""
+    rows = filters.active(vacancies)
+    if newest is not None:
+        rows = windows.newest_n(rows, "company_id", [F.col("created_at").desc(), F.col("vacancy_id").desc()], newest)
+    paid = rows.withColumn("lo", non_zero("salary_min")).withColumn("hi", non_zero("salary_max"))
     ranges = (
         paid.filter(F.col("lo").isNotNull() | F.col("hi").isNotNull())
         .groupBy("company_id")
         .agg(
             F.min("lo").alias("range_min"),
             F.max("hi").alias("range_max"),
-            F.coalesce(F.min_by("currency", "rn"), F.lit("BGN")).alias("range_currency"),
+            F.coalesce(F.max_by("currency", F.struct("created_at", "vacancy_id")), F.lit("BGN")).alias("range_currency"),
         )
     )
     return companies.select("company_id").join(ranges, "company_id", "left")

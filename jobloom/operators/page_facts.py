@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from jobloom.functions import arrays, dates, jsons, levels, registries, rules, strings, text, urls
 from jobloom.functions.common import any_contains, first_hit, half_up, issues, non_zero, present, text_list
+from jobloom.operators import windows
 from jobloom.operators.pages import Pick, first, page_pass
 
 # ---- general content: selectors in priority order (fixed values) ----
@@ -435,12 +436,12 @@ def job_openings() -> Column:
 
 def company_technologies() -> Column:
     listed = F.array_distinct(F.filter("tech_items", lambda t: F.length(t) > 1))
-    return text.phrases(F.col("page_text"), rules.TECH_PHRASES, 20, listed)
+    return text.phrases(F.col("page_text"), rules.TECH_PHRASES, held=listed)
 
 
 def company_benefits() -> Column:
     listed = F.array_distinct(F.filter("benefit_items", lambda t: F.length(t) > 3))
-    return text.phrases(F.lower("page_text"), rules.BENEFIT_PHRASES, 15, listed)
+    return text.phrases(F.lower("page_text"), rules.BENEFIT_PHRASES, held=listed)
 
 
 def company_values() -> Column:
@@ -453,7 +454,7 @@ def company_awards() -> Column:
     named = F.flatten(F.array(*[F.regexp_extract_all(page, F.lit(p), F.lit(0)) for p in AWARD_PATTERNS]))
     named = F.transform(F.filter(named, lambda t: F.length(t) < 200), lambda t: text.strip(t))
     new = F.array_except(named, listed)
-    return F.concat(listed, F.slice(new, F.lit(1), F.greatest(F.lit(10) - F.size(listed), F.lit(0))))
+    return F.concat(listed, new)
 
 
 def social_links() -> dict[str, Column]:
@@ -635,16 +636,16 @@ def profile(pages: DataFrame) -> DataFrame:
             "employee_count": levels.first_integer(F.col("p_sizes")[0]),
             "size": levels.size_range(F.col("p_sizes")[0]),
             "industry": F.coalesce(present(F.col("p_industries")[0]), F.lit("Technology")),
-            "benefits": F.slice(F.concat(listed, found), 1, 10),
-            "technologies": F.slice(F.array_distinct(filled("p_techs")), 1, 15),
-            "company_values": F.slice(F.array_distinct(filled("p_values")), 1, 5),
+            "benefits": F.concat(listed, found),
+            "technologies": F.array_distinct(filled("p_techs")),
+            "company_values": F.array_distinct(filled("p_values")),
         }
     )
     return out.drop(*[p.name for p in picks])
 
 
 def company_site_page(pages: DataFrame) -> DataFrame:
-    """Fields of a company's own web site; lists of at most 5, 10 and 15 entries."""
+    """Fields of a company's own web site."""
     picks = [
         first("w_names", "h1", ".company-name, .brand-name, .site-title"), HEAD_TITLE,
         first("w_about", ".about, .company-description, .intro, #about", ".hero-text, .hero-description"),
@@ -662,9 +663,9 @@ def company_site_page(pages: DataFrame) -> DataFrame:
             ),
             "description": F.coalesce(present(F.col("w_about")[0]), present(F.col("w_meta")[0]), present(F.col("w_about")[1])),
             "location": present(F.col("w_places")[0]),
-            "company_values": F.slice(filled("w_values"), 1, 5),
-            "benefits": F.slice(filled("w_benefits"), 1, 10),
-            "technologies": F.slice(filled("w_techs"), 1, 15),
+            "company_values": filled("w_values"),
+            "benefits": filled("w_benefits"),
+            "technologies": filled("w_techs"),
         }
     )
     return out.drop(*[p.name for p in picks])
@@ -682,7 +683,8 @@ def extract_and_gate(pages: DataFrame, replies: DataFrame, profile_name: str = "
     content = with_content(pages)
     profile_ = registries.profile(profile_name)
     rows = content.withColumn("for_extraction", profile_.clean_text("content"))
-    rows = rows.withColumn("content_hash", F.sha2("for_extraction", 256)).join(replies, "content_hash", "left")
+    rows = rows.withColumn("content_hash", F.sha2("for_extraction", 256))
+    rows = windows.split_join(rows, replies, ["content_hash"])
     rows = rows.withColumn("facts", jsons.reply("reply"))
     rows = rows.withColumn("quality", F.when(F.col("facts").isNotNull(), jsons.extraction_score(F.col("facts"))).otherwise(0))
     ok = F.col("facts").isNotNull()

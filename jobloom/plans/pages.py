@@ -15,7 +15,7 @@ from jobloom.operators.pages import Pick, page_pass
 from jobloom.plans.registry import plan
 from jobloom.plans.relational import VACANCY_AS_OF, r4, sql_r4
 from jobloom.plans.scalars import CONF, VALID
-from jobloom.plans.texts import BARE, LANGUAGE_OF, cut_sql, markdown_sql, noise_sql, squeeze_sql, strip_sql, techs_sql, words_sql
+from jobloom.plans.texts import BARE, LANGUAGE_OF, markdown_sql, noise_sql, squeeze_sql, strip_sql, techs_sql, words_sql
 from jobloom.sources.inputs import load, spread, view
 
 YEAR = 2024
@@ -99,8 +99,8 @@ TITLE_OF = f"CASE WHEN length({H1}) BETWEEN 6 AND 199 THEN {H1} WHEN length({HEA
 SHAPE_OF = f"'headings,lists' || CASE WHEN len(regexp_extract_all({BODY_SQL}, '<p>')) > 5 THEN ',paragraphs' ELSE '' END"
 # page_id, title, content, cleaned text and word hits of every supplied page
 CONTENT_SQL = f"""c0 AS (SELECT page_id, html, {TITLE_OF} AS title, {MAIN_SQL} AS content FROM pages),
-    c1 AS (SELECT *, {noise_sql('content')} AS noise FROM c0), c2 AS (SELECT *, {cut_sql('noise', 50000)} AS cleaned FROM c1),
-    c3 AS (SELECT *, regexp_split_to_array(substr(lower(cleaned), 1, 1000), '[^\\p{{L}}\\p{{N}}_]+') AS tokens FROM c2),
+    c1 AS (SELECT *, {noise_sql('content')} AS noise FROM c0), c2 AS (SELECT *, noise AS cleaned FROM c1),
+    c3 AS (SELECT *, regexp_split_to_array(lower(cleaned), '[^\\p{{L}}\\p{{N}}_]+') AS tokens FROM c2),
     c4 AS (SELECT *, {', '.join(f'{words_sql(x)} AS {x}' for x in rules.STOP_WORDS)} FROM c3), content AS (SELECT *, {LANGUAGE_OF} AS language FROM c4)"""
 
 
@@ -160,7 +160,7 @@ def pg_markdown(spark, d):
     "pg_preprocess",
     f"""WITH {MARKDOWN_SQL}, b AS (SELECT *, regexp_extract(substr(t, 1, 1950), '(?s)^.*\\.', 0) AS sentence FROM md),
     k AS (SELECT page_id, html, CASE WHEN length(t) <= 2000 THEN t WHEN length(sentence) - 1 > 1400 THEN sentence ELSE substr(t, 1, 2000) END AS t FROM b),
-    w AS (SELECT *, regexp_split_to_array(substr(lower(t), 1, 1000), '[^\\p{{L}}\\p{{N}}_]+') AS tokens FROM k),
+    w AS (SELECT *, regexp_split_to_array(lower(t), '[^\\p{{L}}\\p{{N}}_]+') AS tokens FROM k),
     h AS (SELECT *, {', '.join(f'{words_sql(x)} AS {x}' for x in rules.STOP_WORDS)} FROM w)
     SELECT page_id, length(html) AS original_size, length(t) AS processed_size, CAST(ceil(length(t) / 4) AS BIGINT) AS tokens,
     CASE WHEN length({H1}) > 10 THEN 1 ELSE 0 END AS n_sections, {LANGUAGE_OF} AS language, {sql_r4('length(t) / length(html)')} AS compression_ratio, sha256(t) AS markdown FROM h""",
@@ -190,8 +190,8 @@ def kept_sql(minimum: int) -> str:
 @plan(
     "pg_clean",
     f"""WITH s AS (SELECT page_id, {profile_text_sql('standard', kept_sql(100))} AS s, {profile_text_sql('aggressive', kept_sql(50))} AS a FROM pages)
-    SELECT page_id, 'standard' AS profile, sha256({cut_sql('s', 15000)}) AS cleaned FROM s UNION ALL
-    SELECT page_id, 'aggressive', sha256({cut_sql('a', 10000)}) FROM s""",
+    SELECT page_id, 'standard' AS profile, sha256(s) AS cleaned FROM s UNION ALL
+    SELECT page_id, 'aggressive', sha256(a) FROM s""",
 )
 def pg_clean(spark, d):
     pages = crawl(spark, d)
@@ -330,21 +330,21 @@ company_fact(
 )
 
 
-def scan_sql(listed: dict[int, list[str]], modulus: int, phrases: list[str], cap: int, source: str) -> str:
+def scan_sql(listed: dict[int, list[str]], modulus: int, phrases: list[str], source: str) -> str:
     held = "CASE company_id % " + str(modulus) + " " + " ".join(
         f"WHEN {k} THEN [{', '.join(repr(x) for x in v)}]" for k, v in listed.items()
     ) + " ELSE CAST([] AS VARCHAR[]) END"
     words = "[" + ", ".join("'" + p.replace("'", "''") + "'" for p in phrases) + "]"
     new = f"list_filter({words}, lambda w: contains({source}, w) AND NOT list_contains({held}, w))"
-    return f"array_to_string(list_concat({held}, ({new})[1:{cap} - len({held})]), '|')"
+    return f"array_to_string(list_concat({held}, {new}), '|')"
 
 
 company_fact(
-    "pg_com_tech", scan_sql({0: ["React", "Node.js", "AWS"], 1: ["Java", "Kafka"], 2: ["Go"]}, 4, rules.TECH_PHRASES, 20, "t") + " AS technologies",
+    "pg_com_tech", scan_sql({0: ["React", "Node.js", "AWS"], 1: ["Java", "Kafka"], 2: ["Go"]}, 4, rules.TECH_PHRASES, "t") + " AS technologies",
     [P.TECH_ITEMS, P.PAGE_TEXT], lambda: {"technologies": joined(P.company_technologies())},
 )
 company_fact(
-    "pg_com_benefits", scan_sql({0: ["Health insurance", "Free lunch"], 1: ["Remote work"]}, 3, rules.BENEFIT_PHRASES, 15, "l") + " AS benefits",
+    "pg_com_benefits", scan_sql({0: ["Health insurance", "Free lunch"], 1: ["Remote work"]}, 3, rules.BENEFIT_PHRASES, "l") + " AS benefits",
     [P.BENEFIT_ITEMS, P.PAGE_TEXT], lambda: {"benefits": joined(P.company_benefits())},
 )
 company_fact("pg_com_values", "'Craft|Trust' AS company_values", [P.VALUE_ITEMS], lambda: {"company_values": joined(P.company_values())})
@@ -464,7 +464,7 @@ def pg_spa(spark, d):
 
 @plan(
     "pg_pipeline",
-    f"""WITH {CONTENT_SQL}, f AS (SELECT *, sha256({cut_sql(profile_text_sql('standard', 'content'), 15000)}) AS h FROM content),
+    f"""WITH {CONTENT_SQL}, f AS (SELECT *, sha256({profile_text_sql('standard', 'content')}) AS h FROM content),
     r AS (SELECT f.h, min_by(reply, page_id) AS reply FROM f JOIN replies p ON p.reply_id = f.page_id GROUP BY 1),
     j AS (SELECT f.page_id, f.title, f.language, r.reply, {VALID} AS ok FROM f LEFT JOIN r ON r.h = f.h),
     q AS (SELECT *, CASE WHEN ok THEN CASE WHEN json_extract_string(reply, '$.title') IS NOT NULL THEN 20 ELSE 0 END + 10 +

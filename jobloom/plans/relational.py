@@ -73,7 +73,7 @@ def src_entities(spark, d):
     numbered AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY page_id) AS page_no FROM runs),
     stops AS (SELECT site, min(page_no) AS stop FROM numbered WHERE n_listings <= 3 GROUP BY site)
     SELECT n.site, n.page_id, n.page_no, n.n_listings FROM numbered n LEFT JOIN stops s ON s.site = n.site
-    WHERE (s.stop IS NULL OR n.page_no < s.stop) AND n.page_no <= 10""",
+    WHERE s.stop IS NULL OR n.page_no < s.stop""",
 )
 def src_listing_pages(spark, d):
     pages = load(spark, d, "pages").select(
@@ -81,7 +81,7 @@ def src_listing_pages(spark, d):
         "page_id",
         F.floor((F.length("html") - F.length(F.replace("html", F.lit("<p>"), F.lit("")))) / 3).alias("n_listings"),
     )
-    return listing_pages.run_pages(pages, "site", "page_id", F.col("n_listings") <= 3, max_pages=10)
+    return listing_pages.run_pages(pages, "site", "page_id", F.col("n_listings") <= 3)
 
 
 @plan(
@@ -634,7 +634,7 @@ TOP10 = f"""(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY company_id
     "agg_salary_range",
     f"""SELECT c.company_id, r.lo AS range_min, r.hi AS range_max, r.cur AS range_currency FROM companies c LEFT JOIN
     (SELECT company_id, min(nullif(salary_min, 0)) AS lo, max(nullif(salary_max, 0)) AS hi, arg_min(currency, rn) AS cur
-     FROM {TOP10} t WHERE coalesce(nullif(salary_min, 0), nullif(salary_max, 0)) IS NOT NULL GROUP BY 1) r ON r.company_id = c.company_id""",
+     FROM (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY created_at DESC, vacancy_id DESC) AS rn FROM vacancy_facts WHERE {ACTIVE}) t WHERE coalesce(nullif(salary_min, 0), nullif(salary_max, 0)) IS NOT NULL GROUP BY 1) r ON r.company_id = c.company_id""",
 )
 def agg_salary_range(spark, d):
     return aggregates.salary_range(view(spark, d, "companies"), view(spark, d, "vacancy_facts"))
@@ -875,37 +875,37 @@ def win_dup_canonical(spark, d):
 
 @plan(
     "srt_vac_field",
-    f"SELECT vacancy_id, salary_max FROM vacancies WHERE {ACTIVE} ORDER BY salary_max DESC NULLS FIRST, vacancy_id LIMIT 500",
+    f"SELECT vacancy_id, salary_max FROM vacancies WHERE {ACTIVE} ORDER BY salary_max DESC NULLS FIRST, vacancy_id",
 )
 def srt_vac_field(spark, d):
     rows = filters.active(view(spark, d, "vacancy_facts"))
-    return ordering.page(rows, ordering.by_field("salary_max"), 1, 500).select("vacancy_id", "salary_max")
+    return rows.orderBy(*ordering.by_field("salary_max")).select("vacancy_id", "salary_max")
 
 
 @plan(
     "srt_vac_scores",
     f"""SELECT v.vacancy_id, coalesce(s.n, 0) AS n_scores, v.created_at FROM vacancies v LEFT JOIN (SELECT vacancy_id, count(*) AS n
     FROM vacancy_scores GROUP BY 1) s ON s.vacancy_id = v.vacancy_id WHERE {ACTIVE}
-    ORDER BY n_scores DESC, v.created_at DESC, v.vacancy_id LIMIT 50""",
+    ORDER BY n_scores DESC, v.created_at DESC, v.vacancy_id""",
 )
 def srt_vac_scores(spark, d):
     rows, order = ordering.by_score_count(filters.active(view(spark, d, "vacancy_facts")), view(spark, d, "vacancy_scores"))
-    return ordering.page(rows, order, 1, 50).select("vacancy_id", "n_scores", "created_at")
+    return rows.orderBy(*order).select("vacancy_id", "n_scores", "created_at")
 
 
-@plan("srt_com_name", "SELECT company_id, name FROM companies ORDER BY name, company_id LIMIT 100")
+@plan("srt_com_name", "SELECT company_id, name FROM companies ORDER BY name, company_id")
 def srt_com_name(spark, d):
-    return ordering.page(view(spark, d, "companies"), [F.asc("name"), F.asc("company_id")], 1, 100).select("company_id", "name")
+    return view(spark, d, "companies").orderBy(F.asc("name"), F.asc("company_id")).select("company_id", "name")
 
 
 @plan(
     "srt_com_metric",
     f"""SELECT c.company_id, a.work_life_balance FROM companies c LEFT JOIN {LATEST_ANY} a ON a.company_id = c.company_id
-    ORDER BY nullif(a.work_life_balance, 0) ASC NULLS LAST, c.company_id LIMIT 100""",
+    ORDER BY nullif(a.work_life_balance, 0) ASC NULLS LAST, c.company_id""",
 )
 def srt_com_metric(spark, d):
     rows = joins.with_latest_analysis(view(spark, d, "companies"), view(spark, d, "company_analyses"))
-    return ordering.page(rows, ordering.by_metric("workLife", descending=False), 1, 100).select("company_id", "work_life_balance")
+    return rows.orderBy(*ordering.by_metric("workLife", descending=False)).select("company_id", "work_life_balance")
 
 
 @plan(

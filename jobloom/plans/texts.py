@@ -61,7 +61,7 @@ LANGUAGE_OF = """CASE WHEN greatest(en, bg, de, fr) <= 5 THEN 'unknown' WHEN en
 
 @plan(
     "txt_lang",
-    f"""WITH t AS (SELECT doc_id, regexp_split_to_array(substr(lower(text), 1, 1000), '[^\\p{{L}}\\p{{N}}_]+') AS tokens FROM documents),
+    f"""WITH t AS (SELECT doc_id, regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}_]+') AS tokens FROM documents),
     h AS (SELECT doc_id, {', '.join(f'{words_sql(x)} AS {x}' for x in rules.STOP_WORDS)} FROM t)
     SELECT doc_id, greatest(en, bg, de, fr) AS hits, {LANGUAGE_OF} AS detected FROM h""",
 )
@@ -81,7 +81,7 @@ def noise_sql(t: str) -> str:
 noise = noise_sql("text")
 
 
-@plan("txt_noise", f"WITH n AS (SELECT doc_id, {noise} AS t FROM documents) SELECT doc_id, length({cut_sql('t', 50000)}) AS n, sha256({cut_sql('t', 50000)}) AS cleaned FROM n")
+@plan("txt_noise", f"WITH n AS (SELECT doc_id, {noise} AS t FROM documents) SELECT doc_id, length(t) AS n, sha256(t) AS cleaned FROM n")
 def txt_noise(spark, d):
     cleaned = documents(spark, d).select("doc_id", text.drop_noise("text").alias("t"))
     return cleaned.select("doc_id", F.length("t").alias("n"), F.sha2("t", 256).alias("cleaned"))
@@ -97,7 +97,7 @@ def profile_sql(name: str) -> str:
 @plan(
     "txt_profile",
     f"""WITH n AS (SELECT doc_id, {profile_sql('standard')} AS s, {profile_sql('aggressive')} AS a FROM documents)
-    SELECT doc_id, sha256({cut_sql('s', 15000)}) AS standard, sha256({cut_sql('a', 10000)}) AS aggressive FROM n""",
+    SELECT doc_id, sha256(s) AS standard, sha256(a) AS aggressive FROM n""",
 )
 def txt_profile(spark, d):
     cleaned = documents(spark, d).select(
@@ -138,7 +138,7 @@ def txt_md_clean(spark, d):
 
 @plan(
     "txt_tokens",
-    f"""WITH n AS (SELECT doc_id, text, {cut_sql(profile_sql('aggressive'), 10000)} AS c FROM documents)
+    f"""WITH n AS (SELECT doc_id, text, {profile_sql('aggressive')} AS c FROM documents)
     SELECT doc_id, CAST(ceil(length(c) / 4) AS BIGINT) AS tokens, {sql_r4('length(c) / length(text)')} AS ratio FROM n""",
 )
 def txt_tokens(spark, d):
@@ -191,7 +191,7 @@ SECTIONS = "CAST(length(text) - length(replace(text, chr(10), '')) > 5 AS INT) +
 @plan(
     "txt_quality",
     f"""WITH n AS (SELECT doc_id, text, {noise} AS t, {TITLE} AS title, {SECTIONS} AS sections FROM documents),
-    c AS (SELECT *, {cut_sql('t', 50000)} AS cleaned FROM n),
+    c AS (SELECT *, t AS cleaned FROM n),
     b AS (SELECT *, length(cleaned) < 50 AS b1, length(cleaned) / length(text) < 0.1 AS b2, title IS NULL AS b3, sections < 2 AS b4, {unique_sql('cleaned')} < 0.3 AS b5 FROM c),
     s AS (SELECT *, greatest(0, 100 - CASE WHEN b1 THEN 30 ELSE 0 END - CASE WHEN b2 THEN 20 ELSE 0 END - CASE WHEN b3 THEN 15 ELSE 0 END
       - CASE WHEN b4 THEN 10 ELSE 0 END - CASE WHEN b5 THEN 25 ELSE 0 END) AS score FROM b)
@@ -234,24 +234,24 @@ PROSE = ["the ", "and ", "heit", "tion ", "ouen", "para", "ción"]
     "txt_scan_phrases",
     "SELECT doc_id, array_to_string(list_filter(["
     + ", ".join(f"'{p}'" for p in PROSE + rules.BENEFIT_PHRASES)
-    + "], lambda p: contains(lower(text), p))[1:4], '|') AS found FROM documents",
+    + "], lambda p: contains(lower(text), p)), '|') AS found FROM documents",
 )
 def txt_scan_phrases(spark, d):
     return documents(spark, d).select(
-        "doc_id", F.array_join(text.phrases(F.lower("text"), PROSE + rules.BENEFIT_PHRASES, 4), "|").alias("found")
+        "doc_id", F.array_join(text.phrases(F.lower("text"), PROSE + rules.BENEFIT_PHRASES), "|").alias("found")
     )
 
 
 @plan(
     "rg_profiles",
-    f"""WITH n AS (SELECT doc_id, 'standard' AS profile, {profile_sql('standard')} AS t, 200 AS cap FROM documents UNION ALL
-    SELECT doc_id, 'aggressive', {profile_sql('aggressive')}, 120 FROM documents)
-    SELECT profile, count(*) AS n_docs, CAST(sum(CASE WHEN profile = 'standard' THEN length({cut_sql('t', 200)}) ELSE length({cut_sql('t', 120)}) END) AS BIGINT) AS n_chars FROM n GROUP BY 1""",
+    f"""WITH n AS (SELECT doc_id, 'standard' AS profile, {profile_sql('standard')} AS t FROM documents UNION ALL
+    SELECT doc_id, 'aggressive', {profile_sql('aggressive')} FROM documents)
+    SELECT profile, count(*) AS n_docs, CAST(sum(length(t)) AS BIGINT) AS n_chars FROM n GROUP BY 1""",
 )
 def rg_profiles(spark, d):
     docs = documents(spark, d)
     parts = [
-        docs.select(F.lit(name).alias("profile"), F.length(registries.profile(name, max_length=cap).clean_text("text")).alias("n"))
-        for name, cap in (("standard", 200), ("aggressive", 120))
+        docs.select(F.lit(name).alias("profile"), F.length(registries.profile(name).clean_text("text")).alias("n"))
+        for name in ("standard", "aggressive")
     ]
     return parts[0].unionByName(parts[1]).groupBy("profile").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n").alias("n_chars"))

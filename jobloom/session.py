@@ -17,8 +17,8 @@ DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # call sites in error messages cost a stack walk per column operation
     "spark.python.sql.dataFrameDebugging.enabled": "false",
-    # pages are wide rows: small Arrow batches keep a Python worker's memory flat
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "512",
+    # pages are wide rows: batches bounded by bytes keep a Python worker's memory flat
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
 }
 
 
@@ -30,6 +30,7 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+        .config("spark.jobloom.inputPartitions", cores if cores.isdigit() else str(os.cpu_count()))
     )
     for key, value in DEFAULTS.items():
         builder = builder.config(key, value)
@@ -39,10 +40,16 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: the cluster's own, or a local one where it names none."""
+    """The folder every executor can reach, from spark.checkpoint.dir.
+
+    A local session that names none gets a local folder; on a cluster that is an error, since
+    the executors would write to disks of their own.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     local = os.path.join(tempfile.gettempdir(), "jobloom-shared")
     os.makedirs(local, exist_ok=True)
     return local

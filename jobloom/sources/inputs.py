@@ -10,16 +10,15 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from jobloom.functions import rules
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
     "embeddings pages benchmark labels conversations"
 ).split()
 
-TECHS = (
-    "java spring hibernate maven gradle mysql postgresql docker kubernetes aws git jenkins junit rest api "
-    "microservices react angular vue node typescript javascript python django flask mongodb redis "
-    "elasticsearch kafka rabbitmq"
-).split()
+#: The names of the technology table, one for each of its first thirty rules.
+TECHS = list(rules.TECH_PATTERNS)[:30]
 
 _VACANCY_FACTS = """
   o.o_orderkey AS vacancy_id, o.o_custkey AS company_id,
@@ -250,19 +249,18 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(text, **parts)
 
 
-SMALL = 8 * 1024 * 1024
+#: Session setting: partitions that inputs are dealt out to before heavy per-row work; unset, they keep their own.
+PARTITIONS = "spark.jobloom.inputPartitions"
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deal a small input out to all cores before heavy per-row work.
+    """Deal an input out to a fixed number of partitions, where the session names one.
 
-    One small file is one task. Inputs of more than 8 MB of files per core keep
-    their own partitions, so nothing large is ever shuffled for this.
+    A single small file is a single task. A local session for tests and benches asks for its
+    cores; on a cluster, where files are many, nothing is set and nothing is shuffled.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-    return df.repartition(cores) if size < cores * SMALL else df
+    parts = df.sparkSession.conf.get(PARTITIONS, None)
+    return df.repartition(int(parts)) if parts else df
 
 
 def duckdb_sql(query: str) -> str:
