@@ -103,7 +103,7 @@ class Tree:
                 continue
             for at in range(start, stop, 1024):
                 ids = self.ids[at : min(at + 1024, stop)]
-                score = np.rint(q[own] @ x[at : at + len(ids)].T).astype(np.int64)
+                score = (q[own] @ x[at : at + len(ids)].T).astype(np.int64)  # whole numbers either way
                 score[query_ids[own][:, None] == ids] = LOWEST
                 better = score.max(axis=1) >= np.maximum(kth[own], LOWEST + 1)
                 if not better.any():

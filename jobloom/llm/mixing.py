@@ -97,10 +97,14 @@ def budgets(rows: DataFrame, part: tuple[int, int] = BUDGET, max_epochs: int = M
     leaves = rows.groupBy(*LEVELS).agg(F.sum("n_tokens").cast(WIDE).alias("tokens"))
     leaves = leaves.withColumn("can", (F.col("tokens") * max_epochs).cast(WIDE)).checkpoint()
     languages = leaves.groupBy("domain", "language").agg(F.sum("can").cast(WIDE).alias("can"))
-    domains = languages.groupBy("domain").agg(F.sum("can").cast(WIDE).alias("can"))
-    asked = F.expr(f"CAST(sum(tokens) * {part[0]} div {part[1]} AS {WIDE})")
-    total = leaves.agg(F.least(asked, F.sum("can").cast(WIDE)).alias("given"), F.lit(0).alias("root"))
-    top = deal(domains.withColumn("root", F.lit(0)).join(total, "root"), ["root"], weight_of("domain", DOMAIN_WEIGHTS))
+    domains = leaves.groupBy("domain").agg(F.sum("can").cast(WIDE).alias("can"), F.sum("tokens").cast(WIDE).alias("tokens"))
+    # the domains are few by their definition, so one window may hold them all
+    whole = Window.partitionBy("root")
+    totals = {"all_can": F.sum("can").over(whole).cast(WIDE), "all_tokens": F.sum("tokens").over(whole).cast(WIDE)}
+    domains = domains.withColumn("root", F.lit(0)).withColumns(totals)
+    asked = F.expr(f"CAST(all_tokens * {part[0]} div {part[1]} AS {WIDE})")
+    domains = domains.select("root", "domain", "can", F.least(asked, F.col("all_can")).alias("given"))
+    top = deal(domains, ["root"], weight_of("domain", DOMAIN_WEIGHTS))
     middle = deal(
         languages.join(top.select("domain", F.col("budget").alias("given")), "domain"), ["domain"], weight_of("language", LANGUAGE_WEIGHTS)
     )
