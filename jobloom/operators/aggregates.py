@@ -15,21 +15,25 @@ def open_per_company(companies: DataFrame, vacancies: DataFrame) -> DataFrame:
 
 
 def source_stats(sources: DataFrame) -> DataFrame:
-    """Validity, age and per-site counts. Sites are counted first, so the map is built from one row per site."""
+    """Counts, validity and age, a row for each site and one of a null site for the total."""
     per_site = sources.groupBy("source_site").agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if("is_valid").alias("ok"),
         F.min("last_scraped_at").alias("first"),
         F.max("last_scraped_at").alias("last"),
     )
-    return per_site.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("total"),
-        F.coalesce(F.sum("ok"), F.lit(0)).alias("valid"),
-        F.coalesce(F.sum("n") - F.sum("ok"), F.lit(0)).alias("invalid"),
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("source_site", "n")))).alias("by_site"),
-        F.min("first").alias("oldest"),
-        F.max("last").alias("newest"),
-    )
+
+    def summed(rows):
+        return rows.agg(
+            F.coalesce(F.sum("n"), F.lit(0)).alias("total"),
+            F.coalesce(F.sum("ok"), F.lit(0)).alias("valid"),
+            F.coalesce(F.sum("n") - F.sum("ok"), F.lit(0)).alias("invalid"),
+            F.min("first").alias("oldest"),
+            F.max("last").alias("newest"),
+        )
+
+    whole = summed(per_site).withColumn("source_site", F.lit(None).cast("string"))
+    return summed(per_site.groupBy("source_site")).unionByName(whole)
 
 
 def site_stats(vacancies: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from jobloom.functions import arrays, dates, jsons, levels, registries, rules, strings, text, urls
 from jobloom.functions.common import any_contains, first_hit, half_up, issues, non_zero, present, text_list
 from jobloom.operators import windows
-from jobloom.operators.pages import Pick, first, page_pass
+from jobloom.operators.pages import Pick, first, page_pass, page_views
 
 # ---- general content: selectors in priority order (fixed values) ----
 
@@ -96,7 +96,7 @@ def structure() -> Column:
     )
 
 
-def with_content(pages: DataFrame, limit: int = 50000, drop_links: bool = False, aggressive: bool = False) -> DataFrame:
+def with_content(pages: DataFrame, limit: int | None = None, drop_links: bool = False, aggressive: bool = False) -> DataFrame:
     """Title, main text, cleaned text and metadata of every page."""
     late = [MAIN, BLOCK, BODY, *SHAPE]
     sized = pages.withColumn("original_length", F.length("html"))
@@ -180,15 +180,23 @@ def preprocess(pages: DataFrame, max_tokens: int = 10000) -> DataFrame:
     )
 
 
-def clean(pages: DataFrame, profile: registries.CleaningProfile) -> DataFrame:
-    """Text of every page by a cleaning profile, with the tags removed and kept."""
-    late = [first("containers", *profile.containers), BODY, Pick("kept_tags", "tags", profile.keep)]
-    read = page_pass(pages, [], profile.remove, late)
-    raw = F.coalesce(
-        first_where("containers", lambda t: F.length(t) >= profile.min_length), F.col("body")[0], F.lit("")
-    )
-    out = read.withColumn("_raw", raw).withColumn("cleaned", profile.clean_text("_raw"))
-    return out.withColumn("profile", F.lit(profile.name)).drop("containers", "body", "_raw")
+def clean(pages: DataFrame, *profiles: registries.CleaningProfile) -> DataFrame:
+    """A row for each page and cleaning profile: its text, with the tags removed and kept. Pages are read once."""
+    views = {
+        p.name: (p.remove, [first("containers", *p.containers), BODY, Pick("kept_tags", "tags", p.keep)]) for p in profiles
+    }
+    keep = [c for c in pages.columns if c != "html"]
+
+    def of(profile: registries.CleaningProfile) -> Column:
+        held = F.filter(f"{profile.name}_containers", lambda t: F.length(t) >= profile.min_length)
+        raw = F.coalesce(F.get(held, F.lit(0)), F.col(f"{profile.name}_body")[0], F.lit(""))
+        return F.struct(
+            F.col(f"{profile.name}_dropped_tags").alias("dropped_tags"), F.col(f"{profile.name}_kept_tags").alias("kept_tags"),
+            profile.clean_text(raw).alias("cleaned"), F.lit(profile.name).alias("profile"),
+        )
+
+    read = page_views(pages, views)
+    return read.select(*keep, F.explode(F.array(*[of(p) for p in profiles])).alias("_view")).select(*keep, "_view.*")
 
 
 def looks_scripted(html: Column | str) -> Column:
@@ -674,16 +682,18 @@ def company_site_page(pages: DataFrame) -> DataFrame:
 # ---- end to end ----
 
 
-def extract_and_gate(pages: DataFrame, replies: DataFrame, profile_name: str = "standard", threshold: int = 60) -> DataFrame:
-    """Content, cleaned text, the stored reply for equal text, and the quality gate, in one plan.
+def for_extraction(content: DataFrame, profile_name: str = "standard") -> DataFrame:
+    """Content with the text that is extracted from and its hash, by which replies are found again."""
+    rows = content.withColumn("for_extraction", registries.profile(profile_name).clean_text("content"))
+    return rows.withColumn("content_hash", F.sha2("for_extraction", 256))
+
+
+def extract_and_gate(rows: DataFrame, replies: DataFrame, threshold: int = 60) -> DataFrame:
+    """The stored reply for equal text, and the quality gate, over rows of ``for_extraction``.
 
     ``replies`` has one (content_hash, reply) per hash. Pages without an accepted
     reply carry an error, pages below the threshold a warning.
     """
-    content = with_content(pages)
-    profile_ = registries.profile(profile_name)
-    rows = content.withColumn("for_extraction", profile_.clean_text("content"))
-    rows = rows.withColumn("content_hash", F.sha2("for_extraction", 256))
     rows = windows.split_join(rows, replies, ["content_hash"])
     rows = rows.withColumn("facts", jsons.reply("reply"))
     rows = rows.withColumn("quality", F.when(F.col("facts").isNotNull(), jsons.extraction_score(F.col("facts"))).otherwise(0))

@@ -201,6 +201,11 @@ class Page(HTMLParser):
             self.gone[node.index : node.stop] = b"\x01" * (node.stop - node.index)
         return [n.tag for n in hits]
 
+    def restore(self) -> None:
+        """Undo every removal."""
+        self.dropped[:] = bytes(len(self.dropped))
+        self.gone[:] = bytes(len(self.gone))
+
     def find(self, selector: str, scope: Node | None = None) -> list[Node]:
         """Matches of a comma list in reading order, inside an element when one is given."""
         low, high = (scope.index + 1, scope.stop) if scope else (0, len(self.nodes))
@@ -358,3 +363,35 @@ def page_pass(
             )
 
     return pages.mapInPandas(read, T.StructType(fields))
+
+
+def page_views(pages: DataFrame, views: dict[str, tuple[Iterable[str], list[Pick]]], html: str = "html") -> DataFrame:
+    """Read every page once and look at it in several ways: each view removes its own elements from the whole page.
+
+    A view's columns are named ``view_pick`` and ``view_dropped_tags``.
+    """
+    keep = [c for c in pages.columns if c != html]
+    views = {name: (tuple(drop), list(late)) for name, (drop, late) in views.items()}
+    fields = [pages.schema[c] for c in keep]
+    for name, (_, late) in views.items():
+        fields += [T.StructField(f"{name}_{p.name}", p.type()) for p in late] + [T.StructField(f"{name}_dropped_tags", TEXTS)]
+    names = [f.name for f in fields]
+
+    def look(source: str) -> dict:
+        page, row = Page(source or ""), {}
+        for name, (drop, late) in views.items():
+            page.restore()
+            tags = [t for selector in drop for t in page.drop(selector)]
+            row.update({f"{name}_{p.name}": take(page, p) for p in late})
+            row[f"{name}_dropped_tags"] = list(dict.fromkeys(tags))
+        return row
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if batch.empty:
+                yield batch[keep].reindex(columns=names)
+                continue
+            out = pd.DataFrame([look(source) for source in batch[html]], index=batch.index)
+            yield pd.concat([batch[keep], out], axis=1)[names]
+
+    return pages.mapInPandas(read, T.StructType(fields))

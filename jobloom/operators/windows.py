@@ -60,9 +60,12 @@ def value_ranks(counts: DataFrame, group: list[str], value: str) -> DataFrame:
     """Per distinct value of a group: rows below it, rows above it, rows in the group.
 
     The windows see one row per distinct value (scores 0..100, whole salaries), never
-    the rows themselves. ``counts`` may be finer than ``group``.
+    the rows themselves. ``counts`` may be finer than ``group``. Without a group no window
+    could be dealt out, so whole numbers are ranked by blocks instead.
     """
     counts = counts.groupBy(*group, value).agg(F.sum("_n").alias("_n"))
+    if not group:
+        return block_ranks(counts, value)
     whole = Window.partitionBy(*group)
     upto = whole.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     running = F.sum("_n").over(upto)
@@ -76,6 +79,29 @@ def value_ranks(counts: DataFrame, group: list[str], value: str) -> DataFrame:
     )
 
 
+BLOCK_LEVELS = 33
+
+
+def block_ranks(counts: DataFrame, value: str) -> DataFrame:
+    """``value_ranks`` of all rows for whole-number values, by equal joins only.
+
+    On each level numbers fall into blocks of twice the size of the level below. What lies
+    below a number is the sum of the blocks to the left of its own, one for each set bit.
+    """
+    place = F.col(value).cast("bigint") + F.lit(1 << 31)
+    counts = counts.withColumn("_i", place)
+    levels = F.explode(F.sequence(F.lit(0), F.lit(BLOCK_LEVELS)))
+    blocks = counts.select(levels.alias("_k"), "_i", "_n").groupBy("_k", F.expr("shiftright(_i, _k)").alias("_b")).agg(F.sum("_n").alias("_sum"))
+    asked = counts.select(value, "_i", "_n", levels.alias("_k"))
+    asked = asked.filter((F.expr("shiftright(_i, _k) & 1") == 1) | (F.col("_k") == BLOCK_LEVELS))
+    whole = F.col("_k") == BLOCK_LEVELS
+    asked = asked.withColumn("_b", F.when(whole, F.lit(0)).otherwise(F.expr("shiftright(_i, _k) - 1")).cast("bigint"))
+    met = split_join(asked, blocks, ["_k", "_b"])
+    below = F.coalesce(F.sum(F.when(~whole, F.col("_sum"))), F.lit(0)).alias("n_below")
+    ranked = met.groupBy(value, "_n").agg(below, F.max(F.when(whole, F.col("_sum"))).alias("n_group"))
+    return ranked.select(value, "n_below", (F.col("n_group") - F.col("n_below") - F.col("_n")).alias("n_above"), "n_group")
+
+
 def join_percentile(df: DataFrame, counts: DataFrame, group: list[str], value: str, out: str) -> DataFrame:
     ranks = value_ranks(counts, group, value).select(
         *group,

@@ -11,11 +11,12 @@ from jobloom.functions import levels, registries, rules, text
 from jobloom.functions.arrays import clean_titles
 from jobloom.functions.common import moment
 from jobloom.operators import page_facts as P
-from jobloom.operators.pages import Pick, page_pass
+from jobloom.operators.pages import Pick, page_pass, page_views
 from jobloom.plans.registry import plan
 from jobloom.plans.relational import VACANCY_AS_OF, r4, sql_r4
 from jobloom.plans.scalars import CONF, VALID
 from jobloom.plans.texts import BARE, LANGUAGE_OF, markdown_sql, noise_sql, squeeze_sql, strip_sql, techs_sql, words_sql
+from jobloom.session import ensure_checkpoint_dir
 from jobloom.sources.inputs import load, spread, view
 
 YEAR = 2024
@@ -27,9 +28,6 @@ def crawl(spark, d) -> DataFrame:
 
 # ---- the supplied pages in SQL: no comments, then script text, then tags ----
 
-PAGE = "regexp_replace(html, '<!--[\\s\\S]*?-->', '', 'g')"
-
-
 def decode(t: str) -> str:
     for entity, char in (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&amp;", "&")):
         t = f"replace({t}, '{entity}', '{char}')"
@@ -63,12 +61,14 @@ NO_NAV = f"regexp_replace({BODY_SQL}, '<nav>[\\s\\S]*?</nav>', '', 'g')"
     SELECT page_id, 'aggressive', length({squeeze_sql(bare_sql(NO_NAV))}), 'script,style,nav' FROM pages""",
 )
 def pg_prune(spark, d):
-    def pruned(mode: str, aggressive: bool) -> DataFrame:
-        read = page_pass(crawl(spark, d), [], P.drop_list(aggressive), [P.BODY])
-        size = F.length(text.squeeze(F.col("body")[0]))
-        return read.select("page_id", F.lit(mode).alias("mode"), size.alias("n"), F.array_join("dropped_tags", ",").alias("dropped"))
-
-    return pruned("plain", False).unionByName(pruned("aggressive", True))
+    modes = {"plain": (P.drop_list(False), [P.BODY]), "aggressive": (P.drop_list(True), [P.BODY])}
+    views = [
+        F.struct(
+            F.lit(m).alias("mode"), F.length(text.squeeze(F.col(f"{m}_body")[0])).alias("n"), F.array_join(f"{m}_dropped_tags", ",").alias("dropped")
+        )
+        for m in modes
+    ]
+    return page_views(crawl(spark, d), modes).select("page_id", F.explode(F.array(*views)).alias("v")).select("page_id", "v.*")
 
 
 # the block rule: an ad div is the only other block, so a short article loses to a longer ad
@@ -194,9 +194,8 @@ def kept_sql(minimum: int) -> str:
     SELECT page_id, 'aggressive', sha256(a) FROM s""",
 )
 def pg_clean(spark, d):
-    pages = crawl(spark, d)
-    parts = [P.clean(pages, registries.profile(n)).select("page_id", "profile", F.sha2("cleaned", 256).alias("cleaned")) for n in registries.PROFILES]
-    return parts[0].unionByName(parts[1])
+    rows = P.clean(crawl(spark, d), *[registries.profile(n) for n in registries.PROFILES])
+    return rows.select("page_id", "profile", F.sha2("cleaned", 256).alias("cleaned"))
 
 
 # ---- listing pages ----
@@ -476,25 +475,12 @@ def pg_spa(spark, d):
       CASE WHEN ok AND {CONF} < 50 THEN 'Low confidence' END) AS warnings FROM q""",
 )
 def pg_pipeline(spark, d):
-    pages = crawl(spark, d)
     replies = view(spark, d, "replies").select(F.col("reply_id").alias("page_id"), "reply")
-    keyed = P.with_content(pages).select(
-        "page_id", F.sha2(registries.profile("standard").clean_text("content"), 256).alias("content_hash")
-    )
-    stored = keyed.join(replies, "page_id").groupBy("content_hash").agg(F.min_by("reply", "page_id").alias("reply"))
-    rows = P.extract_and_gate(pages, stored)
+    ensure_checkpoint_dir(spark)
+    keyed = P.for_extraction(P.with_content(crawl(spark, d))).select("page_id", "title", "language", "for_extraction", "content_hash").checkpoint()
+    stored = keyed.select("page_id", "content_hash").join(replies, "page_id").groupBy("content_hash").agg(F.min_by("reply", "page_id").alias("reply"))
+    rows = P.extract_and_gate(keyed, stored)
     return rows.select(
         "page_id", "title", "language", "success", "passed", "quality", F.array_join("errors", "; ").alias("errors"),
         F.array_join("warnings", "; ").alias("warnings"),
     )
-
-
-@plan(
-    "ud_page_pass",
-    f"""SELECT page_id, CAST(len(regexp_extract_all({PAGE}, '<li>')) AS INT) AS n_items, array_to_string(regexp_extract_all({PAGE}, '<a href="([^"]*)"', 1), '|') AS hrefs,
-    {TITLE_SQL.format(tag='title')} AS head_title FROM pages""",
-)
-def ud_page_pass(spark, d):
-    picks = [Pick("n_items", "count", ("li",)), Pick("hrefs", "attrs", ("a[href]",), "href"), P.HEAD_TITLE]
-    read = page_pass(crawl(spark, d), picks)
-    return read.select("page_id", "n_items", F.array_join("hrefs", "|").alias("hrefs"), F.col("head_title")[0].alias("head_title"))

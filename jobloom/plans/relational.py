@@ -579,16 +579,13 @@ def agg_sources_by_site(spark, d):
     return view(spark, d, "company_sources").groupBy("source_site").agg(F.count(F.lit(1)).alias("n"))
 
 
-@plan(
-    "agg_source_stats",
-    """SELECT count(*) AS total, count(*) FILTER (WHERE is_valid) AS valid, count(*) FILTER (WHERE NOT is_valid) AS invalid,
-    (SELECT string_agg(source_site || '=' || CAST(n AS VARCHAR), ',' ORDER BY source_site) FROM
-      (SELECT source_site, count(*) AS n FROM company_sources GROUP BY 1) q) AS by_site,
-    min(last_scraped_at) AS oldest, max(last_scraped_at) AS newest FROM company_sources""",
-)
+SOURCE_STATS = """count(*) AS total, count(*) FILTER (WHERE is_valid) AS valid, count(*) FILTER (WHERE NOT is_valid) AS invalid,
+    min(last_scraped_at) AS oldest, max(last_scraped_at) AS newest FROM company_sources"""
+
+
+@plan("agg_source_stats", f"SELECT source_site, {SOURCE_STATS} GROUP BY 1 UNION ALL SELECT NULL, {SOURCE_STATS}")
 def agg_source_stats(spark, d):
-    pairs = F.transform(F.map_entries("by_site"), lambda e: F.concat_ws("=", e["key"], e["value"]))
-    return aggregates.source_stats(view(spark, d, "company_sources")).withColumn("by_site", F.array_join(pairs, ","))
+    return aggregates.source_stats(view(spark, d, "company_sources"))
 
 
 @plan(

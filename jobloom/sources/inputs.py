@@ -186,16 +186,17 @@ SELECT company_id, '<html><head><title>' || name || ' - Dev.bg</title></head><bo
   '</p><p>Write to hr' || CAST(company_id AS VARCHAR(12)) || '@example.com</p><div class="address">12 Main Street, Sofia</div></body></html>' AS html
 FROM scoring_inputs""",
     "info_pages": """
-SELECT company_id, '<html><head><title>' || name || ' - dev.bg</title></head><body><h1 class="company-name">' || name || chr(10) || ' more</h1>' ||
-  '<div class="company-description"><p>A ' || size || ' team.</p></div><div class="company-info">' ||
-  CASE WHEN company_id % 5 = 0 THEN '' ELSE '<div class="info-item"><span class="label">Industry:</span><span class="value">' || industry || '</span></div>' END ||
-  '<div class="info-item"><span class="label">Size:</span><span class="value">' || CASE company_id % 3 WHEN 0 THEN '201-500 employees' WHEN 1 THEN '11-50' ELSE 'Startup' END ||
-  '</span></div><div class="info-item"><span class="label">Founded:</span><span class="value">' || coalesce(CAST(founded AS VARCHAR(4)), '') || '</span></div>' ||
+SELECT company_id, '<html><head><title>' || name || ' - dev.bg</title></head><body>' ||
+  CASE WHEN company_id % 7 = 0 THEN '' ELSE '<div class="awards-section"><span class="award">Best 2023</span></div>' END ||
+  '<div class="tech-stack"><div class="tech-tags"><span class="tech-tag">Redis</span>' ||
+  CASE WHEN company_id % 2 = 0 THEN '<img title="Scala" src="s.png">' ELSE '<span class="tech-tag">Go</span>' END || '</div></div>' ||
+  '<div class="job-openings"><div class="job-item">a</div><div class="job-item">b</div></div><div class="company-info">' ||
   CASE WHEN company_id % 4 = 0 THEN '' ELSE '<div class="info-item"><span class="label">Location:</span><span class="value">Varna</span></div>' END ||
-  '</div><div class="benefits-section"><ul class="benefits-list"><li>Bonus</li><li>Gym</li></ul></div><div class="tech-stack"><div class="tech-tags"><span class="tech-tag">Redis</span>' ||
-  CASE WHEN company_id % 2 = 0 THEN '<img title="Scala" src="s.png">' ELSE '<span class="tech-tag">Go</span>' END || '</div></div><div class="company-values"><ul><li>Care</li></ul></div>' ||
-  '<div class="job-openings"><div class="job-item">a</div><div class="job-item">b</div></div>' ||
-  CASE WHEN company_id % 7 = 0 THEN '' ELSE '<div class="awards-section"><span class="award">Best 2023</span></div>' END || '</body></html>' AS html
+  '<div class="info-item"><span class="label">Founded:</span><span class="value">' || coalesce(CAST(founded AS VARCHAR(4)), '') || '</span></div>' ||
+  '<div class="info-item"><span class="label">Size:</span><span class="value">' || CASE company_id % 3 WHEN 0 THEN '201-500 employees' WHEN 1 THEN '11-50' ELSE 'Startup' END ||
+  '</span></div>' || CASE WHEN company_id % 5 = 0 THEN '' ELSE '<div class="info-item"><span class="label">Industry:</span><span class="value">' || industry || '</span></div>' END ||
+  '</div><div class="company-values"><ul><li>Care</li></ul></div><div class="benefits-section"><ul class="benefits-list"><li>Bonus</li><li>Gym</li></ul></div>' ||
+  '<h1 class="company-name">' || name || chr(10) || ' more</h1><div class="company-description"><p>A ' || size || ' team.</p></div></body></html>' AS html
 FROM scoring_inputs""",
     "listing_pages": """
 SELECT p_partkey AS page_id, '<html><body><div class="job-list-item"><h6 class="job-title">' || CASE p_partkey % 4 WHEN 0 THEN 'Старши Java Разработчик' WHEN 1 THEN 'Младши програмист'

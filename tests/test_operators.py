@@ -127,3 +127,43 @@ def test_name_fixes(spark):
     fixes = quality.name_fixes(companies, vacancies)
     assert [(r.company_id, r.new_name) for r in fixes.collect()] == [(1, "Nova")]
     assert {r.name for r in quality.apply_name_fixes(companies, fixes).collect()} == {"Nova", "Acme"}
+
+
+def test_listings_without_a_url_are_kept(spark):
+    stored = spark.createDataFrame(
+        [("1", "Cook", 1, "", "filled"), ("2", "Mason", 2, "u2", "active")],
+        "vacancy_id string, title string, company_id long, source_url string, status string",
+    ).select("*", *[F.lit(None).cast("string").alias(c) for c in ("location", "experience_level", "employment_type", "work_model", "source_site")],
+             *[F.lit(None).cast("int").alias(c) for c in ("salary_min", "salary_max")])
+    listed = [(1, "Baker", 3, ""), (2, "Diver", 4, ""), (3, "Pilot", 5, None), (4, "Mason", 2, None), (5, "Cook", 1, ""), (6, "Pilot", 5, "u6"), (7, None, 1, "")]
+    listings = spark.createDataFrame(
+        [(i, t, c, u, None, "remote", "Ruse", "site", dt.datetime(2024, 1, i)) for i, t, c, u in listed],
+        "listing_id long, title string, company_id long, url string, salary_range string, work_model string, location string, "
+        "source_site string, posted_at timestamp_ntz",
+    )
+    rows = merge.upsert_vacancies(stored, listings).collect()
+    got = sorted((r.title, r.company_id, r.source_url, r.action) for r in rows)
+    assert got == [
+        ("Baker", 3, "", "insert"), ("Cook", 1, "", "update"), ("Diver", 4, "", "insert"), ("Mason", 2, "u2", "update"), ("Pilot", 5, "u6", "insert"),
+    ]
+    assert all(r.vacancy_key for r in rows) and len({r.vacancy_key for r in rows}) == len(rows)
+
+
+def test_ranks_without_a_group_are_those_of_a_window(spark):
+    rows = spark.createDataFrame([(v,) for v in [5, 5, -3, 0, 2_000_000_000, 7, 7, 7, -2_000_000_000, 12, None]], "v int")
+    counts = windows.value_counts(rows, [], "v")
+    got = {r.v: (r.n_below, r.n_above, r.n_group) for r in windows.value_ranks(counts, [], "v").collect()}
+    values = [r.v for r in rows.collect() if r.v is not None]
+    assert got == {v: (sum(x < v for x in values), sum(x > v for x in values), len(values)) for v in set(values)}
+
+
+def test_text_cuts_are_parameters(spark):
+    from jobloom.functions import registries, text
+
+    rows = spark.createDataFrame([("word " * 40 + "end",)], "t string")
+    row = rows.select(
+        text.drop_noise("t", 50).alias("a"), text.drop_noise("t").alias("b"),
+        registries.profile("standard", max_length=30).clean_text("t").alias("c"), F.size(text.phrases(F.col("t"), ["word", "end"], 1)).alias("d"),
+    ).first()
+    assert row.a == ("word " * 10).strip()[:49] + "..." or row.a.endswith("...") and len(row.a) <= 53
+    assert row.b == "word " * 40 + "end" and row.c.endswith("...") and row.d == 1
