@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import reduce
 
@@ -61,6 +62,13 @@ class CompanyFilter:
         return reduce(lambda a, b: a & b, parts)
 
 
+def has_words(text: Column, query: str) -> Column:
+    """Whether a text holds every word of a query as a whole word, whatever the case."""
+    words = F.split(F.lower(text), r"[^\p{L}\p{N}#+]+")
+    wanted = [w for w in re.split(r"[^\w#+]+", query.lower()) if w]
+    return reduce(lambda a, b: a & b, [F.array_contains(words, w) for w in wanted], F.lit(True))
+
+
 def active(vacancies: DataFrame) -> DataFrame:
     return vacancies.filter(F.col("status") == "active")
 

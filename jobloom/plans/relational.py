@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from jobloom.functions import arrays, jsons, levels
 from jobloom.functions.common import days_between, half_up, moment, non_zero
-from jobloom.operators import aggregates, filters, joins, ordering, sets, windows
+from jobloom.operators import aggregates, filters, joins, listing, ordering, sets, windows
 from jobloom.plans.registry import plan
 from jobloom.sources import entities, listing_pages, logs, sinks
 from jobloom.sources.inputs import load, view
@@ -924,6 +924,88 @@ def lim_page_company(spark, d):
     return ordering.page(rows, ordering.by_metric("culture"), 2, 20).select("company_id", "culture_score")
 
 
+# ---- whole list queries: filters, count, sort and page in one ----
+
+TECH_ANY = "vacancy_id IN (SELECT vacancy_id FROM vacancy_tech WHERE tech IN ('java', 'kafka', 'docker'))"
+TECH_ALL = "vacancy_id IN (SELECT vacancy_id FROM vacancy_tech WHERE tech IN ('java', 'kafka') GROUP BY 1 HAVING count(DISTINCT tech) = 2)"
+LIST_ANY = listing.VacancyQuery(
+    filters.VacancyFilter(search="brand#", location="o", salary_min=1500, salary_max=7000), ("java", "kafka", "docker"),
+    sort="salary_max", page=2, size=15,
+)
+LIST_ALL = listing.VacancyQuery(filters.VacancyFilter(level="senior"), ("java", "kafka"), need_all=True, sort="score", size=25)
+WHERE_ANY = f"""{ACTIVE} AND (contains(lower(title), 'brand#') OR contains(lower(description), 'brand#')) AND contains(lower(location), 'o')
+    AND salary_min >= 1500 AND salary_max <= 7000 AND {TECH_ANY}"""
+WHERE_ALL = f"{ACTIVE} AND experience_level = 'senior' AND {TECH_ALL}"
+
+
+def vacancy_page(spark, d, query):
+    return query.rows(*(view(spark, d, n) for n in ("vacancies", "companies", "vacancy_tech", "vacancy_scores")))
+
+
+@plan(
+    "lst_vac_any",
+    f"""SELECT v.vacancy_id, v.salary_max, c.name AS company_name, c.size AS company_size FROM (SELECT * FROM vacancies WHERE {WHERE_ANY}
+    ORDER BY salary_max DESC NULLS FIRST, vacancy_id LIMIT 15 OFFSET 15) v JOIN companies c ON c.company_id = v.company_id""",
+)
+def lst_vac_any(spark, d):
+    return vacancy_page(spark, d, LIST_ANY).select("vacancy_id", "salary_max", "company_name", "company_size")
+
+
+@plan(
+    "lst_vac_all",
+    f"""SELECT v.vacancy_id, v.n_scores, c.name AS company_name FROM (SELECT vacancy_id, company_id, coalesce(n, 0) AS n_scores FROM vacancies
+      LEFT JOIN (SELECT vacancy_id AS scored, count(*) AS n FROM vacancy_scores GROUP BY 1) s ON scored = vacancy_id WHERE {WHERE_ALL}
+    ORDER BY n_scores DESC, created_at DESC, vacancy_id LIMIT 25) v JOIN companies c ON c.company_id = v.company_id""",
+)
+def lst_vac_all(spark, d):
+    return vacancy_page(spark, d, LIST_ALL).select("vacancy_id", "n_scores", "company_name")
+
+
+@plan(
+    "lst_vac_info",
+    f"""SELECT 'any' AS list, count(*) AS total, CAST(ceil(count(*) / 15.0) AS BIGINT) AS pages FROM vacancies WHERE {WHERE_ANY}
+    UNION ALL SELECT 'all', count(*), CAST(ceil(count(*) / 25.0) AS BIGINT) FROM vacancies WHERE {WHERE_ALL}""",
+)
+def lst_vac_info(spark, d):
+    parts = {n: q.info(view(spark, d, "vacancies"), view(spark, d, "vacancy_tech")) for n, q in (("any", LIST_ANY), ("all", LIST_ALL))}
+    return sets.union_all(parts).withColumnRenamed("label", "list")
+
+
+LIST_COM = listing.CompanyQuery(filters.CompanyFilter(search="er", industry="tech"), analysed=True, sort="culture", page=2, size=10)
+WHERE_COM = """(contains(lower(name), 'er') OR contains(lower(description), 'er')) AND contains(lower(industry), 'tech')
+    AND company_id IN (SELECT company_id FROM company_analyses)"""
+
+
+@plan(
+    "lst_com",
+    f"""SELECT q.company_id, q.name, q.culture_score, coalesce(n.n, 0) AS n_open FROM (SELECT c.company_id, c.name, a.culture_score FROM
+      (SELECT * FROM companies WHERE {WHERE_COM}) c LEFT JOIN {LATEST_ANY} a ON a.company_id = c.company_id
+      ORDER BY nullif(a.culture_score, 0) DESC NULLS LAST, c.company_id LIMIT 10 OFFSET 10) q
+    LEFT JOIN (SELECT company_id, count(*) AS n FROM vacancies WHERE {ACTIVE} GROUP BY 1) n ON n.company_id = q.company_id""",
+)
+def lst_com(spark, d):
+    rows = LIST_COM.rows(view(spark, d, "companies"), view(spark, d, "company_analyses"), view(spark, d, "vacancy_facts"))
+    return rows.select("company_id", "name", "culture_score", "n_open")
+
+
+@plan("lst_com_info", f"SELECT count(*) AS total, CAST(ceil(count(*) / 10.0) AS BIGINT) AS pages FROM companies WHERE {WHERE_COM}")
+def lst_com_info(spark, d):
+    return LIST_COM.info(view(spark, d, "companies"), view(spark, d, "company_analyses"))
+
+
+WORDS_SQL = "regexp_split_to_array(lower(concat_ws(' ', title, description)), '[^\\p{L}\\p{N}#+]+')"
+
+
+@plan(
+    "flt_vac_words",
+    f"SELECT vacancy_id FROM vacancies WHERE {ACTIVE} AND list_contains({WORDS_SQL}, 'small') AND list_contains({WORDS_SQL}, 'brand#2')",
+)
+def flt_vac_words(spark, d):
+    text = F.concat_ws(" ", "title", "description")
+    rows = filters.active(view(spark, d, "vacancies")).filter(filters.has_words(text, "Brand#2, SMALL"))
+    return rows.select("vacancy_id")
+
+
 @plan("lim_run_cap", "SELECT listing_id, url FROM listings ORDER BY posted_at DESC, listing_id LIMIT 50")
 def lim_run_cap(spark, d):
     return ordering.capped(view(spark, d, "listings"), [F.desc("posted_at"), F.asc("listing_id")], 50).select("listing_id", "url")
