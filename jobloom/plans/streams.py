@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from jobloom.functions import jsons
 from jobloom.plans.registry import plan
 from jobloom.plans.scalars import VALID
+from jobloom.session import scratch
 from jobloom.sources.inputs import load, view
 from jobloom.streaming import streams
 
@@ -41,8 +42,8 @@ TEXT_MATCH = """(SELECT l.*, coalesce(u.id, t.id) AS match_id FROM listings l
 )
 def st_ingest(spark, d):
     vacancies = view(spark, d, "vacancies").withColumn("vacancy_id", F.col("vacancy_id").cast("string"))
-    path = streams.ingest(stored_stream(spark, view(spark, d, "listings"), "listings"), vacancies)
-    return spark.read.parquet(path).select("vacancy_id", "title", "status", "source_url", "action")
+    rows = streams.ingest(stored_stream(spark, view(spark, d, "listings"), "listings"), vacancies, scratch(spark, "ingest"))
+    return rows.select("vacancy_id", "title", "status", "source_url", "action")
 
 
 @plan(
@@ -52,7 +53,7 @@ def st_ingest(spark, d):
 def st_enrich(spark, d):
     rows = event_stream(spark, d).select("event_id", F.col("user_id").alias("company_id"))
     joined = streams.enrich(rows, view(spark, d, "companies"))
-    return streams.run_append(joined.select("event_id", "company_id", "company_name", "industry"), "enrich")
+    return streams.run_append(joined.select("event_id", "company_id", "company_name", "industry"), scratch(spark, "enrich"))
 
 
 HASH_SQL = "sha256(CAST(user_id AS VARCHAR) || event_type)"
@@ -70,13 +71,13 @@ def st_dedup_ttl(spark, d):
     rows = event_stream(spark, d).select(
         F.sha2(F.concat(F.col("user_id").cast("string"), "event_type"), 256).alias("hash"), "event_id", "ts"
     )
-    kept = streams.run_append(streams.drop_repeats_exact(rows, "hash", "ts", "event_id"), "dedup")
+    kept, _ = streams.dedup(rows, "hash", "ts", "event_id", scratch(spark, "dedup"))
     return kept.select("hash", "event_id", streams.stored_time("ts").alias("ts"))
 
 
 @plan("st_new", "SELECT DISTINCT url FROM listings")
 def st_new(spark, d):
-    return streams.run_append(streams.first_seen(stored_stream(spark, view(spark, d, "listings"), "listings"), "url"), "new")
+    return streams.first_seen(stored_stream(spark, view(spark, d, "listings"), "listings"), "url", scratch(spark, "new"))
 
 
 @plan(
@@ -88,7 +89,7 @@ def st_progress(spark, d):
     rows = event_stream(spark, d).select(
         F.concat(F.lit("site"), (F.col("user_id") % 4).cast("string")).alias("source_site"), F.col("event_type").alias("stage"), "ts"
     )
-    out = streams.run_latest(streams.progress(rows, "source_site", "ts", ["stage"]), ["source_site"], "progress")
+    out = streams.run_latest(streams.progress(rows, "source_site", "ts", ["stage"]), ["source_site"], scratch(spark, "progress"))
     return out.withColumn("ts", streams.stored_time("ts"))
 
 
@@ -100,7 +101,7 @@ def st_progress(spark, d):
 def st_trend(spark, d):
     facts = view(spark, d, "vacancy_facts").select("vacancy_id", streams.event_time("created_at").alias("created_at"))
     named = stored_stream(spark, facts, "facts").join(view(spark, d, "vacancy_tech"), "vacancy_id")
-    out = streams.run_latest(streams.weekly_trend(named, "created_at", "tech"), ["week", "tech"], "trend")
+    out = streams.run_latest(streams.weekly_trend(named, "created_at", "tech"), ["week", "tech"], scratch(spark, "trend"))
     return out.withColumn("week", streams.stored_time("week"))
 
 
@@ -112,13 +113,13 @@ def st_app_state(spark, d):
     rows = event_stream(spark, d).select(
         (F.col("event_id") % 1000).alias("application_id"), F.col("event_type").alias("status"), "ts", "event_id"
     )
-    out = streams.run_latest(streams.current_state(rows, "application_id", "status", "ts", "event_id"), ["application_id"], "app-state")
+    out = streams.run_latest(streams.current_state(rows, "application_id", "status", "ts", "event_id"), ["application_id"], scratch(spark, "app-state"))
     return out.withColumn("ts", streams.stored_time("ts"))
 
 
 @plan("st_split", f"SELECT reply_id, CASE WHEN NOT {VALID} THEN 'Invalid reply' END AS error FROM replies")
 def st_split(spark, d):
     rows = stored_stream(spark, view(spark, d, "replies"), "replies")
-    good, bad = streams.split(rows, jsons.reply("reply").isNotNull(), F.lit("Invalid reply"), "split")
+    good, bad = streams.split(rows, jsons.reply("reply").isNotNull(), F.lit("Invalid reply"), scratch(spark, "split"))
     none = F.lit(None).cast("string").alias("error")
     return good.select("reply_id", none).unionByName(bad.select("reply_id", "error"))

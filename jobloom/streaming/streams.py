@@ -1,7 +1,8 @@
 """Streaming jobs over file sources.
 
 Each job takes a streaming DataFrame and runs with ``availableNow``, so the same code
-serves a nightly pull and a test. Checkpoints and outputs lie in the shared folder.
+serves a nightly pull and a test. Checkpoints and outputs lie below a ``base`` the caller
+gives, in the shared folder: the same base again goes on where the last run stopped.
 Batches are bounded by the source's ``maxFilesPerTrigger``. Event time is cast to a
 zoned timestamp, because watermarks reject zone-free ones.
 """
@@ -11,23 +12,24 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from jobloom.operators import merge
+from jobloom.operators.windows import pick_per_key
 from jobloom.session import scratch
 
 LATENESS = "1 day"
+#: Source files of one micro-batch, unless the caller says otherwise.
+FILES_PER_BATCH = 64
 
 
-def read_files(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int | None = None) -> DataFrame:
-    """A parquet folder or glob as a stream."""
-    reader = spark.readStream.schema(schema)
-    if files_per_batch:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(path)
+def read_files(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int = FILES_PER_BATCH) -> DataFrame:
+    """A parquet folder or glob as a stream, so many files to a micro-batch."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
 def as_files(df: DataFrame, name: str) -> str:
@@ -37,46 +39,53 @@ def as_files(df: DataFrame, name: str) -> str:
     return path
 
 
-def run_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], name: str, mode: str = "append") -> None:
-    """Drive a stream to the end of its input, handing every micro-batch to ``handle``."""
+def stored(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The rows below a folder of numbered batches, none where it does not exist yet."""
+    full = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
+    try:
+        return spark.read.schema(full).parquet(path)
+    except AnalysisException:
+        return spark.createDataFrame([], full)
+
+
+def run_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], base: str, mode: str = "append") -> None:
+    """Drive a stream to the end of its input, handing every micro-batch to ``handle``.
+
+    The checkpoint lies in ``base``: a later run with the same base goes on where this one, or
+    one that failed, stopped. A batch that is repeated after a failure has the same number, so
+    ``handle`` must write by number and overwrite.
+    """
     query = (
         stream.writeStream.outputMode(mode)
         .foreachBatch(handle)
-        .option("checkpointLocation", scratch(stream.sparkSession, f"{name}-state"))
+        .option("checkpointLocation", f"{base}/state")
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
 
 
-def run_append(stream: DataFrame, name: str) -> DataFrame:
-    """Append a stream to parquet and read the result back."""
-    spark, path = stream.sparkSession, scratch(stream.sparkSession, name)
+def run_append(stream: DataFrame, base: str) -> DataFrame:
+    """Append a stream to parquet in ``base`` and read all of it back; a later run goes on."""
     query = (
         stream.writeStream.format("parquet")
-        .option("path", path)
-        .option("checkpointLocation", scratch(spark, f"{name}-state"))
+        .option("path", f"{base}/rows")
+        .option("checkpointLocation", f"{base}/state")
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(path)
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{base}/rows")
 
 
-def run_latest(stream: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """Run an update-mode aggregate and read the last row of every key back.
+def run_latest(stream: DataFrame, keys: list[str], base: str) -> DataFrame:
+    """Run an update-mode aggregate and read the last row of every key back; a later run goes on.
 
     A batch writes to a folder of its own number, so a repeated batch replaces itself.
     """
-    spark, path = stream.sparkSession, scratch(stream.sparkSession, name)
-    run_batches(
-        stream, lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/batch={number:08d}"), name, "update"
-    )
-    schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.StringType())])
-    rows = spark.read.schema(schema).parquet(path)
-    rest = [c for c in stream.columns if c not in keys]
-    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_row"))
-    return last.select(*keys, "_row.*").select(*stream.columns)
+    spark, path = stream.sparkSession, f"{base}/rows"
+    run_batches(stream, lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/batch={number}"), base, "update")
+    return pick_per_key(stored(spark, path, stream.schema), keys, ["batch"]).select(*stream.columns)
 
 
 def event_time(name: str) -> Column:
@@ -92,32 +101,41 @@ def stored_time(name: str) -> Column:
 # ---- jobs ----
 
 
-def ingest(listings: DataFrame, vacancies: DataFrame, name: str = "ingest") -> str:
-    """Upsert listing batches into vacancies; each batch reads the last snapshot and writes the next.
+def ingest(listings: DataFrame, vacancies: DataFrame, base: str) -> DataFrame:
+    """Upsert listing batches into vacancies; returns the table as it stands, with the last batch's actions.
 
-    ``vacancies`` has a text ``vacancy_id``. Returns the path of the last snapshot.
-    A repeated batch starts from the same snapshot and overwrites its own result.
+    ``vacancies`` has a text ``vacancy_id`` and starts the table at ``base`` on the first run;
+    later runs with the same base go on from there. A batch writes only the rows it changes;
+    the newest row of a key counts. A repeated batch sees the batches before it alone and
+    overwrites its own.
     """
     spark = listings.sparkSession
-    base = scratch(spark, name)
     columns = ["vacancy_id", *merge.LISTED, "source_url"]
 
     def conform(df: DataFrame) -> DataFrame:
         have = set(df.columns)
-        return df.select(*[F.col(c) if c in have else F.lit(None).cast("string").alias(c) for c in columns])
+        return df.select(
+            *[F.col(c) if c in have else F.lit(None).cast("int" if c.startswith("salary") else "string").alias(c) for c in columns]
+        )
 
-    conform(vacancies).withColumn("action", F.lit("keep")).write.parquet(f"{base}/start")
-    last = {"path": f"{base}/start"}
+    start = conform(vacancies)
+    schema = T.StructType([*start.schema.fields, T.StructField("action", T.StringType())])
+    if stored(spark, f"{base}/rows", schema).isEmpty():
+        start.withColumn("action", F.lit("keep")).write.mode("overwrite").parquet(f"{base}/rows/batch=-1")
+
+    def table(session: SparkSession, before: int | None = None) -> DataFrame:
+        rows = stored(session, f"{base}/rows", schema)
+        return pick_per_key(rows if before is None else rows.filter(F.col("batch") < before), ["vacancy_id"], ["batch"])
 
     def handle(batch: DataFrame, number: int) -> None:
-        before = f"{base}/batch={number - 1}" if number else f"{base}/start"
-        stored = batch.sparkSession.read.parquet(before).drop("action")
-        merged = merge.upsert_vacancies(stored, batch).withColumnRenamed("vacancy_key", "vacancy_id")
-        last["path"] = f"{base}/batch={number}"
-        merged.select(*columns, "action").write.mode("overwrite").parquet(last["path"])
+        merged = merge.upsert_vacancies(table(batch.sparkSession, number).drop("action", "batch"), batch)
+        changed = merged.filter(F.col("action") != "keep").withColumnRenamed("vacancy_key", "vacancy_id")
+        changed.select(*columns, "action").write.mode("overwrite").parquet(f"{base}/rows/batch={number}")
 
-    run_batches(listings, handle, name)
-    return last["path"]
+    run_batches(listings, handle, base)
+    now = table(spark)
+    newest = now.agg(F.max("batch")).first()[0]
+    return now.withColumn("action", F.when(F.col("batch") == newest, F.col("action")).otherwise("keep")).drop("batch")
 
 
 def enrich(stream: DataFrame, companies: DataFrame) -> DataFrame:
@@ -126,9 +144,18 @@ def enrich(stream: DataFrame, companies: DataFrame) -> DataFrame:
     return stream.join(card, "company_id", "left")
 
 
-def first_seen(stream: DataFrame, key: str) -> DataFrame:
-    """Each key the first time it comes; the state holds the keys only."""
-    return stream.select(key).dropDuplicates([key])
+def first_seen(stream: DataFrame, key: str, base: str) -> DataFrame:
+    """Each key once, over all runs with the same base. What was seen is a table, so no state grows in memory."""
+    spark, path = stream.sparkSession, f"{base}/rows"
+    schema = T.StructType([stream.schema[key]])
+
+    def handle(batch: DataFrame, number: int) -> None:
+        known = stored(batch.sparkSession, path, schema).filter(F.col("batch") < number).select(F.col(key).alias("_known"))
+        new = batch.select(key).distinct().join(known, F.col(key).eqNullSafe(F.col("_known")), "left_anti")
+        new.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    run_batches(stream, handle, base)
+    return stored(spark, path, schema).drop("batch")
 
 
 def drop_repeats(stream: DataFrame, keys: list[str], time: str, ttl: str = "24 hours") -> DataFrame:
@@ -171,6 +198,33 @@ def drop_repeats_exact(stream: DataFrame, key: str, time: str, ident: str, ttl_h
     return narrow.groupBy(key).applyInPandasWithState(step, out, held, "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def dedup(stream: DataFrame, key: str, time: str, ident: str, base: str, ttl_hours: int = 24) -> tuple[DataFrame, DataFrame]:
+    """(passed, late) rows of (key, ident, time) over all runs with the same base.
+
+    Within a run the cut into micro-batches makes no difference: all its rows are put in order
+    of time. A row more than ``ttl_hours`` older than the newest one of earlier runs is late:
+    the state it would need has gone, so it is not judged but kept apart.
+    """
+    spark = stream.sparkSession
+    narrow = stream.select(key, ident, time)
+    marks = T.StructType([T.StructField("mark", T.TimestampType())])
+    # marks are written after a whole run, so a run that failed is repeated with the same one
+    mark = stored(spark, f"{base}/marks", marks).agg(F.max("mark"), F.coalesce(F.max("batch"), F.lit(-1)) + 1).first()
+    limit = F.lit(mark[0]).cast("timestamp") - F.make_dt_interval(F.lit(0), F.lit(ttl_hours))
+    is_late = F.coalesce(F.col(time) < limit, F.lit(False))
+
+    def handle(batch: DataFrame, number: int) -> None:
+        batch.filter(is_late).write.mode("overwrite").parquet(f"{base}/late/batch={number}")
+        batch.filter(~is_late).write.mode("overwrite").parquet(f"{base}/in_time/batch={number}")
+
+    run_batches(narrow, handle, f"{base}/sorted")
+    in_time = read_files(spark, f"{base}/in_time/batch=*", narrow.schema, files_per_batch=1 << 20)
+    passed = run_append(drop_repeats_exact(in_time, key, time, ident, ttl_hours), f"{base}/passed")
+    newest = stored(spark, f"{base}/in_time", narrow.schema).agg(F.max(time).alias("mark"))
+    newest.write.mode("overwrite").parquet(f"{base}/marks/batch={mark[1]}")
+    return passed, stored(spark, f"{base}/late", narrow.schema).drop("batch")
+
+
 def progress(stream: DataFrame, source: str, time: str, facts: list[str]) -> DataFrame:
     """Latest facts per source (update mode)."""
     latest = F.max_by(F.struct(*facts, time), F.struct(time, *facts)).alias("_l")
@@ -189,18 +243,14 @@ def current_state(stream: DataFrame, key: str, status: str, time: str, tie: str)
     return stream.groupBy(key).agg(newest).select(key, f"_l.{status}", f"_l.{time}")
 
 
-def split(stream: DataFrame, good: Column, error: Column, name: str) -> tuple[DataFrame, DataFrame]:
-    """Good rows to one output, the rest with their error to another."""
-    spark, base = stream.sparkSession, scratch(stream.sparkSession, name)
+def split(stream: DataFrame, good: Column, error: Column, base: str) -> tuple[DataFrame, DataFrame]:
+    """Good rows to one output, the rest with their error to another; a later run with the same base goes on."""
+    spark = stream.sparkSession
     marked = stream.withColumn("error", F.when(~F.coalesce(good, F.lit(False)), error))
 
     def handle(batch: DataFrame, number: int) -> None:
         batch.filter(F.col("error").isNull()).drop("error").write.mode("overwrite").parquet(f"{base}/good/batch={number}")
         batch.filter(F.col("error").isNotNull()).write.mode("overwrite").parquet(f"{base}/bad/batch={number}")
 
-    run_batches(marked, handle, name)
-    schema = marked.schema
-    return (
-        spark.read.schema(stream.schema).parquet(f"{base}/good/batch=*"),
-        spark.read.schema(schema).parquet(f"{base}/bad/batch=*"),
-    )
+    run_batches(marked, handle, base)
+    return stored(spark, f"{base}/good", stream.schema).drop("batch"), stored(spark, f"{base}/bad", marked.schema).drop("batch")
