@@ -119,3 +119,15 @@ def test_tasks_hold_no_whole_group(spark):
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
     assert plan.select(F.count("*")).first()[0] == 0
+
+
+def test_sketch_measures_similarity():
+    rng = np.random.default_rng(6)
+    common = rng.integers(0, 1 << 63, 3000).astype(np.uint64)
+    for share in (0.5, 0.8, 0.9):
+        own = int(3000 * share * 2 / (1 + share)), int(3000 - 3000 * share * 2 / (1 + share))
+        a = np.concatenate([common[: own[0]], rng.integers(0, 1 << 63, own[1]).astype(np.uint64)])
+        b = np.concatenate([common[: own[0]], rng.integers(0, 1 << 63, own[1]).astype(np.uint64)])
+        apart = sum(bin(x ^ y).count("1") for x, y in zip(S.sketch(a), S.sketch(b)))
+        assert abs(1 - 2 * apart / S.SKETCH - share) < 0.09
+    assert S.sketch(np.zeros(0, np.uint64)) == [0] * (S.SKETCH // 64)
