@@ -164,11 +164,13 @@ def title_key(title: Column | str) -> Column:
 
 
 def similarity(a: Column, b: Column) -> Column:
-    """0..100 from the edit distance over the longer text."""
-    longest = F.greatest(F.length(a), F.length(b))
-    return F.when(longest == 0, 100).otherwise(
-        F.floor((longest - F.levenshtein(a, b)) * 100 / longest + 0.5)
-    )
+    """0..100, the share of common words among all words of two texts; linear in their length."""
+
+    def words(text: Column) -> Column:
+        return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
+
+    common, every = F.size(F.array_intersect(words(a), words(b))), F.size(F.array_union(words(a), words(b)))
+    return F.when(every == 0, 100).otherwise(F.floor(common * 100 / every + 0.5))
 
 
 def duplicate_pairs(vacancies: DataFrame) -> DataFrame:

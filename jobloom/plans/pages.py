@@ -287,9 +287,11 @@ def joined(value: Column) -> Column:
 
 company_fact("pg_com_name", "name", [P.NAME, P.HEAD_TITLE], lambda: {"name": P.company_name()})
 company_fact("pg_com_text", "'A ' || size || ' firm.' AS description", [P.DESCRIPTION], lambda: {"description": P.company_description()})
+SITE = """CASE WHEN company_id % 7 <> 0 THEN 'https://github.com/f' WHEN company_id % 3 = 0 THEN 'https://f' || CAST(company_id AS VARCHAR) || '.example.com' END"""
+
 company_fact(
     "pg_com_site",
-    "'https://github.com/f' AS website",
+    f"{SITE} AS website",
     [P.LINKS], lambda: {"website": P.company_site()},
 )
 company_fact(
@@ -353,7 +355,7 @@ company_fact(
 )
 company_fact(
     "pg_com_social",
-    "NULL AS facebook, 'https://www.linkedin.com/company/f' || CAST(company_id AS VARCHAR) AS linkedin, NULL AS instagram, NULL AS youtube, NULL AS twitter, 'https://github.com/f' AS github",
+    "NULL AS facebook, 'https://www.linkedin.com/company/f' || CAST(company_id AS VARCHAR) AS linkedin, NULL AS instagram, NULL AS youtube, NULL AS twitter, CASE WHEN company_id % 7 <> 0 THEN 'https://github.com/f' END AS github",
     [P.LINKS], P.social_links,
 )
 company_fact(
@@ -370,7 +372,7 @@ company_fact(
     [P.PAGE_TEXT, P.ADDRESSES], P.contact,
 )
 
-THIRTEEN = """CAST(floor((10 + CASE WHEN founded IS NULL THEN 0 ELSE 1 END + CASE WHEN company_id % 4 = 3 THEN 0 ELSE 1 END
+THIRTEEN = """CAST(floor((10 - CASE WHEN company_id % 7 = 0 AND company_id % 3 <> 0 THEN 1 ELSE 0 END + CASE WHEN founded IS NULL THEN 0 ELSE 1 END + CASE WHEN company_id % 4 = 3 THEN 0 ELSE 1 END
     + CASE WHEN company_id % 5 = 0 OR regexp_matches(l, '{words}') THEN 1 ELSE 0 END - CASE WHEN {notech} THEN 1 ELSE 0 END - CASE WHEN {noben} THEN 1 ELSE 0 END) / 13.0E0 * 100 + 0.5) AS INT)""".format(
     words="|".join(rules.INDUSTRY_WORDS),
     notech="company_id % 4 = 3 AND NOT (" + " OR ".join(f"contains(t, '{p}')" for p in rules.TECH_PHRASES) + ")",
@@ -421,7 +423,7 @@ def pg_complete10(spark, d):
 
 @plan(
     "pg_profile",
-    """SELECT s.company_id, CASE WHEN s.company_id % 6 = 0 THEN 'dev.bg' ELSE name END AS name, 'A ' || size || ' firm.' AS description, 'https://github.com/f' AS website,
+    f"""SELECT s.company_id, CASE WHEN s.company_id % 6 = 0 THEN 'dev.bg' ELSE name END AS name, 'A ' || size || ' firm.' AS description, {SITE.replace('company_id', 's.company_id')} AS website,
     CASE WHEN s.company_id % 4 = 0 THEN '12 Main Street, Sofia' ELSE 'Plovdiv' END AS location, CASE WHEN s.company_id % 5 = 0 THEN industry ELSE 'Technology' END AS industry,
     CASE s.company_id % 4 WHEN 0 THEN 'React|Node.js|AWS' WHEN 1 THEN 'Java|Kafka' WHEN 2 THEN 'Go|C' ELSE '' END AS technologies, 'Craft|Joy|Trust' AS company_values FROM scoring_inputs s""",
 )

@@ -536,12 +536,16 @@ FIRSTS = """(SELECT *, trim(regexp_replace(lower(title), '[^\\p{L}\\p{N}]+', ' '
     OVER (PARTITION BY company_id, trim(regexp_replace(lower(title), '[^\\p{L}\\p{N}]+', ' ', 'g'))) AS first_id FROM vacancies WHERE title IS NOT NULL)"""
 
 
+WORD_LIST = "list_distinct(list_filter(regexp_split_to_array(lower({t}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> ''))"
+
+
 @plan(
     "jn_dup_pairs",
     f"""WITH f AS (SELECT * FROM {FIRSTS} q), p AS (SELECT f.first_id, f.vacancy_id, f.tk || ' ' || lower(f.description) AS b,
-      f.tk || ' ' || lower(o.description) AS a FROM f JOIN vacancies o ON o.vacancy_id = f.first_id WHERE f.vacancy_id <> f.first_id)
-    SELECT first_id AS original_id, vacancy_id AS duplicate_id, CAST(floor((greatest(length(a), length(b)) - levenshtein(a, b)) * 100
-      / greatest(length(a), length(b)) + 0.5) AS BIGINT) AS similarity, 'title_match' AS detection_method FROM p""",
+      f.tk || ' ' || lower(o.description) AS a FROM f JOIN vacancies o ON o.vacancy_id = f.first_id WHERE f.vacancy_id <> f.first_id),
+    w AS (SELECT *, {WORD_LIST.format(t='a')} AS wa, {WORD_LIST.format(t='b')} AS wb FROM p)
+    SELECT first_id AS original_id, vacancy_id AS duplicate_id, CAST(floor(len(list_intersect(wa, wb)) * 100
+      / (len(wa) + len(wb) - len(list_intersect(wa, wb))) + 0.5) AS BIGINT) AS similarity, 'title_match' AS detection_method FROM w""",
 )
 def jn_dup_pairs(spark, d):
     return joins.duplicate_pairs(view(spark, d, "vacancies"))

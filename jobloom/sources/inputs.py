@@ -170,7 +170,7 @@ FROM pages""",
 SELECT company_id, '<html><head><title>' || name || ' - Dev.bg</title></head><body><div class="company-header"><h1 class="company-name">' ||
   CASE WHEN company_id % 6 = 0 THEN 'dev.bg' ELSE name END || '</h1></div><div class="company-description"><p>A ' || size || ' firm.</p></div>' ||
   CASE WHEN company_id % 2 = 0 THEN '<div class="company-logo"><img src="//cdn.example.org/' || CAST(company_id AS VARCHAR(12)) || '.png"></div>' ELSE '' END ||
-  '<a href="https://www.linkedin.com/company/f' || CAST(company_id AS VARCHAR(12)) || '">in</a><a href="https://github.com/f">code</a>' ||
+  '<a href="https://www.linkedin.com/company/f' || CAST(company_id AS VARCHAR(12)) || '">in</a>' || CASE WHEN company_id % 7 = 0 THEN '' ELSE '<a href="https://github.com/f">code</a>' END ||
   CASE WHEN company_id % 3 = 0 THEN '<a href="https://f' || CAST(company_id AS VARCHAR(12)) || '.example.com">Website</a>' ELSE '' END ||
   CASE WHEN company_id % 4 = 0 THEN '<div class="headquarters">Headquarters: Varna, BG</div>' ELSE '<div class="location">Plovdiv</div>' END ||
   '<div class="facts">Founded: ' || coalesce(CAST(founded AS VARCHAR(4)), 'long ago') || '. Worldwide team: ' || CAST(1000 + company_id AS VARCHAR(12)) ||
