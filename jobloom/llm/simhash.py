@@ -40,6 +40,9 @@ LEAF_PAIRS = 16
 BROADCAST_IDS = 1_000_000
 #: Bits that decide on near copies, with their hash functions.
 SKETCH = 512
+SKETCH_NAMES = [f"s{i}" for i in range(SKETCH // 64)]
+#: Candidates share one of ``BANDS`` keys of ``BAND_ROWS`` minima: at a similarity of 0.8, 0.9993 of pairs do.
+BANDS, BAND_ROWS = 24, 6
 FACTORS, SHIFTS = np.random.default_rng(21).integers(1, 1 << 32, (2, SKETCH)).astype(np.uint32) | np.uint32(1)
 
 
@@ -96,13 +99,8 @@ def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, f0 long")
 
 
-def sketch(hashes: np.ndarray) -> list[int]:
-    """``SKETCH`` bits of the set of hashes, 64 to a number: one bit of each of as many minimum hashes.
-
-    Two sets with a similarity of s differ in (1 - s) / 2 of the bits on average.
-    """
-    if not len(hashes):
-        return [0] * (SKETCH // 64)
+def minima(hashes: np.ndarray) -> np.ndarray:
+    """The least of the hashes under each of ``SKETCH`` hash functions; two sets agree in each with the odds of their similarity."""
     short = (hashes >> np.uint64(32)).astype(np.uint32)
     least = np.full(SKETCH, np.iinfo(np.uint32).max, np.uint32)
     held = np.empty((256, SKETCH), np.uint32)
@@ -112,32 +110,49 @@ def sketch(hashes: np.ndarray) -> list[int]:
         np.multiply(part[:, None], FACTORS, out=tried)
         tried += SHIFTS
         np.minimum(least, tried.min(axis=0), out=least)
+    return least
+
+
+def bits_of(least: np.ndarray) -> list[int]:
+    """One bit of each minimum, 64 to a number."""
     bits = np.packbits(((least >> np.uint32(9)) & np.uint32(1)).astype(np.uint8))
     return np.frombuffer(bits.tobytes(), ">u8").astype(np.uint64).tolist()
 
 
-def wide_fingerprints(docs: DataFrame, tables: int, size: int = 5) -> DataFrame:
-    """(doc_id, f0..): ``tables`` fingerprints over single words, then a sketch of the ``size``-word shingles.
+def sketch(hashes: np.ndarray) -> list[int]:
+    """``SKETCH`` bits of the set of hashes, 64 to a number: one bit of each of as many minimum hashes.
 
-    Single words change least under edits, so their fingerprints find candidates; the sketch decides.
+    Two sets with a similarity of s differ in (1 - s) / 2 of the bits on average.
+    """
+    return bits_of(minima(hashes)) if len(hashes) else [0] * (SKETCH // 64)
+
+
+def shingle_prints(docs: DataFrame, size: int = 5) -> DataFrame:
+    """(doc_id, d0, d1, s0.., bands): digest, sketch and ``BANDS`` band keys of the set of ``size``-word shingles.
+
+    A band key is a hash of ``BAND_ROWS`` minima, so two sets of similarity s share each key with odds s ** ``BAND_ROWS``.
     """
     bounded_batches(docs.sparkSession)
-    names = [f"f{i}" for i in range(tables + SKETCH // 64)]
+    names = ["d0", "d1", *SKETCH_NAMES]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
+            rows, bands = [], []
             for text in batch.column(1).to_pylist():
-                words = words_of(text)
-                distinct = np.unique(shingle_hashes(words, 1))
-                found = [majority(mixed(distinct, i)) for i in range(tables)] + sketch(np.unique(shingle_hashes(words, size)))
+                hashes = np.unique(shingle_hashes(words_of(text), size))
+                least = minima(hashes)
+                digest = xxhash.xxh3_128_intdigest(hashes.tobytes())
+                found = [digest >> 64, digest & (1 << 64) - 1] + bits_of(least)
                 rows.append([signed(f) for f in found])
+                parts = least[: BANDS * BAND_ROWS].reshape(BANDS, BAND_ROWS)
+                bands.append([signed(xxhash.xxh64_intdigest(p.tobytes(), i)) for i, p in enumerate(parts)])
             columns = np.array(rows, np.int64).reshape(-1, len(names))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(columns[:, i]) for i in range(len(names)))], ["doc_id", *names]
+                [batch.column(0), *(pa.array(columns[:, i]) for i in range(len(names))), pa.array(bands, pa.list_(pa.int64()))],
+                ["doc_id", *names, "bands"],
             )
 
-    schema = ", ".join(["doc_id long", *(f"{n} long" for n in names)])
+    schema = ", ".join(["doc_id long", *(f"{n} long" for n in names), "bands array<long>"])
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
@@ -273,6 +288,18 @@ def near_links(classes: DataFrame, tables: list[str], decide: list[str], budget:
     ]
     decide_by = decide if decide != tables else []
     rows = classes.select("rep", *decide_by, F.explode(F.array(*keys)).alias("x")).select("rep", "x.k", "x.m", "x.v", *decide_by)
+    return bucket_links(rows, decide_by, budget, total)
+
+
+def band_links(classes: DataFrame, total: int) -> DataFrame:
+    """(a, b): links that span the components of the classes (columns ``rep``, ``bands`` and the sketch)."""
+    bounded_batches(classes.sparkSession)
+    rows = classes.select("rep", *SKETCH_NAMES, F.posexplode("bands").alias("m", "k"))
+    return bucket_links(rows.withColumn("v", F.col(SKETCH_NAMES[0])), SKETCH_NAMES, 64, total)
+
+
+def bucket_links(rows: DataFrame, decide_by: list[str], budget: int, total: int) -> DataFrame:
+    """Links inside the buckets of rows (rep, k, m, v and the columns that decide)."""
     dealt = rows.repartition("k").sortWithinPartitions("k")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -337,17 +364,20 @@ def simhash_components(docs: DataFrame, size: int = 3, budget: int = 2) -> DataF
     return found.select("doc_id", text.alias("fingerprint"), "component_id")
 
 
-def near_duplicates(docs: DataFrame, tables: int = 6, budget: int = 4, total: int = 61) -> DataFrame:
+def near_duplicates(docs: DataFrame, total: int = 61) -> DataFrame:
     """(doc_id, component_id) of near copies: five-word shingles with a similarity of 0.8 or more.
 
-    At a similarity of 0.8 about 4 of the 64 bits of a single-word fingerprint differ; six
-    tables with a budget of 4 miss under one in a hundred such pairs. Of the 512 bits of the
-    sketch about 51 differ at 0.8; ``total`` 61 accepts nine in ten pairs there, nearly all
-    from 0.82, and hardly any under 0.7.
+    Candidates share a band of minima of the shingle set, whatever the shape of the edit. Of the
+    512 bits of the sketch about 51 differ at 0.8; ``total`` 61 accepts nine in ten pairs there,
+    nearly all from 0.82, and hardly any under 0.7. Equal shingle sets are one class.
     """
-    names = [f"f{i}" for i in range(tables + SKETCH // 64)]
-    found = grouped(wide_fingerprints(docs, tables), names[:tables], names[tables:], budget, total, levels=1)
-    return found.select("doc_id", "component_id")
+    ensure_checkpoint_dir(docs.sparkSession)
+    prints = shingle_prints(docs).checkpoint()
+    kept = [F.any_value(c).alias(c) for c in [*SKETCH_NAMES, "bands"]]
+    classes = prints.groupBy("d0", "d1").agg(F.min("doc_id").alias("rep"), *kept).checkpoint()
+    groups = connected_groups(band_links(classes.filter(F.col("rep").isNotNull()), total))
+    named = classes.join(groups, classes.rep == groups.node, "left").select("d0", "d1", F.coalesce("group", "rep").alias("component_id"))
+    return prints.select("doc_id", "d0", "d1").join(named.checkpoint(), ["d0", "d1"]).select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

@@ -131,3 +131,28 @@ def test_sketch_measures_similarity():
         apart = sum(bin(x ^ y).count("1") for x, y in zip(S.sketch(a), S.sketch(b)))
         assert abs(1 - 2 * apart / S.SKETCH - share) < 0.09
     assert S.sketch(np.zeros(0, np.uint64)) == [0] * (S.SKETCH // 64)
+
+
+def block_edited(rng, words, similarity, shape):
+    """A copy whose five-word shingles have about this similarity: one block is cut off, appended or inserted."""
+    n = len(words)
+    if shape == "truncated":
+        return words[: round((n - 4) * similarity) + 4]
+    new = [f"n{rng.getrandbits(40)}" for _ in range(round((n - 4) * (1 / similarity - 1)) - (4 if shape == "inserted" else 0))]
+    at = n if shape == "appended" else n // 2
+    return words[:at] + new + words[at:]
+
+
+def test_block_edited_copies_are_found(spark):
+    rng = random.Random(11)
+    rows, kind = [], {}
+    for similarity in (0.8, 0.85, 0.9):
+        for shape in ("truncated", "appended", "inserted"):
+            for _ in range(40):
+                words = [f"w{rng.getrandbits(40)}" for _ in range(rng.choice([200, 1000]))]
+                kind[len(rows)] = similarity, shape
+                rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(block_edited(rng, words, similarity, shape)))]
+    got = {r.doc_id: r.component_id for r in S.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    share = {k: np.mean([got[i + 1] == i for i, own in kind.items() if own == k]) for k in set(kind.values())}
+    print(sorted(share.items()))
+    assert all(x >= (0.7 if s == 0.8 else 0.95) for (s, _), x in share.items())
