@@ -1,12 +1,13 @@
 """Benchmark decontamination by the q-gram lemma, diagonal bands and banded alignment.
 
 Texts are compared as UTF-8 with A-Z lowered and every run of other ASCII signs and white
-space as one blank. Each benchmark item is cut into windows of ``WINDOW`` bytes, half
-overlapping (a shorter item is one window). A region of a document that matches a window of
+space as one blank. Each run of ``WINDOW`` bytes of a benchmark item, at every position, is a
+window (a shorter item is one window). A region of a document that matches a window of
 m bytes with at most k edits shares at least m - q + 1 - k q of its q-grams, all on
 diagonals not more than k apart. Shared q-grams are counted in bands of 2 (k + 1) diagonals
-that start every k + 1, so some band holds them all; bands that reach the bound are aligned
-with the window, and kept if the edits stay within k.
+that start every k + 1, so some band holds them all; windows that reach the bound in a band are
+aligned there, and kept if the edits stay within k. Windows whose q-grams all follow each
+other on one diagonal are verbatim and need no alignment.
 
 A document is contaminated if any window matches. Whole documents are searched: there is no
 cap on hits, bands or regions. The benchmark is taken in blocks of a bounded size; each
@@ -77,36 +78,38 @@ def budget(length: int) -> int:
 
 @lru_cache(maxsize=4)
 def index(texts: tuple[bytes, ...]) -> dict[str, np.ndarray]:
-    """Windows of the items and where each q-gram occurs in them."""
-    windows, items = [], []
+    """The items in one run of bytes, a window at every position of it, and where each q-gram occurs.
+
+    A window is named by its position; ``length`` is 0 where no window of the item begins.
+    """
+    held, items = [], []
     for i, text in enumerate(texts):
         raw = np.frombuffer(text, np.uint8)
         data, at, _ = plain(raw, np.array([0, len(raw)]))
         data = data.tobytes().strip()
-        if len(data) < Q:
-            continue
-        starts = list(range(0, max(1, len(data) - WINDOW + 1), WINDOW // 2))
-        if starts[-1] + WINDOW < len(data):
-            starts.append(len(data) - WINDOW)
-        windows += [data[s : s + WINDOW] for s in starts]
-        items += [i] * len(starts)
-    length = np.array([len(w) for w in windows], np.int64)
-    filled = np.zeros((len(windows), WINDOW), np.uint8)
-    for i, w in enumerate(windows):
-        filled[i, : len(w)] = np.frombuffer(w, np.uint8)
-    hashes = [grams(np.frombuffer(w, np.uint8)) for w in windows]
+        if len(data) >= Q:
+            held.append(data)
+            items.append(i)
+    size = np.array([len(h) for h in held], np.int64)
+    base = np.cumsum(size) - size
+    letters = np.frombuffer(b"".join(held) + bytes(WINDOW), np.uint8)
+    own = np.repeat(np.arange(len(held), dtype=np.int32), size)
+    width = np.minimum(size, WINDOW)
+    last = base + size - width
+    k = np.array([budget(n) for n in width], np.int64)
+    n = int(last[-1]) + 1 if len(held) else 0
+    begins = np.arange(n) <= last[own[:n]]
+    hashes = [grams(np.frombuffer(h, np.uint8)) for h in held]
     gram = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-    window = np.repeat(np.arange(len(windows)), [len(h) for h in hashes]) if hashes else np.zeros(0, np.int64)
-    offset = np.concatenate([np.arange(len(h)) for h in hashes]) if hashes else np.zeros(0, np.int64)
+    offset = np.concatenate([b + np.arange(len(h)) for b, h in zip(base, hashes)]) if hashes else np.zeros(0, np.int64)
     order = np.argsort(gram, kind="stable")
     unique, first = np.unique(gram[order], return_index=True)
     maybe = np.zeros(1 << FILTER_BITS, bool)
     maybe[unique >> np.uint64(64 - FILTER_BITS)] = True
-    k = np.array([budget(n) for n in length], np.int64)
     return {
-        "item": np.array(items, np.int64), "length": length, "text": filled, "k": k,
-        "least": length - Q + 1 - k * Q, "gram": unique, "first": np.append(first, len(gram)),
-        "window": window[order], "offset": offset[order], "maybe": maybe,
+        "item": np.array(items, np.int64)[own], "length": np.where(begins, width[own[:n]], 0).astype(np.int16), "k": k[own[:n]].astype(np.int16),
+        "text": np.lib.stride_tricks.sliding_window_view(letters, WINDOW), "own": own, "base": base, "last": last, "width": width, "budget": k,
+        "gram": unique, "first": np.append(first, len(gram)), "offset": offset[order], "maybe": maybe,
     }
 
 
@@ -115,15 +118,15 @@ def banded(window: np.ndarray, length: np.ndarray, text: np.ndarray, low: np.nda
 
     ``lo`` and ``hi`` bound the document in ``text``; a window may begin on any diagonal.
     """
-    column = np.arange(width)
-    cost = np.zeros((len(low), width), np.int64)
+    column = np.arange(width, dtype=np.int16)
+    cost = np.zeros((len(low), width), np.int16)
     best = np.full(len(low), 1 << 30)
     end = np.zeros(len(low), np.int64)
-    for i in range(int(length.max())):
-        at = low[:, None] + column + i
-        inside = (at >= lo[:, None]) & (at < hi[:, None])
-        other = np.where(inside, text[np.clip(at, 0, len(text) - 1)], 0)
-        step = cost + (other != window[:, i : i + 1])
+    most = int(length.max())
+    at = low[:, None] + np.arange(width + most)
+    near = np.where((at >= lo[:, None]) & (at < hi[:, None]), text[np.clip(at, 0, len(text) - 1)], 0).astype(np.uint8)
+    for i in range(most):
+        step = cost + (near[:, i : i + width] != window[:, i : i + 1])
         step[:, :-1] = np.minimum(step[:, :-1], cost[:, 1:] + 1)
         cost = np.minimum.accumulate(step - column, axis=1) + column
         done = length == i + 1
@@ -134,8 +137,17 @@ def banded(window: np.ndarray, length: np.ndarray, text: np.ndarray, low: np.nda
     return best, end
 
 
-def regions(data: np.ndarray, offsets: np.ndarray, ix: dict[str, np.ndarray]) -> tuple[np.ndarray, ...]:
-    """(document, window, start, end, edits) of every match; positions are bytes of the compared form."""
+def spread(first: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, number) of the ``many`` numbers from ``first`` on of each row."""
+    row = np.repeat(np.arange(len(first)), many)
+    return row, np.arange(len(row)) + np.repeat(first - np.cumsum(many) + many, many)
+
+
+def regions(data: np.ndarray, offsets: np.ndarray, ix: dict[str, np.ndarray], every: bool = True) -> tuple[np.ndarray, ...]:
+    """(document, window, start, end, edits) of every match; positions are bytes of the compared form.
+
+    Without ``every``, documents with a verbatim window are not searched further.
+    """
     empty = tuple(np.zeros(0, np.int64) for _ in range(5))
     gram = grams(data)
     at = np.flatnonzero(ix["maybe"][gram >> np.uint64(64 - FILTER_BITS)])
@@ -148,38 +160,59 @@ def regions(data: np.ndarray, offsets: np.ndarray, ix: dict[str, np.ndarray]) ->
     doc = np.searchsorted(offsets, at, side="right") - 1
     whole = at + Q <= offsets[doc + 1]
     at, slot, doc = at[whole], slot[whole], doc[whole]
-    first, many = ix["first"][slot], ix["first"][slot + 1] - ix["first"][slot]
-    hit = np.repeat(np.arange(len(at)), many)
-    post = np.repeat(first - np.cumsum(many) + many, many) + np.arange(many.sum())
-    window = ix["window"][post]
-    step = ix["k"][window] + 1
-    band = (at[hit] - ix["offset"][post] + (1 << 20)) // step
-    n_bands = (len(data) + (2 << 20)) + 2
-    keys = np.concatenate([window * n_bands + band, window * n_bands + band - 1])
-    docs = np.concatenate([doc[hit]] * 2)
-    order = np.lexsort((docs, keys))
-    keys, docs = keys[order], docs[order]
-    starts = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (docs[1:] != docs[:-1]))) if len(keys) else np.zeros(0, np.int64)
-    count = np.diff(np.append(starts, len(keys)))
-    keys, docs = keys[starts], docs[starts]
-    window, band = keys // n_bands, keys % n_bands
-    enough = count >= ix["least"][window]
-    window, band, docs = window[enough], band[enough], docs[enough]
-    if not len(window):
+    hit, post = spread(ix["first"][slot], ix["first"][slot + 1] - ix["first"][slot])
+    at, doc, spot = at[hit], doc[hit], ix["offset"][post]
+    if not len(at):
         return empty
-    k = ix["k"][window]
-    low = band * (k + 1) - (1 << 20) - k
+    # q-grams in a row on one diagonal: a window that holds no others is verbatim
+    order = np.lexsort((spot, at - spot))
+    at, doc, spot = at[order], doc[order], spot[order]
+    own, diagonal = ix["own"][spot], at - spot
+    ends = np.flatnonzero(np.append((np.diff(diagonal) != 0) | (np.diff(spot) != 1) | (np.diff(own) != 0), True)) + 1
+    in_row = ends[np.searchsorted(ends, np.arange(len(at)), side="right")] - np.arange(len(at))
+    verbatim = in_row >= ix["width"][own] - Q + 1
+    sure = doc[verbatim], spot[verbatim], at[verbatim], at[verbatim] + ix["width"][own[verbatim]], np.zeros(verbatim.sum(), np.int64)
+    if not every:
+        known = np.zeros(len(offsets), bool)
+        known[sure[0]] = True
+        rest = ~known[doc]
+        at, doc, spot, own, diagonal, verbatim = (x[rest] for x in (at, doc, spot, own, diagonal, verbatim))
+
+    # bands of diagonals, and in each the windows whose count of q-grams reaches the bound
+    shift = len(ix["own"]) + 1
+    band = (diagonal + shift) // (ix["budget"][own] + 1)
+    band, doc, spot, own, verbatim = np.concatenate([band, band - 1]), *(np.concatenate([x, x]) for x in (doc, spot, own, verbatim))
+    order = np.lexsort((spot, band, own, doc))
+    band, doc, spot, own, verbatim = (x[order] for x in (band, doc, spot, own, verbatim))
+    group = np.cumsum(np.append(False, (np.diff(band) != 0) | (np.diff(own) != 0) | (np.diff(doc) != 0))) if len(doc) else doc
+    grams_of = ix["width"][own] - Q + 1
+    later = np.arange(len(doc)) + grams_of - ix["budget"][own] * Q - 1
+    there = np.flatnonzero(later < len(doc))
+    other = later[there]
+    there, other = (x[(group[there] == group[other]) & (spot[other] - spot[there] < grams_of[there])] for x in (there, other))
+    from_ = np.maximum(spot[other] - grams_of[there] + 1, ix["base"][own[there]])
+    upto = np.minimum(spot[there], ix["last"][own[there]])
+    again = np.flatnonzero(group[there][1:] == group[there][:-1]) + 1
+    from_[again] = np.maximum(from_[again], upto[again - 1] + 1)
+    row, window = spread(from_, np.maximum(upto - from_ + 1, 0))
+    row = there[row]
+    size = shift + 1
+    new = ~np.isin(group[row] * size + window, group[verbatim] * size + spot[verbatim])
+    row, window = row[new], window[new]
+    docs, band, k = doc[row], band[row], ix["budget"][own[row]]
+    low = band * (k + 1) - shift - k + window
     edits, end = np.zeros(len(window), np.int64), np.zeros(len(window), np.int64)
     for budget_ in np.unique(k):
-        own = np.flatnonzero(k == budget_)
-        for part in np.array_split(own, len(own) // 4096 + 1):
+        mine = np.flatnonzero(k == budget_)
+        for part in np.array_split(mine, len(mine) // 4096 + 1):
             w = window[part]
             edits[part], end[part] = banded(
                 ix["text"][w], ix["length"][w], data, low[part], offsets[docs[part]], offsets[docs[part] + 1], int(4 * budget_ + 2)
             )
     good = edits <= k
     window, docs, edits, end = window[good], docs[good], edits[good], end[good]
-    return docs, window, np.maximum(end - ix["length"][window], offsets[docs]), end, edits
+    near = docs, window, np.maximum(end - ix["length"][window], offsets[docs]), end, edits
+    return tuple(np.concatenate(x) for x in zip(sure, near))
 
 
 def benchmark_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, bytes]]]:
@@ -254,7 +287,7 @@ def keeper(block: list[tuple[int, bytes]]):
         for batch in pieces(batches, "text"):
             data, offsets, _ = plain(*utf8(batch.column("text")))
             clean = np.ones(batch.num_rows, bool)
-            clean[regions(data, offsets, ix)[0]] = False
+            clean[regions(data, offsets, ix, every=False)[0]] = False
             yield batch.filter(pa.array(clean))
 
     return run

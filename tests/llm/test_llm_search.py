@@ -131,6 +131,18 @@ def test_leaks_against_full_alignment(spark, exam):
     assert kept == set(range(len(texts))) - {i for i, _ in want}
 
 
+def test_every_80_bytes_of_an_item_are_found(spark):
+    rng = random.Random(9)
+    item = " ".join("".join(rng.choice("abcdefghijklmno") for _ in range(rng.randrange(2, 9))) for _ in range(50))
+    assert len(compared(item)) == len(item) > 200
+    parts = [item[s : s + 80] for s in range(len(item) - 79)]
+    texts = [f"xyz{p}zyx" for p in parts] + [f"xyz{p[:60]}zyx{p[61:]}" for p in parts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert {r.doc_id for r in decontam.leaks(docs, benchmark).collect()} == set(range(len(texts)))
+    assert decontam.drop_contaminated(docs, benchmark).count() == 0
+
+
 def test_positions_of_a_leak(spark):
     item = "the quick brown fox jumps over the lazy dog and then runs home to sleep for a very long while indeed"
     docs = spark.createDataFrame([(1, "Ünïcode före: " + item.upper() + ". Ende"), (2, "nothing")], "doc_id long, text string")
