@@ -1,5 +1,6 @@
 """Fingerprints and groups against brute force."""
 
+import math
 import random
 
 import numpy as np
@@ -134,11 +135,12 @@ def test_sketch_measures_similarity():
 
 
 def block_edited(rng, words, similarity, shape):
-    """A copy whose five-word shingles have about this similarity: one block is cut off, appended or inserted."""
+    """A copy whose five-word shingles have just this similarity or more: one block is cut off, appended or inserted."""
     n = len(words)
     if shape == "truncated":
-        return words[: round((n - 4) * similarity) + 4]
-    new = [f"n{rng.getrandbits(40)}" for _ in range(round((n - 4) * (1 / similarity - 1)) - (4 if shape == "inserted" else 0))]
+        return words[: math.ceil((n - 4) * similarity) + 4]
+    grown = (n - 8) / similarity - n if shape == "inserted" else (n - 4) / similarity - (n - 4)
+    new = [f"n{rng.getrandbits(40)}" for _ in range(int(grown + 1e-9))]
     at = n if shape == "appended" else n // 2
     return words[:at] + new + words[at:]
 
@@ -156,3 +158,32 @@ def test_block_edited_copies_are_found(spark):
     share = {k: np.mean([got[i + 1] == i for i, own in kind.items() if own == k]) for k in set(kind.values())}
     print(sorted(share.items()))
     assert all(x >= (0.7 if s == 0.8 else 0.95) for (s, _), x in share.items())
+
+
+def test_links_are_the_exact_similarity(spark):
+    rng = random.Random(13)
+    rows, near = [], {}
+    for similarity in (0.72, 0.75, 0.78, 0.8, 0.82):
+        for shape in ("truncated", "appended", "inserted"):
+            for _ in range(30):
+                words = [f"w{rng.getrandbits(40)}" for _ in range(200)]
+                copy = block_edited(rng, words, similarity, shape)
+                a, b = ({tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in (words, copy))
+                near[len(rows)] = 5 * len(a & b) >= 4 * len(a | b)
+                rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(copy))]
+    got = {r.doc_id: r.component_id for r in S.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not any(got[i + 1] == i for i, is_near in near.items() if not is_near)
+    assert sum(got[i + 1] == i for i, is_near in near.items() if is_near) >= 0.98 * sum(near.values())
+
+
+def test_a_failed_spanning_link_hides_none(spark, monkeypatch):
+    # without the filter of bits, each bucket is spanned by links that fail and links that hold
+    rng = random.Random(14)
+    base = [f"w{rng.getrandbits(40)}" for _ in range(300)]
+    cuts = [base[at : at + 240] for at in range(0, 61, 6)] + [base[:220], base[80:]]
+    texts = [" ".join(c) for c in cuts]
+    sets = [{tuple(c[i : i + 5]) for i in range(len(c) - 4)} for c in cuts]
+    links = [(i, j) for i in range(len(cuts)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    want = S.union(len(cuts), *np.array(links).T).tolist()
+    got = {r.doc_id: r.component_id for r in S.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), total=512).collect()}
+    assert [got[i] for i in range(len(cuts))] == want
