@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 #: Bytes of one Arrow batch sent to a Python worker, so that long texts cannot fill its memory.
 BATCH_BYTES = 8 << 20
 BATCH_ROWS = 2000
+Store = TypeVar("Store")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,3 +66,33 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str, size: int = 1 << 20) ->
 def lowered(data: np.ndarray) -> np.ndarray:
     """A-Z to a-z, all other bytes as they are."""
     return np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
+
+
+def served(
+    batches: Iterator[pa.RecordBatch],
+    build: Callable[[pa.Table], Store],
+    answer: Callable[[Store, pa.RecordBatch], Iterator[pa.RecordBatch]],
+) -> Iterator[pa.RecordBatch]:
+    """Answers rows of kind 1 from what their shard's rows of kind 0 are built into.
+
+    Rows come sorted by ``shard`` and ``kind``. Only one shard is held; the asking rows stream past
+    it. A shard without rows of kind 0 answers nothing.
+    """
+    shard, store, held = None, None, []
+    for batch in batches:
+        key = batch.column("shard").to_numpy().astype(np.int64) * 2 + batch.column("kind").to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]
+        for start, stop in zip(cuts, cuts[1:]):
+            if start == stop:
+                continue
+            part = batch.slice(start, stop - start)
+            own, kind = divmod(int(key[start]), 2)
+            if own != shard:
+                shard, store, held = own, None, []
+            if kind == 0:
+                held.append(part)
+                continue
+            if held:
+                store, held = build(pa.Table.from_batches(held)), []
+            if store is not None:
+                yield from answer(store, part)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobloom.llm import chat, mixing, quality, secrets, toxicity
+from jobloom.llm import bestposition, chat, mixing, quality, secrets, toxicity
 from jobloom.llm.balltree import top_k
 from jobloom.llm.brown import score_texts
 from jobloom.llm.common import table
@@ -65,6 +65,10 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.findings(table(spark, sf_dir, "documents"), secrets.forest(spark))
 
 
+def op13_bestposition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bestposition.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_mixing": op1_mixing,
     "op2_language": op2_language,
@@ -76,8 +80,10 @@ QUERIES: dict[str, Query] = {
     "op8_simhash": op8_simhash,
     "op9_toxicity": op9_toxicity,
     "op10_secrets": op10_secrets,
+    "op13_bestposition": op13_bestposition,
 }
 ORACLES: dict[str, str] = {
+    "op13_bestposition": bestposition.ORACLE,
     "op1_mixing": mixing.oracle(),
     "op6_chat": r"""
         WITH t AS (
