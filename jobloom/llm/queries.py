@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobloom.llm import bestposition, chat, mixing, quality, secrets, toxicity
+from jobloom.llm import bestposition, chat, kronecker, mixing, quality, secrets, toxicity
 from jobloom.llm.balltree import top_k
 from jobloom.llm.brown import score_texts
 from jobloom.llm.common import table
@@ -65,6 +65,12 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.findings(table(spark, sf_dir, "documents"), secrets.forest(spark))
 
 
+def op11_kronecker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return kronecker.mine(rows.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
 def op13_bestposition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bestposition.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -80,9 +86,11 @@ QUERIES: dict[str, Query] = {
     "op8_simhash": op8_simhash,
     "op9_toxicity": op9_toxicity,
     "op10_secrets": op10_secrets,
+    "op11_kronecker": op11_kronecker,
     "op13_bestposition": op13_bestposition,
 }
 ORACLES: dict[str, str] = {
+    "op11_kronecker": kronecker.ORACLE,
     "op13_bestposition": bestposition.ORACLE,
     "op1_mixing": mixing.oracle(),
     "op6_chat": r"""
