@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobloom.llm import bestposition, chat, kronecker, mixing, quality, secrets, toxicity
+from jobloom.llm import bestposition, chat, kronecker, mixing, pii, quality, secrets, toxicity
 from jobloom.llm.balltree import top_k
 from jobloom.llm.brown import score_texts
 from jobloom.llm.common import table
@@ -71,6 +71,10 @@ def op11_kronecker(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kronecker.mine(rows.withColumn("label", moved), F.col("vec_id") % 100 == 0)
 
 
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
 def op13_bestposition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bestposition.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -87,6 +91,7 @@ QUERIES: dict[str, Query] = {
     "op9_toxicity": op9_toxicity,
     "op10_secrets": op10_secrets,
     "op11_kronecker": op11_kronecker,
+    "op12_pii": op12_pii,
     "op13_bestposition": op13_bestposition,
 }
 ORACLES: dict[str, str] = {
