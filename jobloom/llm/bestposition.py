@@ -29,14 +29,11 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from jobloom.llm.common import bounded_batches, pieces, served
+from jobloom.llm.common import MAP_BITS, bit_map, bounded_batches, pieces, served
 from jobloom.session import scratch
 
 #: Postings of one shard; what a task holds follows from it.
 SHARD_POSTINGS = 2_000_000
-#: Bits of the map of asked terms, whatever the number of items: 2 MB.
-MAP_BITS = 1 << 24
-BUCKET_BITS = 1 << 15
 #: Terms whose place in the map a task remembers.
 REMEMBERED = 200_000
 #: Positions read from each list in the first step; each further step reads twice as many.
@@ -64,16 +61,6 @@ def asked_items(items: DataFrame) -> DataFrame:
     return cut.select("item_id", F.explode("terms").alias("term")).groupBy("item_id", "term").agg(F.count(F.lit(1)).alias("times"))
 
 
-def term_map(asked: DataFrame) -> np.ndarray:
-    """A bit map of the asked terms by hash: ``MAP_BITS`` / 8 bytes, however many there are."""
-    place = F.pmod(F.xxhash64("term"), F.lit(MAP_BITS))
-    parts = asked.groupBy(F.floor(place / BUCKET_BITS).alias("bucket")).agg(F.bitmap_construct_agg(place % BUCKET_BITS).alias("bits"))
-    whole = np.zeros((MAP_BITS // BUCKET_BITS, BUCKET_BITS // 8), np.uint8)
-    for row in parts.collect():
-        whole[row.bucket] = np.frombuffer(row.bits, np.uint8)
-    return whole.reshape(-1)
-
-
 def postings(docs: DataFrame, bits: np.ndarray) -> DataFrame:
     """(spread, doc_id, n, terms, counts): per document with terms, those that the map holds and their counts."""
     bounded_batches(docs.sparkSession)
@@ -202,7 +189,7 @@ def rank_documents(docs: DataFrame, items: DataFrame, k: int = 20, shard_posting
     asked_items(items).write.parquet(path)
     asked = spark.read.parquet(path)
     path = scratch(spark, "postings")
-    postings(docs, term_map(asked)).write.parquet(path)
+    postings(docs, bit_map(asked.select(F.xxhash64("term")))).write.parquet(path)
     found = spark.read.parquet(path)
     total = found.agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("words"), F.coalesce(F.sum(F.size("terms")), F.lit(0)).alias("held")).first()
     count, words = total.docs, total.words

@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 BATCH_BYTES = 8 << 20
 BATCH_ROWS = 2000
 Store = TypeVar("Store")
+#: Bits of a map of hashes, in buckets of one aggregate each: 2 MB.
+MAP_BITS = 1 << 24
+BUCKET_BITS = 1 << 15
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +71,16 @@ def lowered(data: np.ndarray) -> np.ndarray:
     return np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
 
 
+def bit_map(hashes: DataFrame) -> np.ndarray:
+    """A bit map of a column of hashes: ``MAP_BITS`` / 8 bytes, however many rows there are."""
+    place = F.pmod(F.col(hashes.columns[0]), F.lit(MAP_BITS))
+    parts = hashes.groupBy(F.floor(place / BUCKET_BITS).alias("bucket")).agg(F.bitmap_construct_agg(place % BUCKET_BITS).alias("bits"))
+    whole = np.zeros((MAP_BITS // BUCKET_BITS, BUCKET_BITS // 8), np.uint8)
+    for row in parts.collect():
+        whole[row.bucket] = np.frombuffer(row.bits, np.uint8)
+    return whole.reshape(-1)
+
+
 def served(
     batches: Iterator[pa.RecordBatch],
     build: Callable[[pa.Table], Store],

@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jobloom.llm.common import bounded_batches
@@ -36,16 +36,6 @@ SEED = 42
 FRONTIER = 1 << 18
 #: Pairs of nodes with at most this many rows are compared outright.
 LEAF_PAIRS = 16
-#: Pairs with one document that are verified in one part.
-HUB = 500
-#: Ids that may be broadcast (8 bytes each); more are joined by shuffle.
-BROADCAST_IDS = 1_000_000
-#: Bits that decide on near copies, with their hash functions.
-SKETCH = 512
-SKETCH_NAMES = [f"s{i}" for i in range(SKETCH // 64)]
-#: Candidates share one of ``BANDS`` keys of ``BAND_ROWS`` minima: at a similarity of 0.8, 0.9993 of pairs do.
-BANDS, BAND_ROWS = 24, 6
-FACTORS, SHIFTS = np.random.default_rng(21).integers(1, 1 << 32, (2, SKETCH)).astype(np.uint32) | np.uint32(1)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -76,14 +66,6 @@ def majority(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(counts * 2 > len(hashes)).tobytes(), "big")
 
 
-def mixed(hashes: np.ndarray, salt: int) -> np.ndarray:
-    """Another hash of the same items: a finaliser over hash and salt."""
-    with np.errstate(over="ignore"):
-        h = hashes + np.uint64((salt * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)
-        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return h ^ (h >> np.uint64(31))
-
 
 def signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
@@ -101,62 +83,8 @@ def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, f0 long")
 
 
-def minima(hashes: np.ndarray) -> np.ndarray:
-    """The least of the hashes under each of ``SKETCH`` hash functions; two sets agree in each with the odds of their similarity."""
-    short = (hashes >> np.uint64(32)).astype(np.uint32)
-    least = np.full(SKETCH, np.iinfo(np.uint32).max, np.uint32)
-    held = np.empty((256, SKETCH), np.uint32)
-    for start in range(0, len(short), len(held)):
-        part = short[start : start + len(held)]
-        tried = held[: len(part)]
-        np.multiply(part[:, None], FACTORS, out=tried)
-        tried += SHIFTS
-        np.minimum(least, tried.min(axis=0), out=least)
-    return least
-
-
-def bits_of(least: np.ndarray) -> list[int]:
-    """One bit of each minimum, 64 to a number."""
-    bits = np.packbits(((least >> np.uint32(9)) & np.uint32(1)).astype(np.uint8))
-    return np.frombuffer(bits.tobytes(), ">u8").astype(np.uint64).tolist()
 
 
-def sketch(hashes: np.ndarray) -> list[int]:
-    """``SKETCH`` bits of the set of hashes, 64 to a number: one bit of each of as many minimum hashes.
-
-    Two sets with a similarity of s differ in (1 - s) / 2 of the bits on average.
-    """
-    return bits_of(minima(hashes)) if len(hashes) else [0] * (SKETCH // 64)
-
-
-def shingle_prints(docs: DataFrame, size: int = 5) -> DataFrame:
-    """(doc_id, d0, d1, s0.., bands): digest, sketch and ``BANDS`` band keys of the set of ``size``-word shingles.
-
-    A band key is a hash of ``BAND_ROWS`` minima, so two sets of similarity s share each key with odds s ** ``BAND_ROWS``.
-    """
-    bounded_batches(docs.sparkSession)
-    names = ["d0", "d1", *SKETCH_NAMES]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, bands = [], []
-            for text in batch.column(1).to_pylist():
-                hashes = np.unique(shingle_hashes(words_of(text), size))
-                least = minima(hashes)
-                digest = xxhash.xxh3_128_intdigest(hashes.tobytes())
-                found = [digest >> 64, digest & (1 << 64) - 1] + bits_of(least)
-                rows.append([signed(f) for f in found])
-                parts = least[: BANDS * BAND_ROWS].reshape(BANDS, BAND_ROWS)
-                bands.append([signed(xxhash.xxh64_intdigest(p.tobytes(), i)) for i, p in enumerate(parts)])
-            columns = np.array(rows, np.int64).reshape(-1, len(names))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(columns[:, i]) for i in range(len(names))), pa.array(bands, pa.list_(pa.int64()))],
-                ["doc_id", *names, "bands"],
-            )
-
-    schema = ", ".join(["doc_id long", *(f"{n} long" for n in names), "bands array<long>"])
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
-
 
 def union(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Least position of the component of each of n positions under the links a-b."""
@@ -176,21 +104,6 @@ def union(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def forest(n: int, a: np.ndarray, b: np.ndarray, cost: np.ndarray) -> np.ndarray:
-    """Which of the links a-b span their components at the least cost."""
-    order = np.argsort(cost, kind="stable")
-    taken = np.zeros(len(a), bool)
-    while True:
-        label = union(n, a[taken], b[taken])
-        x, y = label[a[order]], label[b[order]]
-        order, x, y = order[x != y], x[x != y], y[x != y]
-        if not len(order):
-            return taken
-        best = np.full(n, len(order))
-        np.minimum.at(best, x, np.arange(len(order)))
-        np.minimum.at(best, y, np.arange(len(order)))
-        taken[order[np.unique(best[best < len(order)])]] = True
-
 
 def trie_links(starts: np.ndarray, value: np.ndarray, full: np.ndarray, budget: int, total: int) -> np.ndarray:
     """Component label (least position) of each row under links inside buckets."""
@@ -199,13 +112,9 @@ def trie_links(starts: np.ndarray, value: np.ndarray, full: np.ndarray, budget:
     return union(n, a, b)
 
 
-def trie_pairs(
-    starts: np.ndarray, value: np.ndarray, full: np.ndarray, budget: int, total: int, known: np.ndarray | None = None
-) -> tuple[np.ndarray, np.ndarray]:
+def trie_pairs(starts: np.ndarray, value: np.ndarray, full: np.ndarray, budget: int, total: int) -> tuple[np.ndarray, np.ndarray]:
     """(a, b): linked rows inside buckets, enough to span each component.
 
-    With ``known``, the component of each row, every linked pair of two components instead.
-
     Rows of a bucket are adjacent and sorted by ``value``; ``starts`` holds the first position
     of each bucket. Two rows link if their values differ in at most ``budget`` bits and the
     rows of ``full`` in at most ``total``.
@@ -227,14 +136,14 @@ def trie_pairs(
     found: list[tuple[np.ndarray, np.ndarray]] = []
     bucket = np.repeat(np.arange(len(starts)), ends - starts)
     rows = np.concatenate([np.arange(s, e) for s, e in zip(starts, ends)])
-    for step in (1, 2) if known is None else ():
+    for step in (1, 2):
         same = bucket[step:] == bucket[:-step]
         found.append(linked(rows[:-step][same], rows[step:][same]))
-    for s, e in zip(starts[ends - starts > 64], ends[ends - starts > 64]) if known is None else ():
+    for s, e in zip(starts[ends - starts > 64], ends[ends - starts > 64]):
         centre = np.uint64(majority(value[s:e]))
         middle = s + int(np.argmin(np.bitwise_count(value[s:e] ^ centre)))
         found.append(linked(np.full(e - s, middle), np.arange(s, e)))
-    label = known if known is not None else union(n, np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]))
+    label = union(n, np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]))
     change = np.flatnonzero(np.append(label[1:] != label[:-1], True)) + 1
     run_end = change[np.searchsorted(change, np.arange(n), side="right")]
 
@@ -320,97 +229,8 @@ def near_links(classes: DataFrame, tables: list[str], decide: list[str], budget:
     return bucket_links(rows, decide_by, budget, total)
 
 
-def band_pairs(classes: DataFrame, total: int, known: str | None = None) -> DataFrame:
-    """(a, b, apart): pairs in a band whose sketches differ in at most ``total`` bits, a > b.
 
-    Enough pairs of each bucket to span its components; with ``known``, the column of a component, all pairs of
-    two components.
-    """
-    bounded_batches(classes.sparkSession)
-    own = [known] if known else []
-    rows = classes.select("rep", *own, *SKETCH_NAMES, F.posexplode("bands").alias("m", "k"))
-    dealt = rows.repartition("k").sortWithinPartitions("k")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in whole_keys(batches):
-            order = np.lexsort((part["s0"].view(np.uint64), part["m"], part["k"]))
-            key, rep, m = part["k"][order], part["rep"][order], part["m"][order]
-            full = np.stack([part[c][order].view(np.uint64) for c in SKETCH_NAMES], 1)
-            starts = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (m[1:] != m[:-1])))
-            a, b = trie_pairs(starts, full[:, 0].copy(), full, 64, total, part[known][order] if known else None)
-            apart = np.bitwise_count(full[a] ^ full[b]).sum(axis=1, dtype=np.int64)
-            if not known:
-                taken = forest(len(rep), a, b, apart)
-                a, b, apart = a[taken], b[taken], apart[taken]
-            a, b, apart = (x[rep[a] != rep[b]] for x in (rep[a], rep[b], apart)) if len(a) else (rep[a], rep[b], apart)
-            for at in range(0, len(a), FRONTIER):
-                x, y = a[at : at + FRONTIER], b[at : at + FRONTIER]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y)), pa.array(apart[at : at + FRONTIER])], ["a", "b", "apart"]
-                )
-
-    return dealt.mapInArrow(run, "a long, b long, apart long").groupBy("a", "b").agg(F.min("apart").alias("apart"))
-
-
-def verified(pairs: DataFrame, docs: DataFrame, size: int = 5) -> DataFrame:
-    """(a, b, near): whether the shingle sets of two documents have a similarity of 0.8 or more, read from their texts."""
-    bounded_batches(docs.sparkSession)
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(ids, "doc_id", "left_semi")
-    texts = texts.groupBy("doc_id").agg(F.collect_set(F.coalesce("text", F.lit(""))).alias("texts"))
-    # a document that many are paired with is dealt out in parts
-    heavy = pairs.groupBy("b").count().filter(F.col("count") > HUB).select(F.col("b").alias("doc_id"), (F.col("count") / HUB).cast("int").alias("parts"))
-    heavy = F.broadcast(heavy.checkpoint())
-    left = pairs.join(heavy.withColumnRenamed("doc_id", "b"), "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"))
-    right = texts.join(heavy, "doc_id", "left").select(F.col("doc_id").alias("b"), F.col("texts").alias("tb"), F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
-    both = left.join(texts.select(F.col("doc_id").alias("a"), F.col("texts").alias("ta")), "a").join(right, ["b", "part"]).select("a", "b", "ta", "tb")
-
-    def sets(texts: list[str]) -> list[np.ndarray]:
-        return [np.unique(shingle_hashes(words_of(t), size)) for t in texts]
-
-    def near(x: np.ndarray, y: np.ndarray) -> bool:
-        common = len(np.intersect1d(x, y, assume_unique=True))
-        return 5 * common >= 4 * (len(x) + len(y) - common)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pairs_ = zip(batch.column(2), batch.column(3))
-            good = [any(near(x, y) for x in sets(a.as_py()) for y in sets(b.as_py())) for a, b in pairs_]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(good, pa.bool_())], ["a", "b", "near"])
-
-    return both.mapInArrow(run, "a long, b long, near boolean")
-
-
-def across(pairs: DataFrame, groups: DataFrame, judged: DataFrame) -> DataFrame:
-    """The pairs (a, b) of two groups that are not judged yet."""
-    ga, gb = (groups.select(F.col("node").alias(x), F.col("group").alias(f"g{x}")) for x in "ab")
-    left = pairs.join(ga, "a", "left").join(gb, "b", "left").filter(F.coalesce("ga", "a") != F.coalesce("gb", "b"))
-    return left.select("a", "b").join(judged.select("a", "b"), ["a", "b"], "left_anti")
-
-
-def near_groups(classes: DataFrame, docs: DataFrame, total: int) -> DataFrame:
-    """(node, group): components of the classes under verified links."""
-    pairs = band_pairs(classes, total).checkpoint()
-    judged = verified(pairs.groupBy("a").agg(F.min_by("b", F.struct("apart", "b")).alias("b")), docs).checkpoint()
-    groups = connected_groups(judged.filter("near")).checkpoint()
-    rest = across(pairs, groups, judged).checkpoint()
-    if not rest.isEmpty():
-        judged = judged.unionByName(verified(rest, docs)).checkpoint()
-        groups = connected_groups(judged.filter("near")).checkpoint()
-    failed = judged.filter("not near")
-    if failed.isEmpty():
-        return groups
-    # a spanning link that fails may hide one that holds: there, all pairs of two groups are judged
-    loose = connected_groups(pairs).checkpoint()
-    doubtful = loose.join(failed.select(F.col("a").alias("node")), "node").select("group").distinct()
-    nodes = loose.join(doubtful, "group", "left_semi").select(F.col("node").alias("rep"))
-    named = groups.select(F.col("node").alias("rep"), F.col("group").alias("c"))
-    again = classes.join(nodes, "rep", "left_semi").join(named, "rep", "left").withColumn("c", F.coalesce("c", "rep"))
-    rest = across(band_pairs(again, total, "c"), groups, judged).checkpoint()
-    if rest.isEmpty():
-        return groups
-    more = verified(rest, docs).checkpoint()
-    return connected_groups(judged.unionByName(more).filter("near"))
 
 
 def bucket_links(rows: DataFrame, decide_by: list[str], budget: int, total: int) -> DataFrame:
@@ -478,42 +298,3 @@ def simhash_components(docs: DataFrame, size: int = 3, budget: int = 2) -> DataF
     text = F.lower(F.lpad(F.hex("f0"), 16, "0"))
     return found.select("doc_id", text.alias("fingerprint"), "component_id")
 
-
-def near_duplicates(docs: DataFrame, total: int = 76) -> DataFrame:
-    """(doc_id, component_id) of near copies: five-word shingles with a similarity of 0.8 or more.
-
-    Candidates share a band of minima of the shingle set, whatever the shape of the edit, and differ in
-    at most ``total`` of the 512 bits of the sketch: at 0.8 about 51 do, and more than 76 in under one of
-    a thousand pairs. The shingle sets of the texts decide. Equal shingle sets are one class.
-    """
-    ensure_checkpoint_dir(docs.sparkSession)
-    prints = shingle_prints(docs).checkpoint()
-    kept = [F.any_value(c).alias(c) for c in [*SKETCH_NAMES, "bands"]]
-    classes = prints.groupBy("d0", "d1").agg(F.min("doc_id").alias("rep"), *kept).checkpoint()
-    groups = near_groups(classes.filter(F.col("rep").isNotNull()), docs, total)
-    named = classes.join(groups, classes.rep == groups.node, "left").select("d0", "d1", F.coalesce("group", "rep").alias("component_id"))
-    return prints.select("doc_id", "d0", "d1").join(named.checkpoint(), ["d0", "d1"]).select("doc_id", "component_id")
-
-
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents with one of each group of near copies, the least doc_id; all columns as they are.
-
-    Rows with a null doc_id are not judged and stay. Rows that share a doc_id are one
-    document; the least of their texts stays.
-    """
-    found = near_duplicates(docs)
-    # a document goes if none of its rows is its group's least
-    gone = found.groupBy("doc_id").agg(F.min(F.col("component_id") < F.col("doc_id")).alias("gone")).filter("gone")
-    gone = gone.select(F.col("doc_id").alias("_gone_doc")).checkpoint()
-    few = gone.count() <= BROADCAST_IDS
-    key = F.col("doc_id").cast("long")
-    left = docs.join(F.broadcast(gone) if few else gone, key == F.col("_gone_doc"), "left_anti")
-    ids = docs.filter("doc_id is not null").groupBy(key.alias("_same_doc")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_same_doc")
-    if ids.isEmpty():
-        return left
-    ids = ids.checkpoint()
-    single = left.join(ids, key == F.col("_same_doc"), "left_anti")
-    order = Window.partitionBy("doc_id").orderBy("text")
-    rows = left.join(ids, key == F.col("_same_doc"), "left_semi").select(F.struct(*docs.columns).alias("_row"), "doc_id", "text")
-    first = rows.withColumn("_k", F.row_number().over(order)).filter("_k = 1").select("_row.*")
-    return single.unionByName(first)

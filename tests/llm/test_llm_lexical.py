@@ -6,8 +6,10 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark.sql import functions as F
 
-from jobloom.llm import bestposition
+from jobloom.llm import common
 from jobloom.llm.bestposition import ImpactLists, rank_documents, terms_of
 
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -87,8 +89,8 @@ def test_search_stops_early_and_only_strictly_below():
 
 def test_map_has_no_false_misses(spark):
     asked = spark.range(5000).selectExpr("concat('t', id) AS term", "id AS item_id")
-    bits = bestposition.term_map(asked)
-    assert len(bits) == bestposition.MAP_BITS // 8
-    place = [bestposition.xxhash.xxh64_intdigest(f"t{i}".encode(), 42) & (bestposition.MAP_BITS - 1) for i in range(5000)]
+    bits = common.bit_map(asked.select(F.xxhash64("term")))
+    assert len(bits) == common.MAP_BITS // 8
+    place = [xxhash.xxh64_intdigest(f"t{i}".encode(), 42) & (common.MAP_BITS - 1) for i in range(5000)]
     assert all(bits[p >> 3] >> (p & 7) & 1 for p in place)
     assert int(np.unpackbits(bits).sum()) == len(set(place))

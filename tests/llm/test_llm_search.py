@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from jobloom.llm import balltree, decontam, mixing, quality, simhash
+from jobloom.llm import balltree, decontam, mixing, neardup, quality
 from jobloom.llm.common import table, utf8
 from jobloom.llm.queries import ORACLES
 
@@ -181,7 +181,7 @@ def test_pipeline_stages_do_what_their_operators_find(spark, small):
     scored = {r.doc_id: r.predicted for r in quality.assess(docs, table(spark, small, "labels")).collect()}
     good = corpus_pipeline.quality_stage(spark, docs, small).checkpoint()
     assert {r.doc_id for r in good.collect()} == {i for i, p in scored.items() if p}
-    groups = {r.doc_id: r.component_id for r in simhash.near_duplicates(good).collect()}
+    groups = {r.doc_id: r.component_id for r in neardup.near_duplicates(good).collect()}
     single = corpus_pipeline.dedup_stage(spark, good, small).checkpoint()
     assert {r.doc_id for r in single.collect()} == set(groups.values())
     leaked = {r.doc_id for r in decontam.leaks(single, table(spark, small, "benchmark")).collect()}
