@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from jobloom.operators.windows import split_join
 from jobloom.session import ensure_checkpoint_dir
 
 
@@ -12,14 +13,14 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Links every larger neighbour of a node to the smallest node it can see."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return both.join(least, "a").filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return split_join(both, least, ["a"], "inner").filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Links a node and its smaller neighbours to the smallest of them."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    moved = split_join(down, least, ["a"], "inner").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select("a", F.col("m").alias("b")))
 
 
@@ -32,8 +33,9 @@ def connected_groups(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
 
     Alternates the two star steps, so the number of rounds grows with the logarithm
     of a group's size, and checkpoints every round to the shared folder: no lineage
-    builds up and a lost executor costs no recomputed rounds. Minimums combine on
-    the map side, so a hub with a third of all links stays one number per task.
+    builds up and a lost executor costs no recomputed rounds. A hub with a third of all links is split:
+    its minimum combines on the map side, and the join that brings it back to the links deals
+    them anew, so that adaptive execution cuts the hub's share into parts.
     """
     ensure_checkpoint_dir(edges.sparkSession)
     current = _tidy(edges.select(F.col(edges.columns[0]).alias("a"), F.col(edges.columns[1]).alias("b"))).checkpoint()

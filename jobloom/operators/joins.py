@@ -163,35 +163,102 @@ def title_key(title: Column | str) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
 
 
-def similarity(a: Column, b: Column) -> Column:
-    """0..100, the share of common words among all words of two texts; linear in their length."""
+def vacancy_words(title: Column | str = "title", description: Column | str = "description") -> Column:
+    """The distinct words of title and description, in order."""
+    text = F.lower(F.concat_ws(" ", title, description))
+    return F.sort_array(F.array_distinct(F.filter(F.split(text, r"[^\p{L}\p{N}]+"), lambda w: w != "")))
+
+
+def word_classes(vacancies: DataFrame) -> DataFrame:
+    """(company_id, words, first, size) per distinct word set of a company; ``first`` is its oldest vacancy."""
+    rows = vacancies.filter(F.col("company_id").isNotNull()).select("company_id", "vacancy_id", "created_at", vacancy_words().alias("words"))
+    rows = rows.filter(F.size("words") > 0)
+    return rows.groupBy("company_id", "words").agg(
+        F.min(F.struct("created_at", "vacancy_id")).alias("first"), F.size(F.first("words")).alias("size")
+    )
+
+
+def by_rarity(classes: DataFrame) -> DataFrame:
+    """The classes with ``ranked``, their words from the rarest of the company to the most frequent."""
+    id_ = F.col("first.vacancy_id").alias("node")
+    each = classes.select("company_id", id_, F.explode("words").alias("word"))
+    held = each.groupBy("company_id", "word").agg(F.count(F.lit(1)).alias("held"))
+    met = windows.split_join(each, held, ["company_id", "word"], "inner")
+    ranked = met.groupBy("node").agg(F.transform(F.sort_array(F.collect_list(F.struct("held", "word"))), lambda x: x.word).alias("ranked"))
+    return classes.withColumn("node", F.col("first.vacancy_id")).join(ranked, "node")
+
 
-    def words(text: Column) -> Column:
-        return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
+def similar_classes(classes: DataFrame, least: int = 80) -> DataFrame:
+    """(a, b, common, every): classes of one company whose word sets have a similarity of ``least`` hundredths or more.
 
-    common, every = F.size(F.array_intersect(words(a), words(b))), F.size(F.array_union(words(a), words(b)))
-    return F.when(every == 0, 100).otherwise(F.floor(common * 100 / every + 0.5))
+    Two sets that alike share one of their rarest words: of n words the first n - ceil(least n / 100) + 1. Only
+    those are joined, and a pair is made at the first such word alone. Where the words that
+    follow a shared one, or the sizes, are too few for the similarity, the pair goes at once. The
+    whole sets decide. ``a`` holds the older vacancy.
+    """
+    ranked = by_rarity(classes).select("company_id", "node", "first", "size", "ranked")
+    need = F.ceil(F.col("size") * least / 100).cast("int")
+    short = F.slice("ranked", 1, F.col("size") - need + 1)
+    index = ranked.select("company_id", "node", "first", "size", short.alias("prefix"), F.posexplode(short).alias("at", "word"))
+    a, b = index.alias("a"), index.alias("b")
+    total = F.col("a.size") + F.col("b.size")
+    # common >= least / (100 + least) of both sizes together
+    enough = (100 + least) * F.least(F.col("a.size") - F.col("a.at"), F.col("b.size") - F.col("b.at")) >= least * total
+    sizes = (100 * F.col("a.size") >= least * F.col("b.size")) & (100 * F.col("b.size") >= least * F.col("a.size"))
+    once = F.element_at(F.array_intersect("a.prefix", "b.prefix"), 1) == F.col("a.word")
+    same = (F.col("a.company_id") == F.col("b.company_id")) & (F.col("a.word") == F.col("b.word"))
+    met = a.join(b, same & (F.col("a.first") < F.col("b.first")) & sizes & enough)
+    pairs = met.filter(once).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
+    left, right = (ranked.select(F.col("node").alias(x), F.col("ranked").alias(f"words_{x}")) for x in "ab")
+    both = windows.split_join(windows.split_join(pairs, left, ["a"], "inner"), right, ["b"], "inner")
+    common = F.size(F.array_intersect("words_a", "words_b"))
+    sized = both.select("a", "b", common.alias("common"), (F.size("words_a") + F.size("words_b") - common).alias("every"))
+    return sized.filter(100 * F.col("common") >= least * F.col("every"))
+
+
+def similar_pairs(vacancies: DataFrame, least: int = 80) -> DataFrame:
+    """(original_id, duplicate_id, similarity) of the vacancies of one company with similar words, the older one first.
+
+    Vacancies with one and the same word set are a class: each is paired with its oldest, and only the oldest
+    of two classes are paired with each other, so that copies make no more pairs than there are copies.
+    """
+    classes = word_classes(vacancies)
+    rows = vacancies.select("company_id", "vacancy_id", vacancy_words().alias("words"))
+    members = windows.split_join(rows, classes.select("company_id", "words", F.col("first.vacancy_id").alias("original_id")), ["company_id", "words"], "inner")
+    copies = members.filter(F.col("vacancy_id") != F.col("original_id"))
+    copies = copies.select("original_id", F.col("vacancy_id").alias("duplicate_id"), F.lit(100).cast("bigint").alias("similarity"))
+    near = similar_classes(classes, least)
+    share = F.floor(F.col("common") * 100 / F.col("every") + 0.5)
+    return copies.unionByName(near.select(F.col("a").alias("original_id"), F.col("b").alias("duplicate_id"), share.alias("similarity")))
 
 
-def duplicate_pairs(vacancies: DataFrame) -> DataFrame:
-    """(original, duplicate) for vacancies of one company with the same title.
+def title_pairs(vacancies: DataFrame) -> DataFrame:
+    """(original_id, duplicate_id, similarity) for vacancies of one company with the same title.
 
     Every copy is paired with its group's oldest row only: as many pairs as
     copies, where pairing all of a hot group with each other would be quadratic.
     """
-    rows = vacancies.filter(F.col("title").isNotNull()).withColumn("_title", title_key("title"))
+    rows = vacancies.filter(F.col("title").isNotNull()).withColumn("_title", title_key("title")).withColumn("_words", vacancy_words())
     oldest = rows.groupBy("company_id", "_title").agg(
-        F.min_by(F.struct("vacancy_id", "description"), F.struct("created_at", "vacancy_id")).alias("_first")
+        F.min_by(F.struct("vacancy_id", F.col("_words").alias("words")), F.struct("created_at", "vacancy_id")).alias("_first")
     )
+    common = F.size(F.array_intersect("_words", "_first.words"))
+    every = F.size("_words") + F.size("_first.words") - common
     return (
         windows.split_join(rows, oldest, ["company_id", "_title"], "inner")
         .filter(F.col("vacancy_id") != F.col("_first.vacancy_id"))
         .select(
             F.col("_first.vacancy_id").alias("original_id"),
             F.col("vacancy_id").alias("duplicate_id"),
-            similarity(
-                F.concat_ws(" ", "_title", F.lower("_first.description")), F.concat_ws(" ", "_title", F.lower("description"))
-            ).alias("similarity"),
-            F.lit("title_match").alias("detection_method"),
+            F.when(every == 0, 100).otherwise(F.floor(common * 100 / every + 0.5)).alias("similarity"),
         )
     )
+
+
+def duplicate_pairs(vacancies: DataFrame, least: int = 80) -> DataFrame:
+    """(original_id, duplicate_id, similarity, detection_method): equal titles, and similar words beyond those; each pair once."""
+    by_title = title_pairs(vacancies).withColumn("detection_method", F.lit("title_match"))
+    by_words = similar_pairs(vacancies, least).withColumn("detection_method", F.lit("similarity"))
+    both = by_title.unionByName(by_words)
+    best = both.groupBy("original_id", "duplicate_id").agg(F.max("detection_method").alias("detection_method"), F.first("similarity").alias("similarity"))
+    return best.select("original_id", "duplicate_id", "similarity", "detection_method")

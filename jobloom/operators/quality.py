@@ -58,22 +58,17 @@ def apply_name_fixes(companies: DataFrame, fixes: DataFrame) -> DataFrame:
     return companies.join(new, "company_id", "left").withColumn("name", F.coalesce("new_name", "name")).drop("new_name")
 
 
-def star_links(rows: DataFrame, group: list[str]) -> DataFrame:
-    """Each row of a group linked to the group's least id: one link per copy, never all pairs."""
-    least = rows.groupBy(*group).agg(F.min("vacancy_id").alias("a"))
-    return windows.split_join(rows, least, group, "inner").filter(F.col("vacancy_id") != F.col("a")).select("a", F.col("vacancy_id").alias("b"))
-
-
-def duplicate_groups(vacancies: DataFrame) -> DataFrame:
-    """Vacancies that are linked by title or by description and pay, with the oldest of each group as canonical."""
-    rows = vacancies.filter(F.col("title").isNotNull()).withColumn("_title", joins.title_key("title"))
-    by_title = star_links(rows, ["company_id", "_title"])
-    paid = rows.filter(F.col("description").isNotNull() & F.col("salary_min").isNotNull())
-    by_offer = star_links(paid, ["company_id", "description", "salary_min"])
-    groups = components.connected_groups(by_title.unionByName(by_offer))
-    members = groups.join(rows.select(F.col("vacancy_id").alias("node"), "created_at"), "node")
+def sure_duplicates(vacancies: DataFrame, least: int = 80) -> DataFrame:
+    """The duplicate pairs, by title or by words, whose words are similar enough; an equal title alone is not."""
+    return joins.duplicate_pairs(vacancies, least).filter(F.col("similarity") >= least)
+
+
+def duplicate_groups(vacancies: DataFrame, least: int = 80) -> DataFrame:
+    """Vacancies that are linked by duplicate pairs, with the oldest of each group as canonical."""
+    groups = components.connected_groups(sure_duplicates(vacancies, least).select("original_id", "duplicate_id"))
+    members = groups.join(vacancies.select(F.col("vacancy_id").alias("node"), "created_at"), "node")
     oldest = members.groupBy("group").agg(F.min_by("node", F.struct("created_at", "node")).alias("canonical_id"))
-    return members.join(oldest, "group").select(
+    return windows.split_join(members, oldest, ["group"], "inner").select(
         F.col("node").alias("vacancy_id"), "canonical_id", (F.col("node") != F.col("canonical_id")).alias("is_duplicate")
     )
 

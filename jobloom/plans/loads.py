@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from jobloom.operators import joins, merge, quality, windows
 from jobloom.plans.registry import plan
-from jobloom.plans.relational import FIRSTS, MATCHED, PROBES, STORED, scrape_requests, stored_sources
+from jobloom.plans.relational import MATCHED, PAIR_CTES, PROBES, STORED, scrape_requests, stored_sources
 from jobloom.plans.scalars import CONF, J, VALID
 from jobloom.sources import logs
 from jobloom.sources.inputs import load, view
@@ -160,12 +160,13 @@ def up_mark_invalid(spark, d):
 
 @plan(
     "up_mark_dup",
-    f"""SELECT vacancy_id, CASE WHEN first_id <> vacancy_id THEN 'duplicate' ELSE status END AS status, CASE WHEN first_id <> vacancy_id THEN first_id END AS duplicate_of
-    FROM {FIRSTS} f UNION ALL SELECT vacancy_id, status, NULL FROM vacancies WHERE title IS NULL""",
+    f"""WITH {PAIR_CTES}, m AS (SELECT duplicate_id, min(original_id) AS duplicate_of FROM pairs WHERE similarity >= 80 GROUP BY duplicate_id)
+    SELECT vacancy_id, CASE WHEN duplicate_of IS NOT NULL THEN 'duplicate' ELSE status END AS status, duplicate_of
+    FROM postings LEFT JOIN m ON m.duplicate_id = vacancy_id""",
 )
 def up_mark_dup(spark, d):
-    vacancies = view(spark, d, "vacancies")
-    return merge.mark_duplicates(vacancies, joins.duplicate_pairs(vacancies)).select("vacancy_id", "status", "duplicate_of")
+    postings = view(spark, d, "postings")
+    return merge.mark_duplicates(postings, quality.sure_duplicates(postings)).select("vacancy_id", "status", "duplicate_of")
 
 
 HOURS_LEFT = "336 - (epoch_us(TIMESTAMP '2024-01-18') - epoch_us(s.last_scraped_at)) / 3600000000.0"
@@ -303,13 +304,11 @@ def dq_refs(spark, d):
 
 @plan(
     "dq_dups",
-    """WITH RECURSIVE k AS (SELECT *, trim(regexp_replace(lower(title), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS tk FROM vacancies WHERE title IS NOT NULL),
-    e AS (SELECT min(vacancy_id) OVER (PARTITION BY company_id, tk) AS a, vacancy_id AS b FROM k UNION
-      SELECT min(vacancy_id) OVER (PARTITION BY company_id, description, salary_min), vacancy_id FROM k WHERE salary_min IS NOT NULL),
-    x AS (SELECT a, b FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b),
+    f"""WITH RECURSIVE {PAIR_CTES},
+    e AS (SELECT original_id AS a, duplicate_id AS b FROM pairs WHERE similarity >= 80), x AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
     reach(n, r) AS (SELECT a, a FROM x UNION SELECT reach.n, x.b FROM reach JOIN x ON x.a = reach.r),
-    g AS (SELECT n, min_by(r, {'a': created_at, 'b': r}) AS canonical_id FROM reach JOIN vacancies v ON v.vacancy_id = reach.r GROUP BY 1)
-    SELECT n AS vacancy_id, canonical_id, n <> canonical_id AS is_duplicate FROM g""",
+    c AS (SELECT n, min_by(r, {{'a': created_at, 'b': r}}) AS canonical_id FROM reach JOIN postings v ON v.vacancy_id = reach.r GROUP BY 1)
+    SELECT n AS vacancy_id, canonical_id, n <> canonical_id AS is_duplicate FROM c""",
 )
 def dq_dups(spark, d):
-    return quality.duplicate_groups(view(spark, d, "vacancies"))
+    return quality.duplicate_groups(view(spark, d, "postings"))

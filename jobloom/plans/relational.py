@@ -536,19 +536,22 @@ FIRSTS = """(SELECT *, trim(regexp_replace(lower(title), '[^\\p{L}\\p{N}]+', ' '
     OVER (PARTITION BY company_id, trim(regexp_replace(lower(title), '[^\\p{L}\\p{N}]+', ' ', 'g'))) AS first_id FROM vacancies WHERE title IS NOT NULL)"""
 
 
-WORD_LIST = "list_distinct(list_filter(regexp_split_to_array(lower({t}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> ''))"
-
-
-@plan(
-    "jn_dup_pairs",
-    f"""WITH f AS (SELECT * FROM {FIRSTS} q), p AS (SELECT f.first_id, f.vacancy_id, f.tk || ' ' || lower(f.description) AS b,
-      f.tk || ' ' || lower(o.description) AS a FROM f JOIN vacancies o ON o.vacancy_id = f.first_id WHERE f.vacancy_id <> f.first_id),
-    w AS (SELECT *, {WORD_LIST.format(t='a')} AS wa, {WORD_LIST.format(t='b')} AS wb FROM p)
-    SELECT first_id AS original_id, vacancy_id AS duplicate_id, CAST(floor(len(list_intersect(wa, wb)) * 100
-      / (len(wa) + len(wb) - len(list_intersect(wa, wb))) + 0.5) AS BIGINT) AS similarity, 'title_match' AS detection_method FROM w""",
-)
+#: Duplicate pairs of the postings: equal titles, and word sets with four fifths in common.
+PAIR_CTES = """k AS (SELECT *, trim(regexp_replace(lower(title), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS tk, {'a': created_at, 'b': vacancy_id} AS age,
+      list_sort(list_distinct(list_filter(regexp_split_to_array(lower(concat_ws(' ', title, description)), '[^\\p{L}\\p{N}]+'), lambda x: x <> ''))) AS w FROM postings),
+    f AS (SELECT *, min_by(vacancy_id, age) OVER (PARTITION BY company_id, tk) AS first_id FROM k WHERE title IS NOT NULL),
+    g AS (SELECT company_id, w, min(age) AS age, min_by(vacancy_id, age) AS vacancy_id FROM k WHERE len(w) > 0 GROUP BY company_id, w),
+    every AS (SELECT o.vacancy_id AS a, f.vacancy_id AS b, o.w AS wa, f.w AS wb, 'title_match' AS method FROM f JOIN k o ON o.vacancy_id = f.first_id WHERE f.vacancy_id <> f.first_id
+      UNION ALL SELECT g.vacancy_id, k.vacancy_id, g.w, k.w, 'similarity' FROM g JOIN k ON k.company_id = g.company_id AND k.w = g.w WHERE k.vacancy_id <> g.vacancy_id
+      UNION ALL SELECT x.vacancy_id, y.vacancy_id, x.w, y.w, 'similarity' FROM g x JOIN g y ON x.company_id = y.company_id AND x.age < y.age
+        WHERE 180 * len(list_intersect(x.w, y.w)) >= 80 * (len(x.w) + len(y.w))),
+    pairs AS (SELECT a AS original_id, b AS duplicate_id, max(method) AS detection_method, any_value(CASE WHEN len(wa) + len(wb) = 0 THEN 100 ELSE
+      CAST(floor(len(list_intersect(wa, wb)) * 100 / (len(wa) + len(wb) - len(list_intersect(wa, wb))) + 0.5) AS BIGINT) END) AS similarity FROM every GROUP BY a, b)"""
+
+
+@plan("jn_dup_pairs", f"WITH {PAIR_CTES} SELECT original_id, duplicate_id, similarity, detection_method FROM pairs")
 def jn_dup_pairs(spark, d):
-    return joins.duplicate_pairs(view(spark, d, "vacancies"))
+    return joins.duplicate_pairs(view(spark, d, "postings"))
 
 
 # ---- aggregates ----

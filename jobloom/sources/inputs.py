@@ -57,6 +57,15 @@ SELECT {_VACANCY_FACTS}, p.p_name AS title, p.p_type || ' ' || p.p_brand AS desc
 FROM orders o
 LEFT JOIN (SELECT l_orderkey, min(l_partkey) AS pk FROM lineitem GROUP BY l_orderkey) l ON l.l_orderkey = o.o_orderkey
 LEFT JOIN part p ON p.p_partkey = l.pk""",
+    "postings": """
+SELECT vacancy_id, company_id, status, title, description, created_at FROM vacancies
+UNION ALL
+SELECT vacancy_id + 1000000000 AS vacancy_id, company_id, status,
+  CASE vacancy_id % 4 WHEN 0 THEN substr(title, instr(title, ' ') + 1) || ' (' || substr(title, 1, instr(title, ' ') - 1) || ')'
+    WHEN 1 THEN title || ' senior' WHEN 2 THEN 'Clerk' ELSE title END AS title,
+  CASE vacancy_id % 4 WHEN 3 THEN 'Work from any place you like' ELSE description END AS description,
+  created_at + INTERVAL '10' DAY AS created_at
+FROM vacancies WHERE vacancy_id % 5 < 2""",
     "vacancy_facts": f"SELECT {_VACANCY_FACTS} FROM orders o",
     "vacancy_tech": "SELECT DISTINCT l.l_orderkey AS vacancy_id, CASE p_partkey % 30 "
     + " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(TECHS))

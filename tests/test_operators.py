@@ -167,3 +167,52 @@ def test_text_cuts_are_parameters(spark):
     ).first()
     assert row.a == ("word " * 10).strip()[:49] + "..." or row.a.endswith("...") and len(row.a) <= 53
     assert row.b == "word " * 40 + "end" and row.c.endswith("...") and row.d == 1
+
+
+def brute_pairs(rows, least=80):
+    """rows: (id, company, created, words); links of two vacancies of a company, the older one first."""
+    out = set()
+    for i, c, t, w in rows:
+        for j, d, u, v in rows:
+            if c == d and c is not None and (t, i) < (u, j) and w and v and 100 * len(w & v) >= least * len(w | v):
+                out.add((i, j, int(len(w & v) * 100 / len(w | v) + 0.5)))
+    return out
+
+
+def test_similar_pairs_equal_all_pairs(spark):
+    rng = random.Random(4)
+    common = [f"w{i}" for i in range(12)]
+    rows = []
+    for i in range(220):
+        words = rng.sample(common, rng.randrange(3, 12)) + [f"r{rng.randrange(40)}" for _ in range(rng.randrange(0, 3))]
+        rows.append((i, rng.choice([1, 1, 1, 2, 3, None]), dt.datetime(2024, 1, 1 + rng.randrange(28)), " ".join(words[:2]).upper(), ", ".join(words[2:])))
+    rows += [(1000 + i, 9, dt.datetime(2024, 1, 1), None if i % 2 else "", None if i % 3 else "--") for i in range(6)]
+    frame = spark.createDataFrame(rows, "vacancy_id long, company_id int, created_at timestamp, title string, description string").repartition(3)
+    sets = [(i, c, t, frozenset(f"{a or ''} {b or ''}".lower().replace(",", "").split()) - {"--"}) for i, c, t, a, b in rows]
+    want = brute_pairs(sets)
+    got = {tuple(r) for r in joins.similar_pairs(frame).collect()}
+    # copies hang on the oldest of their word set only; every link between different sets is there
+    first = {}
+    for i, c, t, w in sorted(sets, key=lambda r: (r[2], r[0])):
+        first.setdefault((c, w), i)
+    firsts = {(i, j, s) for i, j, s in want if i in first.values() and j in first.values()}
+    copies = {(first[c, w], i, 100) for i, c, t, w in sets if c is not None and w and first[c, w] != i}
+    assert got == firsts | copies
+    assert len(firsts) > 20 and len(copies) > 0
+
+
+def test_reordered_titles_pair_and_unlike_offers_do_not(spark):
+    text = "Build services in Java and Kafka for a bank in Sofia"
+    rows = [(1, 5, "Senior Java Developer", text), (2, 5, "Java Developer (Senior)", text), (3, 5, "Senior Java Developer", "Sell shoes"), (4, 6, "Java Developer (Senior)", text)]
+    frame = spark.createDataFrame(rows, "vacancy_id long, company_id int, title string, description string").withColumn("created_at", F.lit("2024-01-01").cast("timestamp"))
+    got = {(r.original_id, r.duplicate_id): (r.similarity, r.detection_method) for r in joins.duplicate_pairs(frame).collect()}
+    assert got[1, 2] == (100, "similarity")
+    assert got[1, 3][0] < 50 and got[1, 3][1] == "title_match"
+    assert len(got) == 2
+    groups = {r.vacancy_id: r.canonical_id for r in quality.duplicate_groups(frame).collect()}
+    assert groups == {1: 1, 2: 1}
+
+
+def test_copies_of_one_company_make_linear_pairs(spark):
+    rows = spark.range(3000).selectExpr("id AS vacancy_id", "7 AS company_id", "'Baker' AS title", "concat('bread ', id % 3) AS description", "timestamp_seconds(id) AS created_at")
+    assert joins.similar_pairs(rows, 60).count() <= 3000

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from jobloom.operators import joins, merge, quality, windows
+from jobloom.operators import components, joins, merge, windows
 
 HOT = {
     "spark.sql.autoBroadcastJoinThreshold": "-1",
@@ -53,11 +53,25 @@ def reused(rows):
     return merge.reuse_results(rows.select("vacancy_id", "content_hash"), results, "2024-02-01 00:00:00").select("vacancy_id", "reply_id")
 
 
-def starred(rows):
-    return quality.star_links(rows, ["company_id", "title"])
+def hub(rows):
+    """Nine tenths of all links on one node, and copies of the rest."""
+    return rows.select(F.col("vacancy_id").alias("a"), F.when(F.col("vacancy_id") % 10 != 0, -1).otherwise(F.col("vacancy_id") - 10).alias("b"))
 
 
-@pytest.mark.parametrize("job", [canonical, matched, reused, starred])
+def large_star(rows):
+    return components._large_star(hub(rows))
+
+
+def small_star(rows):
+    # every link leads from the hub, the greatest node, to smaller ones
+    return components._small_star(hub(rows).withColumn("b", F.when(F.col("b") < 0, ROWS * 2).otherwise(F.col("b"))))
+
+
+def same_words(rows):
+    return joins.similar_pairs(rows.withColumn("description", F.lit("one and the same")))
+
+
+@pytest.mark.parametrize("job", [canonical, matched, reused, large_star, small_star, same_words])
 def test_hot_key_is_split(skewed, job):
     out = job(skewed)
     assert splits(out)
