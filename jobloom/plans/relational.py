@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from jobloom.functions import arrays, jsons, levels
 from jobloom.functions.common import days_between, half_up, moment, non_zero
-from jobloom.operators import aggregates, filters, joins, listing, ordering, sets, windows
+from jobloom.operators import aggregates, filters, joins, listing, ordering, sets, windows, word_index
 from jobloom.plans.registry import plan
+from jobloom.session import scratch
 from jobloom.sources import entities, listing_pages, logs, sinks
 from jobloom.sources.inputs import load, view
 
@@ -1005,12 +1006,24 @@ WORDS_SQL = "regexp_split_to_array(lower(concat_ws(' ', title, description)), '[
 
 @plan(
     "flt_vac_words",
-    f"SELECT vacancy_id FROM vacancies WHERE {ACTIVE} AND list_contains({WORDS_SQL}, 'small') AND list_contains({WORDS_SQL}, 'brand#2')",
+    f"""WITH t AS (SELECT vacancy_id, status, list_filter(regexp_split_to_array(lower(concat_ws(' ', title, CASE WHEN vacancy_id % 7 = 0 THEN replace(description, 'SMALL', 'TINY')
+      ELSE description END)), '[^\\p{{L}}\\p{{N}}#+]+'), lambda x: x <> '') AS w FROM vacancies),
+    n AS (SELECT count(*) AS texts, CAST(sum(len(w)) AS BIGINT) AS words FROM t WHERE len(w) > 0),
+    p AS (SELECT vacancy_id, term, len(w) AS n, len(list_filter(w, lambda x: x = term)) AS tf FROM t, (VALUES ('small'), ('brand#2')) q(term) WHERE list_contains(w, term)),
+    h AS (SELECT term, count(*) AS held FROM p GROUP BY 1),
+    s AS (SELECT vacancy_id, count(*) AS hits, CAST(sum(CAST(floor(1000000 * ln(1 + (texts - held + 0.5) / (held + 0.5)) *
+      (tf * (1.2e0 + 1) / (tf + 1.2e0 * (1 - 0.75e0 + 0.75e0 * n / (CAST(words AS DOUBLE) / texts))))) AS BIGINT)) AS BIGINT) AS score FROM p JOIN h USING (term), n GROUP BY 1)
+    SELECT vacancy_id, score FROM s JOIN t USING (vacancy_id) WHERE hits = 2 AND {ACTIVE}""",
 )
 def flt_vac_words(spark, d):
+    rows = view(spark, d, "vacancies")
+    index = word_index.WordIndex(spark, scratch(spark, "words"), rows.schema["vacancy_id"].dataType, buckets=16)
     text = F.concat_ws(" ", "title", "description")
-    rows = filters.active(view(spark, d, "vacancies")).filter(filters.has_words(text, "Brand#2, SMALL"))
-    return rows.select("vacancy_id")
+    index.update(rows.select(F.col("vacancy_id").alias("id"), text.alias("text")), 0)
+    changed = rows.filter("vacancy_id % 7 = 0").withColumn("description", F.replace("description", F.lit("SMALL"), F.lit("TINY")))
+    index.update(changed.select(F.col("vacancy_id").alias("id"), text.alias("text")), 1)
+    found = index.search("Brand#2, SMALL").withColumnRenamed("id", "vacancy_id")
+    return found.join(filters.active(view(spark, d, "vacancy_facts")).select("vacancy_id"), "vacancy_id", "left_semi")
 
 
 @plan("lim_run_cap", "SELECT listing_id, url FROM listings ORDER BY posted_at DESC, listing_id LIMIT 50")

@@ -42,7 +42,7 @@ TEXT_MATCH = """(SELECT l.*, coalesce(u.id, t.id) AS match_id FROM listings l
 )
 def st_ingest(spark, d):
     vacancies = view(spark, d, "vacancies").withColumn("vacancy_id", F.col("vacancy_id").cast("string"))
-    rows = streams.ingest(stored_stream(spark, view(spark, d, "listings"), "listings"), vacancies, scratch(spark, "ingest"))
+    rows = streams.ingest(stored_stream(spark, view(spark, d, "listings"), "listings"), vacancies, scratch(spark, "ingest"), buckets=16)
     return rows.select("vacancy_id", "title", "status", "source_url", "action")
 
 
@@ -77,7 +77,7 @@ def st_dedup_ttl(spark, d):
 
 @plan("st_new", "SELECT DISTINCT url FROM listings")
 def st_new(spark, d):
-    return streams.first_seen(stored_stream(spark, view(spark, d, "listings"), "listings"), "url", scratch(spark, "new"))
+    return streams.first_seen(stored_stream(spark, view(spark, d, "listings"), "listings"), "url", scratch(spark, "new"), buckets=16)
 
 
 @plan(

@@ -20,7 +20,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from jobloom.operators import merge
 from jobloom.operators.windows import pick_per_key
-from jobloom.session import scratch
+from jobloom.session import ensure_checkpoint_dir, scratch
+from jobloom.sources.buckets import Buckets, Kept
 
 LATENESS = "1 day"
 #: Source files of one micro-batch, unless the caller says otherwise.
@@ -101,15 +102,53 @@ def stored_time(name: str) -> Column:
 # ---- jobs ----
 
 
-def ingest(listings: DataFrame, vacancies: DataFrame, base: str) -> DataFrame:
+def vacancy_tables(start: T.StructType) -> dict[str, Kept]:
+    """The vacancies by id, and where a vacancy was ever found by URL or by title and company."""
+
+    def only(*names: str) -> T.StructType:
+        return T.StructType([start[n] for n in names])
+
+    by_url, by_title = only("source_url", "vacancy_id"), only("title", "company_id", "vacancy_id")
+    rows = T.StructType([*start.fields, T.StructField("action", T.StringType())])
+    return {
+        "rows": Kept(rows, ("vacancy_id",), ("vacancy_id",)),
+        "by_url": Kept(by_url, ("source_url",), ("source_url", "vacancy_id")),
+        "by_title": Kept(by_title, ("title", "company_id"), ("title", "company_id", "vacancy_id")),
+    }
+
+
+def commit_vacancies(store: Buckets, rows: DataFrame, version: int) -> None:
+    """Writes changed vacancies with their places in the two lists as one batch."""
+    rows = rows.checkpoint()
+    by_url = rows.filter(F.col("source_url").isNotNull() & (F.trim("source_url") != "")).select("source_url", "vacancy_id")
+    store.commit({"rows": rows, "by_url": by_url, "by_title": rows.select("title", "company_id", "vacancy_id")}, version)
+
+
+def possible_matches(store: Buckets, listings: DataFrame, before: int) -> DataFrame:
+    """The stored vacancies that a listing of the batch could be: only the buckets of its keys are read.
+
+    The lists name every vacancy that ever had a URL, or a title and company; which of them still has them
+    is left to the match on the rows themselves.
+    """
+    manifest = store.manifest(before)
+    urls = listings.select(F.col("url").alias("source_url")).filter(F.col("source_url").isNotNull()).distinct()
+    titles = listings.select("title", "company_id").distinct()
+    by_url = store.rows("by_url", store.touched(urls, "by_url"), manifest=manifest).join(urls, "source_url", "left_semi")
+    by_title = store.rows("by_title", store.touched(titles, "by_title"), manifest=manifest).join(titles, ["title", "company_id"], "left_semi")
+    ids = by_url.select("vacancy_id").unionByName(by_title.select("vacancy_id")).distinct().checkpoint()
+    return store.rows("rows", store.touched(ids, "rows"), manifest=manifest).join(ids, "vacancy_id", "left_semi")
+
+
+def ingest(listings: DataFrame, vacancies: DataFrame, base: str, buckets: int = 64, compact: int = 8) -> DataFrame:
     """Upsert listing batches into vacancies; returns the table as it stands, with the last batch's actions.
 
     ``vacancies`` has a text ``vacancy_id`` and starts the table at ``base`` on the first run;
-    later runs with the same base go on from there. A batch writes only the rows it changes;
-    the newest row of a key counts. A repeated batch sees the batches before it alone and
-    overwrites its own.
+    later runs with the same base go on from there. The table lies in buckets: a batch reads the
+    vacancies that its URLs, titles and companies lead to, and writes the rows it changes; its
+    manifest is its commit. A repeated batch sees the batches before it alone and overwrites its own.
     """
     spark = listings.sparkSession
+    ensure_checkpoint_dir(spark)
     columns = ["vacancy_id", *merge.LISTED, "source_url"]
 
     def conform(df: DataFrame) -> DataFrame:
@@ -119,23 +158,24 @@ def ingest(listings: DataFrame, vacancies: DataFrame, base: str) -> DataFrame:
         )
 
     start = conform(vacancies)
-    schema = T.StructType([*start.schema.fields, T.StructField("action", T.StringType())])
-    if stored(spark, f"{base}/rows", schema).isEmpty():
-        start.withColumn("action", F.lit("keep")).write.mode("overwrite").parquet(f"{base}/rows/batch=-1")
 
-    def table(session: SparkSession, before: int | None = None) -> DataFrame:
-        rows = stored(session, f"{base}/rows", schema)
-        return pick_per_key(rows if before is None else rows.filter(F.col("batch") < before), ["vacancy_id"], ["batch"])
+    def store(session: SparkSession) -> Buckets:
+        return Buckets(session, f"{base}/table", vacancy_tables(start.schema), buckets, compact)
+
+    if store(spark).newest() is None:
+        commit_vacancies(store(spark), start.withColumn("action", F.lit("keep")), -1)
 
     def handle(batch: DataFrame, number: int) -> None:
-        merged = merge.upsert_vacancies(table(batch.sparkSession, number).drop("action", "batch"), batch)
+        held = store(batch.sparkSession)
+        known = possible_matches(held, batch, number).drop("action", "version")
+        merged = merge.upsert_vacancies(known, batch)
         changed = merged.filter(F.col("action") != "keep").withColumnRenamed("vacancy_key", "vacancy_id")
-        changed.select(*columns, "action").write.mode("overwrite").parquet(f"{base}/rows/batch={number}")
+        commit_vacancies(held, changed.select(*columns, "action"), number)
 
     run_batches(listings, handle, base)
-    now = table(spark)
-    newest = now.agg(F.max("batch")).first()[0]
-    return now.withColumn("action", F.when(F.col("batch") == newest, F.col("action")).otherwise("keep")).drop("batch")
+    held = store(spark)
+    newest = F.col("version") == F.lit(held.newest())
+    return held.rows("rows").withColumn("action", F.when(newest, F.col("action")).otherwise("keep")).drop("version")
 
 
 def enrich(stream: DataFrame, companies: DataFrame) -> DataFrame:
@@ -144,18 +184,27 @@ def enrich(stream: DataFrame, companies: DataFrame) -> DataFrame:
     return stream.join(card, "company_id", "left")
 
 
-def first_seen(stream: DataFrame, key: str, base: str) -> DataFrame:
-    """Each key once, over all runs with the same base. What was seen is a table, so no state grows in memory."""
-    spark, path = stream.sparkSession, f"{base}/rows"
-    schema = T.StructType([stream.schema[key]])
+def first_seen(stream: DataFrame, key: str, base: str, buckets: int = 64, compact: int = 8) -> DataFrame:
+    """Each key once, over all runs with the same base.
+
+    What was seen is a table in buckets, so no state grows in memory, and a batch is compared with
+    the buckets of its own keys alone.
+    """
+    spark = stream.sparkSession
+    ensure_checkpoint_dir(spark)
+    seen = {"seen": Kept(T.StructType([stream.schema[key]]), (key,), (key,))}
+
+    def store(session: SparkSession) -> Buckets:
+        return Buckets(session, f"{base}/seen", seen, buckets, compact)
 
     def handle(batch: DataFrame, number: int) -> None:
-        known = stored(batch.sparkSession, path, schema).filter(F.col("batch") < number).select(F.col(key).alias("_known"))
-        new = batch.select(key).distinct().join(known, F.col(key).eqNullSafe(F.col("_known")), "left_anti")
-        new.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        held = store(batch.sparkSession)
+        keys = batch.select(key).distinct().checkpoint()
+        known = held.rows("seen", held.touched(keys, "seen"), before=number).select(F.col(key).alias("_known"))
+        held.commit({"seen": keys.join(known, F.col(key).eqNullSafe(F.col("_known")), "left_anti")}, number)
 
     run_batches(stream, handle, base)
-    return stored(spark, path, schema).drop("batch")
+    return store(spark).rows("seen").drop("version")
 
 
 def drop_repeats(stream: DataFrame, keys: list[str], time: str, ttl: str = "24 hours") -> DataFrame:
