@@ -434,6 +434,33 @@ def industry_benchmark(scored: DataFrame) -> DataFrame:
     )
 
 
+def industry_sketches(scored: DataFrame, day: Column, k: int = 200) -> DataFrame:
+    """(industry, factor, day, n, total, sketch): quantile sketches of a factor's scores that merge over days."""
+    wide = scored.groupBy("industry", day.alias("day")).agg(
+        *[
+            F.struct(F.count(f).alias("n"), F.sum(f).alias("total"), F.kll_sketch_agg_double(F.col(f).cast("double"), k).alias("sketch")).alias(f)
+            for f in FACTORS
+        ]
+    )
+    long = wide.unpivot(["industry", "day"], FACTORS, "factor", "stat")
+    return long.select("industry", "factor", "day", "stat.n", "stat.total", "stat.sketch")
+
+
+def industry_benchmark_of(sketches: DataFrame, k: int = 200) -> DataFrame:
+    """``industry_benchmark`` over merged sketches. With ``k`` 200 a percentile is off by 1.7% of the ranks or less, at odds of 99 in 100.
+
+    Size and mean are exact; a percentile is a score that occurs, without interpolation.
+    """
+    merged = sketches.groupBy("industry", "factor").agg(
+        F.sum("n").alias("n"), F.sum("total").alias("total"), F.kll_merge_agg_double("sketch", k).alias("sketch")
+    )
+    points = {"p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9}
+    return merged.select(
+        "industry", "factor", "n", (F.col("total") / F.col("n")).alias("mean"),
+        *[F.kll_sketch_get_quantile_double("sketch", F.lit(p)).alias(name) for name, p in points.items()],
+    )
+
+
 def assemble_input(found: DataFrame) -> DataFrame:
     """Scoring input from extracted company facts and the reply beside them, with the usual defaults."""
     empty = text_list([])

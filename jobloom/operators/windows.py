@@ -2,7 +2,7 @@
 
 Latest-row picks are first rows of a window: Spark keeps one row per key of each map task
 before the shuffle, and reads only the columns that are used. Percentiles and ranks run over a
-histogram of distinct values. Trends split a hot company into time buckets.
+histogram of distinct values. Trends spread a hot company over ranges of rows.
 """
 
 from __future__ import annotations
@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from jobloom.session import ensure_checkpoint_dir
+
 
 def pick_per_key(df: DataFrame, keys: list[str], order: list[str], newest: bool = True) -> DataFrame:
     """One whole row per key: the one with the greatest (or least) order columns."""
@@ -131,27 +133,37 @@ def with_peer_rank(df: DataFrame, groups: dict[str, str], value: str) -> DataFra
     return df
 
 
-def with_previous(df: DataFrame, key: str, time: str, tie: str, value: str, out: str, grain: str = "day") -> DataFrame:
-    """lag(value) per key in (time, tie) order, with each key split into time buckets.
+def in_ranges(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt out by ranges of the keys, with the number of their range in ``_range``, written once.
 
-    Inside a bucket it is a plain lag. The first row of a bucket takes the last
-    value of the key's previous bucket, found on a table of one row per bucket.
+    The ranges come from a sample, so they are fixed before they are used twice. Adaptive execution
+    joins small ranges up to its advisory size and no further.
     """
-    bucketed = df.withColumn("_bucket", F.date_trunc(grain, F.col(time)))
-    inside = Window.partitionBy(key, "_bucket").orderBy(time, tie)
-    rows = bucketed.withColumn("_prev", F.lag(value).over(inside)).withColumn(
-        "_first", F.row_number().over(inside) == 1
-    )
-    ends = bucketed.groupBy(key, "_bucket").agg(
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.repartitionByRange(*keys).withColumn("_range", F.spark_partition_id()).checkpoint()
+
+
+def with_previous(df: DataFrame, key: str, time: str, tie: str, value: str, out: str) -> DataFrame:
+    """lag(value) per key in (time, tie) order, with the rows of a key spread over ranges.
+
+    Rows are dealt out by ranges of (key, time, tie), so that a key with most of the rows, all of
+    one day even, lies in as many ranges as its size asks for. Inside a range it is a plain lag. The
+    first row of a key in a range takes the key's last value in the range before, found on a table
+    of one row per key and range.
+    """
+    ranged = in_ranges(df, key, time, tie)
+    inside = Window.partitionBy(key, "_range").orderBy(time, tie)
+    rows = ranged.withColumn("_prev", F.lag(value).over(inside)).withColumn("_first", F.row_number().over(inside) == 1)
+    ends = ranged.groupBy(key, "_range").agg(
         F.max_by(F.struct(F.col(value).alias("v")), F.struct(time, tie)).alias("_end")
     )
     carried = ends.select(
-        key, "_bucket", F.lag("_end").over(Window.partitionBy(key).orderBy("_bucket")).alias("_carry")
+        key, "_range", F.lag("_end").over(Window.partitionBy(key).orderBy("_range")).alias("_carry")
     )
     return (
-        rows.join(carried, [key, "_bucket"], "left")
+        rows.join(carried, [key, "_range"], "left")
         .withColumn(out, F.when(F.col("_first"), F.col("_carry.v")).otherwise(F.col("_prev")))
-        .drop("_bucket", "_prev", "_first", "_carry")
+        .drop("_range", "_prev", "_first", "_carry")
     )
 
 

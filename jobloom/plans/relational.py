@@ -140,7 +140,7 @@ def snk_archive(spark, d):
     archive, live = sinks.archive(
         view(spark, d, "vacancy_facts"), F.col("status") == "filled", "created_at", VACANCY_AS_OF, months=6
     )
-    both = sets.union_all({"archive": spark.read.parquet(archive), "live": spark.read.parquet(live)})
+    both = sets.union_all({"archive": spark.read.parquet(archive).drop("run"), "live": spark.read.parquet(live)})
     return both.groupBy(F.col("label").alias("part"), "status").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -9,16 +9,14 @@ zoned timestamp, because watermarks reject zone-free ones.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from jobloom.operators import merge
+from jobloom.operators import merge, windows
 from jobloom.operators.windows import pick_per_key
 from jobloom.session import ensure_checkpoint_dir, scratch
 from jobloom.sources.buckets import Buckets, Kept
@@ -212,65 +210,53 @@ def drop_repeats(stream: DataFrame, keys: list[str], time: str, ttl: str = "24 h
     return stream.withWatermark(time, ttl).dropDuplicatesWithinWatermark(keys)
 
 
-def drop_repeats_exact(stream: DataFrame, key: str, time: str, ident: str, ttl_hours: int = 24) -> DataFrame:
-    """A row passes unless a passed row of its key is less than ``ttl_hours`` older.
-
-    The state is one time per key and leaves with the watermark. Only key, time and
-    id reach Python, and of a key no more than one micro-batch at a time.
-    """
-    kind = stream.schema[key].dataType
-    out = T.StructType([T.StructField(key, kind), T.StructField(ident, T.LongType()), T.StructField(time, T.TimestampType())])
-    held = T.StructType([T.StructField("last", T.LongType())])
-    ttl = ttl_hours * 3600 * 1_000_000
-
-    def step(group: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(chunks)).sort_values(["_us", ident])
-        last = state.get[0] if state.exists else None
-        kept = []
-        for us, number in zip(rows["_us"], rows[ident]):
-            if last is None or us >= last + ttl:
-                last = int(us)
-                kept.append((number, us))
-        state.update((last,))
-        ends = (last + ttl) // 1000
-        if ends > state.getCurrentWatermarkMs():
-            state.setTimeoutTimestamp(ends)
-        if kept:
-            yield pd.DataFrame(
-                {key: group[0], ident: [n for n, _ in kept], time: pd.to_datetime([u for _, u in kept], unit="us", utc=True)}
-            )
-
-    narrow = stream.withWatermark(time, f"{ttl_hours} hours").select(key, ident, time, F.unix_micros(time).alias("_us"))
-    return narrow.groupBy(key).applyInPandasWithState(step, out, held, "append", GroupStateTimeout.EventTimeTimeout)
+def first_in_slot(rows: DataFrame, passed: DataFrame, key: str, time: str, ident: str, ttl_hours: int) -> DataFrame:
+    """The one row of each key of a slot of ``ttl_hours`` that passes, if any: the first that is so much younger than the key's last."""
+    last = passed.groupBy(key).agg(F.max(time).alias("_last"))
+    ends = F.col("_last") + F.make_dt_interval(F.lit(0), F.lit(ttl_hours))
+    free = windows.split_join(rows, last, [key]).filter(F.col("_last").isNull() | (F.col(time) >= ends))
+    first = free.groupBy(key).agg(F.min(F.struct(time, ident)).alias("_f"))
+    return first.select(key, f"_f.{ident}", f"_f.{time}")
 
 
 def dedup(stream: DataFrame, key: str, time: str, ident: str, base: str, ttl_hours: int = 24) -> tuple[DataFrame, DataFrame]:
     """(passed, late) rows of (key, ident, time) over all runs with the same base.
 
-    Within a run the cut into micro-batches makes no difference: all its rows are put in order
-    of time. A row more than ``ttl_hours`` older than the newest one of earlier runs is late:
-    the state it would need has gone, so it is not judged but kept apart.
+    A row passes unless a passed row of its key is less than ``ttl_hours`` older. Rows are laid down
+    by slots of that length, and the slots taken in order of time: in a slot a key passes at most
+    once, so each slot is one minimum per key, which combines on the map side, and the state it
+    needs is what passed in the slots around it. No task holds the rows of a key. Within a run
+    the cut into micro-batches makes no difference. A row more than ``ttl_hours`` older than the newest
+    one of earlier runs is late: it is not judged but kept apart. Rows without a key or time are left
+    out. A run that failed is repeated from its first slot.
     """
     spark = stream.sparkSession
-    narrow = stream.select(key, ident, time)
-    marks = T.StructType([T.StructField("mark", T.TimestampType())])
-    # marks are written after a whole run, so a run that failed is repeated with the same one
-    mark = stored(spark, f"{base}/marks", marks).agg(F.max("mark"), F.coalesce(F.max("batch"), F.lit(-1)) + 1).first()
-    limit = F.lit(mark[0]).cast("timestamp") - F.make_dt_interval(F.lit(0), F.lit(ttl_hours))
+    narrow = stream.select(key, ident, time).filter(F.col(key).isNotNull() & F.col(time).isNotNull())
+    marks = T.StructType([T.StructField("mark", T.TimestampType()), T.StructField("upto", T.LongType())])
+    mark = stored(spark, f"{base}/marks", marks).agg(
+        F.max("mark").alias("mark"), F.coalesce(F.max("upto"), F.lit(-1)).alias("upto"), (F.coalesce(F.max("batch"), F.lit(-1)) + 1).alias("run")
+    ).first()
+    limit = F.lit(mark.mark).cast("timestamp") - F.make_dt_interval(F.lit(0), F.lit(ttl_hours))
     is_late = F.coalesce(F.col(time) < limit, F.lit(False))
+    slot = F.floor(F.unix_micros(time) / (ttl_hours * 3600 * 1_000_000))
 
     def handle(batch: DataFrame, number: int) -> None:
         batch.filter(is_late).write.mode("overwrite").parquet(f"{base}/late/batch={number}")
-        batch.filter(~is_late).write.mode("overwrite").parquet(f"{base}/in_time/batch={number}")
+        in_time = batch.filter(~is_late).withColumn("slot", slot).hint("rebalance", "slot")
+        in_time.write.mode("overwrite").partitionBy("slot").parquet(f"{base}/in_time/batch={number}")
 
     run_batches(narrow, handle, f"{base}/sorted")
-    in_time = read_files(spark, f"{base}/in_time/batch=*", narrow.schema, files_per_batch=1 << 20)
-    passed = run_append(drop_repeats_exact(in_time, key, time, ident, ttl_hours), f"{base}/passed")
-    newest = stored(spark, f"{base}/in_time", narrow.schema).agg(F.max(time).alias("mark"))
-    newest.write.mode("overwrite").parquet(f"{base}/marks/batch={mark[1]}")
+    number = T.StructField("slot", T.LongType())
+    new = stored(spark, f"{base}/in_time", T.StructType([*narrow.schema.fields, number])).filter(F.col("batch") > mark.upto)
+    for at in sorted(r.slot for r in new.select("slot").distinct().collect()):
+        around = stored(spark, f"{base}/passed", T.StructType([*narrow.schema.fields, number]))
+        earlier = (F.col("batch") < mark.run) | ((F.col("batch") == mark.run) & (F.col("slot") < at))
+        around = around.filter(F.col("slot").between(at - 1, at + 1) & earlier)
+        found = first_in_slot(new.filter(F.col("slot") == at), around, key, time, ident, ttl_hours)
+        found.write.mode("overwrite").parquet(f"{base}/passed/batch={mark.run}/slot={at}")
+    newest = new.agg(F.max(time).alias("mark"), F.coalesce(F.max("batch"), F.lit(mark.upto)).alias("upto"))
+    newest.write.mode("overwrite").parquet(f"{base}/marks/batch={mark.run}")
+    passed = stored(spark, f"{base}/passed", T.StructType([*narrow.schema.fields, number])).drop("batch", "slot")
     return passed, stored(spark, f"{base}/late", narrow.schema).drop("batch")
 
 

@@ -1,6 +1,7 @@
 """A key with nine tenths of all rows, with broadcasts off: the final plans split it."""
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from jobloom.operators import components, joins, merge, windows
@@ -75,3 +76,14 @@ def same_words(rows):
 def test_hot_key_is_split(skewed, job):
     out = job(skewed)
     assert splits(out)
+
+
+def test_previous_values_of_a_hot_day_lie_in_many_ranges(spark, skewed):
+    rows = skewed.withColumn("created_at", F.timestamp_seconds(F.col("vacancy_id") % 5000))
+    ranged = windows.in_ranges(rows, "company_id", "created_at", "vacancy_id")
+    largest = ranged.groupBy("company_id", "_range").count().agg(F.max("count")).first()[0]
+    assert largest < ROWS / 4
+    out = windows.with_previous(rows.select("company_id", "vacancy_id", "created_at"), "company_id", "created_at", "vacancy_id", "vacancy_id", "before")
+    order = Window.partitionBy("company_id").orderBy("created_at", "vacancy_id")
+    wrong = out.withColumn("want", F.lag("vacancy_id").over(order)).filter(~F.col("before").eqNullSafe(F.col("want")))
+    assert wrong.isEmpty() and out.count() == ROWS

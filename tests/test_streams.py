@@ -26,7 +26,9 @@ def test_exact_repeats_over_batches(spark):
     df = spark.createDataFrame(rows, "id long, k string, t timestamp")
     cuts = [START + dt.timedelta(days=d) for d in (0, 2, 4, 6, 9)]
     stream = streams.read_files(spark, in_slices(df, "repeats", "t", cuts), df.schema, files_per_batch=1)
-    got = {r.id for r in streams.run_append(streams.drop_repeats_exact(stream, "k", "t", "id"), scratch(spark, "repeats-out")).collect()}
+    passed, late = streams.dedup(stream, "k", "t", "id", scratch(spark, "repeats-out"))
+    got = {r.id for r in passed.collect()}
+    assert late.count() == 0
     want, last = set(), {}
     for i, k, t in sorted(rows, key=lambda r: (r[2], r[0])):
         if k not in last or t >= last[k] + dt.timedelta(hours=24):
@@ -35,6 +37,51 @@ def test_exact_repeats_over_batches(spark):
     assert got == want
 
 
+def chain(rows):
+    """The rows that pass, taken in order of time."""
+    out, last = set(), {}
+    for i, k, t in sorted(rows, key=lambda r: (r[2], r[0])):
+        if k not in last or t >= last[k] + dt.timedelta(hours=24):
+            out.add(i)
+            last[k] = t
+    return out
+
+
+def test_runs_with_a_hot_key_and_a_failure(spark, monkeypatch):
+    random.seed(9)
+    rows = [(i, "hot" if i % 10 else f"k{i % 70}", START + dt.timedelta(minutes=random.randrange(60 * 24 * 6))) for i in range(3000)]
+    path, base, schema = scratch(spark, "hot"), scratch(spark, "hot-out"), "id long, k string, t timestamp"
+    parts = [[r for r in rows if low <= (r[2] - START).days < high] for low, high in ((0, 2), (2, 3), (3, 6))]
+
+    def run(part):
+        if part:
+            spark.createDataFrame(part, schema).repartition(3).write.mode("append").parquet(path)
+        stream = streams.read_files(spark, path, spark.read.parquet(path).schema, files_per_batch=2)
+        passed, late = streams.dedup(stream, "k", "t", "id", base)
+        return {r.id for r in passed.collect()}, late.count()
+
+    assert run(parts[0]) == (chain(parts[0]), 0)
+    first = streams.first_in_slot
+    calls = []
+
+    def fails(*args):
+        calls.append(1)
+        if len(calls) == 2:
+            raise RuntimeError("lost")
+        return first(*args)
+
+    monkeypatch.setattr(streams, "first_in_slot", fails)
+    run(parts[1])
+    with_failure = parts[2]
+    try:
+        run(with_failure)
+    except RuntimeError:
+        monkeypatch.setattr(streams, "first_in_slot", first)
+        assert run([]) == (chain(rows), 0)
+    else:
+        raise AssertionError("the failure did not happen")
+
+
 def test_native_repeats(spark):
     rows = [(i, f"k{i % 4}", START + dt.timedelta(hours=i)) for i in range(100)]
     df = spark.createDataFrame(rows, "id long, k string, t timestamp")
