@@ -28,7 +28,7 @@ class TechRules:
         return replace(self, patterns={k: v for k, v in self.patterns.items() if k != name.lower()})
 
     def find(self, column: Column | str) -> Column:
-        return text.technologies(column, self.patterns)
+        return text.technologies_by_index(column, self.patterns)
 
     def rows(self, spark: SparkSession) -> DataFrame:
         pairs = [(name, needle) for name, needles in self.patterns.items() for needle in needles]

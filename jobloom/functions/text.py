@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from collections import Counter
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +35,60 @@ def technologies(text: Column | str, patterns: dict[str, list[str]] | None = Non
     return compact([F.when(any_contains(lowered, needles), F.lit(name)) for name, needles in table.items()])
 
 
+#: Longest grams of a needle index; shorter needles go by grams of their own length.
+GRAM = 3
+
+
+def needle_index(patterns: dict[str, list[str]]) -> dict[int, dict[str, list[tuple[str, int]]]]:
+    """Needles by one gram of theirs: gram length -> gram -> (needle, place of its name in the table).
+
+    A needle goes by the gram that the fewest needles hold, so that no gram leads to many.
+    """
+    needles = [(n, at) for at, names in enumerate(patterns.values()) for n in dict.fromkeys(names) if n]
+
+    def grams(needle: str) -> list[str]:
+        size = min(GRAM, len(needle))
+        return [needle[i : i + size] for i in range(len(needle) - size + 1)]
+
+    held = Counter(g for n, _ in needles for g in set(grams(n)))
+    index: dict[int, dict[str, list[tuple[str, int]]]] = {}
+    for needle, at in needles:
+        gram = min(grams(needle), key=lambda g: (held[g], g))
+        index.setdefault(len(gram), {}).setdefault(gram, []).append((needle, at))
+    return index
+
+
+def technologies_by_index(text: Column | str, patterns: dict[str, list[str]]) -> Column:
+    """``technologies`` for rule tables of any size: the table is data of the plan, not part of its expressions.
+
+    The grams of a text are met with those of the index in one pass, and only needles that go by a gram
+    of the text are looked for in it. A table without needles finds nothing; a null text gives null.
+    """
+    index = needle_index(patterns)
+    found_type = "array<struct<n:string,at:int>>"
+
+    def data(value: object, kind: str) -> Column:
+        return F.from_json(F.lit(json.dumps(value, ensure_ascii=False)), kind)
+
+    def hits(lowered: Column) -> Column:
+        lists = []
+        for size, by_gram in index.items():
+            grams = F.array_distinct(F.regexp_extract_all(lowered, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
+            met = F.array_intersect(grams, data(list(by_gram), "array<string>"))
+            table = data({g: [{"n": n, "at": at} for n, at in named] for g, named in by_gram.items()}, f"map<string,{found_type}>")
+            lists.append(F.flatten(F.transform(met, _looked_up(table))))
+        every = F.concat(*lists) if lists else F.array().cast(found_type)
+        places = F.transform(F.filter(every, lambda x: F.contains(lowered, x.n)), lambda x: x.at)
+        names = data(list(patterns), "array<string>")
+        return let(names, lambda all_: F.transform(F.array_sort(F.array_distinct(places)), lambda at: F.element_at(all_, at + 1)))
+
+    return F.when(col(text).isNotNull(), let(F.lower(col(text)), hits))
+
+
+def _looked_up(table: Column) -> Callable[[Column], Column]:
+    return lambda gram: F.element_at(table, gram)
+
+
 def stop_word_hits(text: Column | str, head: int | None = None) -> Column:
     """struct(en, bg, de, fr): stop words of each language among the words of a text, or of its first ``head`` characters."""
     lowered = F.lower(col(text))

@@ -1,5 +1,7 @@
 """Exact anchors on small literal rows."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -138,3 +140,24 @@ def test_score_bounds(spark, small):
     total = sum(F.col(f"w_{c}") for c in S.CATEGORIES)
     assert scored.filter(F.abs(total - 1) > 1e-9).count() == 0
     assert scored.filter((F.size("strengths") > 5) | (F.size("concerns") > 5)).count() == 0
+
+
+def test_ten_thousand_needles_in_one_pass(spark):
+    import random
+
+    rng = random.Random(12)
+    letters = "abcdefgh#+ éя"
+    table = {f"t{i}": ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 9))) for _ in range(1 + i % 2)] for i in range(7000)}
+    table.update({"none": [], "blank": [""], "long": ["abc" * 5000], "emoji": ["\U0001f600x"]})
+    rules_ = registries.TechRules(table)
+    assert sum(map(len, table.values())) > 10_000
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(0, 60))).upper() for _ in range(150)]
+    texts += [None, "", "a", "abc" * 5001, "\U0001f600\U0001f600x y"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(2)
+    start = time.time()
+    got = {r.i: r.f for r in rows.select("i", rules_.find("t").alias("f")).collect()}
+    assert time.time() - start < 60
+    for i, t in enumerate(texts):
+        want = None if t is None else [n for n, needles in table.items() if any(x and x in t.lower() for x in needles)]
+        assert got[i] == want
+    assert spark.range(1).select(registries.TechRules({}).find(F.lit("java"))).first()[0] == []
