@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from jobloom.functions import levels, registries, rules, text
 from jobloom.functions.arrays import clean_titles
 from jobloom.functions.common import moment
+from jobloom.operators import chain
 from jobloom.operators import page_facts as P
 from jobloom.operators.pages import Pick, page_pass, page_views
 from jobloom.plans.registry import plan
@@ -486,3 +487,35 @@ def pg_pipeline(spark, d):
         "page_id", "title", "language", "success", "passed", "quality", F.array_join("errors", "; ").alias("errors"),
         F.array_join("warnings", "; ").alias("warnings"),
     )
+
+
+# ---- a whole pull ----
+
+HOURS_LEFT = f"{rules.FRESH_HOURS['dev.bg']} - (epoch_us(TIMESTAMP '{VACANCY_AS_OF}') - epoch_us(k.last_scraped_at)) / 3600000000.0"
+
+
+@plan(
+    "chain_pages",
+    f"""WITH l0 AS (SELECT page_id * 1048576 AS listing_id, CASE page_id % 4 WHEN 0 THEN 'Senior Java Developer' WHEN 1 THEN 'Junior Programmer'
+        ELSE regexp_extract(html, '<h6 class="job-title">([^<]*)</h6>', 1) END AS title, 'Firm ' || CAST(page_id % 50 AS VARCHAR) AS company, '/company/jobads/firm' || CAST(page_id AS VARCHAR) || '/' AS url,
+        CASE page_id % 3 WHEN 0 THEN CAST(regexp_extract(html, 'datetime="([^"]*)"', 1) AS TIMESTAMP) WHEN 1 THEN TIMESTAMP '2001-03-05' ELSE TIMESTAMP '{VACANCY_AS_OF}' END AS posted_at FROM listing_pages
+      UNION ALL SELECT page_id * 1048576 + 2, 'QA', 'Second', '', TIMESTAMP '{VACANCY_AS_OF}' FROM listing_pages WHERE contains(html, 'Second')),
+    l AS (SELECT l0.*, coalesce(c.company_id, sha256(l0.company)) AS company_id, coalesce(u.vacancy_id, t.vacancy_id) AS match_id FROM l0
+      LEFT JOIN known_companies c ON c.name = l0.company LEFT JOIN (SELECT source_url, min(vacancy_id) AS vacancy_id FROM known_vacancies GROUP BY 1) u ON u.source_url = l0.url
+      LEFT JOIN (SELECT title, company_id, min(vacancy_id) AS vacancy_id FROM known_vacancies GROUP BY 1, 2) t ON t.title = l0.title AND t.company_id = coalesce(c.company_id, sha256(l0.company))),
+    u AS (SELECT * FROM l WHERE match_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY match_id ORDER BY posted_at DESC, listing_id DESC) = 1),
+    n1 AS (SELECT * FROM l WHERE match_id IS NULL QUALIFY row_number() OVER (PARTITION BY CASE WHEN url <> '' THEN url ELSE 'none ' || CAST(listing_id AS VARCHAR) END ORDER BY posted_at DESC, listing_id DESC) = 1),
+    n AS (SELECT * FROM n1 QUALIFY row_number() OVER (PARTITION BY title, company_id ORDER BY posted_at DESC, listing_id DESC) = 1),
+    r AS (SELECT company_id, CASE WHEN k.company_id IS NULL THEN 'No existing source found' WHEN NOT k.is_valid THEN 'Source was marked as invalid' WHEN {HOURS_LEFT} < 0 THEN
+      'TTL expired ({rules.FRESH_HOURS['dev.bg']}h limit exceeded)' ELSE 'Within TTL window (expires in ' || CAST(CAST(floor({HOURS_LEFT} + 0.5) AS BIGINT) AS VARCHAR) || 'h)' END AS reason
+      FROM (SELECT DISTINCT company_id FROM l) d LEFT JOIN known_sources k USING (company_id)),
+    a AS (SELECT match_id AS vacancy_key, title, company_id, coalesce(nullif(url, ''), v.source_url) AS source_url, 'update' AS action FROM u JOIN (SELECT vacancy_id, source_url FROM known_vacancies) v ON v.vacancy_id = match_id
+      UNION ALL SELECT sha256(coalesce(nullif(url, ''), title || chr(10) || company_id)), title, company_id, url, 'insert' FROM n)
+    SELECT a.*, r.reason FROM a LEFT JOIN r USING (company_id)""",
+)
+def chain_pages(spark, d):
+    """Changed vacancies of one pull of listing pages, with the reason for or against fetching their company's page."""
+    stored = (view(spark, d, v) for v in ("known_companies", "known_vacancies", "known_sources"))
+    done = chain.ingest_pages(spread(view(spark, d, "listing_pages")), *stored, "dev.bg", VACANCY_AS_OF)
+    changed = done.vacancies.filter("action <> 'keep'").select("vacancy_key", "title", "company_id", "source_url", "action")
+    return changed.join(done.decisions.select("company_id", "reason"), "company_id", "left")

@@ -216,6 +216,18 @@ SELECT p_partkey AS page_id, '<html><body><div class="job-list-item"><h6 class="
   '<img title="Docker "><img title="docker"><img title="' || p_brand || '"><img src="x.png"></div><div class="job-list-item"><h6 class="job-title">Nameless</h6></div>' ||
   CASE WHEN p_partkey % 5 = 0 THEN '<div class="job-list-item"><div class="job-title">QA</div><div class="company-name">Second</div></div>' ELSE '' END || '</body></html>' AS html
 FROM part""",
+    "known_companies": """
+SELECT 'c' || CAST(company_id AS VARCHAR(12)) AS company_id, 'Firm ' || CAST(company_id AS VARCHAR(12)) AS name, industry
+FROM companies WHERE company_id < 50 AND company_id % 2 = 0""",
+    "known_vacancies": """
+SELECT 'v' || CAST(p_partkey AS VARCHAR(12)) AS vacancy_id, CASE p_partkey % 3 WHEN 0 THEN 'Old title' ELSE 'Senior Java Developer' END AS title,
+  'c' || CAST(p_partkey % 50 AS VARCHAR(12)) AS company_id, 'filled' AS status,
+  CASE p_partkey % 3 WHEN 0 THEN '/company/jobads/firm' || CAST(p_partkey AS VARCHAR(12)) || '/' ELSE 'gone ' || CAST(p_partkey AS VARCHAR(12)) END AS source_url
+FROM part WHERE p_partkey % 5 = 0""",
+    "known_sources": """
+SELECT company_id AS source_id, 'c' || CAST(company_id AS VARCHAR(12)) AS company_id, 'dev.bg' AS source_site, 'https://dev.bg/company/' || CAST(company_id AS VARCHAR(12)) || '/' AS source_url,
+  company_id % 8 <> 0 AS is_valid, TS '2001-08-20 00:00:00' + company_id * INTERVAL '6' HOUR AS last_scraped_at
+FROM companies WHERE company_id < 50 AND company_id % 4 = 0""",
     "job_pages": """
 SELECT page_id, '<html><body><a href="/company/jobs/java/">all</a>' || CASE page_id % 4 WHEN 0 THEN '<a href="/company/firm-' || CAST(page_id AS VARCHAR(12)) || '/">Firm</a>'
     WHEN 1 THEN '<a href="https://dev.bg/company/acme/">Acme</a>' ELSE '' END || CASE page_id % 3 WHEN 0 THEN '<a href="https://first' || CAST(page_id AS VARCHAR(12)) ||
