@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from jobloom.functions import jsons, levels, rules, salaries, urls
 from jobloom.functions.common import first_hit, half_up, lookup, micros_between, moment, non_zero, present
 from jobloom.operators import joins, windows
-from jobloom.session import scratch
+from jobloom.session import ensure_checkpoint_dir, scratch
 
 
 def write_snapshot(df: DataFrame, path: str | None = None) -> str:
@@ -134,9 +134,11 @@ def upsert_vacancies(vacancies: DataFrame, listings: DataFrame) -> DataFrame:
     of a new vacancy is the hash of its URL, or of title and company without one.
     Listings without a title or company are left to the ingest log as errors.
     """
+    ensure_checkpoint_dir(listings.sparkSession)
     usable = listings.filter(present("title").isNotNull() & F.col("company_id").isNotNull())
-    matched = joins.match_existing(listing_columns(usable), vacancies)
     carried = ["match_id", "listing_id", "url", "posted_at", *LISTED]
+    # updates and inserts both come from the match: it is made once and written
+    matched = joins.match_existing(listing_columns(usable), vacancies).select(*carried).checkpoint()
     newest = ["posted_at", "listing_id"]
     updates = windows.pick_per_key(
         matched.filter(F.col("match_id").isNotNull()).select(*carried), ["match_id"], newest
