@@ -115,11 +115,14 @@ def batch_summary(results: DataFrame) -> DataFrame:
 
 
 def ingest_summary(merge_log: DataFrame) -> DataFrame:
+    """Actions of each run (run_id, company_id, action, known), and the companies it met that are not known yet, in one pass."""
+    fresh = F.when((F.col("action") != "error") & F.col("known").isNull(), F.col("company_id"))
     return merge_log.groupBy("run_id").agg(
         F.count(F.lit(1)).alias("found"),
         F.count_if(F.col("action") == "insert").alias("new_vacancies"),
         F.count_if(F.col("action") == "update").alias("updated_vacancies"),
         F.count_if(F.col("action") == "error").alias("errors"),
+        F.count_distinct(fresh).alias("new_companies"),
     )
 
 

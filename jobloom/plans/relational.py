@@ -669,13 +669,8 @@ def agg_ingest_summary(spark, d):
     matched = joins.match_existing(view(spark, d, "listings"), view(spark, d, "vacancies"))
     action = F.when(F.col("title").isNull(), "error").when(F.col("match_id").isNull(), "insert").otherwise("update")
     log = matched.select("run_id", "company_id", action.alias("action"))
-    fresh = (
-        log.filter(F.col("action") != "error")
-        .join(view(spark, d, "companies"), "company_id", "left_anti")
-        .groupBy("run_id")
-        .agg(F.count_distinct("company_id").alias("new_companies"))
-    )
-    return aggregates.ingest_summary(log).join(fresh, "run_id", "left").fillna(0, ["new_companies"])
+    known = view(spark, d, "companies").select("company_id", F.lit(True).alias("known"))
+    return aggregates.ingest_summary(windows.split_join(log, known, ["company_id"]))
 
 
 @plan(
