@@ -36,9 +36,9 @@ def in_fold(key: str, folds: int, rest: int) -> Column:
     return F.coalesce(F.crc32(F.encode(F.col(key).cast("string"), "UTF-8")) % folds == rest, F.lit(False))
 
 
-def seeded_share(key: str, seed: int) -> Column:
-    """A number in [0, 1) that depends on the key and the seed alone; 0 for a null key."""
-    return F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
+def seeded_share(*keys: str, seed: int) -> Column:
+    """A number in [0, 1) that depends on the keys and the seed alone; a null key is a key like any other."""
+    return F.pmod(F.xxhash64(*[F.col(k) for k in keys], F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
 
 
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

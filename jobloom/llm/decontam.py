@@ -37,6 +37,9 @@ EDIT_RATE = 0.075
 #: Bytes of benchmark text that one pass holds in memory.
 BLOCK_BYTES = 4 << 20
 FILTER_BITS = 22
+#: Pairs of equal q-grams that are held at once, and what stretches of one document share: no match is longer.
+HITS = 1_000_000
+OVERLAP = 2 * WINDOW
 BASE = 0x9E3779B97F4A7C15
 LEAKS = "doc_id long, item_id long, start long, stop long, edits long, n_windows long"
 
@@ -143,23 +146,75 @@ def spread(first: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return row, np.arange(len(row)) + np.repeat(first - np.cumsum(many) + many, many)
 
 
-def regions(data: np.ndarray, offsets: np.ndarray, ix: dict[str, np.ndarray], every: bool = True) -> tuple[np.ndarray, ...]:
-    """(document, window, start, end, edits) of every match; positions are bytes of the compared form.
-
-    Without ``every``, documents with a verbatim window are not searched further.
-    """
-    empty = tuple(np.zeros(0, np.int64) for _ in range(5))
+def shared(data: np.ndarray, offsets: np.ndarray, ix: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(position, number of its q-gram) of the q-grams that the benchmark holds too, inside one document each."""
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64)
     gram = grams(data)
     at = np.flatnonzero(ix["maybe"][gram >> np.uint64(64 - FILTER_BITS)])
     if not len(at) or not len(ix["gram"]):
-        return empty
+        return none
     slot = np.searchsorted(ix["gram"], gram[at])
     slot[slot == len(ix["gram"])] = 0
     same = ix["gram"][slot] == gram[at]
     at, slot = at[same], slot[same]
+    whole = at + Q <= offsets[np.searchsorted(offsets, at, side="right")]
+    return at[whole], slot[whole]
+
+
+def regions(data: np.ndarray, offsets: np.ndarray, ix: dict[str, np.ndarray], every: bool = True) -> tuple[np.ndarray, ...]:
+    """(document, window, start, end, edits) of every match; positions are bytes of the compared form.
+
+    Without ``every``, documents with a verbatim window are not searched further. Texts that repeat
+    what the benchmark repeats share a product of q-grams: they are searched in stretches of at most
+    ``HITS`` of them, which overlap by more than any match is long, so memory stays bounded; of a window
+    that matches often in one stretch, the first start, the last end and the fewest edits are given.
+    """
+    at, slot = shared(data, offsets, ix)
+    upto = np.concatenate([[0], np.cumsum(ix["first"][slot + 1] - ix["first"][slot])])
+    if upto[-1] <= HITS:
+        return matches(data, offsets, at, slot, ix, every)
+    edges = np.searchsorted(at, offsets)
+    found: list[tuple[np.ndarray, ...]] = []
+
+    def search(low: int, high: int, cuts: np.ndarray, doc: int) -> tuple[np.ndarray, ...]:
+        """Matches of the bytes from low to high, which are the documents ``cuts``."""
+        first, last = np.searchsorted(at, [low, max(low, high - Q + 1)])
+        d, w, s, e, x = matches(data[low:high], cuts - low, at[first:last] - low, slot[first:last], ix, every)
+        return d + doc, w, s + low, e + low, x
+
+    doc = 0
+    while doc + 1 < len(offsets):
+        # as many whole documents as stay within the bound, else one document by stretches
+        last = int(np.searchsorted(upto[edges], upto[edges[doc]] + HITS, side="right")) - 1
+        if last > doc:
+            found.append(search(int(offsets[doc]), int(offsets[last]), offsets[doc : last + 1], doc))
+            doc = last
+            continue
+        start, stop = int(offsets[doc]), int(offsets[doc + 1])
+        while start < stop:
+            enough = int(np.searchsorted(upto, upto[np.searchsorted(at, start)] + HITS, side="right")) - 1
+            end = int(at[enough]) + Q - 1 if enough < len(at) else stop
+            end = min(max(end, start + 2 * OVERLAP), stop)
+            d, w, s, e, x = search(start, end, np.array([start, end]), doc)
+            if len(w):
+                order = np.lexsort((s, w))
+                bounds = np.flatnonzero(np.append(True, np.diff(w[order]) != 0))
+                s, e, x = (f.reduceat(v[order], bounds) for f, v in ((np.minimum, s), (np.maximum, e), (np.minimum, x)))
+                d, w = d[: len(bounds)], w[order][bounds]
+            found.append((d, w, s, e, x))
+            if end == stop or (not every and len(w)):
+                break
+            start = end - OVERLAP
+        doc += 1
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def matches(
+    data: np.ndarray, offsets: np.ndarray, at: np.ndarray, slot: np.ndarray, ix: dict[str, np.ndarray], every: bool
+) -> tuple[np.ndarray, ...]:
+    """``regions`` of documents whose shared q-grams fit in memory together."""
+    empty = tuple(np.zeros(0, np.int64) for _ in range(5))
     doc = np.searchsorted(offsets, at, side="right") - 1
-    whole = at + Q <= offsets[doc + 1]
-    at, slot, doc = at[whole], slot[whole], doc[whole]
     hit, post = spread(ix["first"][slot], ix["first"][slot + 1] - ix["first"][slot])
     at, doc, spot = at[hit], doc[hit], ix["offset"][post]
     if not len(at):

@@ -140,7 +140,11 @@ def sample_features(labelled: DataFrame) -> DataFrame:
 
 
 def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
-    """Fits on rows (doc_id, text, lang); the sample keeps about ``per_language`` rows of each language."""
+    """Fits on rows (doc_id, text, lang); the sample keeps about ``per_language`` rows of each language at most.
+
+    Rows are drawn by id and text, and equal rows count once, so that neither a repeated id nor a repeated
+    row brings more of them.
+    """
     bounded_batches(labelled.sparkSession)
     labelled = labelled.filter("lang is not null and text is not null")
     sizes = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -148,8 +152,9 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None
         return None
     langs = sorted(sizes)
     share = F.create_map(*[F.lit(z) for name in langs for z in (name, min(1.0, per_language / sizes[name]))])
-    kept = labelled.filter(seeded_share("doc_id", 2) < share[F.col("lang")])
-    keyed = kept.select("lang", "text", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)), F.lit(0)).alias("key"))
+    drawn = labelled.withColumn("draw", seeded_share("doc_id", "text", seed=2)).filter(F.col("draw") < share[F.col("lang")])
+    kept = drawn.groupBy("lang", "draw").agg(F.min("text").alias("text"))
+    keyed = kept.select("lang", "text", F.pmod(F.xxhash64("draw"), F.lit(1 << 30)).alias("key"))
     table = sample_features(keyed).toArrow().combine_chunks()
     names = np.array([langs.index(n) for n in table.column("lang").to_pylist()], np.int64)
     x = np.zeros((len(names), DIMS), np.float32)

@@ -17,8 +17,9 @@ All amounts are whole tokens in decimals; each level's shares are exact and add
 
 Nulls: a null language or source is a leaf of its own, named "". A null or empty text has no
 tokens; such rows are taken with every epoch their leaf gives, and a leaf without any tokens
-gives one epoch. Rows with equal doc_id and text are each counted; ties in the drawn order go
-to the smaller doc_id. An empty table gives no rows. ``mix`` keeps all columns, whatever
+gives one epoch. Rows are drawn by doc_id and text, so rows that share an id, or have none, are drawn
+apart; equal rows are each counted and are taken together or not at all, and ties in the drawn order
+go to the smaller doc_id. An empty table gives no rows. ``mix`` keeps all columns, whatever
 their names, and repeats a row once for each time it is taken.
 """
 
@@ -64,9 +65,14 @@ def leaf_columns(docs: DataFrame) -> dict[str, Column]:
 
 
 def slim(docs: DataFrame) -> DataFrame:
-    """(doc_id, domain, language, source, n_tokens) of every row."""
+    """(doc_id, domain, language, source, n_tokens, digest) of every row."""
     tokens = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
-    return docs.select(F.col("doc_id"), *[c.alias(n) for n, c in leaf_columns(docs).items()], tokens.alias("n_tokens"))
+    return docs.select(F.col("doc_id"), *[c.alias(n) for n, c in leaf_columns(docs).items()], tokens.alias("n_tokens"), digest().alias("digest"))
+
+
+def digest() -> Column:
+    """Half the MD5 of a row's text, which tells rows of one id apart."""
+    return F.left(F.md5(F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8")), F.lit(16))
 
 
 def deal(nodes: DataFrame, parents: list[str], weight: Column) -> DataFrame:
@@ -113,8 +119,8 @@ def budgets(rows: DataFrame, part: tuple[int, int] = BUDGET, max_epochs: int = M
 
 
 def drawn(epoch: Column) -> Column:
-    """A number for each document and epoch, as nine hexadecimal digits."""
-    key = F.concat_ws(":", F.lit(str(SEED)), epoch.cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    """A number for each document (doc_id, digest) and epoch, as nine hexadecimal digits."""
+    key = F.concat_ws(":", F.lit(str(SEED)), epoch.cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "digest")
     return F.left(F.md5(F.encode(key, "UTF-8")), F.lit(9))
 
 
@@ -146,6 +152,8 @@ def plan_of(rows: DataFrame) -> tuple[DataFrame, int]:
         first = sums.withColumn("k", F.row_number().over(order)).filter("k = 1")
         open_ = first.select(*LEVELS, "epochs", "rest", "range", (F.col("upto") - F.col("n")).cast(WIDE).alias("base")).checkpoint()
     near = joined(rows, open_, size).withColumn("draw", drawn(F.col("epochs"))).filter(F.col("draw").startswith(F.col("range")))
+    # equal rows are one, so that a row of which there are many is not many rows of one task
+    near = near.groupBy(*LEVELS, "rest", "base", "draw", "doc_id").agg(F.sum("n_tokens").cast(WIDE).alias("n_tokens"))
     order = Window.partitionBy(*LEVELS).orderBy("draw", "doc_id").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     near = near.withColumn("upto", F.col("base") + F.sum("n_tokens").over(order))
     last = near.filter("upto <= rest").groupBy(*LEVELS).agg(F.max(F.struct("draw", "doc_id")).alias("last"))
@@ -176,16 +184,19 @@ def selection(docs: DataFrame) -> DataFrame:
 def mix(docs: DataFrame) -> DataFrame:
     """The documents taken, all columns, one row for each time, with ``epoch`` counted from 0.
 
-    Where the documents have a column of that name, the new one is ``_epoch``.
+    Where the documents have a column of that name, the new one gets as many ``_`` before it as it needs.
     """
     ensure_checkpoint_dir(docs.sparkSession)
     plan, size = plan_of(slim(docs).checkpoint())
     plan = plan.select(F.struct(*LEVELS).alias("_leaf"), F.struct("epochs", "last_draw", "last_doc", "inside").alias("_plan"))
-    whole = docs.select(F.struct(*docs.columns).alias("_row"), F.struct(*[c.alias(n) for n, c in leaf_columns(docs).items()]).alias("_leaf"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    whole = docs.select(F.struct(*columns).alias("_row"), digest().alias("digest"), F.struct(*[c.alias(n) for n, c in leaf_columns(docs).items()]).alias("_leaf"))
     met = whole.join(F.broadcast(plan) if size <= BROADCAST_LEAVES else plan, "_leaf")
-    flat = met.select("_row", F.col("_row.doc_id").alias("doc_id"), "_plan.*")
+    flat = met.select("_row", F.col("_row.doc_id").alias("doc_id"), "digest", "_plan.*")
     taken = flat.withColumn("_times", times().cast("int")).filter("_times > 0")
-    name = "_epoch" if "epoch" in docs.columns else "epoch"
+    name = "epoch"
+    while name in {c.lower() for c in docs.columns}:
+        name = f"_{name}"
     each = taken.select("_row", F.explode(F.sequence(F.lit(0), F.col("_times") - 1)).alias(name))
     return each.select("_row.*", name)
 
@@ -197,7 +208,7 @@ ORACLE = r"""
             CASE WHEN regexp_extract(coalesce(source, ''), '([0-9]{{1,9}})$', 1) = '' THEN 'd0'
                 ELSE 'd' || (CAST(regexp_extract(source, '([0-9]{{1,9}})$', 1) AS BIGINT) % 4) END AS domain,
             len(regexp_extract_all(coalesce(text, ''), '[^ 	-
-]+')) AS n_tokens
+]+')) AS n_tokens, left(md5(coalesce(text, '')), 16) AS digest
         FROM {docs}
     ), leaves AS (
         SELECT domain, language, source, CAST(sum(n_tokens) AS HUGEINT) AS tokens, CAST(sum(n_tokens) * {epochs} AS HUGEINT) AS can
@@ -216,7 +227,7 @@ ORACLE = r"""
     ), ordered AS (
         SELECT doc_id, domain, language, source, n_tokens, epochs, rest,
             sum(n_tokens) OVER (PARTITION BY domain, language, source
-                ORDER BY left(md5('{seed}:' || epochs || ':' || coalesce(CAST(doc_id AS VARCHAR), '')), 9), doc_id) AS upto
+                ORDER BY left(md5('{seed}:' || epochs || ':' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || digest), 9), doc_id) AS upto
         FROM rows JOIN plan USING (domain, language, source)
     )
     SELECT doc_id, domain, language, source, n_tokens, CAST(epochs + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END AS INT) AS times

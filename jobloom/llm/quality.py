@@ -278,15 +278,22 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     """((doc_id, text, label) of a seeded sample outside the held-out fold, size of each class).
 
     The sample is drawn from the ids, so its size is bounded before any text is read: about
-    ``per_class`` rows of each class. Only those ids are broadcast; texts are not shuffled.
-    A doc_id with several labels counts as the largest.
+    ``per_class`` ids of each class. Only those ids are broadcast; texts are not shuffled. Where
+    the ids stand for many more rows than that, rows are drawn once more, by id and text, to twice
+    as many at most, and equal rows count once. A doc_id with several labels counts as the largest.
     """
     known = labels.select("doc_id", F.col(label).cast("int").alias("label")).filter("label in (0, 1) and doc_id is not null")
     known = known.filter(~in_fold("doc_id", folds, rest)).groupBy("doc_id").agg(F.max("label").alias("label"))
     sizes = {r.label: r.n for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     zero, one = (min(1.0, per_class / sizes.get(c, 1)) for c in (0, 1))
-    picked = known.filter(seeded_share("doc_id", seed) < F.when(F.col("label") == 0, zero).otherwise(one))
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "text", "label"), sizes
+    picked = known.filter(seeded_share("doc_id", seed=seed) < F.when(F.col("label") == 0, zero).otherwise(one))
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "text", "label")
+    held = {r.label: r.n for r in docs.select("doc_id").join(F.broadcast(picked), "doc_id").groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if max(held.values(), default=0) <= 2 * per_class:
+        return rows, sizes
+    zero, one = (min(1.0, 2 * per_class / held.get(c, 1)) for c in (0, 1))
+    again = rows.withColumn("draw", seeded_share("doc_id", "text", seed=seed + 1)).filter(F.col("draw") < F.when(F.col("label") == 0, zero).otherwise(one))
+    return again.groupBy("doc_id", "label", "draw").agg(F.min("text").alias("text")).select("doc_id", "text", "label"), sizes
 
 
 def assess(docs: DataFrame, labels: DataFrame, folds: int = 5, rest: int = 0, per_class: int = PER_CLASS) -> DataFrame:

@@ -200,3 +200,13 @@ def test_secrets_odd_rows(odd_docs, no_docs, trees):
     assert [r.text for r in out.collect()] == [r.text for r in odd_docs.collect()]
     assert secrets.findings(no_docs, trees).count() == 0
     assert no_python(out) and no_python(secrets.findings(odd_docs, trees))
+
+
+def test_mix_draws_rows_apart_and_names_its_column(spark):
+    rows = spark.range(400).selectExpr("cast(null as bigint) AS doc_id", "concat('w ', id, ' x y') AS text", "'en' AS lang", "'src1' AS source", "id AS epoch", "id AS _epoch")
+    rows = rows.unionByName(rows.limit(1).selectExpr("doc_id", "'same row' AS text", "lang", "source", "epoch", "_epoch").crossJoin(spark.range(200).select()))
+    got = mixing.mix(rows)
+    assert got.columns == [*rows.columns, "__epoch"]
+    picked = mixing.selection(rows.drop("epoch", "_epoch"))
+    total = mixing.slim(rows).agg(F.sum("n_tokens")).first()[0]
+    assert picked.agg(F.sum(F.col("n_tokens") * F.col("times"))).first()[0] == total

@@ -219,3 +219,38 @@ def test_query_equals_sql(spark, small, key):
     names = [c[0] for c in result.description]
     assert sorted(df.columns) == sorted(names)
     assert sorted(map(tuple, df.select(*names).collect())) == sorted(result.fetchall())
+
+
+def test_repetitive_texts_are_searched_in_stretches(monkeypatch):
+    rng = random.Random(31)
+    item = b"abc" * 300 + bytes(rng.choice(b"abcdefgh ") for _ in range(200)) + b"xy" * 150
+    texts = [b"abc" * 700, b"zz " * 50 + b"abc" * 200 + b"q" + b"abc" * 100 + b"xy" * 90, bytes(rng.choice(b"abcdefgh ") for _ in range(900)) + item[850:1050] + b"ac" * 100, b"", b"clean words only"]
+    ix = decontam.index((item, b"xyx" * 60))
+    data, offsets, _ = decontam.plain(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+
+    def summary(every):
+        out = {}
+        for d, w, s, e, x in zip(*(v.tolist() for v in decontam.regions(data, offsets, ix, every))):
+            row = out.setdefault((d, int(ix["item"][w])), [s, e, x, set()])
+            row[0], row[1], row[2] = min(row[0], s), max(row[1], e), min(row[2], x)
+            row[3].add(w)
+        return out
+
+    whole, docs = summary(True), set(decontam.regions(data, offsets, ix, False)[0].tolist())
+    monkeypatch.setattr(decontam, "HITS", 3000)
+    assert summary(True) == whole and len(whole) >= 3
+    assert set(decontam.regions(data, offsets, ix, False)[0].tolist()) == docs == {d for d, _ in whole}
+
+
+def test_repetitive_texts_take_bounded_memory():
+    import tracemalloc
+
+    ix = decontam.index((b"abc" * 7000,))
+    text = np.frombuffer(b"q" + b"abc" * 33_000, np.uint8)
+    tracemalloc.start()
+    assert decontam.regions(text, np.array([0, len(text)]), ix, False)[0].tolist()[:1] == [0]
+    # no verbatim window of the item: every stretch is searched
+    other = np.frombuffer((b"abc" * 25 + b"!") * 100, np.uint8)
+    decontam.regions(other, np.array([0, len(other)]), ix, False)
+    assert tracemalloc.get_traced_memory()[1] < 1 << 30
+    tracemalloc.stop()
