@@ -9,11 +9,15 @@ from jobloom.functions.common import col
 from jobloom.functions.text import squeeze
 
 
+# what does not count as content (fixed values)
+LEFT_OUT = (r"(?i)<script[^>]*>[\s\S]*?</script>", r"(?i)<style[^>]*>[\s\S]*?</style>", r"<!--[\s\S]*?-->")
+
+
 def cleaned(content: Column | str) -> Column:
     """Content without scripts, styles, comments and extra space."""
-    out = F.regexp_replace(col(content), r"(?i)<script[^>]*>[\s\S]*?</script>", "")
-    out = F.regexp_replace(out, r"(?i)<style[^>]*>[\s\S]*?</style>", "")
-    out = F.regexp_replace(out, r"<!--[\s\S]*?-->", "")
+    out = col(content)
+    for pattern in LEFT_OUT:
+        out = F.regexp_replace(out, pattern, "")
     return squeeze(out)
 
 

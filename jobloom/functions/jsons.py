@@ -1,4 +1,4 @@
-"""JSON text columns and extraction replies."""
+"""JSON text columns and extraction replies. Field names, messages and limits are fixed values."""
 
 from __future__ import annotations
 

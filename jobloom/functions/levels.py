@@ -1,4 +1,4 @@
-"""Level, size and work-model labels."""
+"""Level, size and work-model labels. Labels, words and steps are fixed values."""
 
 from __future__ import annotations
 

@@ -93,14 +93,14 @@ PROFILES = {
         remove=(
             "nav", "header", "footer", "aside", "script", "style", "noscript", "iframe",
             ".sidebar", ".menu", ".navigation", ".breadcrumb",
-            ".social", ".share", ".follow", ".subscribe", "[class*=social]",
-            ".ad", ".ads", ".advertisement", ".sponsored", "[class*=ad-]", "[class*=promo]",
-            ".comments", ".reviews", "[class*=comment]", "[class*=review]",
-            ".cookie", ".popup", ".modal", ".overlay", "[class*=cookie]",
-            "form:not(.application-form)", "button:not(.apply-button)", "input:not([type=hidden])",
+            ".social", ".share", ".follow", ".subscribe", '[class*="social"]',
+            ".ad", ".ads", ".advertisement", ".sponsored", '[class*="ad-"]', '[class*="promo"]',
+            ".comments", ".reviews", '[class*="comment"]', '[class*="review"]',
+            ".cookie", ".popup", ".modal", ".overlay", '[class*="cookie"]',
+            "form:not(.application-form)", "button:not(.apply-button)", 'input:not([type="hidden"])',
         ),
         keep=(
-            "main", "article", ".content", ".main-content", "[role=main]",
+            "main", "article", ".content", ".main-content", '[role="main"]',
             ".job-description", ".job-details", ".job-requirements", ".responsibilities",
             ".company-info", ".salary", ".compensation", ".benefits",
         ),

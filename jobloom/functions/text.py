@@ -226,6 +226,7 @@ def unique_ratio(text: Column | str) -> Column:
 
 
 def _quality_rules(title, cleaned, ratio, n_sections):
+    # limits, messages and points (fixed values)
     return [
         (F.length(col(cleaned)) < 50, "Content too short", 30),
         (col(ratio) < 0.1, "Low content density (too much markup)", 20),

@@ -232,6 +232,7 @@ def scrape_decision(requests: DataFrame, sources: DataFrame, as_of: str) -> Data
     """Whether to fetch each requested page, with the reason.
 
     In order: nothing stored, forced, URL changed, marked invalid, too old, fresh.
+    The reasons' texts are fixed values.
     """
     rows = joins.with_stored_source(requests, sources)
     hours = lookup(F.col("source_site"), rules.FRESH_HOURS, F.lit(rules.FRESH_HOURS_OTHER))

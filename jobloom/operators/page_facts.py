@@ -13,23 +13,23 @@ from jobloom.operators.pages import Pick, first, page_pass, page_views
 # ---- general content: selectors in priority order (fixed values) ----
 
 TITLE = first(
-    "titles", "h1", "title", "[data-testid*=title]", "[class*=title]", "[class*=heading]", ".job-title",
+    "titles", "h1", "title", '[data-testid*="title"]', '[class*="title"]', '[class*="heading"]', ".job-title",
     ".position-title", "h2",
 )
 ALWAYS_DROP = (
     "script", "style", "noscript", "iframe", "object", "embed", "form", "input", "button", "select", "textarea",
     ".advertisement", ".ads", ".social-share", ".comments", ".footer", ".sidebar",
-    "[class*=cookie]", "[class*=popup]", "[class*=modal]", "[id*=cookie]", "[id*=popup]", "[id*=modal]",
+    '[class*="cookie"]', '[class*="popup"]', '[class*="modal"]', '[id*="cookie"]', '[id*="popup"]', '[id*="modal"]',
 )
 DROP_IMAGES = ("img",)
 AGGRESSIVE_DROP = (
     "nav", "header", "aside", ".navigation", ".menu", ".breadcrumb", ".related", ".recommended", ".tags", ".share",
-    ".author", ".date", ".meta", "[class*=social]", "[class*=share]", "[class*=follow]", "[class*=subscribe]",
+    ".author", ".date", ".meta", '[class*="social"]', '[class*="share"]', '[class*="follow"]', '[class*="subscribe"]',
 )
 MAIN = first(
-    "containers", "main", "article", "[role=main]", ".main-content", ".content", ".job-description", ".job-details",
-    ".vacancy-description", ".position-description", "[class*=description]", "[class*=content]", "[id*=description]",
-    "[id*=content]",
+    "containers", "main", "article", '[role="main"]', ".main-content", ".content", ".job-description", ".job-details",
+    ".vacancy-description", ".position-description", '[class*="description"]', '[class*="content"]', '[id*="description"]',
+    '[id*="content"]',
 )
 BLOCK = Pick("block", "longest", ("div, section, article",))
 BODY = Pick("body", "joined", ("body",))
@@ -38,22 +38,22 @@ SHAPE = (
     Pick("n_lists", "count", ("ul, ol",)),
     Pick("n_tables", "count", ("table",)),
     Pick("n_paragraphs", "count", ("p",)),
-    Pick("n_marked", "count", ("script[type=application/ld+json]", "[itemscope]", "[property^=og:]")),
+    Pick("n_marked", "count", ('script[type="application/ld+json"]', "[itemscope]", '[property^="og:"]')),
 )
 SECTIONS = {
-    "title": ("h1.job-title", ".job-title", ".title-date-wrap h1", "h1[class*=title]", ".job-header h1", "h1", ".position-title"),
+    "title": ("h1.job-title", ".job-title", ".title-date-wrap h1", 'h1[class*="title"]', ".job-header h1", "h1", ".position-title"),
     "description": (
-        ".job_description", ".job-description", ".vacancy-description", "[class*=description]",
+        ".job_description", ".job-description", ".vacancy-description", '[class*="description"]',
         ".job-content .description", ".content-description",
     ),
     "requirements": (
-        ".job-requirements", ".requirements", "[class*=requirement]", ".job-content .requirements",
+        ".job-requirements", ".requirements", '[class*="requirement"]', ".job-content .requirements",
         ".vacancy-requirements",
     ),
-    "benefits": (".benefits", ".job-benefits", "[class*=benefit]", ".perks", ".advantages"),
-    "companyInfo": (".company-info", ".company-description", "[class*=company]", ".employer-info", ".about-company"),
-    "salary": (".salary", ".compensation", "[class*=salary]", ".wage", ".payment"),
-    "location": (".location", ".job-location", "[class*=location]", ".workplace", ".office"),
+    "benefits": (".benefits", ".job-benefits", '[class*="benefit"]', ".perks", ".advantages"),
+    "companyInfo": (".company-info", ".company-description", '[class*="company"]', ".employer-info", ".about-company"),
+    "salary": (".salary", ".compensation", '[class*="salary"]', ".wage", ".payment"),
+    "location": (".location", ".job-location", '[class*="location"]', ".workplace", ".office"),
 }
 MARKDOWN = (
     Pick("headings", "tagged", ("h1, h2, h3, h4, h5, h6",)),
@@ -213,9 +213,9 @@ CARDS = Pick(
     parts=(
         Pick("title", "joined", ("h6.job-title, .job-title",)),
         Pick("company", "joined", (".company-name",)),
-        Pick("url", "attr", ("a.overlay-link, a[href*=jobads]",), "href"),
+        Pick("url", "attr", ('a.overlay-link, a[href*="jobads"]',), "href"),
         first("badge", ".badge"),
-        Pick("salary", "joined", (".salary, .price, [class*=salary]",)),
+        Pick("salary", "joined", ('.salary, .price, [class*="salary"]',)),
         Pick("time_attr", "attr", ("time",), "datetime"),
         Pick("time_text", "joined", ("time",)),
         Pick("icons", "attrs", ("img[title]",), "title"),
@@ -268,8 +268,8 @@ def job_detail(html: Column | str, kind: str) -> Column:
 PROFILE_LINKS = Pick("profile_links", "attrs", ('a[href*="/company/"]',), "href")
 # groups of anchors in priority order; a group may repeat anchors of an earlier one (fixed values)
 SITE_GROUPS = (
-    "a[href*=www.]", "a[href^=http][href*=.com]", "a[href^=http][href*=.bg]", "a[href^=https://]",
-    "a.company-website", "a.external-link", ".company-info a[href^=http]",
+    'a[href*="www."]', 'a[href^="http"][href*=".com"]', 'a[href^="http"][href*=".bg"]', 'a[href^="https://"]',
+    "a.company-website", "a.external-link", '.company-info a[href^="http"]',
 )
 SITE_LINKS = [Pick(f"site_links_{i}", "links", (s,)) for i, s in enumerate(SITE_GROUPS)]
 SITE_SHAPES = (
@@ -334,10 +334,10 @@ NAME = first("names", "h1.company-name", ".company-header h1", ".page-title", "h
 HEAD_TITLE = Pick("head_title", "joined", ("title",))
 DESCRIPTION = first(
     "descriptions", ".company-description", ".company-description p", ".about-company", ".company-info .description",
-    ".company-details p", ".about-text", "[data-testid=company-description]",
+    ".company-details p", ".about-text", '[data-testid="company-description"]',
 )
-LINKS = Pick("links", "links", ("a[href^=http]",))
-LOGO = Pick("logos", "attr", (".company-logo img", ".logo img", ".brand-logo img", "img[alt*=logo]"), "src")
+LINKS = Pick("links", "links", ('a[href^="http"]',))
+LOGO = Pick("logos", "attr", (".company-logo img", ".logo img", ".brand-logo img", 'img[alt*="logo"]'), "src")
 PAGE_TEXT = Pick("page_text", "text")
 PLACES = Pick("places", "joined", (".location", ".address", ".office-location", ".headquarters", ".offices"))
 INDUSTRY = first("industries", ".industry", ".sector", ".business-type", ".category")
@@ -617,10 +617,11 @@ def completeness10() -> Column:
 
 def profile(pages: DataFrame) -> DataFrame:
     """Company profile by generic selectors; lists of at most 10, 15 and 5 entries."""
+    # selectors in priority order (fixed values)
     picks = [
         first("p_names", ".company-name, .page-title, h1"), HEAD_TITLE,
         first("p_texts", ".company-description, .about-company, .company-info p", ".content .text, .company-details"),
-        Pick("p_links", "links", ("a[href^=http]:not([href*=dev.bg])",)),
+        Pick("p_links", "links", ('a[href^="http"]:not([href*="dev.bg"])',)),
         first("p_places", ".company-location, .location, .address", "span:contains(София), span:contains(Пловдив), span:contains(Варна)"),
         first("p_sizes", ".company-size, .employees, .team-size"), first("p_industries", ".industry, .sector, .business-area"),
         Pick("p_benefits", "all", (".benefits li", ".perks li", ".company-benefits li", ".why-join-us li", ".advantages li")),
@@ -654,10 +655,11 @@ def profile(pages: DataFrame) -> DataFrame:
 
 def company_site_page(pages: DataFrame) -> DataFrame:
     """Fields of a company's own web site."""
+    # selectors in priority order (fixed values)
     picks = [
         first("w_names", "h1", ".company-name, .brand-name, .site-title"), HEAD_TITLE,
         first("w_about", ".about, .company-description, .intro, #about", ".hero-text, .hero-description"),
-        Pick("w_meta", "attr", ("meta[name=description]",), "content"),
+        Pick("w_meta", "attr", ('meta[name="description"]',), "content"),
         first("w_places", ".address, .location, .contact-address"),
         Pick("w_values", "all", (".values li, .mission, .vision", "h2:contains(Values) + * li, h3:contains(Mission) + * li")),
         Pick("w_benefits", "all", (".benefits li, .perks li, .careers-benefits li", "h2:contains(Benefits) + * li, h3:contains(Perks) + * li")),
