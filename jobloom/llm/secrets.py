@@ -1,11 +1,13 @@
 """Secret scan: candidate strings, judged by a random forest that removes false positives.
 
-A candidate is a run of at least ``SHORTEST`` letters, digits and ``+/_-`` with a digit in it.
-Its features are length, classes of characters and their transitions, spread of characters,
-coverage by dictionary words, path marks, and the words before and after it. The forest is
-trained from labelled findings (``labelled_findings``, made by a rule, or a table of one's
-own), and its trees become column expressions: scanning is one pass of column functions
-without a shuffle, and redaction needs no join.
+Candidates are wide, and the forest rejects: private key blocks; the user and password of a URL; whatever
+is assigned to a name such as ``password`` or ``api_key``, of any printable signs, with digits or
+without; and every other run of at least ``SHORTEST`` letters, digits and ``+/_-`` with a digit in it.
+Features are length, classes of characters and their transitions, spread of characters,
+coverage by dictionary words, path marks, and the words before and after, which are read from the
+text, whatever candidates stand there. The forest is trained from labelled findings
+(``labelled_findings``, made by a rule, or a table of one's own), and its trees become column
+expressions: scanning is one pass of column functions without a shuffle, and redaction needs no join.
 
 Nulls: a null text has no candidates and stays null. Empty texts have none. Repeated rows are
 each scanned. ``findings`` leaves extra columns out; ``redact`` keeps all columns, whatever
@@ -16,7 +18,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -29,7 +31,18 @@ LABELLED = 6000
 MASK = "[SECRET]"
 
 _TOKEN = "A-Za-z0-9+/_-"
-CANDIDATE = rf"(?<![{_TOKEN}])(?=[A-Za-z+/_-]*[0-9])[{_TOKEN}]{{{SHORTEST},}}={{0,2}}"
+#: Names that a secret is assigned to.
+NAMES = r"pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|auth(?:orization)?"
+#: The start of what is assigned: one look back for the sign before, then for the name. Few places pass the first.
+_ASSIGNED = rf"(?<=[=:\s\"'])(?<=[=:]\s{{0,2}}[\"']?)(?<=(?i:{NAMES})[\"']?\s{{0,2}}[=:]\s{{0,2}}[\"']?)"
+CANDIDATE = (
+    r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[^-]++-----END [A-Z ]{0,40}PRIVATE KEY-----"
+    r"|(?<=://)[^\s/:@\"'<>]{1,64}+:[^\s/@\"'<>]{3,128}+(?=@)"
+    rf"|{_ASSIGNED}[^\s\"'<>,;]{{4,256}}"
+    rf"|(?<![{_TOKEN}])(?=[A-Za-z+/_-]*+[0-9])[{_TOKEN}]{{{SHORTEST},}}+={{0,2}}"
+)
+#: What every text with a candidate holds.
+HINT = rf"[0-9]|-----BEGIN|://|(?i:{NAMES})"
 
 #: Words that make a string look written rather than drawn at random.
 DICTIONARY = (
@@ -44,7 +57,7 @@ DICTIONARY = (
 SECRET_WORDS = r"pass(word|wd|phrase)?|pwd|secret|token|api.?key|auth|bearer|credential|private|access.?key"
 HASH_WORDS = r"sha.?\d*|md5|commit|digest|checksum|hash|revision|integrity|etag|blob"
 ID_WORDS = r"uuid|guid|order|invoice|isbn|phone|card|iban|tracking|serial|ticket|number|call|ref"
-PLACEHOLDERS = r"example|sample|dummy|placeholder|changeme|your|xxxx|0000|1234|abcd|test"
+PLACEHOLDERS = r"example|sample|dummy|placeholder|changeme|your|xxxx|0000|1234|abcd|test|\*\*\*|\$\{|\{\{|\(\)|required|optional|string|none|null|username|hidden|<"
 PREFIXES = r"^(AKIA|ASIA|AIza|gh[pousr]_|glpat-|sk[-_]|pk_live|rk_live|xox[abprs]-|eyJ|ya29)"
 
 
@@ -68,6 +81,10 @@ def features(before: Column, found: Column, after: Column) -> dict[str, Column]:
         "upper": share("[A-Z]"),
         "lower": share("[a-z]"),
         "marks": share("[+/_-]"),
+        "signs": share("[^A-Za-z0-9+/_-]"),
+        "key_block": number(found.startswith("-----BEGIN")),
+        "user_pass": number(near.endswith("://") & found.contains(":")),
+        "classes": number(found.rlike("[a-z]")) + number(found.rlike("[A-Z]")) + number(found.rlike("[0-9]")) + number(found.rlike("[^A-Za-z0-9]")),
         "transitions": share("(?<=[a-z])[A-Z0-9]|(?<=[A-Z])[a-z0-9]|(?<=[0-9])[A-Za-z]"),
         "spread": F.size(F.array_distinct(F.split(found, ""))).cast("double") / size,
         "hex": number(found.rlike("^([0-9a-f]+|[0-9A-F]+)$")),
@@ -81,6 +98,7 @@ def features(before: Column, found: Column, after: Column) -> dict[str, Column]:
         "assigned": number(near.rlike(r"[=:]\s*[\"']?$")),
         "quoted": number(near.rlike("[\"']$")),
         "secret_word": number(last.rlike(SECRET_WORDS)),
+        "named": number(near.rlike(rf"({NAMES})[\"']?\s{{0,2}}[=:]\s{{0,2}}[\"']?$")),
         "hash_word": number(last.rlike(HASH_WORDS)),
         "id_word": number(last.rlike(ID_WORDS)),
         "path": number(near.rlike(r"(/|\\|://\S*|\.)$") | follow.rlike(r"^(/|\.[a-z0-9]{1,5}\b)") | found.rlike("^/|/.*/")),
@@ -131,22 +149,40 @@ def labelled_findings(spark: SparkSession, rows: int = LABELLED) -> DataFrame:
         (secret_place, F.concat(any_of("your-token-here-", "example-password-", "xxxxxxxxxxxx", "changeme-now-", "dummy-secret-value-", "test-token-test-"), cut(drawn(digit, 4, 33), 1, 4, 34)), any_of(" ", '"'), 0),
         (prose, F.concat(any_of("2019-", "2020-", "2021-", "2024-"), drawn(digit, 2, 35), F.lit("-"), drawn(digit, 2, 36), F.lit("T"), drawn(digit, 2, 37), drawn(digit, 4, 38)), any_of(" ", "Z"), 0),
         (prose, F.concat(cut(drawn(lower, 16, 39), 8, 16, 40), drawn(digit, 2, 41), cut(drawn(lower, 8, 42), 2, 8, 43)), any_of(" ", ".", ","), 0),
+        (secret_place, F.concat(drawn(lower, 6, 60), any_of("!", "@", "#", "$", ".", ":"), cut(drawn(mixed + "!@#$%^&*.", 24, 61), 3, 18, 62)), any_of(" ", '"', ","), 1),
+        (secret_place, cut(drawn(mixed + "!@#$%^&*.:", 24, 63), 6, 24, 64), any_of(" ", '"', ","), 1),
+        (secret_place, cut(drawn(lower, 40, 65), 14, 40, 66), any_of(" ", '"', ","), 1),
+        (secret_place, cut(drawn(upper, 40, 67), 12, 40, 68), any_of(" ", '"', ","), 1),
+        (F.concat(prose, any_of("postgres", "mysql", "https", "amqp", "redis", "ftp"), F.lit("://")), F.concat(cut(drawn(lower, 10, 69), 3, 10, 70), F.lit(":"), cut(drawn(mixed + "!#$%.", 20, 71), 6, 20, 72)), F.lit("@host/db "), 1),
+        (prose, F.concat(F.lit("-----BEGIN "), any_of("RSA ", "EC ", ""), F.lit("PRIVATE KEY-----"), drawn(mixed + "+/", 64, 73), F.lit("\n-----END "), any_of("RSA ", "EC ", ""), F.lit("PRIVATE KEY-----")), any_of(" ", "."), 1),
+        (F.concat(prose, any_of("password: ", "token: ", "secret = ", 'api_key: "', "auth: ", "access_key=", "passphrase: ")), F.concat(word(74), any_of("", "ed", "s", ".", "()", "er", "ing")), any_of(" ", '"', "\n"), 0),
+        (F.concat(prose, any_of("password: ", "token = ", "secret=", 'api_key="', "auth: ")), cut(drawn(lower, 10, 75), 4, 9, 76), any_of(" and", " is", " the", '"', "."), 0),
+        (F.concat(prose, any_of("password: ", "token = ", 'secret="', "api_key=", "pwd=")), any_of("${PASSWORD}", "********", "{{token}}", "getpass()", "os.environ[KEY]", "required", "optional", "string", "None", "null", "hidden", "changeme", salt=77), any_of(" ", '"'), 0),
+        (F.concat(prose, any_of("postgres", "mysql", "https", "amqp"), F.lit("://")), any_of("user:password", "username:password", "user:pass", "name:${PASSWORD}", "admin:********", "user:your-password", salt=78), F.lit("@host/db "), 0),
     ]
     chosen = F.pmod(F.xxhash64("id", F.lit(0)), F.lit(len(kinds)))
     parts = [F.struct(b.alias("before"), f.alias("found"), a.alias("after"), F.lit(y).alias("label")) for b, f, a, y in kinds]
     row = parts[-1]
     for i, part in enumerate(parts[:-1]):
         row = F.when(chosen == i, part).otherwise(row)
-    return spark.range(rows).select(row.alias("x")).select("x.*").filter(F.col("found").rlike(f"^{CANDIDATE}$"))
+    made = spark.range(rows).select(row.alias("x")).select("x.*")
+    whole = F.regexp_extract_all(F.concat("before", "found", "after"), F.lit(CANDIDATE), F.lit(0))
+    return made.filter(F.array_contains(whole, F.col("found")))
 
 
-def train(labelled: DataFrame) -> list[str]:
-    """The forest's trees as SQL over a struct ``x`` of features; each votes 0 or 1."""
+def fit(labelled: DataFrame) -> tuple[RandomForestClassificationModel, DataFrame, list[str]]:
+    """The forest, the rows (label, features and their vector ``features``) it learned from, and the features' names."""
     named = features(F.col("before"), F.col("found"), F.col("after"))
     table = labelled.select(F.col("label").cast("double").alias("label"), *[c.alias(n) for n, c in named.items()])
     assembled = VectorAssembler(inputCols=list(named), outputCol="features").transform(table)
-    forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, featureSubsetStrategy="onethird").fit(assembled)
-    return [tree_sql(tree.toDebugString, list(named)) for tree in forest.trees]
+    forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, featureSubsetStrategy="onethird")
+    return forest.fit(assembled), assembled, list(named)
+
+
+def train(labelled: DataFrame) -> list[str]:
+    """The forest's trees as SQL over a struct ``x`` of features; each votes 0 or 1."""
+    model, _, names = fit(labelled)
+    return [tree_sql(tree.toDebugString, names) for tree in model.trees]
 
 
 def tree_sql(text: str, names: list[str]) -> str:
@@ -169,18 +205,31 @@ def forest(spark: SparkSession) -> list[str]:
     return train(labelled_findings(spark))
 
 
-def candidates(text: Column) -> Column:
-    """The candidates of a text in order: length of what stands before, the string, and its features."""
-    parts = F.split(text, CANDIDATE)
-    found = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
+def pieces(text: Column) -> Column:
+    """struct(found, parts): the candidates of a text in order, and what stands before, between and after them."""
+    found = F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    return F.struct(found.alias("found"), F.when(F.size(found) > 0, F.split(text, CANDIDATE, -1)).otherwise(F.array(text)).alias("parts"))
+
+
+def candidates(held: Column) -> Column:
+    """The candidates of a text's ``pieces``: length of what stands before, the string, and its features.
+
+    The words around are those of the text: a candidate beside another one has it as a word before it.
+    """
+    found, parts, size = held.found, held.parts, F.size(held.found)
+    none = F.array(F.lit("")).cast("array<string>")
+    beside = F.arrays_zip(
+        found.alias("found"), F.slice(parts, 1, size).alias("gap"), F.slice(parts, 2, size).alias("next_gap"),
+        F.slice(F.concat(none, found), 1, size).alias("last"), F.slice(F.concat(found, none), 2, size).alias("next"),
+    )
 
-    def one(word: Column, i: Column) -> Column:
-        named = features(F.element_at(parts, i + 1), word, F.element_at(parts, i + 2))
-        return F.struct(
-            F.length(F.element_at(parts, i + 1)).alias("gap"), word.alias("found"), *[c.alias(n) for n, c in named.items()]
-        )
+    def one(x: Column) -> Column:
+        before = F.concat(F.right(x["last"], F.lit(BEFORE)), F.right(x["gap"], F.lit(BEFORE)))
+        after = F.concat(F.left(x["next_gap"], F.lit(AFTER)), F.left(x["next"], F.lit(AFTER)))
+        named = features(before, x["found"], after)
+        return F.struct(F.length(x["gap"]).alias("gap"), x["found"].alias("found"), *[c.alias(n) for n, c in named.items()])
 
-    return F.when(text.rlike("[0-9]"), F.transform(found, one))
+    return F.when(size > 0, F.transform(beside, one))
 
 
 def judged(column: str, trees: list[str]) -> Column:
@@ -195,8 +244,8 @@ def findings(docs: DataFrame, trees: list[str]) -> DataFrame:
     (doc_id, start, stop, length, share, secret, sha256); positions are characters from 0, the
     string itself is given by its digest alone.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("rid"), candidates(F.col("text")).alias("_c"))
-    rows = rows.withColumn("_c", judged("_c", trees))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("rid"), pieces(F.col("text")).alias("_p"))
+    rows = rows.select("doc_id", "rid", candidates(F.col("_p")).alias("_c")).withColumn("_c", judged("_c", trees))
     each = rows.select("doc_id", "rid", F.posexplode("_c").alias("n", "c"))
     each = each.select("doc_id", "rid", "n", "c.gap", "c.share", F.length("c.found").alias("length"), F.sha2("c.found", 256).alias("sha256"))
     so_far = Window.partitionBy("rid").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
@@ -211,12 +260,12 @@ def redact(docs: DataFrame, trees: list[str]) -> DataFrame:
     """All rows and columns, each secret in ``text`` replaced by ``MASK`` and ``n_chars``, if there, made to fit."""
     text = F.col("text")
     own = "_candidates_" + "_" * max((len(c) for c in docs.columns), default=0)
-    held = docs.withColumn(own, candidates(text)).withColumn(own, judged(own, trees))
-    parts = F.split(text, CANDIDATE)
-    said = F.transform(
-        F.col(own), lambda c, i: F.concat(F.when(c.share >= 0.5, MASK).otherwise(c.found), F.element_at(parts, i + 2))
+    parts = f"{own}parts"
+    held = docs.withColumn(parts, pieces(text)).withColumn(own, candidates(F.col(parts))).withColumn(own, judged(own, trees))
+    told = F.zip_with(
+        own, F.slice(F.col(parts).parts, 2, F.size(own)), lambda c, gap: F.concat(F.when(c.share >= 0.5, MASK).otherwise(c.found), gap)
     )
-    clean = F.concat(F.element_at(parts, 1), F.array_join(said, ""))
+    clean = F.concat(F.element_at(F.col(parts).parts, 1), F.array_join(told, ""))
     out = held.withColumn("text", F.when(F.exists(own, lambda c: c.share >= 0.5), clean).otherwise(text))
     if "n_chars" in docs.columns:
         kind = dict(docs.dtypes)["n_chars"]
