@@ -212,7 +212,7 @@ def test_query_equals_sql(spark, small, key):
     from jobloom.llm.queries import QUERIES
 
     con = duckdb.connect()
-    for name in ("documents", "embeddings", "conversations"):
+    for name in ("documents", "embeddings", "conversations", "benchmark"):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{small}/{name}.parquet')")
     df = QUERIES[key](spark, small)
     result = con.execute(ORACLES[key])
