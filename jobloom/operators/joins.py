@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from jobloom.functions.arrays import merge_ignoring_case
 from jobloom.functions.common import non_zero, present
 from jobloom.operators import filters, windows
+from jobloom.session import ensure_checkpoint_dir
 
 
 def with_company(vacancies: DataFrame, companies: DataFrame) -> DataFrame:
@@ -169,10 +170,15 @@ def vacancy_words(title: Column | str = "title", description: Column | str = "de
     return F.sort_array(F.array_distinct(F.filter(F.split(text, r"[^\p{L}\p{N}]+"), lambda w: w != "")))
 
 
-def word_classes(vacancies: DataFrame) -> DataFrame:
+def word_rows(vacancies: DataFrame) -> DataFrame:
+    """(company_id, vacancy_id, created_at, title, words) of every vacancy, written once: all steps read it."""
+    ensure_checkpoint_dir(vacancies.sparkSession)
+    return vacancies.select("company_id", "vacancy_id", "created_at", title_key("title").alias("title"), vacancy_words().alias("words")).checkpoint()
+
+
+def word_classes(rows: DataFrame) -> DataFrame:
     """(company_id, words, first, size) per distinct word set of a company; ``first`` is its oldest vacancy."""
-    rows = vacancies.filter(F.col("company_id").isNotNull()).select("company_id", "vacancy_id", "created_at", vacancy_words().alias("words"))
-    rows = rows.filter(F.size("words") > 0)
+    rows = rows.filter(F.col("company_id").isNotNull() & (F.size("words") > 0))
     return rows.groupBy("company_id", "words").agg(
         F.min(F.struct("created_at", "vacancy_id")).alias("first"), F.size(F.first("words")).alias("size")
     )
@@ -196,7 +202,7 @@ def similar_classes(classes: DataFrame, least: int = 80) -> DataFrame:
     follow a shared one, or the sizes, are too few for the similarity, the pair goes at once. The
     whole sets decide. ``a`` holds the older vacancy.
     """
-    ranked = by_rarity(classes).select("company_id", "node", "first", "size", "ranked")
+    ranked = by_rarity(classes).select("company_id", "node", "first", "size", "ranked").checkpoint()
     need = F.ceil(F.col("size") * least / 100).cast("int")
     short = F.slice("ranked", 1, F.col("size") - need + 1)
     index = ranked.select("company_id", "node", "first", "size", short.alias("prefix"), F.posexplode(short).alias("at", "word"))
@@ -222,9 +228,12 @@ def similar_pairs(vacancies: DataFrame, least: int = 80) -> DataFrame:
     Vacancies with one and the same word set are a class: each is paired with its oldest, and only the oldest
     of two classes are paired with each other, so that copies make no more pairs than there are copies.
     """
-    classes = word_classes(vacancies)
-    rows = vacancies.select("company_id", "vacancy_id", vacancy_words().alias("words"))
-    members = windows.split_join(rows, classes.select("company_id", "words", F.col("first.vacancy_id").alias("original_id")), ["company_id", "words"], "inner")
+    return pairs_by_words(word_rows(vacancies), least)
+
+
+def pairs_by_words(rows: DataFrame, least: int) -> DataFrame:
+    classes = word_classes(rows).checkpoint()
+    members = windows.split_join(rows.select("company_id", "vacancy_id", "words"), classes.select("company_id", "words", F.col("first.vacancy_id").alias("original_id")), ["company_id", "words"], "inner")
     copies = members.filter(F.col("vacancy_id") != F.col("original_id"))
     copies = copies.select("original_id", F.col("vacancy_id").alias("duplicate_id"), F.lit(100).cast("bigint").alias("similarity"))
     near = similar_classes(classes, least)
@@ -232,13 +241,13 @@ def similar_pairs(vacancies: DataFrame, least: int = 80) -> DataFrame:
     return copies.unionByName(near.select(F.col("a").alias("original_id"), F.col("b").alias("duplicate_id"), share.alias("similarity")))
 
 
-def title_pairs(vacancies: DataFrame) -> DataFrame:
-    """(original_id, duplicate_id, similarity) for vacancies of one company with the same title.
+def pairs_by_title(rows: DataFrame) -> DataFrame:
+    """(original_id, duplicate_id, similarity) for ``word_rows`` of one company with the same title.
 
     Every copy is paired with its group's oldest row only: as many pairs as
     copies, where pairing all of a hot group with each other would be quadratic.
     """
-    rows = vacancies.filter(F.col("title").isNotNull()).withColumn("_title", title_key("title")).withColumn("_words", vacancy_words())
+    rows = rows.filter(F.col("title").isNotNull()).withColumnsRenamed({"title": "_title", "words": "_words"})
     oldest = rows.groupBy("company_id", "_title").agg(
         F.min_by(F.struct("vacancy_id", F.col("_words").alias("words")), F.struct("created_at", "vacancy_id")).alias("_first")
     )
@@ -257,8 +266,9 @@ def title_pairs(vacancies: DataFrame) -> DataFrame:
 
 def duplicate_pairs(vacancies: DataFrame, least: int = 80) -> DataFrame:
     """(original_id, duplicate_id, similarity, detection_method): equal titles, and similar words beyond those; each pair once."""
-    by_title = title_pairs(vacancies).withColumn("detection_method", F.lit("title_match"))
-    by_words = similar_pairs(vacancies, least).withColumn("detection_method", F.lit("similarity"))
+    rows = word_rows(vacancies)
+    by_title = pairs_by_title(rows).withColumn("detection_method", F.lit("title_match"))
+    by_words = pairs_by_words(rows, least).withColumn("detection_method", F.lit("similarity"))
     both = by_title.unionByName(by_words)
     best = both.groupBy("original_id", "duplicate_id").agg(F.max("detection_method").alias("detection_method"), F.first("similarity").alias("similarity"))
     return best.select("original_id", "duplicate_id", "similarity", "detection_method")
