@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from jobloom.operators import joins, merge, quality, windows
+from jobloom.operators import merge, quality, windows
 from jobloom.plans.registry import plan
 from jobloom.plans.relational import MATCHED, PAIR_CTES, PROBES, STORED, scrape_requests, stored_sources
 from jobloom.plans.scalars import CONF, J, VALID
