@@ -202,6 +202,10 @@ def pg_clean(spark, d):
 # ---- listing pages ----
 
 
+def listing_pages(spark, d) -> DataFrame:
+    return view(spark, d, "listing_pages", dealt="part")
+
+
 @plan(
     "pg_cards",
     """SELECT page_id, CAST(0 AS INT) AS position, regexp_extract(html, '<h6 class="job-title">([^<]*)</h6>', 1) AS title, 'Firm ' || CAST(page_id % 50 AS VARCHAR) AS company,
@@ -211,7 +215,7 @@ def pg_clean(spark, d):
     UNION ALL SELECT page_id, 2, 'QA', 'Second', '', '', NULL, NULL, '' FROM listing_pages WHERE contains(html, 'Second')""",
 )
 def pg_cards(spark, d):
-    rows = P.cards(spread(view(spark, d, "listing_pages")))
+    rows = P.cards(listing_pages(spark, d))
     return rows.select("page_id", "position", "title", "company", "url", "badge", "salary", "time_attr", F.array_join("icons", ",").alias("icons"))
 
 
@@ -228,7 +232,7 @@ FULL = "lower(bare)"
     FROM c UNION ALL SELECT page_id, 'QA', 'Second', 'Bulgaria', 'on-site', TIMESTAMP '2001-09-01', '' FROM listing_pages WHERE contains(html, 'Second')""",
 )
 def pg_listing(spark, d):
-    rows = P.listings(spread(view(spark, d, "listing_pages")), moment(VACANCY_AS_OF))
+    rows = P.listings(listing_pages(spark, d), moment(VACANCY_AS_OF))
     return rows.select(
         "page_id", "title", "company", "location", "work_model", "posted_at", F.array_join("technologies", ",").alias("technologies")
     )
@@ -240,7 +244,7 @@ def pg_listing(spark, d):
 )
 def pg_icons(spark, d):
     titles = Pick("titles", "attrs", ("img[title]",), "title")
-    read = page_pass(spread(view(spark, d, "listing_pages")), [titles])
+    read = page_pass(listing_pages(spark, d), [titles])
     return read.select("page_id", F.array_join(clean_titles("titles"), ",").alias("icons"))
 
 
@@ -268,7 +272,7 @@ TXT = "regexp_replace(html, '<[^>]*>', '', 'g')"
 
 
 def company_pages(spark, d) -> DataFrame:
-    return spread(view(spark, d, "company_pages"))
+    return view(spark, d, "company_pages", dealt="companies")
 
 
 def company_fact(key: str, sql: str, picks: list, make: Callable[[], dict[str, Column]]):
@@ -405,7 +409,7 @@ INFO_INDUSTRY = f"CASE WHEN company_id % 5 = 0 THEN {industry_case} ELSE industr
     CASE WHEN company_id % 2 = 0 THEN 'Redis|Scala' ELSE 'Redis|Go' END AS technologies, 'Bonus|Gym' AS benefits, 2 AS job_openings FROM p""",
 )
 def pg_label_value(spark, d):
-    rows = P.label_value_company(spread(view(spark, d, "info_pages")), YEAR)
+    rows = P.label_value_company(view(spark, d, "info_pages", dealt="companies"), YEAR)
     return rows.select(
         "company_id", "name", "description", "industry", "size", "founded", "location", "employee_count",
         joined(F.col("technologies")).alias("technologies"), joined(F.col("benefits")).alias("benefits"), "job_openings",
@@ -419,7 +423,7 @@ def pg_label_value(spark, d):
       + CASE WHEN company_id % 7 = 0 THEN 0 ELSE 1 END) / 10.0E0 * 100 + 0.5) AS INT) AS completeness FROM p""",
 )
 def pg_complete10(spark, d):
-    return P.label_value_company(spread(view(spark, d, "info_pages")), YEAR).select("company_id", "completeness")
+    return P.label_value_company(view(spark, d, "info_pages", dealt="companies"), YEAR).select("company_id", "completeness")
 
 
 @plan(
@@ -516,6 +520,6 @@ HOURS_LEFT = f"{rules.FRESH_HOURS['dev.bg']} - (epoch_us(TIMESTAMP '{VACANCY_AS_
 def chain_pages(spark, d):
     """Changed vacancies of one pull of listing pages, with the reason for or against fetching their company's page."""
     stored = (view(spark, d, v) for v in ("known_companies", "known_vacancies", "known_sources"))
-    done = chain.ingest_pages(spread(view(spark, d, "listing_pages")), *stored, "dev.bg", VACANCY_AS_OF)
+    done = chain.ingest_pages(listing_pages(spark, d), *stored, "dev.bg", VACANCY_AS_OF)
     changed = done.vacancies.filter("action <> 'keep'").select("vacancy_key", "title", "company_id", "source_url", "action")
     return changed.join(done.decisions.select("company_id", "reason"), "company_id", "left")
