@@ -663,7 +663,8 @@ def agg_batch_summary(spark, d):
     "agg_ingest_summary",
     f"""SELECT m.run_id, count(*) AS found, count(*) FILTER (WHERE title IS NOT NULL AND match_id IS NULL) AS new_vacancies,
     count(*) FILTER (WHERE title IS NOT NULL AND match_id IS NOT NULL) AS updated_vacancies, count(*) FILTER (WHERE title IS NULL) AS errors,
-    count(DISTINCT CASE WHEN title IS NOT NULL AND company_id >= 100000 THEN company_id END) AS new_companies FROM {MATCHED} m GROUP BY 1""",
+    count(DISTINCT CASE WHEN title IS NOT NULL AND c.known IS NULL THEN m.company_id END) AS new_companies
+    FROM {MATCHED} m LEFT JOIN (SELECT DISTINCT company_id, TRUE AS known FROM companies) c ON c.company_id = m.company_id GROUP BY 1""",
 )
 def agg_ingest_summary(spark, d):
     matched = joins.match_existing(view(spark, d, "listings"), view(spark, d, "vacancies"))
