@@ -23,6 +23,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from jobloom.session import ensure_checkpoint_dir
+
 SHORTEST = 12
 BEFORE, AFTER = 48, 24
 TREES, DEPTH, SEED = 15, 6, 10
@@ -171,9 +173,13 @@ def labelled_findings(spark: SparkSession, rows: int = LABELLED) -> DataFrame:
 
 
 def fit(labelled: DataFrame) -> tuple[RandomForestClassificationModel, DataFrame, list[str]]:
-    """The forest, the rows (label, features and their vector ``features``) it learned from, and the features' names."""
+    """The forest, the rows (label, features and their vector ``features``) it learned from, and the features' names.
+
+    The forest passes over its rows once a level: they are made once, and its jobs have small plans.
+    """
+    ensure_checkpoint_dir(labelled.sparkSession)
     named = features(F.col("before"), F.col("found"), F.col("after"))
-    table = labelled.select(F.col("label").cast("double").alias("label"), *[c.alias(n) for n, c in named.items()])
+    table = labelled.select(F.col("label").cast("double").alias("label"), *[c.alias(n) for n, c in named.items()]).checkpoint()
     assembled = VectorAssembler(inputCols=list(named), outputCol="features").transform(table)
     forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, featureSubsetStrategy="onethird")
     return forest.fit(assembled), assembled, list(named)

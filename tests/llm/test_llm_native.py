@@ -197,6 +197,13 @@ def test_trees_in_sql_vote_as_spark_does(spark):
         assert [int(t.predict(row.features)) for t in model.trees] == [row[f"t{i}"] for i in range(len(sql))]
 
 
+def test_the_forest_learns_from_rows_made_once(spark):
+    """Its passes read stored rows: the plan holds none of the expressions that made them."""
+    _, rows, _ = secrets.fit(secrets.labelled_findings(spark, 300))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "regexp" not in plan and "xxhash64" not in plan
+
+
 def test_neighbouring_candidates_keep_their_words(spark, trees):
     text = "oauth2_client_secret = 9f8e7d6c5b4a39281706 " * 3000
     masked = secrets.redact(spark.createDataFrame([(1, text)], "doc_id long, text string"), trees).first().text
