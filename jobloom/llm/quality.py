@@ -274,6 +274,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", "text").mapInArrow(run, SCHEMA)
 
 
+def known_labels(labels: DataFrame, label: str, folds: int, rest: int) -> DataFrame:
+    """(doc_id, label) outside the held-out fold, one row for each doc_id: with several labels the largest counts."""
+    known = labels.select("doc_id", F.col(label).cast("int").alias("label")).filter("label in (0, 1) and doc_id is not null")
+    return known.filter(~in_fold("doc_id", folds, rest)).groupBy("doc_id").agg(F.max("label").alias("label"))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, rest: int, per_class: int, seed: int) -> tuple[DataFrame, dict[int, int]]:
     """((doc_id, text, label) of a seeded sample outside the held-out fold, size of each class).
 
@@ -282,8 +288,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     the ids stand for many more rows than that, rows are drawn once more, by id and text, to twice
     as many at most, and equal rows count once. A doc_id with several labels counts as the largest.
     """
-    known = labels.select("doc_id", F.col(label).cast("int").alias("label")).filter("label in (0, 1) and doc_id is not null")
-    known = known.filter(~in_fold("doc_id", folds, rest)).groupBy("doc_id").agg(F.max("label").alias("label"))
+    known = known_labels(labels, label, folds, rest)
     sizes = {r.label: r.n for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     zero, one = (min(1.0, per_class / sizes.get(c, 1)) for c in (0, 1))
     picked = known.filter(seeded_share("doc_id", seed=seed) < F.when(F.col("label") == 0, zero).otherwise(one))

@@ -8,8 +8,9 @@ Because a filter is linear, its response is a sum of table look-ups, one per wor
 
 Training: Adam on a bounded sample of about ``per_class`` labelled documents of each class,
 whole; the first embedding dimension starts at the log-odds of the word among them. A fourth
-of the sample is kept from training to restore the true balance of the classes and to set a
-threshold for each language. The language is predicted from the text (see ``language``), so
+of the sample is kept from training. All labelled rows outside the held-out fold that were not
+trained on restore the true balance of the classes and set a threshold for each language (all
+of them, if too few are kept). The language is predicted from the text (see ``language``), so
 neither lang nor any label enters a score; the score is moved so that 0.5 is the threshold.
 
 Nulls: a null text counts as empty and is scored as such. Unlabelled rows are not learned
@@ -30,7 +31,8 @@ from pyspark.sql import functions as F
 
 from jobloom.llm import language
 from jobloom.llm.common import bounded_batches, in_fold, pieces, seeded_share, utf8
-from jobloom.llm.quality import calibrate, labelled_sample
+from jobloom.llm.quality import calibrate, known_labels, labelled_sample
+from jobloom.session import ensure_checkpoint_dir
 
 PER_CLASS = 2000
 BITS = 15
@@ -43,7 +45,10 @@ FILTERS = 8
 #: Words of a text that are looked up at once; bounds memory, not the text.
 WORDS_AT_ONCE = 1 << 18
 CACHE = 200_000
-SCHEMA = "doc_id long, held_out boolean, score double, predicted int, lang_pred string, threshold double"
+#: Part of the sample that the filters learn from, and steps of the log-odds, by which labelled rows are counted.
+LEARN = 0.75
+STEPS = 128
+RAW = "doc_id long, held_out boolean, logit double, lang_pred string"
 _EDGE = b".,;:!?\"'()[]{}<>*_~-"
 
 
@@ -57,6 +62,7 @@ class Model:
     shift: float = 0.0
     share: float | None = None
     thresholds: dict[str, float] | None = None
+    apart: bool = False
 
 
 class Slots(dict):
@@ -213,49 +219,58 @@ def logit(p: np.ndarray | float) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
-def train(sample: DataFrame, sizes: dict[int, int], langs: language.Model | None) -> Model:
-    """Fits on a bounded sample (doc_id, text, label); ``sizes`` are those of the whole classes."""
+def train(sample: DataFrame, sizes: dict[int, int]) -> Model:
+    """Fits filters on a bounded sample (doc_id, text, label); ``sizes`` are those of the whole classes."""
     bounded_batches(sample.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = Slots()
         for batch in pieces(batches, "text"):
             slots = [slots_of(t, cache) for t in batch.column("text").to_pylist()]
-            names = guess(langs, batch.column("text"))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("part"), batch.column("label"), pa.array(names, pa.string()), pa.array(slots, pa.list_(pa.int64()))],
-                ["part", "label", "lang", "slots"],
+                [batch.column("part"), batch.column("label"), pa.array(slots, pa.list_(pa.int64()))], ["part", "label", "slots"]
             )
 
     rows = sample.select("label", "text", seeded_share("doc_id", seed=10).alias("part"))
-    found = rows.mapInArrow(run, "part double, label int, lang string, slots array<bigint>").toArrow() if len(sizes) == 2 else None
+    found = rows.mapInArrow(run, "part double, label int, slots array<bigint>").toArrow() if len(sizes) == 2 else None
     if found is None or len(set(found.column("label").to_pylist())) < 2:
         return Model(np.zeros(0), [], np.zeros(0), np.zeros(0), share=float(set(sizes) == {1}))
     docs = [s.values.to_numpy() for s in found.column("slots")]
     part, label = found.column("part").to_numpy(), found.column("label").to_numpy()
-    names = np.array(found.column("lang").to_pylist())
     order = sorted(range(len(docs)), key=lambda i: (part[i], label[i], len(docs[i])))
-    docs, part, label, names = [docs[i] for i in order], part[order], label[order].astype(np.int64), names[order]
-    kept = part >= 0.75
-    if min((label[kept] == 0).sum(), (label[kept] == 1).sum()) < 20:
-        learn = kept = np.ones(len(docs), bool)
-    else:
-        learn = ~kept
+    docs, part, label = [docs[i] for i in order], part[order], label[order].astype(np.int64)
+    kept = part >= LEARN
+    apart = min((label[kept] == 0).sum(), (label[kept] == 1).sum()) >= 20
+    learn = ~kept if apart else np.ones(len(docs), bool)
     model = fit([d for d, k in zip(docs, learn) if k], label[learn])
-    scorer = Scorer(model)
-    peaks = np.array([scorer.peak(d) for d, k in zip(docs, kept) if k])
-    raw = 1 / (1 + np.exp(-np.clip(np.maximum(peaks, 0) @ model.out[:-1] + model.out[-1], -30, 30)))
-    weight = np.array([sizes[0] / max(1, (label == 0).sum()), sizes[1] / max(1, (label == 1).sum())])[label[kept]]
-    model.scale, model.shift = calibrate(raw, label[kept], weight)
-    p = 1 / (1 + np.exp(-(model.scale * logit(raw) + model.shift)))
-    model.thresholds = {"": best_threshold(p, label[kept], weight)}
-    for name in np.unique(names[kept]):
-        own = names[kept] == name
-        if min((label[kept][own] == 0).sum(), (label[kept][own] == 1).sum()) >= 20:
-            model.thresholds[str(name)] = best_threshold(p[own], label[kept][own], weight[own])
+    model.apart = apart
     return model
 
 
+def balance(model: Model, raw: DataFrame, labels: DataFrame, sizes: dict[int, int], learned: DataFrame) -> None:
+    """Scale, shift and thresholds from every labelled row of ``raw`` (doc_id, logit, lang_pred) that the filters did not learn from.
+
+    Rows are counted on the cluster by label, language and step of the log-odds, so what comes
+    back is bounded, whatever the number of rows.
+    """
+    rows = raw.select("doc_id", "lang_pred", F.round(F.col("logit") * STEPS).cast("int").alias("step")).join(labels, "doc_id")
+    if model.apart:
+        rows = rows.join(F.broadcast(learned), "doc_id", "left_anti")
+    held = rows.groupBy("label", "lang_pred", "step").agg(F.count(F.lit(1)).alias("n")).orderBy("label", "lang_pred", "step").collect()
+    label, n = np.array([r.label for r in held], np.int64), np.array([float(r.n) for r in held])
+    names = np.array([r.lang_pred for r in held])
+    share = np.array([sizes[c] / max(1.0, n[label == c].sum()) for c in (0, 1)])
+    weight = n * share[label]
+    raw_p = 1 / (1 + np.exp(-np.array([r.step for r in held]) / STEPS))
+    model.scale, model.shift = calibrate(raw_p, label, weight)
+    p = 1 / (1 + np.exp(-(model.scale * logit(raw_p) + model.shift)))
+    model.thresholds = {"": best_threshold(p, label, weight)}
+    for name in np.unique(names):
+        own = names == name
+        if min(n[own & (label == 0)].sum(), n[own & (label == 1)].sum()) >= 20:
+            model.thresholds[str(name)] = best_threshold(p[own], label[own], weight[own])
+
+
 def guess(langs: language.Model | None, column: pa.Array) -> list[str]:
     """Language of each text, from the text alone."""
     if langs is None:
@@ -264,34 +279,49 @@ def guess(langs: language.Model | None, column: pa.Array) -> list[str]:
     return [langs.langs[i] for i in share.argmax(axis=1)]
 
 
-def score(docs: DataFrame, model: Model, langs: language.Model | None) -> DataFrame:
-    """(doc_id, held_out, score, predicted, lang_pred, threshold) of rows (doc_id, held_out, text)."""
+def raw_scores(docs: DataFrame, model: Model, langs: language.Model | None) -> DataFrame:
+    """(doc_id, held_out, logit, lang_pred) of rows (doc_id, held_out, text)."""
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model) if model.share is None else None
         for batch in pieces(batches, "text"):
             names = guess(langs, batch.column("text"))
-            if scorer is None:
-                p, limit = np.full(len(names), model.share), np.full(len(names), 0.5)
-            else:
-                raw = 1 / (1 + np.exp(-np.clip(scorer.logits(batch.column("text").to_pylist()), -30, 30)))
-                limit = np.array([model.thresholds.get(n, model.thresholds[""]) for n in names])
-                p = 1 / (1 + np.exp(-(model.scale * logit(raw) + model.shift - logit(limit))))
+            z = np.zeros(len(names)) if scorer is None else scorer.logits(batch.column("text").to_pylist())
+            z = logit(1 / (1 + np.exp(-np.clip(z, -30, 30).astype(np.float64))))
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"), batch.column("held_out"), pa.array(p), pa.array((p >= 0.5).astype(np.int32)),
-                    pa.array(names, pa.string()), pa.array(limit),
-                ],
-                ["doc_id", "held_out", "score", "predicted", "lang_pred", "threshold"],
-            )
+                [batch.column("doc_id"), batch.column("held_out"), pa.array(z), pa.array(names, pa.string())],
+                ["doc_id", "held_out", "logit", "lang_pred"],
+            )
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", "text").mapInArrow(run, RAW)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", "text").mapInArrow(run, SCHEMA)
+
+def finish(raw: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, held_out, score, predicted, lang_pred, threshold): log-odds moved so that 0.5 is the language's threshold."""
+    if model.share is not None:
+        score, limit = F.lit(model.share), F.lit(0.5)
+    else:
+        limit, shift = F.lit(model.thresholds[""]), F.lit(model.shift - float(logit(model.thresholds[""])))
+        for name, t in model.thresholds.items():
+            if name:
+                limit = F.when(F.col("lang_pred") == name, t).otherwise(limit)
+                shift = F.when(F.col("lang_pred") == name, model.shift - float(logit(t))).otherwise(shift)
+        score = 1 / (1 + F.exp(-(F.col("logit") * model.scale + shift)))
+    rows = raw.withColumns({"score": score, "threshold": limit})
+    return rows.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "lang_pred", "threshold")
 
 
 def assess(docs: DataFrame, labels: DataFrame, folds: int = 5, rest: int = 0, per_class: int = PER_CLASS) -> DataFrame:
-    """Learns from labelled rows outside the held-out fold and scores every document."""
+    """Learns from labelled rows outside the held-out fold and scores every document, each text once."""
+    ensure_checkpoint_dir(docs.sparkSession)
     known = docs.select("doc_id", "text", "lang").filter(~in_fold("doc_id", folds, rest))
     langs = language.train(known, per_language=300)
-    model = train(*labelled_sample(docs, labels, "toxic", folds, rest, per_class, seed=9), langs)
-    return score(docs.select("doc_id", in_fold("doc_id", folds, rest).alias("held_out"), "text"), model, langs)
+    sample, sizes = labelled_sample(docs, labels, "toxic", folds, rest, per_class, seed=9)
+    model = train(sample, sizes)
+    raw = raw_scores(docs.select("doc_id", in_fold("doc_id", folds, rest).alias("held_out"), "text"), model, langs)
+    if model.share is None:
+        raw = raw.checkpoint()
+        learned = sample.filter(seeded_share("doc_id", seed=10) < LEARN).select("doc_id").distinct()
+        balance(model, raw, known_labels(labels, "toxic", folds, rest), sizes, learned)
+    return finish(raw, model)

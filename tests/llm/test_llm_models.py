@@ -320,3 +320,23 @@ def test_samples_stay_bounded_whatever_the_ids(spark):
     sample, classes = quality.labelled_sample(docs, labels, "quality", 5, 9, per_class=100, seed=5)
     assert classes == {0: 1, 1: 1}
     assert {0, 1} == {r.label for r in sample.select("label").distinct().collect()} and 250 < sample.count() < 550
+
+
+def test_toxicity_thresholds_count_every_labelled_row(spark, monkeypatch):
+    """Labelled rows outside the sample, too: all but the held-out ones and those the filters learned from."""
+    counted = []
+    monkeypatch.setattr(toxicity, "calibrate", lambda raw, label, weight: (counted.append((label, weight)), (1.0, 0.0))[1])
+    rows = [(i, f"{'vile' if i % 2 else 'kind'} word {i}", "en", i % 2) for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
+    seen = {}
+    real = toxicity.balance
+
+    def balance(model, raw, labels, sizes, learned):
+        judged = raw.join(labels, "doc_id").join(learned, "doc_id", "left_anti")
+        seen.update(apart=model.apart, n=judged.count(), known=labels.count(), learned=learned.count())
+        real(model, raw, labels, sizes, learned)
+
+    monkeypatch.setattr(toxicity, "balance", balance)
+    assert toxicity.assess(docs, docs.select("doc_id", "toxic"), per_class=160).count() == 1000
+    assert seen["apart"] and seen["n"] == seen["known"] - seen["learned"] > 320
+    assert round(sum(w.sum() for _, w in counted)) == seen["known"]
