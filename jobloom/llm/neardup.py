@@ -273,7 +273,9 @@ def exact_links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     unit = F.concat_ws(":", "loose", "part", "other").alias("unit")
     left = dealt.join(pairs, ["loose", "part"]).select(unit, F.lit(0).alias("side"), "node")
     right = dealt.withColumnRenamed("part", "other").join(pairs.filter("part <> other"), ["loose", "other"]).select(unit, F.lit(1).alias("side"), "node")
-    return found.unionByName(unit_links(left.unionByName(right).join(sets, "node")))
+    # what the first units joined goes on as its groups, which need no round of their own
+    joined = groups.select(F.col("node").alias("a"), F.col("group").alias("b"))
+    return joined.unionByName(unit_links(left.unionByName(right).join(sets, "node")))
 
 
 def judged(docs: DataFrame, total: int = TOTAL) -> tuple[DataFrame, DataFrame]:

@@ -63,6 +63,20 @@ def test_connected_groups(spark):
     assert got == {n: root(n) for n in parent}
 
 
+def test_stars_are_groups_without_a_round(spark, monkeypatch):
+    # a hub, and many small stars with repeated, turned and empty links, are settled before any step
+    links = [(0, 1 + i) for i in range(50)] + [(100 + 3 * i, 101 + 3 * i) for i in range(30)] + [(102 + 3 * i, 100 + 3 * i) for i in range(30)]
+    df = spark.createDataFrame(links + links[:5] + [(7, 7), (None, 3), (3, None)], "a long, b long").repartition(4)
+    want = {n: 0 for n in range(51)} | {100 + i: 100 + i - i % 3 for i in range(90)}
+    monkeypatch.setattr(components, "_large_star", None)
+    monkeypatch.setattr(components, "_small_star", None)
+    assert {r.node: r.group for r in components.connected_groups(df).collect()} == want
+    assert components.connected_groups(df.limit(0)).count() == 0
+    # a link between two stars, or of two of their ends, is no star
+    assert not components._settled(components._tidy(df.unionByName(spark.createDataFrame([(0, 100)], "a long, b long"))))
+    assert not components._settled(components._tidy(df.unionByName(spark.createDataFrame([(50, 101)], "a long, b long"))))
+
+
 def test_duplicate_pairs_are_linear_in_a_hot_title(spark):
     rows = [(i, 1, "Java Dev" if i % 2 else "java  DEV!", "d", START + dt.timedelta(hours=i)) for i in range(60)]
     df = spark.createDataFrame(rows, "vacancy_id long, company_id long, title string, description string, created_at timestamp_ntz")
