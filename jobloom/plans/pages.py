@@ -54,13 +54,15 @@ def article_sql(bare: Callable[[str], str] = bare_sql) -> str:
     return strip_sql(bare("regexp_extract(html, '<article>([\\s\\S]*?)(?:</article>|$)', 1)"))
 
 
-H1, HEAD = heading_sql("h1"), heading_sql("title")
+H1 = heading_sql("h1")
 
 
-@plan(
-    "pg_title",
-    f"SELECT page_id, CASE WHEN length({H1}) BETWEEN 6 AND 199 THEN {H1} WHEN length({HEAD}) BETWEEN 6 AND 199 THEN {HEAD} END AS title FROM pages",
-)
+def title_sql(bare: Callable[[str], str]) -> str:
+    h1, head = heading_sql("h1", bare), heading_sql("title", bare)
+    return f"CASE WHEN length({h1}) BETWEEN 6 AND 199 THEN {h1} WHEN length({head}) BETWEEN 6 AND 199 THEN {head} END"
+
+
+@plan("pg_title", f"SELECT page_id, {title_sql(text_sql)} AS title FROM pages")
 def pg_title(spark, d):
     return page_pass(crawl(spark, d), [P.TITLE]).select("page_id", P.title().alias("title"))
 
@@ -116,11 +118,6 @@ def pg_structure(spark, d):
 SHAPE_OF = f"'headings,lists' || CASE WHEN len(regexp_extract_all({BODY_SQL}, '<p>')) > 5 THEN ',paragraphs' ELSE '' END"
 
 
-def title_sql(bare: Callable[[str], str]) -> str:
-    h1, head = heading_sql("h1", bare), heading_sql("title", bare)
-    return f"CASE WHEN length({h1}) BETWEEN 6 AND 199 THEN {h1} WHEN length({head}) BETWEEN 6 AND 199 THEN {head} END"
-
-
 def content_sql(bare: Callable[[str], str]) -> str:
     """page_id, title, content, cleaned text and word hits of every supplied page."""
     return f"""c0 AS (SELECT page_id, html, {title_sql(bare)} AS title, {main_sql(bare)} AS content FROM pages),

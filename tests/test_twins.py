@@ -43,3 +43,17 @@ CUT = "replace(replace(html, '</h1>', ' a&amp</h1>'), '</p>', ' b&quot;c &amp</p
 def test_references_without_a_semicolon(spark, small, tmp_path, key):
     got, want = compared(spark, small, tmp_path, key, pages=f"SELECT * REPLACE ({CUT} AS html) FROM '{{path}}'")
     assert got == want
+
+
+# every reference that the pages hold, cut before its semicolon: alone in a heading, before other tags, and twice in a row
+CUT_HEADS = (
+    "replace(replace(html, '</title>', [' &quot', ' &amp', ' a&copy', '&amp&quot'][page_id % 4 + 1] || '</title>'), "
+    "'</h1>', [' token = &quot', '&middot &amp', ' a&copyb', '&quot&ampquot;'][page_id % 4 + 1] || '</h1>')"
+)
+CUT_TEXTS = f"replace(replace({CUT_HEADS}, '<br>', ' &quot<br>;'), '</p>', ' b&middot c &copy</p>')"
+
+
+@pytest.mark.parametrize("key", ["pg_title"])
+def test_headings_that_end_in_a_cut_reference(spark, small, tmp_path, key):
+    got, want = compared(spark, small, tmp_path, key, pages=f"SELECT * REPLACE ({CUT_TEXTS} AS html) FROM '{{path}}'")
+    assert got == want
