@@ -142,7 +142,7 @@ def pg_content(spark, d):
 @plan(
     "pg_sections",
     """SELECT page_id, CASE WHEN length(t) > 10 THEN t ELSE '' END AS title, 'Build things ' || CAST(page_id AS VARCHAR) AS description, 'Java and SQL' AS requirements,
-    CASE WHEN length(t) > 10 THEN 3 ELSE 2 END AS n FROM (SELECT page_id, {h1} AS t FROM pages) q""".format(h1=H1),
+    CASE WHEN length(t) > 10 THEN 3 ELSE 2 END AS n FROM (SELECT page_id, {h1} AS t FROM pages) q""".format(h1=heading_sql("h1", text_sql)),
 )
 def pg_sections(spark, d):
     rows = P.with_markdown(spread(view(spark, d, "job_pages").select("page_id", "html")))
