@@ -152,17 +152,17 @@ def pg_sections(spark, d):
 
 # The supplied pages open <b> and never close it, so by the rules of HTML every later paragraph and the footer is
 # bold as well, once per open <b> and three times at most; in SQL that is a list of texts.
-PLAIN_TEXT = strip_sql(bare_sql("regexp_replace(regexp_replace(html, '<!--[\\s\\S]*?-->', '', 'g'), '<(script|style|nav)[^>]*>[\\s\\S]*?</(script|style|nav)>', '', 'g')"))
+PLAIN_TEXT = strip_sql(text_sql("regexp_replace(regexp_replace(html, '<!--[\\s\\S]*?-->', '', 'g'), '<(script|style|nav)[^>]*>[\\s\\S]*?</(script|style|nav)>', '', 'g')"))
 
 
 def texts_sql(parts: str) -> str:
-    inner = strip_sql(bare_sql("x"))
+    inner = strip_sql(text_sql("x"))
     return f"list_filter(list_transform({parts}, lambda x: {inner}), lambda x: x <> '')"
 
 
 REPEATED = "list_transform(range(least(3, len(regexp_extract_all(array_to_string(parts[1:i - 1], ''), '<b>')))), lambda k: x)"
-STARTED = "list_transform(range(len(regexp_extract_all(x, '<b>'))), lambda k: array_to_string(string_split(x, '<b>')[k + 2:], ''))"
-MARKDOWN_SQL = f"""m0 AS (SELECT page_id, html, {H1} AS head, regexp_split_to_array(regexp_extract(html, '<article>([\\s\\S]*?)(?:</article>|$)', 1), '<p>')[2:] AS parts,
+STARTED = "list_transform(range(len(regexp_extract_all(x, '<b>'))), lambda k: array_to_string(string_split(x, '<b>')[k + 2:], '<b>'))"
+MARKDOWN_SQL = f"""m0 AS (SELECT page_id, html, {heading_sql('h1', text_sql)} AS head, regexp_split_to_array(regexp_extract(html, '<article>([\\s\\S]*?)(?:</article>|$)', 1), '<p>')[2:] AS parts,
       regexp_extract(html, '<footer>([\\s\\S]*?)(?:</footer>|$)', 1) AS foot FROM pages),
     m1 AS (SELECT page_id, html, head, {texts_sql('parts')} AS ps,
       {texts_sql(f"flatten(list_transform(list_concat(parts, [foot]), lambda x, i: list_concat({REPEATED}, {STARTED})))")} AS bs FROM m0),
