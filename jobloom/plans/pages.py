@@ -54,9 +54,6 @@ def article_sql(bare: Callable[[str], str] = bare_sql) -> str:
     return strip_sql(bare("regexp_extract(html, '<article>([\\s\\S]*?)(?:</article>|$)', 1)"))
 
 
-H1 = heading_sql("h1")
-
-
 def title_sql(bare: Callable[[str], str]) -> str:
     h1, head = heading_sql("h1", bare), heading_sql("title", bare)
     return f"CASE WHEN length({h1}) BETWEEN 6 AND 199 THEN {h1} WHEN length({head}) BETWEEN 6 AND 199 THEN {head} END"
@@ -185,7 +182,7 @@ def pg_markdown(spark, d):
     w AS (SELECT *, regexp_split_to_array(lower(t), '[^\\p{{L}}\\p{{N}}_]+') AS tokens FROM k),
     h AS (SELECT *, {', '.join(f'{words_sql(x)} AS {x}' for x in rules.STOP_WORDS)} FROM w)
     SELECT page_id, length(html) AS original_size, length(t) AS processed_size, CAST(ceil(length(t) / 4) AS BIGINT) AS tokens,
-    CASE WHEN length({H1}) > 10 THEN 1 ELSE 0 END AS n_sections, {LANGUAGE_OF} AS language, {sql_r4('length(t) / length(html)')} AS compression_ratio, sha256(t) AS markdown FROM h""",
+    CASE WHEN length({heading_sql('h1', text_sql)}) > 10 THEN 1 ELSE 0 END AS n_sections, {LANGUAGE_OF} AS language, {sql_r4('length(t) / length(html)')} AS compression_ratio, sha256(t) AS markdown FROM h""",
 )
 def pg_preprocess(spark, d):
     rows = P.preprocess(crawl(spark, d), max_tokens=500)
