@@ -29,16 +29,6 @@ def crawl(spark, d) -> DataFrame:
 
 # ---- the supplied pages in SQL: no comments, then script text, then tags ----
 
-def decode(t: str) -> str:
-    for entity, char in (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&amp;", "&")):
-        t = f"replace({t}, '{entity}', '{char}')"
-    return f"regexp_replace({t}, '&amp$', '&')"
-
-
-def bare_sql(t: str) -> str:
-    return decode(f"regexp_replace({t}, '<[^>]*>', '', 'g')")
-
-
 def text_sql(t: str) -> str:
     """Character references as HTML reads them: inside each text, before the tags go, and with or without a semicolon."""
     for entity, char in (("&copy;?", "©"), ("&middot;?", "·"), ("&quot;?", '"'), ("&amp;?", "&")):
@@ -46,20 +36,20 @@ def text_sql(t: str) -> str:
     return f"regexp_replace({t}, '<[^>]*>', '', 'g')"
 
 
-def heading_sql(tag: str, bare: Callable[[str], str] = bare_sql) -> str:
-    return strip_sql(bare(f"regexp_extract(html, '<{tag}>([\\s\\S]*?)</{tag}>', 1)"))
+def heading_sql(tag: str) -> str:
+    return strip_sql(text_sql(f"regexp_extract(html, '<{tag}>([\\s\\S]*?)</{tag}>', 1)"))
 
 
-def article_sql(bare: Callable[[str], str] = bare_sql) -> str:
-    return strip_sql(bare("regexp_extract(html, '<article>([\\s\\S]*?)(?:</article>|$)', 1)"))
+def article_sql() -> str:
+    return strip_sql(text_sql("regexp_extract(html, '<article>([\\s\\S]*?)(?:</article>|$)', 1)"))
 
 
-def title_sql(bare: Callable[[str], str]) -> str:
-    h1, head = heading_sql("h1", bare), heading_sql("title", bare)
+def title_sql() -> str:
+    h1, head = heading_sql("h1"), heading_sql("title")
     return f"CASE WHEN length({h1}) BETWEEN 6 AND 199 THEN {h1} WHEN length({head}) BETWEEN 6 AND 199 THEN {head} END"
 
 
-@plan("pg_title", f"SELECT page_id, {title_sql(text_sql)} AS title FROM pages")
+@plan("pg_title", f"SELECT page_id, {title_sql()} AS title FROM pages")
 def pg_title(spark, d):
     return page_pass(crawl(spark, d), [P.TITLE]).select("page_id", P.title().alias("title"))
 
@@ -85,13 +75,13 @@ def pg_prune(spark, d):
 
 
 # the block rule: an ad div is the only other block, so a short article loses to a longer ad
-def main_sql(bare: Callable[[str], str]) -> str:
-    article, ad = article_sql(bare), strip_sql(bare("regexp_extract(html, '<div class=\"ad\">([\\s\\S]*?)</div>', 1)"))
+def main_sql() -> str:
+    article, ad = article_sql(), strip_sql(text_sql("regexp_extract(html, '<div class=\"ad\">([\\s\\S]*?)</div>', 1)"))
     return f"""CASE WHEN length({article}) > 100 THEN {article} WHEN length({ad}) > 100 THEN {ad}
-    ELSE {strip_sql(bare(BODY_SQL))} END"""
+    ELSE {strip_sql(text_sql(BODY_SQL))} END"""
 
 
-MAIN_SQL = main_sql(text_sql)
+MAIN_SQL = main_sql()
 
 
 @plan("pg_main", f"SELECT page_id, length({MAIN_SQL}) AS n, sha256({MAIN_SQL}) AS content FROM pages")
@@ -115,9 +105,9 @@ def pg_structure(spark, d):
 SHAPE_OF = f"'headings,lists' || CASE WHEN len(regexp_extract_all({BODY_SQL}, '<p>')) > 5 THEN ',paragraphs' ELSE '' END"
 
 
-def content_sql(bare: Callable[[str], str]) -> str:
+def content_sql() -> str:
     """page_id, title, content, cleaned text and word hits of every supplied page."""
-    return f"""c0 AS (SELECT page_id, html, {title_sql(bare)} AS title, {main_sql(bare)} AS content FROM pages),
+    return f"""c0 AS (SELECT page_id, html, {title_sql()} AS title, {main_sql()} AS content FROM pages),
     c1 AS (SELECT *, {noise_sql('content')} AS noise FROM c0), c2 AS (SELECT *, noise AS cleaned FROM c1),
     c3 AS (SELECT *, regexp_split_to_array(lower(cleaned), '[^\\p{{L}}\\p{{N}}_]+') AS tokens FROM c2),
     c4 AS (SELECT *, {', '.join(f'{words_sql(x)} AS {x}' for x in rules.STOP_WORDS)} FROM c3), content AS (SELECT *, {LANGUAGE_OF} AS language FROM c4)"""
@@ -125,7 +115,7 @@ def content_sql(bare: Callable[[str], str]) -> str:
 
 @plan(
     "pg_content",
-    f"""WITH {content_sql(text_sql)} SELECT page_id, title, sha256(content) AS content, sha256(cleaned) AS cleaned, length(cleaned) AS cleaned_length,
+    f"""WITH {content_sql()} SELECT page_id, title, sha256(content) AS content, sha256(cleaned) AS cleaned, length(cleaned) AS cleaned_length,
     {sql_r4('length(cleaned) / length(html)')} AS compression_ratio, language, {SHAPE_OF} AS sections, FALSE AS has_structured_data FROM content""",
 )
 def pg_content(spark, d):
@@ -139,7 +129,7 @@ def pg_content(spark, d):
 @plan(
     "pg_sections",
     """SELECT page_id, CASE WHEN length(t) > 10 THEN t ELSE '' END AS title, 'Build things ' || CAST(page_id AS VARCHAR) AS description, 'Java and SQL' AS requirements,
-    CASE WHEN length(t) > 10 THEN 3 ELSE 2 END AS n FROM (SELECT page_id, {h1} AS t FROM pages) q""".format(h1=heading_sql("h1", text_sql)),
+    CASE WHEN length(t) > 10 THEN 3 ELSE 2 END AS n FROM (SELECT page_id, {h1} AS t FROM pages) q""".format(h1=heading_sql("h1")),
 )
 def pg_sections(spark, d):
     rows = P.with_markdown(spread(view(spark, d, "job_pages").select("page_id", "html")))
@@ -159,7 +149,7 @@ def texts_sql(parts: str) -> str:
 
 REPEATED = "list_transform(range(least(3, len(regexp_extract_all(array_to_string(parts[1:i - 1], ''), '<b>')))), lambda k: x)"
 STARTED = "list_transform(range(len(regexp_extract_all(x, '<b>'))), lambda k: array_to_string(string_split(x, '<b>')[k + 2:], '<b>'))"
-MARKDOWN_SQL = f"""m0 AS (SELECT page_id, html, {heading_sql('h1', text_sql)} AS head, regexp_split_to_array(regexp_extract(html, '<article>([\\s\\S]*?)(?:</article>|$)', 1), '<p>')[2:] AS parts,
+MARKDOWN_SQL = f"""m0 AS (SELECT page_id, html, {heading_sql('h1')} AS head, regexp_split_to_array(regexp_extract(html, '<article>([\\s\\S]*?)(?:</article>|$)', 1), '<p>')[2:] AS parts,
       regexp_extract(html, '<footer>([\\s\\S]*?)(?:</footer>|$)', 1) AS foot FROM pages),
     m1 AS (SELECT page_id, html, head, {texts_sql('parts')} AS ps,
       {texts_sql(f"flatten(list_transform(list_concat(parts, [foot]), lambda x, i: list_concat({REPEATED}, {STARTED})))")} AS bs FROM m0),
@@ -182,7 +172,7 @@ def pg_markdown(spark, d):
     w AS (SELECT *, regexp_split_to_array(lower(t), '[^\\p{{L}}\\p{{N}}_]+') AS tokens FROM k),
     h AS (SELECT *, {', '.join(f'{words_sql(x)} AS {x}' for x in rules.STOP_WORDS)} FROM w)
     SELECT page_id, length(html) AS original_size, length(t) AS processed_size, CAST(ceil(length(t) / 4) AS BIGINT) AS tokens,
-    CASE WHEN length({heading_sql('h1', text_sql)}) > 10 THEN 1 ELSE 0 END AS n_sections, {LANGUAGE_OF} AS language, {sql_r4('length(t) / length(html)')} AS compression_ratio, sha256(t) AS markdown FROM h""",
+    CASE WHEN length({heading_sql('h1')}) > 10 THEN 1 ELSE 0 END AS n_sections, {LANGUAGE_OF} AS language, {sql_r4('length(t) / length(html)')} AS compression_ratio, sha256(t) AS markdown FROM h""",
 )
 def pg_preprocess(spark, d):
     rows = P.preprocess(crawl(spark, d), max_tokens=500)
@@ -203,7 +193,7 @@ NO_ADS = "regexp_replace(regexp_replace(regexp_replace({b}, '<div class=\"ad\">[
 
 
 def kept_sql(minimum: int) -> str:
-    article = article_sql(text_sql)
+    article = article_sql()
     return f"CASE WHEN length({article}) >= {minimum} THEN {article} ELSE {strip_sql(text_sql(NO_ADS))} END"
 
 
@@ -489,7 +479,7 @@ def pg_spa(spark, d):
 
 @plan(
     "pg_pipeline",
-    f"""WITH {content_sql(bare_sql)}, f AS (SELECT *, sha256({profile_text_sql('standard', 'content')}) AS h FROM content),
+    f"""WITH {content_sql()}, f AS (SELECT *, sha256({profile_text_sql('standard', 'content')}) AS h FROM content),
     r AS (SELECT f.h, min_by(reply, page_id) AS reply FROM f JOIN replies p ON p.reply_id = f.page_id GROUP BY 1),
     j AS (SELECT f.page_id, f.title, f.language, r.reply, {VALID} AS ok FROM f LEFT JOIN r ON r.h = f.h),
     q AS (SELECT *, CASE WHEN ok THEN CASE WHEN json_extract_string(reply, '$.title') IS NOT NULL THEN 20 ELSE 0 END + 10 +

@@ -53,7 +53,7 @@ CUT_HEADS = (
 CUT_TEXTS = f"replace(replace({CUT_HEADS}, '<br>', ' &quot<br>;'), '</p>', ' b&middot c &copy</p>')"
 
 
-@pytest.mark.parametrize("key", ["pg_title", "pg_sections", "pg_markdown", "pg_preprocess"])
+@pytest.mark.parametrize("key", ["pg_title", "pg_sections", "pg_markdown", "pg_preprocess", "pg_pipeline"])
 def test_headings_that_end_in_a_cut_reference(spark, small, tmp_path, key):
     got, want = compared(spark, small, tmp_path, key, pages=f"SELECT * REPLACE ({CUT_TEXTS} AS html) FROM '{{path}}'")
     assert got == want
