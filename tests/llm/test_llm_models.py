@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from jobloom.llm import brown, language, quality, toxicity
 from jobloom.llm.common import table
+from jobloom.llm.queries import QUERIES as LLM_QUERIES
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 MIDDLE = "/root/testdata/sf0.01"
@@ -162,6 +163,153 @@ def test_brown_odd_rows(spark, odd_docs, no_docs):
     assert zlib.crc32(b"3") % 7 != 2 or brown.score_texts(only_held).first().score == 0
 
 
+def gain_of(cells, cls, start, around):
+    """Likelihood gain when a word with these neighbours goes from ``start`` to ``cls``."""
+
+    def x(v):
+        return v * math.log(v) if v > 1 else 0.0
+
+    sign, half = -1 if cls == start else 1, len(cells) // 2
+    gain = sum(x(cells[row, cls] + sign * n) - x(cells[row, cls]) for row, n in around.items())
+    c = sum(around.values()) // 2
+    for total in (cells[:half, cls].sum(), cells[half:, cls].sum()):
+        gain -= x(total + sign * c) - x(total)
+    return sign * gain
+
+
+def test_every_word_has_the_class_that_gains_most(spark, small, monkeypatch):
+    # few types, and rows and batches so small that a word's rows go over many of them
+    for name, value in {"HEAD": 60, "OWN": 20, "SUFFIXES": 15, "CLASSES": 6, "TOKENS": 500, "READ": 1000, "PARTS": 3, "ROUNDS": 1}.items():
+        monkeypatch.setattr(brown, name, value)
+    bounded = brown.bounded_batches
+    monkeypatch.setattr(brown, "bounded_batches", lambda s: bounded(s) or s.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7"))
+    seen = {}
+
+    def spy(name):
+        real = getattr(brown, name)
+
+        def kept(*args):
+            seen[name] = real(*args)
+            return seen[name]
+
+        monkeypatch.setattr(brown, name, kept)
+
+    spy("train"), spy("word_classes")
+    docs = table(spark, small, "documents")
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    held, counts, n, v, base, known = brute_scores(rows)
+    got = {r.doc_id: r for r in brown.class_scores(docs.repartition(5)).collect()}
+    model = seen["train"]
+    chosen = {bytes(r.token): (r.c, r["class"]) for r in seen["word_classes"].collect()}
+
+    def kind(word):
+        return 0 if word is None else model.own.get(word, model.suffixes.get(brown.suffix_of(word), model.n_types - 1))
+
+    size, around = len(model.between), {}
+    for i, t in rows:
+        if not held[i]:
+            line = [None, *tokens(t), None]
+            for a, w, b in zip(line, line[1:], line[2:]):
+                around.setdefault(w, Counter()).update([model.classes[kind(a)], size + model.classes[kind(b)]])
+    # every counted word, and no other, is there with its whole count
+    assert {w: c for w, (c, _) in chosen.items()} == {w: c for w, c in counts.items() if w is not None and w not in model.own}
+    parts = {bytes(r.token): r.part for r in seen["word_classes"].select("token", F.expr("pmod(xxhash64(token), 3)").alias("part")).collect()}
+    cells, moved = np.concatenate([model.between, model.between.T]), 0
+    for part in range(3):
+        change = np.zeros_like(cells)
+        for w, (_, cls) in chosen.items():
+            if parts[w] == part:
+                start = model.classes[kind(w)]
+                gains = [gain_of(cells, k, start, around[w]) for k in range(1, size)]
+                assert cls > 0 and gains[cls - 1] >= max(gains) - 1e-6
+                moved += cls != start
+                for row, times in around[w].items():
+                    change[row, cls] += times
+                    change[row, start] -= times
+        cells += change
+    assert moved > len(chosen) / 4
+
+    def class_of(word):
+        return chosen[word][1] if word in chosen else int(model.classes[kind(word)])
+
+    share, pairs = Counter(), Counter()
+    for w, c in counts.items():
+        share[class_of(w)] += c + 1
+    for i, t in rows:
+        if not held[i]:
+            line = [0, *[class_of(w) for w in [*tokens(t), None]]]
+            pairs.update(zip(line, line[1:]))
+    into, out = ([sum(c for p, c in pairs.items() if p[side] == k) for k in range(size)] for side in (1, 0))
+    prior = [(c + 1) / (sum(into) + size) for c in into]
+    change = [[(pairs[a, b] + 10 * prior[b]) / (out[a] + 10) for b in range(size)] for a in range(size)]
+
+    def of_word(k):
+        return 1 / (share[k] + (k > 0))
+
+    for row in change:
+        # all known words of all classes, and one unknown word in each but the end's
+        assert sum(p * (share[k] + (k > 0)) * of_word(k) for k, p in enumerate(row)) == pytest.approx(1)
+    for i, t in rows:
+        total, last = 0.0, 0
+        for w in [*tokens(t), None]:
+            k, c = class_of(w), counts[w]
+            total += math.log10((1 - brown.MIX) * (c + 1) / (n + v + 1) + brown.MIX * change[last][k] * (c + 1) * of_word(k))
+            last = k
+        r = got[i]
+        assert r.held_out == held[i] and r.train_tokens == n and r.n_known == known[i] and r.n_tokens == len(tokens(t)) + 1
+        assert r.base_score == pytest.approx(base[i], abs=1e-6) and r.score == pytest.approx(total, abs=1e-6)
+        assert r.perplexity == pytest.approx(10 ** (-total / r.n_tokens))
+
+
+def test_words_of_one_ending_are_told_apart(spark, tmp_path, monkeypatch):
+    """``nuxyz`` follows a and ``vexyz`` follows b, equally often: as one type they would have equal scores anywhere."""
+    monkeypatch.setattr(brown, "OWN", 2)
+    texts = ["a nuxyz b vexyz"] * 60 + ["b vexyz a nuxyz"] * 60 + ["a", "b"] * 60
+    held = [i for i in range(1000) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    others = (i for i in range(1000) if zlib.crc32(str(i).encode()) % 7 != 2)
+    rows = [*zip(others, texts), *zip(held, ["a nuxyz", "a vexyz"])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in LLM_QUERIES["op3_brown"](spark, str(tmp_path)).collect()}
+    right, wrong = (got[i] for i in held)
+    assert right.base_score == pytest.approx(wrong.base_score)
+    assert right.score > wrong.score + 0.3
+
+
+def test_types_where_all_words_are_equally_frequent(spark, monkeypatch):
+    """More such words than the head may hold leave no word over a limit; the own types are picked all the same."""
+    monkeypatch.setattr(brown, "HEAD", 5)
+    monkeypatch.setattr(brown, "OWN", 3)
+    docs = spark.createDataFrame([("w%d w%d" % (i, i),) for i in range(9)], "text string")
+    counts = brown.token_counts(docs)
+    model = brown.train(docs, counts, brown.head_limit(counts, brown.HEAD))
+    assert list(model.own) == [b"w0", b"w1", b"w2"] and model.head == {b"w0": 2, b"w1": 2, b"w2": 2}
+    rows = [(i, "w%d w%d" % (i, i)) for i in range(9)]
+    held, counts, n, v, base, known = brute_scores(rows)
+    for scores in (brown.score_texts, brown.class_scores):
+        for r in scores(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+            assert r.base_score == pytest.approx(base[r.doc_id]) and r.n_known == known[r.doc_id] and r.train_tokens == n
+
+
+def test_class_scores_of_held_out_texts(spark):
+    docs = table(spark, MIDDLE, "documents")
+    total = [scores(docs).filter("held_out").agg(F.sum("score")).first()[0] for scores in (brown.score_texts, brown.class_scores)]
+    assert total[1] > total[0]
+
+
+def test_class_scores_of_odd_rows(spark, odd_docs, no_docs):
+    rows = brown.class_scores(odd_docs).collect()
+    assert len(rows) == odd_docs.count()
+    got = {r.doc_id: r for r in rows}
+    plain = {r.doc_id: r for r in brown.score_texts(odd_docs).collect()}
+    assert all(got[i].n_tokens == plain[i].n_tokens and got[i].n_known == plain[i].n_known for i in plain)
+    assert all(got[i].base_score == pytest.approx(plain[i].base_score) for i in plain)
+    assert brown.class_scores(no_docs).count() == 0
+    only_held = odd_docs.filter("doc_id = 3")
+    assert zlib.crc32(b"3") % 7 != 2 or brown.class_scores(only_held).first().score == 0
+    alone = spark.createDataFrame([(held, "x y") for held in range(200) if zlib.crc32(str(held).encode()) % 7 == 2], "doc_id long, text string")
+    assert {(r.n_known, r.base_score, r.score) for r in brown.class_scores(alone).collect()} == {(0, 0.0, 0.0)}
+
+
 # ---- quality ----
 
 
